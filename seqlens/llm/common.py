@@ -8,6 +8,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from seqlens.operators.components import checkpointed
+
+__all__ = ["BATCH_ROWS", "bounded_batches", "checkpointed", "id_text", "lower_ascii", "map_batches", "table", "text_bytes"]
+
 #: Rows of one Arrow batch: bounds what a Python worker and the JVM hold at once.
 BATCH_ROWS = 1024
 
@@ -39,22 +43,6 @@ def text_bytes(df: DataFrame, text_col: str) -> int:
     return int(df.agg(F.sum(F.octet_length(df[text_col]).cast("long")).alias("b")).first()["b"] or 0)
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df, written to spark.checkpoint.dir and read from there: lineage ends and lost executors cost nothing.
-
-    The folder comes from the session; only where none is set (tests, one machine) a local one is."""
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if not sc.getCheckpointDir():
-        shared = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-        if not shared:
-            import tempfile
-
-            shared = tempfile.mkdtemp(prefix="seqlens-checkpoint-")
-        sc.setCheckpointDir(shared)
-    return df.checkpoint()
-
-
 def lower_ascii(col: Column) -> Column:
     """A-Z to a-z and nothing else."""
     return F.translate(col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
