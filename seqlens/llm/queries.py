@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqlens.llm import decontaminate, language_id, packing, sharding, simhash, tokenizer_fst
+from seqlens.llm import decontaminate, language_id, packing, quality, sharding, simhash, tokenizer_fst
 from seqlens.llm.common import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -33,6 +33,12 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex_digits(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = quality.judge(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+    return found.select("doc_id", *quality.BASE, "base_failed", "kept", "good")
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), "contaminated")
@@ -56,6 +62,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_language_id": op1_language_id,
         "op2_simhash": op2_simhash,
+        "op3_quality": op3_quality,
         "op4_decontamination": op4_decontamination,
         "op6_packing": op6_packing,
         "op8_sharding": op8_sharding,
