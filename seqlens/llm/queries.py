@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqlens.llm import decontaminate, language_id, packing, quality, sharding, simhash, tokenizer_fst
+from seqlens.llm import decontaminate, html_extract, language_id, packing, quality, sharding, simhash, tokenizer_fst
 from seqlens.llm.common import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -58,6 +58,10 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenizer_fst.with_limit(counts, TOKEN_LIMIT)
 
 
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_language_id": op1_language_id,
@@ -67,6 +71,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_packing": op6_packing,
         "op8_sharding": op8_sharding,
         "op9_token_counts": op9_token_counts,
+        "op10_html_extraction": op10_html_extraction,
     }
 
 
