@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqlens.llm import decontaminate, html_extract, language_id, packing, quality, sharding, simhash, tokenizer_fst
+from seqlens.llm import decontaminate, html_extract, language_id, packing, pii, quality, sharding, simhash, tokenizer_fst
 from seqlens.llm.common import table
 
 TOKENIZER = "word_bpe_49k.json"
 TOKEN_LIMIT = 2048
+#: A deployment gives its own; a fixed key makes this query's result repeatable.
+PII_KEY = "seqlens-demonstration-key"
 SHARDS = [f"shard-{i:03d}" for i in range(64)]
 
 
@@ -44,6 +46,10 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), "contaminated")
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymise(table(spark, sf_dir, "documents"), PII_KEY).select("doc_id", "text", "n_entities")
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
     return pieces.select("doc_id", "start", "length", F.crc32("token_ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "tier", "step_group")
@@ -68,6 +74,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_simhash": op2_simhash,
         "op3_quality": op3_quality,
         "op4_decontamination": op4_decontamination,
+        "op5_pii": op5_pii,
         "op6_packing": op6_packing,
         "op8_sharding": op8_sharding,
         "op9_token_counts": op9_token_counts,
