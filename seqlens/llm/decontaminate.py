@@ -202,6 +202,13 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     return counted.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
 
 
+def clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns as they are, that are not contaminated. Rows without an id stay."""
+    found = contamination(docs, items, id_col, text_col)
+    gone = checkpointed(found.where("contaminated AND doc_id IS NOT NULL").select(F.col("doc_id").alias(id_col)).distinct())
+    return docs.join(gone, id_col, "left_anti").select(*docs.columns)
+
+
 def proximity_matches(docs: DataFrame, phrases: list[str], slop: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, spans, phrases (those found) of the documents where each term of a phrase stands within `slop` words of its
     place after the phrase's rarest term."""

@@ -26,6 +26,8 @@ PROFILE_SIZE = 400
 MAX_N = 3
 #: Letters told apart; rarer ones share one code.
 ALPHABET = 1022
+#: What a filter asks of a text at least; texts of the languages learnt have several times as much.
+LEAST_NEARNESS = 0.05
 UNKNOWN = "und"
 CODE_POINTS = 0x110000
 
@@ -182,6 +184,32 @@ def identify(docs: DataFrame, profiles: Profiles, id_col: str = "doc_id", text_c
     return map_batches(source, run, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double, nearness double")
 
 
+def in_known_language(docs: DataFrame, profiles: Profiles, text_col: str = "text", least_nearness: float = LEAST_NEARNESS) -> DataFrame:
+    """The rows of docs, all columns as they are, whose text is in a language that has a profile.
+
+    Null texts and texts without letters go, and texts that are no nearer to any profile than least_nearness (0: not one
+    n-gram in common). Without any profile nothing can be told, so only texts without letters go. No row is shuffled."""
+    grams, langs, size = profiles.grams, profiles.langs, profiles.size
+    place = docs.columns.index(text_col)
+    made: list[Profiles] = []
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not made:
+            made.append(Profiles(langs, grams, size))
+        known = made[0]
+
+        def stays(text: str | None) -> bool:
+            if not langs:
+                return bool(text) and any(map(str.isalpha, text))
+            lang, _, nearness = known.predict(text)
+            return lang != UNKNOWN and nearness >= least_nearness
+
+        for batch in batches:
+            yield batch.filter(pa.array([stays(t) for t in batch.column(place).to_pylist()], pa.bool_()))
+
+    return map_batches(docs, run, docs.schema)
+
+
 def held_out(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """docs with held_out: the fifth of ids kept from the fit."""
     return docs.withColumn("held_out", F.coalesce(F.crc32(docs[id_col].cast("string").cast("binary")) % 5 == 0, F.lit(False)))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqlens.llm import decontaminate, html_extract, language_id, packing, pii, quality, sharding, simhash, tokenizer_fst
+from seqlens.llm import decontaminate, html_extract, language_id, packing, pii, quality, sharding, simhash, substrings, tokenizer_fst
 from seqlens.llm.common import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -55,6 +55,10 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("token_ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "tier", "step_group")
 
 
+def op7_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeats(table(spark, sf_dir, "documents"), digest=True)
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.place(table(spark, sf_dir, "documents"), SHARDS)
 
@@ -76,6 +80,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_decontamination": op4_decontamination,
         "op5_pii": op5_pii,
         "op6_packing": op6_packing,
+        "op7_substrings": op7_substrings,
         "op8_sharding": op8_sharding,
         "op9_token_counts": op9_token_counts,
         "op10_html_extraction": op10_html_extraction,

@@ -220,5 +220,19 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return rows.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns as they are, that stand for their component: those with its least id.
+
+    Of several rows with one id one stays; a row without an id can't be told from others and stays."""
+    found = checkpointed(components(docs, id_col, text_col).select("doc_id", "component_id"))
+    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias(id_col)).distinct()
+    kept = docs.join(gone, id_col, "left_anti").select(*docs.columns)
+    repeated = found.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias(id_col))
+    if repeated.isEmpty():
+        return kept
+    several = kept.join(repeated, id_col, "left_semi").dropDuplicates([id_col])
+    return kept.join(repeated, id_col, "left_anti").select(*docs.columns).unionByName(several.select(*docs.columns))
+
+
 def hex_digits(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
