@@ -94,10 +94,10 @@ def letter_table() -> np.ndarray:
 
 def pack(codes: list[int]) -> int:
     """A key of one to three ten-bit codes; the top bits tell the length."""
-    key = len(codes) % 3
+    key = 0
     for c in codes:
         key = key << 10 | c
-    return key
+    return len(codes) % 3 << 30 | key
 
 
 def rank_grams(codes: np.ndarray, size: int) -> np.ndarray:
@@ -107,7 +107,7 @@ def rank_grams(codes: np.ndarray, size: int) -> np.ndarray:
     two = codes[:-1] << 10 | codes[1:]
     three = two[:-1] << 10 | codes[2:]
     one = codes[codes != 0]
-    keys, counts = np.unique(np.concatenate([one | np.uint32(1 << 10), two | np.uint32(2 << 20), three[codes[1:-1] != 0]]), return_counts=True)
+    keys, counts = np.unique(np.concatenate([one | np.uint32(1 << 30), two | np.uint32(2 << 30), three[codes[1:-1] != 0]]), return_counts=True)
     if len(keys) > size:
         least = np.partition(counts, len(counts) - size)[len(counts) - size]
         enough = counts >= least
