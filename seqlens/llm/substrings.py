@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,7 +35,7 @@ AROUND = DEPTH + REACH
 PART_BYTES = 8 << 20
 CHUNK_BYTES = 1 << 17
 #: Surroundings of a key, over all parts, beyond which its windows are sorted one by one.
-HOT = 100_000
+HOT = 1_000_000
 OUTSIDE = 0xFF  # in no UTF-8 text
 LAST = np.iinfo(np.int64).max  # stands for a null doc_id: larger than all
 
@@ -148,6 +149,16 @@ def pack(*arrays: np.ndarray) -> list[bytes]:
     return [np.ascontiguousarray(a).tobytes() for a in arrays]
 
 
+def squeezed(data: np.ndarray) -> bytes:
+    """Text is half as long with its letters' frequencies used, which the shuffle's own codec doesn't do."""
+    return pa.compress(np.ascontiguousarray(data).tobytes(), codec="zstd", asbytes=True)
+
+
+def unsqueezed(parts: list[bytes], rows: list[int], width: int) -> np.ndarray:
+    codec = pa.Codec("zstd")
+    return np.frombuffer(b"".join(codec.decompress(x, n * width, asbytes=True) for x, n in zip(parts, rows, strict=True)), np.uint8).reshape(-1, width)
+
+
 def by_bucket(key: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
     """Bucket numbers and the places of their keys, in order of keys."""
     bucket = (key % np.uint64(buckets)).astype(np.int64)
@@ -240,7 +251,7 @@ def send_around(buckets: int):
     """Step 2: surroundings of a part's shared keys, and windows of its hot ones, by bucket."""
 
     def run(_, docs: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
-        columns = ["bucket", "part", "windowed", "data", "ids", "several"]
+        columns = ["bucket", "part", "windowed", "data", "ids", "several", "keys"]
         if not len(docs) or not len(known):
             return pd.DataFrame([], columns=columns)
         key = np.concatenate([np.frombuffer(x, np.uint64) for x in known["keys"]])
@@ -255,7 +266,7 @@ def send_around(buckets: int):
             which = np.flatnonzero(at >= 0)
             cold = which[~hot[at[which]]]
             around = c.around(cold)
-            found[False].append((around, c.key[cold], row_hash(around), ids[c.first + c.doc[cold]]))
+            found[False].append((around, c.key[cold], row_hash(around), ids[c.first + c.doc[cold]], c.key[cold]))
             warm = which[hot[at[which]]]
             for i in range(0, len(warm), WINDOWS_AT_ONCE // (REACH + 1)):
                 own = warm[i : i + WINDOWS_AT_ONCE // (REACH + 1)]
@@ -265,15 +276,15 @@ def send_around(buckets: int):
                 # a chunk's distinct windows; several ids of one window are told by its least and its greatest
                 most = -least_ids(h, -ids[c.first + c.doc[own]][row])[1]
                 twice = np.concatenate([at_, at_[several]])
-                found[True].append((data[twice], h[twice], h[twice], np.concatenate([least, most[several]])))
+                found[True].append((data[twice], h[twice], h[twice], np.concatenate([least, most[several]]), c.key[own][row[twice]]))
         rows = []
         for windowed, parts in found.items():
             if not parts:
                 continue
-            data, k, h, owner = (np.concatenate(x) for x in zip(*parts, strict=True))
+            data, k, h, owner, key_ = (np.concatenate(x) for x in zip(*parts, strict=True))
             at, least, several, _ = least_ids(h, owner)
-            data, k = data[at], k[at]
-            rows += [(b, part, windowed, *pack(data[own], least[own], several[own])) for b, own in by_bucket(k, buckets)]
+            data, k, key_ = data[at], k[at], key_[at]
+            rows += [(b, part, windowed, squeezed(data[own]), *pack(least[own], several[own], key_[own] if windowed else key_[:0])) for b, own in by_bucket(k, buckets)]
         return pd.DataFrame(rows, columns=columns)
 
     return run
@@ -285,19 +296,20 @@ def sort_bucket(frame: pd.DataFrame) -> pd.DataFrame:
     for windowed, own in frame.groupby("windowed", sort=False):
         width = DEPTH if windowed else AROUND
         sizes = [len(x) // 8 for x in own["ids"]]
-        data = np.frombuffer(b"".join(own["data"]), np.uint8).reshape(-1, width)
+        data = unsqueezed(own["data"].tolist(), sizes, width)
         ids = np.frombuffer(b"".join(own["ids"]), np.int64)
         several = np.frombuffer(b"".join(own["several"]), bool)
         low, high = sort_windows(data, ids) if windowed else sort_around(data, ids)
         h = row_hash(data)
+        keys = np.frombuffer(b"".join(own["keys"]), np.uint64)
         start = 0
         for part, n in zip(own["part"], sizes, strict=True):
             mine = slice(start, start + n)
             start += n
             told = (high[mine] >= 0) | several[mine]
             if told.any():
-                rows.append((int(part), bool(windowed), *pack(h[mine][told], low[mine][told], high[mine][told])))
-    return pd.DataFrame(rows, columns=["part", "windowed", "hashes", "low", "high"])
+                rows.append((int(part), bool(windowed), *pack(h[mine][told], low[mine][told], high[mine][told], np.unique(keys[mine][told]) if windowed else keys[:0])))
+    return pd.DataFrame(rows, columns=["part", "windowed", "hashes", "low", "high", "keys"])
 
 
 def sort_windows(data: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -357,6 +369,7 @@ def cut(_, docs: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
         h, low, high = (np.concatenate([np.frombuffer(x, t) for x in own[c]]) for c, t in (("hashes", np.uint64), ("low", np.int8), ("high", np.int8)))
         order = np.argsort(h)
         known[bool(windowed)] = (h[order], low[order], high[order])
+    hot = np.unique(np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(x, np.uint64) for x in told["keys"])])) if len(told) else np.zeros(0, np.uint64)
     none = (np.zeros(0, np.uint64), np.zeros(0, np.int8), np.zeros(0, np.int8))
     made = list(chunks(texts))
     # The least id of each surrounding and window of this part that was told of.
@@ -372,14 +385,14 @@ def cut(_, docs: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
             hit = np.flatnonzero(at >= 0)
             np.minimum.at(least[False], at[hit], owner[hit])
             own.append((False, c.at[which[hit]] - REACH, at[hit], owner[hit], around[hit]))
-            if True in known:
-                for j in range(0, len(which), WINDOWS_AT_ONCE // (REACH + 1)):
-                    sub = slice(j, j + WINDOWS_AT_ONCE // (REACH + 1))
-                    row, offset, data = windows(around[sub])
-                    at = lookup(known[True][0], row_hash(data))
-                    hit = np.flatnonzero(at >= 0)
-                    np.minimum.at(least[True], at[hit], owner[sub][row[hit]])
-                    own.append((True, c.at[which[sub]][row[hit]] - REACH + offset[hit], at[hit], owner[sub][row[hit]], None))
+            warm = np.flatnonzero(lookup(hot, c.key[which]) >= 0)
+            for j in range(0, len(warm), WINDOWS_AT_ONCE // (REACH + 1)):
+                sub = warm[j : j + WINDOWS_AT_ONCE // (REACH + 1)]
+                row, offset, data = windows(around[sub])
+                at = lookup(known[True][0], row_hash(data))
+                hit = np.flatnonzero(at >= 0)
+                np.minimum.at(least[True], at[hit], owner[sub][row[hit]])
+                own.append((True, c.at[which[sub]][row[hit]] - REACH + offset[hit], at[hit], owner[sub][row[hit]], None))
         hits.append(own)
     out = []
     for c, own in zip(made, hits, strict=True):
@@ -426,8 +439,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     dealt = source.withColumn("part", part).repartition(parts, "part")
     keys = dealt.groupBy("part").applyInPandas(send_keys(parts), "bucket int, part int, keys binary, times binary, several binary")
     shared = keys.groupBy("bucket").applyInPandas(shared_keys(hot), "part int, keys binary, hot binary")
-    around = dealt.groupBy("part").cogroup(shared.groupBy("part")).applyInPandas(send_around(parts), "bucket int, part int, windowed boolean, data binary, ids binary, several binary")
-    told = around.groupBy("bucket").applyInPandas(sort_bucket, "part int, windowed boolean, hashes binary, low binary, high binary")
+    around = dealt.groupBy("part").cogroup(shared.groupBy("part")).applyInPandas(send_around(parts), "bucket int, part int, windowed boolean, data binary, ids binary, several binary, keys binary")
+    told = around.groupBy("bucket").applyInPandas(sort_bucket, "part int, windowed boolean, hashes binary, low binary, high binary, keys binary")
     made = dealt.groupBy("part").cogroup(told.groupBy("part"))
     if digest:
         return made.applyInPandas(cut_digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
