@@ -5,13 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-NONE = "array<string>"
-
-
-def windows(seq: Column, k: int) -> Column:
-    """All substrings of length k, in order."""
-    n = F.length(seq)
-    return F.when(n >= k, F.transform(F.sequence(F.lit(1), n - k + 1), lambda i: F.substr(seq, i, F.lit(k)))).otherwise(F.array().cast(NONE))
+def windows(seq: Column, k: int, letters: str = ".") -> Column:
+    """All substrings of k such letters, in order: one pass of a look-ahead, where substring() at each place would scan the
+    text from its start each time."""
+    return F.regexp_extract_all(seq, F.lit(f"(?s)(?=({letters}{{{k}}}))"), F.lit(1))
 
 
 def kmer_set(seq: Column, k: int = 8) -> Column:
@@ -21,7 +18,7 @@ def kmer_set(seq: Column, k: int = 8) -> Column:
 
 def strict_kmer_set(seq: Column, k: int = 8) -> Column:
     """Distinct k-mers of A, C, G and T alone; windows with any other letter are skipped."""
-    return F.array_distinct(F.filter(windows(F.upper(seq), k), lambda w: w.rlike("^[ACGT]+$")))
+    return F.array_distinct(windows(F.upper(seq), k, "[ACGT]"))
 
 
 def packed(kmer: Column) -> Column:
