@@ -20,7 +20,7 @@ def pick(number: str, values: list[str | None]) -> str:
     return f"CASE {number} % {len(values)} " + " ".join(f"WHEN {i} THEN {v}" for i, v in enumerate(shown)) + " END"
 
 
-LABELS = ["ST1", "ST10", "ST2", "NMAST3", "novel_2", "ST_unassigned", "Unknown", "novel_11", "ST5", "ST1", "ST2", "ST3", "ST3"]
+LABELS = ["ST1", "ST10", "ST2", "NMAST3", "novel_2", "ST_unassigned", "Unknown", "novel_11", "ST5", "ST1", "ST2", "ST3"]
 
 SPECIMENS = f"""SELECT c_custkey AS ord,
   concat({pick("c_custkey", ["XM_", "AC", "AC", "NR_", "AC", "AB", "AC", "U"])}, c_custkey, {pick("c_custkey", [".1", ".2", ""])}) AS accession,
