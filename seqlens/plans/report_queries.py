@@ -41,6 +41,9 @@ def q6(spark, sf):
     return relational.counts(novel(spark, sf), "label")
 
 
+NOVEL = ["novel_11", "novel_2"]
+
+
 def by_novel(key: str, keep: str) -> str:
     w = f"label LIKE 'novel%' AND {keep}"
     return S + f"SELECT {key}, count(*) FILTER (label = 'novel_11') AS novel_11, count(*) FILTER (label = 'novel_2') AS novel_2 FROM s WHERE {w} AND {key} IN {top(key, 12, w)} GROUP BY {key}"
@@ -48,12 +51,12 @@ def by_novel(key: str, keep: str) -> str:
 
 @query("q7_host_by_novel", by_novel("host", "host <> 'Unknown'"))
 def q7(spark, sf):
-    return relational.crosstab(relational.in_top(novel(spark, sf).where("host <> 'Unknown'"), "host", 12), "host", "label")
+    return relational.pivot_counts(relational.in_top(novel(spark, sf).where("host <> 'Unknown'"), "host", 12), "host", "label", NOVEL)
 
 
 @query("q8_country_by_novel", by_novel("country", "country <> 'Unknown'"))
 def q8(spark, sf):
-    return relational.crosstab(relational.in_top(novel(spark, sf).where("country <> 'Unknown'"), "country", 12), "country", "label")
+    return relational.pivot_counts(relational.in_top(novel(spark, sf).where("country <> 'Unknown'"), "country", 12), "country", "label", NOVEL)
 
 
 @query("q9_technology_by_novel", S + "SELECT label, tech, count(*) AS n FROM s WHERE label LIKE 'novel%' GROUP BY label, tech")
