@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seqlens.functions import fixed, kmers
+from seqlens.operators.layout import spread
 
 TILE = 512
 CODE = np.zeros(256, np.uint8)
@@ -65,7 +66,8 @@ def corrected(pairs: DataFrame, p: str = "p") -> DataFrame:
 
 def kmer_pairs(rows: DataFrame, k: int = fixed.MATRIX_KMER) -> DataFrame:
     """id_a, id_b, shared, d of the pairs of (id, seq) that share a k-mer; all others are at distance 1."""
-    sets = rows.select("id", kmers.kmer_set(F.col("seq"), k).alias("s")).select("id", F.size("s").alias("n"), F.explode("s").alias("kmer"))
+    sets = spread(rows.select("id", "seq")).select("id", kmers.kmer_set(F.col("seq"), k).alias("s"))
+    sets = sets.select("id", F.size("s").alias("n"), "s").select("id", "n", F.explode("s").alias("kmer"))
     a = sets.select(F.col("id").alias("id_a"), F.col("n").alias("na"), "kmer")
     b = sets.select(F.col("id").alias("id_b"), F.col("n").alias("nb"), "kmer")
     counts = a.join(b, "kmer").where("id_a < id_b").groupBy("id_a", "id_b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"), F.count(F.lit(1)).alias("shared"))

@@ -7,6 +7,7 @@ import pytest
 
 
 from seqlens.operators import clustering, curation, distance, ordination, relational, similarity
+from seqlens.operators import nearest as kernel
 from seqlens.operators.components import connected_components
 
 
@@ -96,7 +97,27 @@ def test_tiles(spark):
             assert (n, m) == (len(both), sum(x != y for x, y in both)) and p == (m / n if n else 1.0)
 
 
-def test_placement_rules(spark):
+@pytest.fixture(params=["one pass", "join"])
+def either_way(request, monkeypatch):
+    if request.param == "join":
+        monkeypatch.setattr(kernel, "MAX_QUERIES", -1)
+
+
+def test_both_ways_agree(spark, monkeypatch):
+    r = random.Random(9)
+    make = lambda n: "".join(r.choice("ACGT" * 6 + "N-RYk") for _ in range(n))
+    refs = spark.createDataFrame([(i, make(r.randint(0, 300)), f"L{i % 4}") for i in range(120)], "id long, seq string, label string")
+    queries = spark.createDataFrame([(i, make(r.randint(0, 120))) for i in range(30)], "id long, seq string")
+    found = []
+    for most in (4096, -1):
+        monkeypatch.setattr(kernel, "MAX_QUERIES", most)
+        found.append([sorted(map(tuple, f(queries, refs, 4).collect())) for f in (similarity.map_fragments, similarity.place)])
+    assert found[0][1] == found[1][1]
+    with_kmers = [[x for x in f[0] if x[1] != "unmapped"] for f in found]
+    assert with_kmers[0] == with_kmers[1]
+
+
+def test_placement_rules(spark, either_way):
     base = "ACGTTGCAACGGTTAACCGGATATCGCGTTAAGGCCAATTCCGGTTAACGAT"
     seeds = spark.createDataFrame([("a", base, "ST1"), ("b", base[:-1] + "A", "ST2"), ("c", base[:-2] + "AA", "ST2"), ("d", "T" * 40, "ST9"), ("e", "C" * 30, "ST9"), ("f", "G" * 30, "ST9")], "id string, seq string, label string")
     queries = spark.createDataFrame([("q1", base), ("q2", "AT"), ("q3", "GATTACAGATTACATTTGAC")], "id string, seq string")
@@ -109,7 +130,7 @@ def test_placement_rules(spark):
     assert {r["assigned"] for r in similarity.place(queries, seeds.limit(0)).collect()} == {"Unplaced"}
 
 
-def test_containment_is_strand_free(spark):
+def test_containment_is_strand_free(spark, either_way):
     text = "ACGTTGCAACGGTTAACCGGATATCGCGTTAAGGCCAATTCCGG"
     refs = spark.createDataFrame([(1, text * 2, "x"), (2, "T" * 50, "y")], "id long, seq string, label string")
     complement = text[5:30].translate(str.maketrans("ACGT", "TGCA"))[::-1]
