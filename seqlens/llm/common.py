@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from seqlens.operators.components import checkpointed
+from seqlens.operators.layout import spread
 
-__all__ = ["BATCH_ROWS", "bounded_batches", "checkpointed", "id_text", "lower_ascii", "map_batches", "table", "text_bytes"]
+__all__ = ["BATCH_ROWS", "bounded_batches", "checkpointed", "id_text", "lower_ascii", "map_batches", "spread", "table", "text_bytes"]
 
 #: Rows of one Arrow batch: bounds what a Python worker and the JVM hold at once.
 BATCH_ROWS = 1024
@@ -29,9 +30,9 @@ def bounded_batches(spark: SparkSession) -> None:
 
 
 def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
-    """mapInArrow with bounded batches."""
+    """mapInArrow with bounded batches; a small input in one row group is spread over the cores first."""
     bounded_batches(df.sparkSession)
-    return df.mapInArrow(fn, schema)
+    return spread(df).mapInArrow(fn, schema)
 
 
 def id_text(df: DataFrame, id_col: str, text_col: str) -> DataFrame:

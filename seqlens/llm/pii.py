@@ -17,7 +17,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seqlens.llm.common import checkpointed
+from seqlens.llm.common import checkpointed, spread
 
 #: Later attempts that are put into the plan as a literal map; more of them are joined.
 INLINE_ATTEMPTS = 2000
@@ -283,9 +283,9 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", inline_attem
     """docs, each column as it is but for text_col, whose entities are replaced; and n_entities, their number.
 
     A null text stays null with no entities, texts without entities stay as they are. No row is dropped or added, and the
-    order of columns is kept; a column of docs that is named n_entities gives way. Rows are not shuffled unless more than inline_attempts
-    entities needed a later attempt."""
-    docs = docs.drop("n_entities") if text_col != "n_entities" else docs
+    order of columns is kept; a column of docs that is named n_entities gives way. Rows are not shuffled unless they are few in all or more than
+    inline_attempts entities needed a later attempt."""
+    docs = spread(docs.drop("n_entities") if text_col != "n_entities" else docs)
     text = docs[text_col]
     entities = docs.select(F.explode(F.array_distinct(F.flatten(F.transform(matches(text), keys_of)))).alias("e")).select("e.kind", "e.value")
     late = later_attempts(entities, key)
