@@ -74,6 +74,15 @@ def kmer_pairs(rows: DataFrame, k: int = fixed.MATRIX_KMER) -> DataFrame:
     return counts.select("id_a", "id_b", "shared", kmers.jaccard_from_counts(F.col("shared"), F.col("na"), F.col("nb")).alias("d"))
 
 
+def distance_table(rows: DataFrame, aligned: bool, correct: bool = False, id_type: str = "long") -> DataFrame:
+    """id_a, id_b, d of (id, seq): of aligned sequences, corrected if asked for, or of 6-mer sets, where pairs that are absent are at
+    distance 1 and no correction applies."""
+    if not aligned:
+        return kmer_pairs(rows).select("id_a", "id_b", "d")
+    pairs = aligned_pairs(rows, id_type)
+    return (corrected(pairs) if correct else pairs.withColumn("d", F.col("p"))).select("id_a", "id_b", "d")
+
+
 def both_ways(pairs: DataFrame) -> DataFrame:
     """id, other, d."""
     return pairs.select(F.col("id_a").alias("id"), F.col("id_b").alias("other"), "d").unionByName(pairs.select(F.col("id_b").alias("id"), F.col("id_a").alias("other"), "d"))

@@ -306,6 +306,21 @@ def o12(spark, sf):
     return first.groupBy("source").agg(F.array_join(F.sort_array(F.collect_list("doc_id")), ",").alias("examples"))
 
 
+@query("o1_natural_top", S + "SELECT label, n FROM (SELECT label, count(*) AS n FROM s GROUP BY label) ORDER BY CASE WHEN starts_with(label, 'NMAST') THEN 1 WHEN starts_with(label, 'novel') THEN 2 WHEN label = 'ST_unassigned' THEN 8 WHEN starts_with(label, 'ST') THEN 0 ELSE 9 END, coalesce(TRY_CAST(nullif(regexp_extract(label, '\\d+'), '') AS BIGINT), 0), label LIMIT 5")
+def o1(spark, sf):
+    return relational.counts(specimens(spark, sf), "label").orderBy(*metadata.natural_order(F.col("label"))).limit(5)
+
+
+@query("o7_most_common", "SELECT event_type, count(*) AS n FROM events GROUP BY event_type ORDER BY n DESC, event_type LIMIT 3")
+def o7(spark, sf):
+    return relational.top_keys(table(spark, sf, "events"), "event_type", 3)
+
+
+@query("w7_share_of_total", "SELECT l_returnflag, count(*) AS n, 100.0::DOUBLE * count(*) / (SELECT count(*) FROM lineitem) AS pct FROM lineitem GROUP BY l_returnflag")
+def w7(spark, sf):
+    return relational.shares(table(spark, sf, "lineitem").select("l_returnflag"), "l_returnflag")
+
+
 @query("u1_union_all", "SELECT doc_id AS id, 'd' AS kind FROM documents UNION ALL SELECT item_id, 'b' FROM benchmark")
 def u1(spark, sf):
     return table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.lit("d").alias("kind")).unionByName(table(spark, sf, "benchmark").select(F.col("item_id").alias("id"), F.lit("b").alias("kind")))

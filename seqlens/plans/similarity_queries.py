@@ -206,6 +206,18 @@ def g4(spark, sf):
     return own.groupBy(F.col("label_a").alias("label")).agg(F.count(F.lit(1)).alias("n"), six(F.avg("d")).alias("mean"), six(F.percentile("d", 0.5)).alias("median"), six(F.max("d")).alias("most"))
 
 
+@query("g5_novel_medians", ALIGNED + f" SELECT label_a AS label, count(*) AS n, {rounded('median(p)')} AS median FROM y WHERE label_a = label_b AND label_a LIKE 'novel%' GROUP BY 1")
+def g5(spark, sf):
+    own = distance.labelled(distance.distance_table(fragments(spark, sf), aligned=True), labels_of(spark, sf)).where("same AND label_a LIKE 'novel%'")
+    return own.groupBy(F.col("label_a").alias("label")).agg(F.count(F.lit(1)).alias("n"), six(F.percentile("d", 0.5)).alias("median"))
+
+
+@query("g13_neighbour_vote", MAPPED + " SELECT t.qid AS id, t.label AS best, v.label AS vote FROM t JOIN v ON t.qid = v.qid AND rank = 1 AND o = 1")
+def g13(spark, sf):
+    near = similarity.neighbours(fragments(spark, sf), references(spark, sf), 8, contained=True)
+    return similarity.vote(near).select(F.col("query_id").alias("id"), "best", "vote")
+
+
 @query("q3_intra_inter", ALIGNED + f" SELECT same, count(*) AS n, {rounded('median(d)')} AS median FROM (SELECT label_a = label_b AS same, d FROM y WHERE {KNOWN}) GROUP BY same")
 def q3(spark, sf):
     return known_pairs(spark, sf).groupBy("same").agg(F.count(F.lit(1)).alias("n"), six(F.percentile("d", 0.5)).alias("median"))
