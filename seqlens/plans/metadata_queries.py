@@ -9,6 +9,7 @@ from seqlens.operators import curation, relational
 from seqlens.operators.layout import spread
 from seqlens.plans.bindings import GENUS, SPECIMENS, records, specimens, table
 from seqlens.plans.catalog import query
+from seqlens.sources import readers
 
 S = f"WITH s AS ({SPECIMENS}) "
 
@@ -129,6 +130,11 @@ TOLD = "lower(concat_ws(' ', technology_q, note, mol_q, isolation_q, description
 TECHNOLOGY = "CASE " + " ".join(f"WHEN {shows(TOLD, p)} THEN {q(n)}" for n, p in fixed.TECHNOLOGIES) + " ELSE 'Unknown' END"
 
 
+@query("s4_narrow_search", S + "SELECT ord FROM s WHERE contains(lower(description), 'subtype 7') OR contains(lower(description), 'st7') OR contains(lower(description), 'st 7')")
+def s4(spark, sf):
+    return specimens(spark, sf).where(readers.contains_any(F.col("description"), readers.label_titles("ST7"))).select("ord")
+
+
 @query("x1_technology", S + f"SELECT ord, {TECHNOLOGY} AS seq_tech FROM s")
 def x1(spark, sf):
     return records(spark, sf).select("ord", curation.metadata_columns(GENUS)["seq_tech"].alias("seq_tech"))

@@ -311,6 +311,17 @@ def o1(spark, sf):
     return relational.counts(specimens(spark, sf), "label").orderBy(*metadata.natural_order(F.col("label"))).limit(5)
 
 
+@query("o2_sorted_places", "SELECT p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY p_size, p_type, p_partkey) AS place FROM part")
+def o2(spark, sf):
+    w = Window.partitionBy("p_brand").orderBy("p_size", "p_type", "p_partkey")
+    return table(spark, sf, "part").select("p_partkey", F.row_number().over(w).cast(BIG).alias("place"))
+
+
+@query("o10_capped_scan", "SELECT doc_id FROM documents ORDER BY doc_id LIMIT 100")
+def o10(spark, sf):
+    return table(spark, sf, "documents").select("doc_id").orderBy("doc_id").limit(100)
+
+
 @query("o7_most_common", "SELECT event_type, count(*) AS n FROM events GROUP BY event_type ORDER BY n DESC, event_type LIMIT 3")
 def o7(spark, sf):
     return relational.top_keys(table(spark, sf, "events"), "event_type", 3)

@@ -26,6 +26,11 @@ def six(c):
     return F.floor(c * 1000000 + 0.5) / 1000000
 
 
+ALIGNED = f"""WITH {FRAGMENTS}, p AS (SELECT id, i, substr(seq, i, 1) AS c FROM (SELECT id, seq, unnest(range(1, length(seq) + 1)) AS i FROM f)),
+x AS (SELECT a.id AS id_a, b.id AS id_b, count(*) AS comparable, count(*) FILTER (a.c <> b.c) AS differing FROM p a JOIN p b ON a.i = b.i AND a.id < b.id GROUP BY 1, 2),
+e AS (SELECT id_a, id_b, differing / comparable AS p, -0.75 * ln(1 - 4.0::DOUBLE / 3.0::DOUBLE * least(greatest(differing / comparable, 0), 0.7499)) + 0.0 AS d FROM x),
+y AS (SELECT e.*, la.label AS label_a, lb.label AS label_b FROM e JOIN lab la ON la.id = id_a JOIN lab lb ON lb.id = id_b)"""
+
 @query("a1k_kmer_sets", f"WITH {FRAGMENTS} SELECT id, kmer FROM (SELECT id, {windows(CLEAN, 8)} AS kmer FROM f)")
 def a1k(spark, sf):
     return fragments(spark, sf).select("id", F.explode(kmers.kmer_set(F.col("seq"))).alias("kmer"))
@@ -47,6 +52,25 @@ def x19(spark, sf):
     return fragments(spark, sf).select("id", kmers.reverse_complement(F.col("seq")).alias("rc"))
 
 
+@query("f15_empty_kmer_sets", "SELECT doc_id AS id FROM documents WHERE length(regexp_replace(lower(text), '[^a-z]', '', 'g')) < 8")
+def f15(spark, sf):
+    refs = references(spark, sf)
+    return refs.where(F.size(kmers.kmer_set(F.col("seq"))) == 0).select("id")
+
+
+@query("k4_distance_export", ALIGNED + " SELECT id_a, id_b, floor(p * 100000 + 0.5) / 100000 AS d FROM e")
+def k4(spark, sf):
+    table_ = distance.distance_table(fragments(spark, sf), aligned=True)
+    return table_.select("id_a", "id_b", (F.floor(F.col("d") * 100000 + 0.5) / 100000).alias("d"))
+
+
+@query("c6_unplaced_rows")
+def c6(spark, sf):
+    rows = fragments(spark, sf)
+    groups = clustering.novel_groups(rows, distance.kmer_pairs(rows, 3), cutoff=0.5)
+    return groups.withColumn("reason", clustering.novel_reason("label", "size"))
+
+
 @query("a6k_packed_kmers", f"WITH {FRAGMENTS} SELECT id, kmer, list_sum([(strpos('ACGT', substr(kmer, j, 1)) - 1) * CAST(pow(4, 8 - j) AS BIGINT) FOR j IN range(1, 9)])::BIGINT AS code FROM (SELECT id, {windows('seq', 8)} AS kmer FROM f)")
 def a6k(spark, sf):
     return fragments(spark, sf).select("id", F.explode(kmers.strict_kmer_set(F.col("seq"))).alias("kmer")).withColumn("code", kmers.packed(F.col("kmer")))
@@ -153,12 +177,6 @@ def a4k(spark, sf):
     return a.join(b, F.col("a") == F.col("b")).select("a", "b", six(kmers.jaccard_distance(F.col("sa"), F.col("sb"))).alias("d"))
 
 
-ALIGNED = f"""WITH {FRAGMENTS}, p AS (SELECT id, i, substr(seq, i, 1) AS c FROM (SELECT id, seq, unnest(range(1, length(seq) + 1)) AS i FROM f)),
-x AS (SELECT a.id AS id_a, b.id AS id_b, count(*) AS comparable, count(*) FILTER (a.c <> b.c) AS differing FROM p a JOIN p b ON a.i = b.i AND a.id < b.id GROUP BY 1, 2),
-e AS (SELECT id_a, id_b, differing / comparable AS p, -0.75 * ln(1 - 4.0::DOUBLE / 3.0::DOUBLE * least(greatest(differing / comparable, 0), 0.7499)) + 0.0 AS d FROM x),
-y AS (SELECT e.*, la.label AS label_a, lb.label AS label_b FROM e JOIN lab la ON la.id = id_a JOIN lab lb ON lb.id = id_b)"""
-
-
 def pairs(spark, sf):
     return distance.corrected(distance.aligned_pairs(fragments(spark, sf)))
 
