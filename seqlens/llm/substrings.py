@@ -36,6 +36,8 @@ PART_BYTES = 8 << 20
 CHUNK_BYTES = 1 << 17
 #: Surroundings of a key, over all parts, beyond which its windows are sorted one by one.
 HOT = 1_000_000
+#: Bytes of a key that are sent. Keys only pick candidates, so what two texts share by chance costs a comparison and no more.
+KEY_BYTES = 6
 OUTSIDE = 0xFF  # in no UTF-8 text
 LAST = np.iinfo(np.int64).max  # stands for a null doc_id: larger than all
 
@@ -92,7 +94,8 @@ class Chunk:
         edge[self.start[long]] = 1
         edge[(self.start + sizes - KEY + 1)[long]] -= 1
         inside = np.cumsum(edge[:-1], dtype=np.int8) > 0
-        self.at, self.key = key_places(self.data, inside)
+        self.at, key = key_places(self.data, inside)
+        self.key = key >> np.uint64(8 * (8 - KEY_BYTES))
         self.doc = np.searchsorted(self.start, self.at, side="right") - 1
 
     def around(self, which: np.ndarray) -> np.ndarray:
@@ -159,6 +162,17 @@ def unsqueezed(parts: list[bytes], rows: list[int], width: int) -> np.ndarray:
     return np.frombuffer(b"".join(codec.decompress(x, n * width, asbytes=True) for x, n in zip(parts, rows, strict=True)), np.uint8).reshape(-1, width)
 
 
+def pack_keys(key: np.ndarray) -> bytes:
+    return np.ascontiguousarray(key.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :KEY_BYTES]).tobytes()
+
+
+def unpack_keys(data: bytes) -> np.ndarray:
+    rows = np.frombuffer(data, np.uint8).reshape(-1, KEY_BYTES)
+    wide = np.zeros((len(rows), 8), np.uint8)
+    wide[:, :KEY_BYTES] = rows
+    return wide.view("<u8").ravel().astype(np.uint64)
+
+
 def by_bucket(key: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
     """Bucket numbers and the places of their keys, in order of keys."""
     bucket = (key % np.uint64(buckets)).astype(np.int64)
@@ -199,7 +213,7 @@ def send_keys(buckets: int):
         at, _, several, number = least_ids(key, owner)
         times = np.bincount(number, minlength=len(at))
         part = int(frame["part"].iloc[0])
-        rows = [(b, part, *pack(key[at][own], np.minimum(times[own], 2**31 - 1).astype(np.int32), several[own])) for b, own in by_bucket(key[at], buckets)]
+        rows = [(b, part, pack_keys(key[at][own]), *pack(np.minimum(times[own], 2**16 - 1).astype(np.uint16), several[own])) for b, own in by_bucket(key[at], buckets)]
         return pd.DataFrame(rows, columns=["bucket", "part", "keys", "times", "several"])
 
     return run
@@ -209,9 +223,9 @@ def shared_keys(hot: int):
     """Step 1, at a bucket: for each part those of its keys that more than one document has, and which of them are hot."""
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        keys = [np.frombuffer(x, np.uint64) for x in frame["keys"]]
+        keys = [unpack_keys(x) for x in frame["keys"]]
         key = np.concatenate(keys)
-        times = np.concatenate([np.frombuffer(x, np.int32) for x in frame["times"]]).astype(np.int64)
+        times = np.concatenate([np.frombuffer(x, np.uint16) for x in frame["times"]]).astype(np.int64)
         several = np.concatenate([np.frombuffer(x, bool) for x in frame["several"]])
         _, number = np.unique(key, return_inverse=True)
         shared = (np.bincount(number) > 1) | (np.bincount(number, several) > 0)
@@ -222,7 +236,7 @@ def shared_keys(hot: int):
             start += len(own)
             kept = shared[mine]
             if kept.any():
-                rows.append((int(part), *pack(own[kept], many[mine][kept])))
+                rows.append((int(part), pack_keys(own[kept]), *pack(many[mine][kept])))
         return pd.DataFrame(rows, columns=["part", "keys", "hot"])
 
     return run
@@ -254,7 +268,7 @@ def send_around(buckets: int):
         columns = ["bucket", "part", "windowed", "data", "ids", "several", "keys"]
         if not len(docs) or not len(known):
             return pd.DataFrame([], columns=columns)
-        key = np.concatenate([np.frombuffer(x, np.uint64) for x in known["keys"]])
+        key = np.concatenate([unpack_keys(x) for x in known["keys"]])
         hot = np.concatenate([np.frombuffer(x, bool) for x in known["hot"]])
         order = np.argsort(key)
         key, hot = key[order], hot[order]
