@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seqlens.operators.layout import spread
+from seqlens.session import importable
 
 MAX_QUERIES = 4096
 MAX_BYTES = 8 << 20
@@ -87,6 +88,7 @@ def nearest(rows: list, refs: DataFrame, k: int, contained: bool, top: int) -> D
         raise ValueError("k-mers of eight letters at most")
     seqs = [r["seq"] for r in rows]
     shared = refs.sparkSession.sparkContext.broadcast(seqs)  # within MAX_BYTES
+    importable(refs.sparkSession)
     source = spread(refs.select("id", "seq"))
     kind = source.schema["id"].dataType.simpleString()
 
