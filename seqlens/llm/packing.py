@@ -10,17 +10,20 @@ equally many tokens.
 
 from __future__ import annotations
 
+import re
 import sys
 from array import array
 from bisect import bisect_right, insort
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from seqlens.llm.common import id_text, map_batches
-from seqlens.llm.tokenizer_fst import words_of
+from seqlens.llm.tokenizer_fst import WordPieces, words_of
 
 TIERS = (512, 1024, 2048, 4096)
 END_ID = 2
@@ -28,28 +31,87 @@ END_ID = 2
 BUFFER_TOKENS = 1 << 18
 STEP_TOKENS = 1 << 16
 MAX_WORDS = 1_000_000
+#: UTF-8 bytes of texts that are encoded together, and characters beyond which a text is cut at white space.
+GROUP_BYTES = 1 << 22
+SLICE_CHARS = 1 << 20
+
+#: What the vocabulary splits off words, in text of Latin letters: contractions, marks, single digits.
+PIECE = r"('(?:[stmd]|re|ve|ll)|[^\s\x0b\x{85}\x{A0}\p{L}\p{N}]+|\p{N})"
+_white = re.compile(r"[ \t\n\r]")
 
 
 class WordIds(dict):
     """Word to its ids as little-endian uint32 bytes. White space parts words for good in this vocabulary, so a
-    text's ids are its words' ids in a row; words are encoded once and kept, up to a bound."""
+    text's ids are its words' ids in a row. Words and their pieces are encoded once and kept, up to a bound."""
 
     def __init__(self, path: str, max_words: int = MAX_WORDS):
         super().__init__()
-        from tokenizers import Tokenizer
-
-        self.encode = Tokenizer.from_file(path).encode
+        self.words = WordPieces(path)
+        self.tokenize = self.words.library.model.tokenize
+        self.of_piece: dict[str, bytes] = {}
+        self.not_simple = "|".join([r"[^\x{00}-\x{24F}]|[\x1c-\x1f\x{130}]", *map(re.escape, self.words.special)])
         self.max_words = max_words
 
     def __missing__(self, word: str) -> bytes:
         if len(self) >= self.max_words:
             self.clear()
-        ids = array("I", self.encode(word, add_special_tokens=False).ids)
-        if sys.byteorder == "big":
-            ids.byteswap()
-        made = self[word] = ids.tobytes()
+        if self.words.has_special(word):
+            made = little_endian(self.words.library.encode(word, add_special_tokens=False).ids)
+        else:
+            made = b"".join(map(self.tokens, self.words.of(word)))
+        self[word] = made
         return made
 
+    def tokens(self, piece: str) -> bytes:
+        return little_endian([t.id for t in self.tokenize(piece)])
+
+    def piece(self, text: str) -> bytes:
+        if (made := self.of_piece.get(text)) is None:
+            if len(self.of_piece) >= self.max_words:
+                self.of_piece.clear()
+            plain = text.isascii() and text.isprintable()
+            made = self.of_piece[text] = self.tokens(text if plain else "".join([self.words.byte_char[b] for b in text.encode()]))
+        return made
+
+    def of_text(self, text: str) -> bytes:
+        return b"".join(map(self.__getitem__, words_of(text)))
+
+    def encode(self, texts: pa.Array) -> list[bytes]:
+        """The ids of each text. Texts of Latin letters are split into pieces by Arrow, and each piece that they have is looked up
+        once; others go word by word."""
+        slow = pc.match_substring_regex(texts, self.not_simple)
+        lists = pc.utf8_split_whitespace(pc.replace_substring_regex(pc.utf8_lower(pc.if_else(slow, "", texts)), PIECE, r" \1 "))
+        pieces = lists.flatten().dictionary_encode()
+        made = [self.piece(p) if p else b"" for p in pieces.dictionary.to_pylist()]
+        sizes = np.fromiter(map(len, made), np.int64, len(made)) // 4
+        ids = np.frombuffer(b"".join(made), "<u4")
+        starts = np.cumsum(sizes) - sizes
+        which = pieces.indices.to_numpy()
+        size = sizes[which]
+        ends = np.concatenate([[0], np.cumsum(size)])
+        found = ids[np.arange(ends[-1]) + np.repeat(starts[which] - ends[:-1], size)]
+        bounds = ends[np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy())])].tolist()
+        out = [found[i:j].tobytes() for i, j in zip(bounds, bounds[1:], strict=False)]
+        for i in np.flatnonzero(slow.to_numpy(zero_copy_only=False)).tolist():
+            out[i] = self.of_text(texts[i].as_py())
+        return out
+
+
+def little_endian(ids: list[int]) -> bytes:
+    own = array("I", ids)
+    if sys.byteorder == "big":
+        own.byteswap()
+    return own.tobytes()
+
+
+def slices(text: str, chars: int = SLICE_CHARS) -> Iterator[str]:
+    """A text in parts of about `chars`, cut at white space, which belongs to no token."""
+    at = 0
+    while len(text) - at > chars and (m := _white.search(text, at + chars)):
+        yield text[at : m.start()]
+        at = m.end()
+    yield text[at:]
+
 
 _made: dict[str, WordIds] = {}
 
@@ -143,7 +205,8 @@ def pack_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text
     """One row for each piece of a document: doc_id, start, length, doc_tokens, sequence_id, offset, tier (the
     window's length), step_group, token_ids (little-endian uint32).
 
-    A null or empty text is its end id alone. Each input row is a document, also where ids are null or repeated.
+    A null or empty text is its end id alone. Each input row is a document, also where ids are null or repeated, and texts
+    of equal length are packed in the order of their rows.
     Partitions are packed where they lie: there is no shuffle, a task holds BUFFER_TOKENS and its longest text.
     Windows are numbered within their partition, so a task that runs again numbers them alike."""
     if sorted(tiers) != [t for t in sorted(tiers) if t & (t - 1) == 0]:
@@ -191,12 +254,21 @@ def pack_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text
             kinds = [id_arrow, *[pa.int64()] * 7, pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "tier", "step_group", "token_ids"])
 
+        def tokenized(batch: pa.RecordBatch) -> Iterator[tuple]:
+            """doc_id and ids of each row; short texts are taken together, long ones in slices."""
+            texts = pc.fill_null(batch.column(1), "")
+            size = pc.binary_length(texts).to_numpy()
+            group = (np.cumsum(size, dtype=np.int64) - size) // GROUP_BYTES
+            for own in np.split(np.arange(len(size)), np.flatnonzero(np.diff(group)) + 1):
+                part = texts.slice(own[0], len(own))
+                long = size[own] > GROUP_BYTES
+                short = cache.encode(pc.if_else(pa.array(long), "", part))
+                for doc_id, is_long, text, tokens in zip(batch.column(0).slice(own[0], len(own)).to_pylist(), long, part, short, strict=True):
+                    yield doc_id, (b"".join(cache.encode(pa.array([x]))[0] for x in slices(text.as_py())) if is_long else tokens) + end
+
         for batch in batches:
-            ids, texts = batch.columns
-            id_arrow = ids.type
-            for doc_id, text in zip(ids.to_pylist(), texts, strict=True):
-                text = text.as_py() or ""
-                tokens = b"".join(map(cache.__getitem__, words_of(text))) + end
+            id_arrow = batch.column(0).type
+            for doc_id, tokens in tokenized(batch) if batch.num_rows else ():
                 held[number] = [doc_id, tokens, len(tokens) // 4]
                 done = packer.add(number, len(tokens) // 4)
                 number += 1

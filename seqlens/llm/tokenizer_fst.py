@@ -43,18 +43,46 @@ def words_of(text: str) -> list[str]:
     return text.split()
 
 
-class CountTransducer:
-    """Counts the tokens of word_bpe-like vocabularies (BPE with word ends, white space dropped)."""
+class WordPieces:
+    """Splits words of word_bpe-like vocabularies (BPE with word ends, white space dropped) into pre-tokens."""
 
-    def __init__(self, path: str, max_states: int = MAX_STATES, max_words: int = MAX_WORDS):
+    def __init__(self, path: str):
         import regex
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
-        model = spec["model"]
-        if model["type"] != "BPE" or not any(n.get("type") == "Replace" for n in (spec["normalizer"] or {}).get("normalizers", [])):
-            raise ValueError("the transducer needs a BPE whose normaliser folds white space")
+            self.spec = json.load(f)
+        if self.spec["model"]["type"] != "BPE" or not any(n.get("type") == "Replace" for n in (self.spec["normalizer"] or {}).get("normalizers", [])):
+            raise ValueError("needs a BPE whose normaliser folds white space")
+        self.library = Tokenizer.from_file(path)
+        self.special = [t["content"] for t in self.spec["added_tokens"]]
+        pattern = self.spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
+        self.pieces = regex.compile(pattern)
+        self.special_pattern = regex.compile("|".join(map(regex.escape, self.special))) if self.special else None
+        self.byte_char = byte_chars()
+
+    def has_special(self, word: str) -> bool:
+        return self.special_pattern is not None and self.special_pattern.search(word) is not None
+
+    def of(self, word: str) -> list[str]:
+        """The pre-tokens of a word without special strings, in the byte alphabet."""
+        if word.isascii() and word.isprintable():
+            return [word.lower()] if word.isalpha() else self.pieces.findall(word.lower())
+        if max(word) < "ɐ":
+            text = "".join(map(str.lower, unicodedata.normalize("NFC", word)))
+            table = self.byte_char
+            return ["".join([table[b] for b in p.encode()]) for p in self.pieces.findall(text)]
+        # Other scripts: the library's own tables say what is a letter and how it is lower-cased.
+        text = self.library.normalizer.normalize_str(word)
+        return [p for p, _ in self.library.pre_tokenizer.pre_tokenize_str(text) if p]
+
+
+class CountTransducer(WordPieces):
+    """Counts the tokens of word_bpe-like vocabularies."""
+
+    def __init__(self, path: str, max_states: int = MAX_STATES, max_words: int = MAX_WORDS):
+        super().__init__(path)
+        model = self.spec["model"]
         self.end = model["end_of_word_suffix"] or ""
         pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
         self.rank = {p: i for i, p in enumerate(pairs)}
@@ -62,12 +90,6 @@ class CountTransducer:
         self.inner = {t for t in model["vocab"] if not t.endswith(self.end)}
         self.final = {t[:-cut] for t in model["vocab"] if t.endswith(self.end)}
         self.open = {t[:i] for s in (self.inner, self.final) for t in s for i in range(1, len(t))}
-        self.library = Tokenizer.from_file(path)
-        self.special = [t["content"] for t in spec["added_tokens"]]
-        pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
-        self.pieces = regex.compile(pattern)
-        self.special_pattern = regex.compile("|".join(map(regex.escape, self.special))) if self.special else None
-        self.byte_char = byte_chars()
         self.max_states, self.max_words = max_states, max_words
         self.pair: dict[tuple[str, str], bool] = {}
         self.reset()
@@ -138,20 +160,10 @@ class CountTransducer:
         return n + made
 
     def count_word(self, word: str) -> int:
-        if self.special_pattern is not None and self.special_pattern.search(word):
+        if self.has_special(word):
             plain = self.special_pattern.split(word)
             return len(plain) - 1 + sum(self.count_word(p) for p in plain if p)
-        if word.isascii() and word.isprintable():
-            if word.isalpha():
-                return self.piece(word.lower())
-            return sum(self.piece(p) for p in self.pieces.findall(word.lower()))
-        if max(word) < "ɐ":
-            text = "".join(map(str.lower, unicodedata.normalize("NFC", word)))
-            table = self.byte_char
-            return sum(self.piece("".join([table[b] for b in p.encode()])) for p in self.pieces.findall(text))
-        # Other scripts: the library's own tables say what is a letter and how it is lower-cased.
-        text = self.library.normalizer.normalize_str(word)
-        return sum(self.piece(p) for p, _ in self.library.pre_tokenizer.pre_tokenize_str(text) if p)
+        return sum(map(self.piece, self.of(word)))
 
     def of_words(self, words: list[str]) -> int:
         known = self.words

@@ -9,6 +9,7 @@ import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -257,6 +258,20 @@ def test_packing_query(spark, small, tokenizer):
     assert parts.keys() == docs.keys()
 
 
+def test_encoding_matches_the_library(tokenizer):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(tokenizer)
+    ids = packing.WordIds(tokenizer, max_words=300)
+    r = random.Random(2)
+    alphabet = "abcdefghijéÉ'ß1 2\n.,<|>²½ªſŉİÑ\xa0\x85\x0b_stremvldSTLL''"
+    texts = ODD + [f"a{chr(i)}b {chr(i)}{chr(i)} 'S{chr(i)}x 12{chr(i)}" for i in range(0x300)] + ["".join(r.choice(alphabet) for _ in range(r.randint(0, 60))) for _ in range(3000)]
+    for text, found in zip(texts, ids.encode(pa.array(texts)), strict=True):
+        assert np.frombuffer(found, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, text
+    long = " ".join(texts)
+    assert b"".join(ids.encode(pa.array([x]))[0] for x in packing.slices(long, 500)) == np.array(library.encode(long, add_special_tokens=False).ids, "<u4").tobytes()
+
+
 def test_packer_fills_and_cuts():
     r = random.Random(1)
     packer, total, done = packing.Packer(buffer_tokens=9000), 0, []
