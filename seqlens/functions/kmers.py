@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+
 def windows(seq: Column, k: int, letters: str = ".") -> Column:
     """All substrings of k such letters, in order: one pass of a look-ahead, where substring() at each place would scan the
-    text from its start each time."""
-    return F.regexp_extract_all(seq, F.lit(f"(?s)(?=({letters}{{{k}}}))"), F.lit(1))
+    text from its start each time. No window starts inside a surrogate pair."""
+    return F.regexp_extract_all(seq, F.lit(rf"(?s)(?![\x{{DC00}}-\x{{DFFF}}])(?=({letters}{{{k}}}))"), F.lit(1))
 
 
 def kmer_set(seq: Column, k: int = 8) -> Column:

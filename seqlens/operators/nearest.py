@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from seqlens.functions import kmers
 from seqlens.operators.layout import spread
 from seqlens.session import importable
 
@@ -21,40 +22,57 @@ MAX_BYTES = 8 << 20
 #: Cells of a table of counts (references by queries).
 CELLS = 1 << 20
 
-_complement = bytes.maketrans(b"ACGT", b"TGCA")
 _base = np.zeros(256, bool)
 _base[list(b"ACGT")] = True
+#: Set in the numbers of k-mers with letters beyond ASCII; those of eight ASCII letters never reach it.
+BEYOND = 1 << 63
 
 
-def codes(seq: bytes, k: int, strict: bool) -> np.ndarray:
-    """Distinct k-mers of upper-case letters as numbers, k of 8 at most; strict: of A, C, G and T only."""
-    letters = np.frombuffer(seq, np.uint8)
+def windows_of(letters: np.ndarray, k: int) -> np.ndarray:
+    """k letters in a row as a number, k of 8 at most."""
     n = len(letters) - k + 1
-    if n <= 0:
-        return np.zeros(0, np.uint64)
-    out = np.zeros(n, np.uint64)
-    for i in range(k):
+    out = np.zeros(max(n, 0), np.uint64)
+    for i in range(k if n > 0 else 0):
         out = out << np.uint64(8) | letters[i : i + n]
-    if strict:
-        good = np.convolve(_base[letters], np.ones(k, np.int64), "valid") == k
-        out = out[good]
-    return np.unique(out)
+    return out
+
+
+def strict_kmers(text: str, k: int) -> np.ndarray:
+    """Distinct k-mers of A, C, G and T only."""
+    letters = np.frombuffer(text.encode("ascii", "replace"), np.uint8)
+    if len(letters) < k:
+        return np.zeros(0, np.uint64)
+    return np.unique(windows_of(letters, k)[np.convolve(_base[letters], np.ones(k, np.int64), "valid") == k])
 
 
-def prepared(seq: str | None, strict: bool) -> bytes:
-    text = (seq or "").upper().encode("ascii", "replace")
-    return text if strict else text.translate(None, b"-N")
+def all_kmers(text: str, k: int) -> tuple[np.ndarray, set[str]]:
+    """Distinct k-mers: those of ASCII letters as numbers, others as they are."""
+    if text.isascii():
+        return np.unique(windows_of(np.frombuffer(text.encode(), np.uint8), k)), set()
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+    if len(points) < k:
+        return np.zeros(0, np.uint64), set()
+    plain = np.convolve(points < 128, np.ones(k, np.int64), "valid") == k
+    return np.unique(windows_of(points.astype(np.uint8), k)[plain]), {text[i : i + k] for i in np.flatnonzero(~plain).tolist()}
+
+
+def prepared(rows: DataFrame, contained: bool, keep: bool = False) -> DataFrame:
+    """id, seq and (queries that may be contained) rev: letters as the k-mer functions see them."""
+    forward = F.upper("seq") if contained else F.translate(F.upper("seq"), "-N", "")
+    rev = F.upper(kmers.reverse_complement(F.col("seq"))) if contained and keep else F.lit(None).cast("string")
+    return rows.select("id", F.coalesce(forward, F.lit("")).alias("seq"), F.coalesce(rev, F.lit("")).alias("rev"))
 
 
 class Index:
     """K-mer to the columns of queries that have it; with both_strands a query has two columns."""
 
-    def __init__(self, seqs: list[str | None], k: int, contained: bool):
-        self.k, self.contained, self.n = k, contained, len(seqs)
-        own = [codes(prepared(s, contained), k, contained) for s in seqs]
+    def __init__(self, rows: list[tuple[str, str]], k: int, contained: bool):
+        self.k, self.contained, self.n = k, contained, len(rows)
+        self.beyond: dict[str, int] = {}
+        own = [self.keys_of(seq, True)[0] for seq, _ in rows]
         self.sizes = np.array([len(x) for x in own], np.int64)
         if contained:
-            own += [codes((s or "").encode("ascii", "replace").translate(_complement)[::-1].upper(), k, True) for s in seqs]
+            own += [strict_kmers(rev, k) for _, rev in rows]
         key = np.concatenate(own) if own else np.zeros(0, np.uint64)
         column = np.repeat(np.arange(len(own)), [len(x) for x in own])
         order = np.argsort(key, kind="stable")
@@ -62,9 +80,20 @@ class Index:
         self.stop = np.append(self.start[1:], len(key))
         self.columns, self.width = column[order], len(own)
 
-    def distances(self, seq: str | None) -> np.ndarray:
+    def keys_of(self, seq: str, new: bool = False) -> tuple[np.ndarray, int]:
+        """The distinct k-mers of a text that a query may have, and the number of all. new: those beyond ASCII get numbers."""
+        if self.contained:
+            keys = strict_kmers(seq, self.k)
+            return keys, len(keys)
+        keys, others = all_kmers(seq, self.k)
+        if not others:
+            return keys, len(keys)
+        numbers = [self.beyond.setdefault(x, len(self.beyond)) for x in others] if new else [n for x in others if (n := self.beyond.get(x)) is not None]
+        return np.concatenate([keys, np.array(numbers, np.uint64) | np.uint64(BEYOND)]), len(keys) + len(others)
+
+    def distances(self, seq: str) -> np.ndarray:
         """Of a reference from each query."""
-        own = codes(prepared(seq, self.contained), self.k, self.contained)
+        own, size_of_ref = self.keys_of(seq)
         at = np.minimum(np.searchsorted(self.keys, own), max(len(self.keys) - 1, 0))
         at = at[self.keys[at] == own] if len(self.keys) else at[:0]
         start, size = self.start[at], self.stop[at] - self.start[at]
@@ -72,24 +101,23 @@ class Index:
         shared = np.bincount(self.columns[flat], minlength=self.width)
         if self.contained:
             return 1.0 - np.maximum(shared[: self.n], shared[self.n :]) / np.maximum(self.sizes, 1)
-        union = self.sizes + len(own) - shared
-        return np.where((self.sizes == 0) | (len(own) == 0), 1.0, 1.0 - shared / np.maximum(union, 1))
+        union = self.sizes + size_of_ref - shared
+        return np.where((self.sizes == 0) | (size_of_ref == 0), 1.0, 1.0 - shared / np.maximum(union, 1))
 
 
-def bounded(queries: DataFrame) -> list | None:
-    """The rows (id, seq) of a query set within the bounds, else None."""
-    size = queries.agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("seq")).alias("b")).first()
-    return queries.select("id", "seq").collect() if size["n"] <= MAX_QUERIES and (size["b"] or 0) <= MAX_BYTES else None
+def bounded(queries: DataFrame, contained: bool) -> list | None:
+    """The prepared rows of a query set within the bounds, else None."""
+    size = queries.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("seq")).alias("b")).first()
+    return prepared(queries, contained, keep=True).collect() if size["n"] <= MAX_QUERIES and (size["b"] or 0) <= MAX_BYTES else None
 
 
 def nearest(rows: list, refs: DataFrame, k: int, contained: bool, top: int) -> DataFrame:
     """query, ref_id, d: of each query (its place in rows) the `top` nearest refs of every batch, by distance, then id."""
     if k > 8:
         raise ValueError("k-mers of eight letters at most")
-    seqs = [r["seq"] for r in rows]
-    shared = refs.sparkSession.sparkContext.broadcast(seqs)  # within MAX_BYTES
+    shared = refs.sparkSession.sparkContext.broadcast([(r["seq"], r["rev"]) for r in rows])  # within twice MAX_BYTES
     importable(refs.sparkSession)
-    source = spread(refs.select("id", "seq"))
+    source = prepared(spread(refs.select("id", "seq")), contained).select("id", "seq")
     kind = source.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

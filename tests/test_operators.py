@@ -103,18 +103,26 @@ def either_way(request, monkeypatch):
         monkeypatch.setattr(kernel, "MAX_QUERIES", -1)
 
 
-def test_both_ways_agree(spark, monkeypatch):
+@pytest.mark.parametrize("letters", ["ACGT" * 6 + "N-RYk", "ACGTacgtéß", "абвАБ σΣ", "中文字符AC😀𠀀", "".join(map(chr, range(0x100, 0x400)))])
+def test_both_ways_agree(spark, monkeypatch, letters):
     r = random.Random(9)
-    make = lambda n: "".join(r.choice("ACGT" * 6 + "N-RYk") for _ in range(n))
-    refs = spark.createDataFrame([(i, make(r.randint(0, 300)), f"L{i % 4}") for i in range(120)], "id long, seq string, label string")
-    queries = spark.createDataFrame([(i, make(r.randint(0, 120))) for i in range(30)], "id long, seq string")
+    make = lambda n: "".join(r.choice(letters) for _ in range(n))
+    texts = [make(r.randint(0, 300)) for _ in range(100)]
+    refs = spark.createDataFrame([(i, t, f"L{i % 4}") for i, t in enumerate([*texts, *texts[:20], None, ""])], "id long, seq string, label string")
+    queries = spark.createDataFrame([(i, t) for i, t in enumerate([*(t[i % 7 : 200] for i, t in enumerate(texts[:20])), *(make(r.randint(0, 120)) for _ in range(20)), None, "", "AC"])], "id long, seq string")
     found = []
     for most in (4096, -1):
         monkeypatch.setattr(kernel, "MAX_QUERIES", most)
         found.append([sorted(map(tuple, f(queries, refs, 4).collect())) for f in (similarity.map_fragments, similarity.place)])
-    assert found[0][1] == found[1][1]
-    with_kmers = [[x for x in f[0] if x[1] != "unmapped"] for f in found]
-    assert with_kmers[0] == with_kmers[1]
+    assert found[0] == found[1]
+    assert len(found[0][0]) == len(found[0][1]) == 43
+
+
+def test_placement_beyond_ascii(spark, either_way):
+    seeds = spark.createDataFrame([(i, t, f"L{i}") for i, t in enumerate(["ACGTACGTAC", "что такое хорошо", "привет мир как дела сегодня", "?????????", "GGGGGGG", "TTTTTTTT"])], "id long, seq string, label string")
+    queries = spark.createDataFrame([(1, "привет мир как дела сегод"), (2, "中文字符")], "id long, seq string")
+    got = {r["id"]: (r["assigned"], r["d"]) for r in similarity.place(queries, seeds, 4).collect()}
+    assert got[1][0] == "L2" and abs(got[1][1] - (1 - 22 / 24)) < 1e-12 and got[2] == ("Unplaced", 1.0)
 
 
 def test_placement_rules(spark, either_way):
