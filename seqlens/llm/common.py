@@ -12,7 +12,7 @@ from pyspark.sql.types import StructType
 from seqlens.operators.components import checkpointed
 from seqlens.operators.layout import spread
 
-__all__ = ["BATCH_ROWS", "bounded_batches", "checkpointed", "id_text", "lower_ascii", "map_batches", "spread", "table", "text_bytes"]
+__all__ = ["BATCH_ROWS", "bounded_batches", "by_verdict", "checkpointed", "id_text", "lower_ascii", "map_batches", "spread", "table", "text_bytes"]
 
 #: Rows of one Arrow batch: bounds what a Python worker and the JVM hold at once.
 BATCH_ROWS = 1024
@@ -45,6 +45,25 @@ def text_bytes(df: DataFrame, text_col: str) -> int:
     return int(df.agg(F.sum(F.octet_length(df[text_col]).cast("long")).alias("b")).first()["b"] or 0)
 
 
+def by_verdict(docs: DataFrame, verdicts: DataFrame, chosen: Callable[[DataFrame], DataFrame], id_col: str) -> DataFrame:
+    """The rows of docs that stay, all columns as they are. verdicts: doc_id and a verdict for each id of docs, null among them: its rows
+    stay, go, or are told apart ("rows"; null ids always are). chosen: from such rows, numbered by a column row, the numbers of those that stay.
+
+    Ids that stay are found by an anti-join with the others; only rows that share an id with others or have none are
+    written and looked at one by one."""
+    other = checkpointed(verdicts.where("verdict <> 'stays'"))
+    key = lambda df: df.where("doc_id IS NOT NULL").select(F.col("doc_id").alias(id_col))
+    kept = docs.where(docs[id_col].isNotNull()).join(key(other), id_col, "left_anti").select(*docs.columns)
+    apart = other.where("verdict = 'rows'")
+    if apart.isEmpty():
+        return kept
+    rows = docs.join(key(apart), id_col, "left_semi").select(*docs.columns).unionByName(docs.where(docs[id_col].isNull()))
+    numbered = checkpointed(rows.select(F.monotonically_increasing_id().alias("row"), F.struct(*rows.columns).alias("all")))
+    flat = numbered.select("row", *[F.col("all").getField(c).alias(c) for c in docs.columns if c != "row"])
+    stay = numbered.join(checkpointed(chosen(flat).select("row")), "row", "left_semi")
+    return kept.unionByName(stay.select(*[F.col("all").getField(c).alias(c) for c in docs.columns]))
+
+
 def lower_ascii(col: Column) -> Column:
     """A-Z to a-z and nothing else."""
     return F.translate(col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -1,14 +1,15 @@
 """SimHash near-duplicates by a segment-popcount embedding (operator 2).
 
-A 64-bit fingerprint is mapped to its popcounts over 16 segments of 4 bits. The Manhattan distance of two such
+A 64-bit fingerprint is mapped to its popcounts over 32 segments of 2 bits. The Manhattan distance of two such
 vectors never exceeds the Hamming distance of the fingerprints, so a range join under it loses no link. Within 3,
-one half of the vector (8 coordinates) is within 1: each distinct fingerprint lies in one grid cell for each half, and
+one half of the vector (16 coordinates) is within 1: each distinct fingerprint lies in one grid cell for each half, and
 visits the cells one step up in each coordinate; two fingerprints within 1 in a half then meet in a cell. What meets is
 verified exactly. Components follow from the links by star contraction.
 
 Only distinct fingerprints are joined, so copies cost nothing beyond one count. In a cell, links are searched from
 one node to those not yet reached, so a cell gives a spanning forest, not all its pairs. A cell with more than
-`CELL_ROWS` fingerprints is dealt out in blocks, each pair of blocks to a task of its own.
+`CELL_ROWS` homes or visitors is dealt out in blocks, each pair of blocks to a task of its own. Of evenly spread
+fingerprints the fullest cell holds 2^-16 and a cell meets 1.5 * 10^-7 of all on average.
 """
 
 from __future__ import annotations
@@ -20,13 +21,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seqlens.llm.common import checkpointed, id_text, map_batches
+from seqlens.llm.common import by_verdict, checkpointed, id_text, map_batches
 from seqlens.operators.components import connected_components
 
 SHINGLE = 3
 SEED = 42
 MAX_BITS = 3
-SEGMENTS, SEGMENT_BITS = 16, 4
+SEGMENTS, SEGMENT_BITS = 32, 2
+HALF = SEGMENTS // 2
 CELL_ROWS = 16_384
 #: Sizes of a cell up to which all cells of a batch are compared together.
 SMALL_CELL = 128
@@ -70,30 +72,63 @@ def popcount(fp: Column, segment: int) -> Column:
     return F.bit_count(F.shiftrightunsigned(fp, SEGMENT_BITS * segment).bitwiseAND(F.lit((1 << SEGMENT_BITS) - 1).cast("long"))).cast("long")
 
 
+def coordinate(cell: Column, i: int) -> Column:
+    return F.shiftright(cell, 2 * i).bitwiseAND(F.lit(3).cast("long"))
+
+
+def stepped(cell: Column, i: int) -> Column:
+    """The cell one step up in a coordinate."""
+    return cell + F.lit(1 << (2 * i)).cast("long")
+
+
 def cells(fps: DataFrame) -> DataFrame:
     """cell, visitor, fp: each fingerprint at home and as a visitor, in the grid of either half."""
-    half = SEGMENTS // 2
-    rows = []
+    homes = []
     for h in range(2):
-        counts = [popcount(F.col("fp"), h * half + i) for i in range(half)]
-        home = F.lit(h << (3 * half)).cast("long")
-        for i, c in enumerate(counts):
-            home = home + c * F.lit(1 << (3 * i)).cast("long")
-        rows.append(F.struct(home.alias("cell"), F.lit(False).alias("visitor")))
-        rows += [F.when(c < SEGMENT_BITS, F.struct((home + F.lit(1 << (3 * i)).cast("long")).alias("cell"), F.lit(True).alias("visitor"))) for i, c in enumerate(counts)]
-    return fps.select("fp", F.explode(F.array_compact(F.array(*rows))).alias("at")).select("at.cell", "at.visitor", "fp")
+        home = F.lit(h << (2 * HALF)).cast("long")
+        for i in range(HALF):
+            home = home + popcount(F.col("fp"), h * HALF + i) * F.lit(1 << (2 * i)).cast("long")
+        homes.append(home)
+    at = F.explode(F.array(*homes)).alias("home")
+    home = F.col("home")
+    steps = [F.when(coordinate(home, i) < SEGMENT_BITS, F.struct(stepped(home, i).alias("cell"), F.lit(True).alias("visitor"))) for i in range(HALF)]
+    own = F.struct(home.alias("cell"), F.lit(False).alias("visitor"))
+    return fps.select("fp", at).select("fp", F.explode(F.array_compact(F.array(own, *steps))).alias("at")).select("at.cell", "at.visitor", "fp")
+
+
+def heavy_cells(rows: DataFrame, cell_rows: int) -> DataFrame:
+    """cell, homes, visitors of the cells that may have more than cell_rows of either.
+
+    Only homes are counted over all rows. A cell's visitors are the homes of the up to HALF cells one step below; those of cells with few
+    homes come to cell_rows together at most, so the others alone are added up."""
+    many = checkpointed(rows.where("NOT visitor").groupBy("cell").agg(F.count(F.lit(1)).alias("homes")).where(F.col("homes") > max(1, cell_rows // HALF)))
+    cell = F.col("cell")
+    steps = [F.when(coordinate(cell, i) < SEGMENT_BITS, stepped(cell, i)) for i in range(HALF)]
+    sent = many.select(F.explode(F.array_compact(F.array(*steps))).alias("cell"), F.lit(0).cast("long").alias("homes"), F.col("homes").alias("visitors"))
+    own = many.select("cell", "homes", F.lit(0).cast("long").alias("visitors"))
+    both = own.unionByName(sent).groupBy("cell").agg(F.sum("homes").alias("homes"), F.sum("visitors").alias("visitors"))
+    # homes that were too few to be listed and visitors from such cells: cell_rows more at most
+    return both.where((F.col("homes") > cell_rows) | (F.col("visitors") > cell_rows)).select("cell", (F.col("homes") + F.lit(cell_rows // HALF)).alias("homes"), (F.col("visitors") + F.lit(cell_rows)).alias("visitors"))
 
 
 def dealt(rows: DataFrame, cell_rows: int) -> DataFrame:
-    """rows with a part: 0, or for cells of more than cell_rows homes one part for each pair of blocks."""
-    large = checkpointed(rows.where("NOT visitor").groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > cell_rows))
-    if large.isEmpty():
-        return rows.withColumn("part", F.lit(0).cast("long"))
-    blocks = F.ceil(F.col("n") / F.lit(cell_rows))
-    mine = F.pmod(F.xxhash64("fp"), F.col("blocks"))
-    parts = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda j: F.least(mine, j) * F.col("blocks") + F.greatest(mine, j))
-    joined = rows.join(large.select("cell", blocks.alias("blocks")), "cell", "left")
-    return joined.select("cell", "visitor", "fp", F.explode(F.when(F.col("blocks").isNull(), F.array(F.lit(0).cast("long"))).otherwise(parts)).alias("part"))
+    """rows with a part: 0, or for heavy cells one part for each pair of blocks of homes and each pair of a block of homes and one of
+    visitors."""
+    heavy = checkpointed(heavy_cells(rows, cell_rows))
+    zero = F.lit(0).cast("long")
+    if heavy.isEmpty():
+        return rows.withColumn("part", zero)
+    count = lambda c: F.greatest(F.ceil(F.col(c) / F.lit(cell_rows)), F.lit(1).cast("long"))
+    homes, visitors = F.col("blocks"), F.col("visitor_blocks")
+    mine = F.pmod(F.xxhash64("fp"), F.when(F.col("visitor"), visitors).otherwise(homes))
+    upto = lambda n: F.sequence(zero, n - 1)
+    mixed = lambda i, j: homes * homes + i * visitors + j
+    with_homes = F.transform(upto(homes), lambda j: F.least(mine, j) * homes + F.greatest(mine, j))
+    with_visitors = F.transform(upto(visitors), lambda j: mixed(mine, j))
+    to_homes = F.transform(upto(homes), lambda i: mixed(i, mine))
+    parts = F.when(homes.isNull(), F.array(zero)).when(F.col("visitor"), to_homes).otherwise(F.concat(with_homes, with_visitors))
+    joined = rows.join(heavy.select("cell", count("homes").alias("blocks"), count("visitors").alias("visitor_blocks")), "cell", "left")
+    return joined.select("cell", "visitor", "fp", F.explode(parts).alias("part"))
 
 
 def spanning(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
@@ -206,32 +241,42 @@ def links(fps: DataFrame, bits: int = MAX_BITS, cell_rows: int = CELL_ROWS) -> D
     return near.select("cell", "part", "visitor", "fp").mapInArrow(run, "a long, b long")
 
 
+def grouped(docs: DataFrame, id_col: str, text_col: str, bits: int) -> DataFrame:
+    """doc_id, fp, component (a fingerprint that stands for it), component_id of every row."""
+    rows = checkpointed(fingerprints(docs, id_col, text_col))
+    nodes = checkpointed(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    member = connected_components(links(nodes.select("fp"), bits), "a", "b").withColumnRenamed("node", "fp")
+    own = nodes.join(member, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    names = own.groupBy("component").agg(F.min("least").alias("component_id"))
+    named = own.join(names, "component").select("fp", "component", "component_id")
+    return rows.join(named, "fp").select("doc_id", "fp", "component", "component_id")
+
+
 def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = MAX_BITS) -> DataFrame:
     """doc_id, fp, component_id of every row: the least doc_id that links of at most `bits` differing bits reach.
 
     Texts that are null or without words have fingerprint zero and link like any other. Rows with equal fingerprints, copies and
     repeated rows among them, are one node. A null doc_id never names a component unless no member has an id."""
-    rows = checkpointed(fingerprints(docs, id_col, text_col))
-    nodes = checkpointed(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    member = connected_components(links(nodes.select("fp"), bits), "a", "b").withColumnRenamed("node", "fp")
-    grouped = nodes.join(member, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    names = grouped.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = grouped.join(names, "component").select("fp", "component_id")
-    return rows.join(named, "fp").select("doc_id", "fp", "component_id")
+    return grouped(docs, id_col, text_col, bits).select("doc_id", "fp", "component_id")
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs, all columns as they are, that stand for their component: those with its least id.
-
-    Of several rows with one id one stays; a row without an id can't be told from others and stays."""
-    found = checkpointed(components(docs, id_col, text_col).select("doc_id", "component_id"))
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias(id_col)).distinct()
-    kept = docs.join(gone, id_col, "left_anti").select(*docs.columns)
-    repeated = found.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias(id_col))
-    if repeated.isEmpty():
-        return kept
-    several = kept.join(repeated, id_col, "left_semi").dropDuplicates([id_col])
-    return kept.join(repeated, id_col, "left_anti").select(*docs.columns).unionByName(several.select(*docs.columns))
+    """One row of docs, all columns as they are, for each component: the one with its least id.
+
+    Rows decide, not ids: where one id has several texts, each of these stays or goes with its own component. Of several rows of a component
+    with its least id (copies, or near copies under one id), and of a component whose rows have no ids, the first read stays;
+    rows without an id go where another of their component has one."""
+    found = checkpointed(grouped(docs, id_col, text_col, MAX_BITS))
+    stands = F.count_if(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    verdict = F.when(F.col("doc_id").isNull(), "rows").when(stands == 0, "goes").when(F.count(F.lit(1)) == 1, "stays").otherwise("rows")
+    verdicts = found.groupBy("doc_id").agg(verdict.alias("verdict"))
+
+    def chosen(rows: DataFrame) -> DataFrame:
+        of_fp = found.select("fp", "component", "component_id").distinct()
+        own = fingerprints(rows, "row", text_col).withColumnRenamed("doc_id", "row").join(rows.select("row", F.col(id_col).alias("id")), "row").join(of_fp, "fp")
+        return own.where(F.col("id").eqNullSafe(F.col("component_id"))).groupBy("component").agg(F.min("row").alias("row"))
+
+    return by_verdict(docs, verdicts, chosen, id_col)
 
 
 def hex_digits(fp: Column) -> Column:

@@ -86,7 +86,7 @@ def test_simhash_query(spark, small):
     assert sorted(rows_of(queries.op2_simhash(spark, SF), "doc_id", "fingerprint", "component_id")) == want
 
 
-@pytest.mark.parametrize("cell_rows", [16_384, 40])
+@pytest.mark.parametrize("cell_rows", [16_384, 40, 3])
 def test_links_lose_none(spark, cell_rows):
     r = random.Random(5)
     fps = set()
@@ -105,6 +105,31 @@ def test_links_lose_none(spark, cell_rows):
     assert len(found) < 40 * len(fps)
 
 
+def test_heavy_cells_know_their_visitors(spark):
+    """A cell with one home next to a giant one: its visitors are dealt out too."""
+    giant = [int("01" * 32, 2) ^ sum(3 << 2 * b for b in range(16) if x >> b & 1) for x in range(200)]  # one popcount vector
+    fps = [*giant, int("01" * 32, 2) | 2 << 40]
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    rows = simhash.cells(spark.createDataFrame([(signed(x),) for x in fps], "fp long"))
+    count = rows.groupBy("cell").agg(F.count_if(~F.col("visitor")).alias("homes"), F.count_if(F.col("visitor")).alias("visitors"))
+    heavy = {r["cell"]: r for r in simhash.heavy_cells(rows, 20).collect()}
+    for r in count.collect():
+        h = heavy.get(r["cell"])
+        assert (r["homes"] <= 20 and r["visitors"] <= 40) if h is None else (h["homes"] >= r["homes"] and h["visitors"] >= r["visitors"])
+    tasks = simhash.dealt(rows, 20).groupBy("cell", "part").count().agg(F.max("count").alias("n")).first()["n"]
+    assert tasks < 100
+
+
+def test_one_row_of_each_component(spark):
+    words = lambda seed: " ".join(random.Random(seed).choices("abcdefghijklmnop", k=40))
+    a, b, c, d = map(words, "abcd")
+    rows = [(2, a), (7, a), (7, b), (9, b), (5, c), (5, c), (None, a), (None, d), (None, d), (8, d), (11, None), (12, ""), (None, words("e")), (None, words("e")), (None, words("f"))]
+    docs = spark.createDataFrame([(i, t, f"row {n}") for n, (i, t) in enumerate(rows)], "doc_id long, text string, row string")
+    kept = [(r["doc_id"], r["text"]) for r in simhash.one_of_each(docs).collect()]
+    want = [(2, a), (7, b), (5, c), (8, d), (11, None), (None, words("e")), (None, words("f"))]
+    assert sorted(kept, key=str) == sorted(want, key=str)
+
+
 # 3
 
 
