@@ -211,11 +211,57 @@ def test_contamination_cases(spark):
     assert got == {1: (17, 15, ["10", "9"], True), 2: (20, 0, [], False), 3: (12, 0, [], False), 4: (2, 2, ["2"], True), 5: (80, 4, ["2"], True), 6: (41, 2, ["2"], False), 7: (30, 30, ["10", "9"], True)}
 
 
+def stretches(own, phrase, slop):
+    """Places inside stretches of a text that match a phrase, by trying all."""
+    inside = set()
+    for i in range(len(own)):
+        for j in range(i + 1, min(i + len(phrase) + slop, len(own)) + 1):
+            part = own[i:j]
+            if part[0] in phrase and part[-1] in phrase and all(part.count(w) >= phrase.count(w) for w in phrase):
+                inside.update(range(i, j))
+    return inside
+
+
 def test_proximity(spark):
-    docs = spark.createDataFrame([(1, "red apple pie"), (2, "red and green apple pie"), (3, "pie red"), (4, "red one two three four apple pie")], "doc_id long, text string")
-    near = decontaminate.proximity_matches(docs, ["red apple"], 2)
-    assert {r["doc_id"] for r in near.collect()} == {1, 2}
-    assert {r["doc_id"] for r in decontaminate.proximity_matches(docs, ["red apple"], 0).collect()} == {1}
+    docs = spark.createDataFrame([(1, "red apple pie"), (2, "red and green apple pie"), (3, "pie red"), (4, "red one two three four apple pie"), (5, "x red"), (6, "apple y"), (7, None), (8, "")], "doc_id long, text string").coalesce(1)
+    near = lambda phrase, slop: sorted(r["doc_id"] for r in decontaminate.proximity_matches(docs, [phrase], slop).collect())
+    assert near("red apple", 2) == [1, 2] and near("red apple", 0) == [1] and near("red red", 3) == [] and near("...", 3) == []
+    assert near("apple red", 0) == [1] and near("pie red", 1) == [1, 3] and near("red apple", 4) == [1, 2, 4]
+
+
+@pytest.mark.parametrize("slop", [0, 1, 3, 9])
+def test_proximity_by_trying_all(spark, slop):
+    r = random.Random(slop)
+    texts = [" ".join(r.choice("abcdefg") for _ in range(r.randint(0, 25))) for _ in range(60)]
+    phrases = ["a", "a b", "b a a", "c d e", "g g", "a b c d", "z a"]
+    found = {r["doc_id"]: r for r in decontaminate.proximity_matches(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1), phrases, slop).collect()}
+    for i, text in enumerate(texts):
+        inside = {p: stretches(text.split(), p.split(), slop) for p in phrases}
+        want = set().union(*inside.values())
+        own = found.get(i)
+        assert (own["phrases"] if own else []) == sorted(p for p, x in inside.items() if x)
+        assert {x for a, b in (own["spans"] if own else ()) for x in range(a, b)} == want
+
+
+def test_one_index_for_several_benchmarks(spark, small):
+    index = decontaminate.checkpointed(decontaminate.build_index(small("documents")))
+    names = ("doc_id", "n_words", "n_hit", "items", "contaminated")
+    items = small("benchmark")
+    for part in (items, items.where("item_id LIKE '%1'"), items.limit(0)):
+        assert sorted(rows_of(decontaminate.contamination_in(index, part), *names)) == sorted(rows_of(decontaminate.contamination(small("documents"), part), *names))
+    text = next(t for (t,) in rows_of(small("documents"), "text") if t and len(t.split()) > 50)
+    phrase = " ".join(decontaminate.words(text)[i].decode() for i in range(20, 26))
+    for r in decontaminate.phrase_matches(index, [phrase]).collect():
+        assert r["spans"] and all(b - a >= 6 for a, b in r["spans"])
+
+
+def test_clean_decides_by_row(spark):
+    item = " ".join(f"w{i}" for i in range(15))
+    rows = [(1, "fine text"), (1, item), (2, item), (3, "other"), (None, item), (None, "no id"), (3, "other"), (4, None)]
+    docs = spark.createDataFrame([(i, t, n) for n, (i, t) in enumerate(rows)], "doc_id long, text string, row long")
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    kept = sorted((r["row"] for r in decontaminate.clean(docs, items).collect()))
+    assert kept == [0, 3, 5, 6, 7]
 
 
 # 5
