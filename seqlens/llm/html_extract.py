@@ -1,23 +1,29 @@
 """Main-text extraction by minimum-cut labelling (operator 10).
 
-A page is cut into blocks of text at block-level tags. A logistic classifier over a block's containers, links and
-length gives each block a cost of being called content and one of being called boilerplate: its capacities to the
-two terminals. Blocks that follow one another, and blocks that share a parent, are tied by edges that fade with
+A page is cut into blocks of text at block-level tags. A logistic classifier over a block's containers, links,
+length and the tags and class words next to it gives each block a cost of being called content and one of being called boilerplate:
+its capacities to the two terminals. Blocks that follow one another, and blocks that share a parent, are tied by edges that fade with
 their distance in the DOM. The minimum cut is the labelling of least total cost; its source side is the text.
 
-Most blocks cost more to mislabel than all their edges weigh; they are settled before the flow (the optimum keeps
-them), and the flow runs over the few that are left.
+The classifier is fitted on pages that mark their article, with that mark hidden: a maximum a posteriori fit around what HTML's own tags
+and customary class words mean, so that signs which no page of the sample shows keep their meaning. The strength of edges is fitted
+likewise. Most blocks cost more to mislabel than all their edges weigh; they are settled before the flow (the optimum keeps
+them), and the flow runs over those that are left: blocks without telling tags or classes, which follow their neighbours.
+
+Parsing takes time in proportion to a page's length, whatever it holds: elements that are open are kept by name.
 """
 
 from __future__ import annotations
 
 import html
+import json
 import math
 import re
 from collections import deque
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,10 +40,7 @@ CLOSES_P = BLOCK - {"body", "html", "option", "optgroup", "tbody", "td", "tfoot"
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "thead": set(), "tbody": {"thead", "tr", "td", "th"}, "tfoot": {"tbody", "tr", "td", "th"}}
 SCOPE = frozenset("ul ol dl table nav article section div aside body html form footer header main menu".split())
 
-#: Weights of the logistic classifier, in log-odds of content.
-BIAS = 1.8
-#: For a block outside any article or main element of a page that has one.
-OUTSIDE = -3.0
+#: What tags and customary words of class, id and role mean, in log-odds of content.
 TAG_WEIGHT = {"article": 3.0, "main": 2.0, "nav": -6.0, "footer": -6.0, "header": -4.0, "aside": -6.0, "form": -6.0, "menu": -6.0, "dialog": -6.0, "search": -6.0, "fieldset": -4.0, "address": -1.5}
 WORD_WEIGHT = {
     "ad ads advert adverts advertisement advertising advertorial sponsor sponsored sponsors promo promoted promotion banner adsense dfp": -7.0,
@@ -51,166 +54,287 @@ WORD_WEIGHT = {
 }
 WORDS = {w: x for group, x in WORD_WEIGHT.items() for w in group.split()}
 ROLES = {"navigation": -6.0, "banner": -5.0, "contentinfo": -6.0, "complementary": -6.0, "search": -6.0, "form": -6.0, "dialog": -6.0, "alert": -6.0, "menu": -6.0, "article": 1.0, "main": 1.0}
-LINK_WEIGHT = -4.0
-LENGTH_WEIGHT = 0.3
+#: Features of a block, and the classifier's weights before the fit: a constant; the worst and the best sign among its containers; being
+#: outside any article or main element of a page that has one; the share of its text in links; its length in logs.
+FEATURES = ("one", "worst", "best", "outside", "links", "length")
+PRIOR = (1.8, 1.0, 1.0, -3.0, -4.0, 0.3)
+#: How firmly the fit holds to these: to the constant most, as the share of content in marked pages is not that in others. And the most
+#: words and tags beside blocks that get weights of their own.
+FIRMNESS = (1e6, 4.0, 4.0, 4.0, 4.0, 4.0)
+TOKEN_FIRMNESS = 4.0
+MAX_TOKENS = 200
+#: Pages that the classifier is fitted on, and blocks of one of them, at most.
+FIT_PAGES, FIT_BLOCKS = 400, 2000
 MOST = 12.0
-#: Edges: between blocks in a row, and between those two apart, each less with the steps between them in the DOM.
+#: Edges between blocks in a row, and between those two apart, each less with the steps between them in the DOM. The first is fitted
+#: within its bounds.
 NEXT, SECOND, FADE = 1.0, 0.4, 0.6
+NEXT_LEAST, NEXT_MOST = 0.5, 1.5
 
-_token = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|([^<]+|<)", re.S)
+_token = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)(?:>|\Z|(?=[\"']))|([^<]++|<)", re.S)
+#: The same where quotes are no longer heeded, as one of them is never closed.
+_plain_token = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(?:>|\Z)|([^<]++|<)", re.S)
 _attribute = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
 _hidden = re.compile(r"(?:^|\s)(?:hidden(?=[\s=]|$)|aria-hidden\s*=\s*[\"']?true)|display\s*:\s*none", re.I)
 _word = re.compile(r"[a-z]+")
 _case = re.compile(r"([a-z])([A-Z])")
 
 
-@dataclass
+@dataclass(slots=True, eq=False)
 class Node:
     tag: str
     parent: Node | None
-    depth: int
-    weight: float
-    hidden: bool
-    link: bool
-    article: bool
-
-
-@dataclass
+    depth: int = 0
+    #: The worst and the best sign on the way from the root; the best without those of article and main.
+    worst: float = 0.0
+    best: float = 0.0
+    plain_best: float = 0.0
+    hidden: bool = False
+    link: bool = False
+    article: bool = False
+    words: tuple[str, ...] = ()
+
+
+@dataclass(slots=True)
 class Block:
     text: str
     node: Node
     link_share: float
 
 
-def attribute_weight(attributes: str) -> float:
-    """The strongest sign in class, id and role."""
+@dataclass
+class Model:
+    """Weights of FEATURES and of the tokens beside a block (in log-odds of content), and the strength of edges."""
+
+    weights: tuple[float, ...] = PRIOR
+    tokens: dict[str, float] = field(default_factory=dict)
+    next: float = NEXT
+
+
+def signs(attributes: str) -> tuple[float, tuple[str, ...]]:
+    """The strongest sign in class, id and role; and the words there."""
     found = 0.0
+    words: list[str] = []
     for name, *values in _attribute.findall(attributes):
         value = _case.sub(r"\1 \2", "".join(values))
         if name.lower() == "role":
             weights = [ROLES.get(value.strip().lower(), 0.0)]
         else:
-            weights = [WORDS.get(w, 0.0) for w in _word.findall(value.lower())]
+            own = _word.findall(value.lower())
+            words += own
+            weights = [WORDS.get(w, 0.0) for w in own]
         found = min([found, *weights]) if min(weights, default=0.0) < 0 else max([found, *weights]) if found >= 0 else found
-    return found
-
-
-def blocks_of(page: str) -> list[Block]:
-    """Blocks of visible text in page order."""
-    top = node = Node("", None, 0, 0.0, False, False, False)
-    out: list[Block] = []
-    parts: list[str] = []
-    linked = size = 0
-    start = top
-
-    def end_block() -> None:
-        nonlocal linked, size, parts
-        if parts:
-            text = " ".join(html.unescape("".join(parts)).split())
+    return found, tuple(words[:8])
+
+
+class Parser:
+    """The blocks of visible text of a page, in page order."""
+
+    def __init__(self, page: str):
+        self.page = page
+        self.top = self.node = Node("", None)
+        #: Open elements by name, and those that stop a search for one, innermost last.
+        self.open: dict[str, list[Node]] = {}
+        self.scopes: list[Node] = []
+        self.blocks: list[Block] = []
+        self.parts: list[str] = []
+        self.linked = self.size = 0
+        self.start = self.top
+
+    def end_block(self) -> None:
+        if self.parts:
+            text = " ".join(html.unescape("".join(self.parts)).split())
             if text:
-                out.append(Block(text, start, linked / max(size, 1)))
-            parts = []
-        linked = size = 0
-
-    at, n = 0, len(page)
-    while at < n:
-        m = _token.match(page, at)
-        if m is None:  # an unclosed quote: the rest is text of a broken tag
-            m = re.compile(r"<[^>]*(?:>|\Z)").match(page, at)
-            at = m.end()
-            continue
-        at = m.end()
-        closing, name, attributes, text = m.groups()
-        if text is not None:
-            if not node.hidden:
-                if not parts:
-                    start = node
-                parts.append(text)
-                k = len(text)
-                size += k
-                linked += k if node.link else 0
-            continue
-        if name is None:
-            continue
-        tag = name.lower()
-        if closing:
-            up = node
-            while up is not top and up.tag != tag:
-                if up.tag in SCOPE and tag not in SCOPE and tag in BLOCK:
-                    up = top
-                    break
-                up = up.parent
-            if up is not top:
-                if tag in BLOCK or any_block(node, up):
-                    end_block()
-                node = up.parent
-            continue
+                self.blocks.append(Block(text, self.start, self.linked / max(self.size, 1)))
+            self.parts = []
+        self.linked = self.size = 0
+
+    def add(self, text: str) -> None:
+        if not self.node.hidden:
+            if not self.parts:
+                self.start = self.node
+            self.parts.append(text)
+            self.size += len(text)
+            self.linked += len(text) if self.node.link else 0
+
+    def nearest(self, tags: set[str], scoped: bool) -> Node | None:
+        """The innermost open element of these names; scoped: none if an element that stops the search lies between."""
+        found = max((own[-1] for t in tags if (own := self.open.get(t))), key=lambda n: n.depth, default=None)
+        return None if found is not None and scoped and self.scopes and self.scopes[-1].depth > found.depth else found
+
+    def close(self, element: Node) -> bool:
+        """Out of an open element; whether a block ended with it."""
+        block = False
+        while True:
+            node = self.node
+            self.open[node.tag].pop()
+            if node.tag in SCOPE:
+                self.scopes.pop()
+            block = block or node.tag in BLOCK
+            self.node = node.parent
+            if node is element:
+                return block
+
+    def end_tag(self, tag: str) -> None:
+        element = self.nearest({tag}, scoped=tag in BLOCK and tag not in SCOPE)
+        if element is not None:
+            at = self.node
+            while at is not element and at.tag not in BLOCK:
+                at = at.parent
+            if at.tag in BLOCK:
+                self.end_block()
+            self.close(element)
+
+    def start_tag(self, tag: str, attributes: str) -> None:
         if tag in BLOCK:
-            end_block()
+            self.end_block()
         elif tag == "br":
-            if not node.hidden:
-                parts.append("\n") if parts else None
-            continue
-        if tag in CLOSES_P:
-            node = pop_to(node, top, {"p"})
-        if tag in ENDS:
-            node = pop_to(node, top, ENDS[tag])
+            if not self.node.hidden and self.parts:
+                self.parts.append("\n")
+            return
+        for names in ({"p"} if tag in CLOSES_P else None, ENDS.get(tag)):
+            if names and (element := self.nearest(names, scoped=True)) is not None:
+                self.close(element)
         if tag in VOID or attributes.endswith("/") and tag not in BLOCK and tag not in RAW:
-            continue
-        own = attribute_weight(attributes) if "=" in attributes else 0.0
-        own = min(own, TAG_WEIGHT.get(tag, 0.0)) if min(own, TAG_WEIGHT.get(tag, 0.0)) < 0 else max(own, TAG_WEIGHT.get(tag, 0.0))
-        hidden = node.hidden or tag in HIDDEN or bool(attributes and _hidden.search(attributes))
-        article = node.article or tag in ("article", "main")
-        if tag == "header" and node.article:
-            own = 0.0  # an article's own header
-        node = Node(tag, node, node.depth + 1, own, hidden, node.link or tag == "a", article)
-        if tag in RAW:
-            close = re.compile(rf"</{re.escape(tag)}[^>]*(?:>|\Z)", re.I).search(page, at)
-            body_end = close.start() if close else n
-            at = close.end() if close else n
-            if not node.hidden:
-                parts.append(page[at:body_end])
-            node = node.parent
-    end_block()
-    return out
-
-
-def any_block(node: Node, up: Node) -> bool:
-    while node is not up:
-        if node.tag in BLOCK:
-            return True
-        node = node.parent
-    return False
-
-
-def pop_to(node: Node, top: Node, tags: set[str]) -> Node:
-    """Out of the nearest open element of these names, if no other scope lies between."""
-    at = node
-    while at is not top:
-        if at.tag in tags:
-            return at.parent
-        if at.tag in SCOPE:
-            return node
-        at = at.parent
-    return node
-
-
-def log_odds(block: Block, has_article: bool = False) -> float:
-    """Of being content. has_article: whether the page has an article or main element with text."""
-    bad, good = 0.0, 0.0
+            return
+        up = self.node
+        own, words = signs(attributes) if "=" in attributes else (0.0, ())
+        of_tag = TAG_WEIGHT.get(tag, 0.0)
+        if tag == "header" and up.article:
+            own = of_tag = 0.0  # an article's own header
+        sign = min(own, of_tag) if min(own, of_tag) < 0 else max(own, of_tag)
+        article = tag in ("article", "main")
+        hidden = up.hidden or tag in HIDDEN or bool(attributes and _hidden.search(attributes))
+        node = Node(tag, up, up.depth + 1, min(up.worst, sign), max(up.best, sign), max(up.plain_best, own if article else sign), hidden, up.link or tag == "a", up.article or article, words)
+        self.node = node
+        self.open.setdefault(tag, []).append(node)
+        if tag in SCOPE:
+            self.scopes.append(node)
+
+    def run(self) -> list[Block]:
+        page, at, n, token = self.page, 0, len(self.page), _token
+        while at < n:
+            m = token.match(page, at)
+            at = m.end()
+            closing, name, attributes, text = m.groups()
+            if text is not None:
+                self.add(text)
+                continue
+            if name is None:
+                continue
+            if token is _token and at < n and page[at - 1] != ">":  # a quote that is never closed: the tag ends at the next >
+                token = _plain_token
+                at = page.find(">", at) + 1 or n
+            tag = name.lower()
+            if closing:
+                self.end_tag(tag)
+                continue
+            self.start_tag(tag, attributes)
+            if tag in RAW:
+                close = re.compile(rf"</{re.escape(tag)}[^>]*(?:>|\Z)", re.I).search(page, at)
+                body = page[at : close.start() if close else n]
+                at = close.end() if close else n
+                if tag == "xmp":
+                    self.add(html.escape(body))
+                self.end_tag(tag)
+        self.end_block()
+        return self.blocks
+
+
+def blocks_of(page: str) -> list[Block]:
+    return Parser(page).run()
+
+
+def features(block: Block, has_article: bool, hide: bool = False) -> tuple[list[float], list[str]]:
+    """FEATURES of a block, and the tokens beside it: tags and class words of its element and that one's parent. has_article: whether
+    its page has an article or main element with text. hide: as if no element were one."""
     node = block.node
-    while node is not None:
-        bad, good = min(bad, node.weight), max(good, node.weight)
-        node = node.parent
-    x = BIAS + bad + (good if bad > -3.0 else 0.0) + (OUTSIDE if has_article and not block.node.article else 0.0)
+    worst, best = node.worst, node.plain_best if hide else node.best
+    in_article = node.article and not hide
     # Links and length tell little once a container has; in an article a short line is a line.
-    if bad > -3.0:
-        x += LINK_WEIGHT * block.link_share if not block.node.article or block.link_share > 0.9 and good < 2.0 else 0.0
-        if not good >= 2.0:
-            x += LENGTH_WEIGHT * (math.log1p(len(block.text)) - math.log1p(60))
+    links = block.link_share if worst > -3.0 and (not in_article or block.link_share > 0.9 and best < 2.0) else 0.0
+    length = math.log1p(len(block.text)) - math.log1p(60) if worst > -3.0 and best < 2.0 else 0.0
+    outside = float(has_article and not node.article and not hide)
+    up = node.parent or node
+    skip = ("article", "main", "body", "html", "")
+    tokens = [f"{place}.{word}" for place, x in (("own", node), ("up", up)) for word in (x.tag, *x.words) if word not in skip]
+    return [1.0, worst, best if worst > -3.0 else 0.0, outside, links, length], tokens
+
+
+def log_odds(block: Block, has_article: bool = False, model: Model | None = None) -> float:
+    """Of being content."""
+    model = model or Model()
+    values, tokens = features(block, has_article)
+    x = sum(w * v for w, v in zip(model.weights, values, strict=True)) + sum(model.tokens.get(t, 0.0) for t in tokens)
     return max(-MOST, min(MOST, x))
 
 
+def fit_model(rows: list[tuple[list[float], list[str], bool]], pairs: tuple[int, int]) -> Model:
+    """The maximum a posteriori fit to blocks (features, tokens, whether content), and to the numbers of siblings in a row that are alike and
+    that are not. Without blocks of both kinds the model before the fit."""
+    y = np.array([label for _, _, label in rows], float)
+    if not 0 < y.sum() < len(y):
+        return Model()
+    count: dict[str, int] = {}
+    for _, tokens, _ in rows:
+        for t in set(tokens):
+            count[t] = count.get(t, 0) + 1
+    known = sorted(count, key=lambda t: (-count[t], t))[:MAX_TOKENS]
+    place = {t: len(FEATURES) + i for i, t in enumerate(known)}
+    x = np.zeros((len(rows), len(FEATURES) + len(known)))
+    for i, (values, tokens, _) in enumerate(rows):
+        x[i, : len(FEATURES)] = values
+        x[i, [place[t] for t in tokens if t in place]] = 1.0
+    prior = np.concatenate([PRIOR, np.zeros(len(known))])
+    firm = np.concatenate([FIRMNESS, np.full(len(known), TOKEN_FIRMNESS)])
+    w = prior.copy()
+    for _ in range(30):  # Newton's method; the prior keeps the Hessian definite
+        p = 1.0 / (1.0 + np.exp(-np.clip(x @ w, -30, 30)))
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(firm), x.T @ (p - y) + firm * (w - prior))
+        w -= step
+        if np.abs(step).max() < 1e-9:
+            break
+    w = np.round(w, 9)
+    alike, other = pairs
+    strength = float(np.clip(0.25 * math.log((alike + 4.0) / (other + 1.0)), NEXT_LEAST, NEXT_MOST))
+    return Model(tuple(w[: len(FEATURES)].tolist()), dict(zip(known, w[len(FEATURES) :].tolist(), strict=True)), strength)
+
+
+def examples(page: str, most: int = FIT_BLOCKS) -> tuple[list[tuple[list[float], list[str], bool]], tuple[int, int]]:
+    """What a page with an article teaches: its blocks, with the article hidden; at most `most`, evenly spread. And the numbers of siblings
+    in a row, alike and not."""
+    blocks = blocks_of(page)
+    if not any(b.node.article for b in blocks):
+        return [], (0, 0)
+    labels = [b.node.article and b.node.worst > -3.0 for b in blocks]
+    step = -(-len(blocks) // most)
+    siblings = [a == b for x, y, a, b in zip(blocks, blocks[1:], labels, labels[1:], strict=False) if x.node.parent is y.node.parent]
+    rows = [(*features(b, True, hide=True), label) for b, label in zip(blocks, labels, strict=True)]
+    return rows[::step], (sum(siblings), len(siblings) - sum(siblings))
+
+
+def fit(pages: DataFrame, html_col: str = "html", fit_pages: int = FIT_PAGES) -> Model:
+    """A model fitted on at most fit_pages distinct pages, those of the least hashes. Pages without an article or main element teach nothing."""
+    h = F.xxhash64(pages[html_col])
+    chosen = [r["h"] for r in pages.where(pages[html_col].isNotNull()).select(h.alias("h")).distinct().orderBy("h").limit(fit_pages).collect()]
+    if not chosen:
+        return Model()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [json.dumps(examples(t)) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.string())], ["h", "found"])
+
+    sample = pages.select(h.alias("h"), pages[html_col].cast("string").alias("html")).where(F.col("h").isin(chosen)).dropDuplicates(["h"])
+    rows: list = []
+    alike = other = 0
+    for r in map_batches(sample, run, "h long, found string").orderBy("h").collect():
+        own, (a, o) = json.loads(r["found"])
+        rows += own
+        alike, other = alike + a, other + o
+    return fit_model(rows, (alike, other))
+
+
 def steps(a: Node, b: Node) -> int:
     """Edges of the DOM between two elements."""
     n = 0
@@ -252,60 +376,77 @@ def minimum_cut(odds: list[float], edges: list[tuple[int, int, float]]) -> list[
             capacity[b][a] = capacity[b].get(a, 0.0) + w
     source = {i: odds[i] for i in free if odds[i] > 0}
     sink = {i: -odds[i] for i in free if odds[i] < 0}
-    while True:  # shortest augmenting paths
-        before: dict[int, int] = dict.fromkeys((i for i, c in source.items() if c > 1e-12), -1)
-        queue = deque(before)
-        end = -1
-        while queue and end < 0:
-            i = queue.popleft()
-            if sink.get(i, 0.0) > 1e-12:
-                end = i
+    closed: set[int] = set()  # nodes from which no sink can be reached any more: the source's side
+    for root in source:
+        while root not in closed and source[root] > 1e-12:  # shortest augmenting paths from this source
+            before: dict[int, int] = {root: -1}
+            queue = deque(before)
+            end = -1
+            while queue:
+                i = queue.popleft()
+                if sink.get(i, 0.0) > 1e-12:
+                    end = i
+                    break
+                for j, c in capacity[i].items():
+                    if c > 1e-12 and j not in before and j not in closed:
+                        before[j] = i
+                        queue.append(j)
+            if end < 0:
+                closed.update(before)
                 break
-            for j, c in capacity[i].items():
-                if c > 1e-12 and j not in before:
-                    before[j] = i
-                    queue.append(j)
-        if end < 0:
-            return [bool(x) if x is not None else i in before for i, x in enumerate(label)]
-        path = [end]
-        while before[path[-1]] >= 0:
-            path.append(before[path[-1]])
-        flow = min([source[path[-1]], sink[end], *(capacity[b][a] for a, b in zip(path, path[1:], strict=False))])
-        source[path[-1]] -= flow
-        sink[end] -= flow
-        for a, b in zip(path, path[1:], strict=False):
-            capacity[b][a] -= flow
-            capacity[a][b] += flow
-
-
-def main_text(page: str | None) -> str:
-    """Content blocks, one a line."""
-    blocks = blocks_of(page) if page else []
-    if not blocks:
-        return ""
+            path = [end]
+            while before[path[-1]] >= 0:
+                path.append(before[path[-1]])
+            flow = min([source[root], sink[end], *(capacity[b][a] for a, b in zip(path, path[1:], strict=False))])
+            source[root] -= flow
+            sink[end] -= flow
+            for a, b in zip(path, path[1:], strict=False):
+                capacity[b][a] -= flow
+                capacity[a][b] += flow
+    return [bool(x) if x is not None else i in closed for i, x in enumerate(label)]
+
+
+def labels_of(blocks: list[Block], model: Model | None = None) -> tuple[list[bool], int]:
+    """Whether each block is content, and of how many the cut changed what the classifier alone says."""
+    model = model or Model()
     edges = []
-    for apart, weight in ((1, NEXT), (2, SECOND)):
+    for apart, weight in ((1, model.next), (2, SECOND)):
         for i in range(len(blocks) - apart):
             a, b = blocks[i].node, blocks[i + apart].node
             if apart == 1 or a.parent is b.parent:
                 edges.append((i, i + apart, weight * FADE ** max(0, steps(a, b) - 2)))
     has_article = any(b.node.article for b in blocks)
-    content = minimum_cut([log_odds(b, has_article) for b in blocks], edges)
-    return "\n".join(b.text for b, is_content in zip(blocks, content, strict=True) if is_content)
+    odds = [log_odds(b, has_article, model) for b in blocks]
+    content = minimum_cut(odds, edges)
+    return content, sum(c != (x > 0) for c, x in zip(content, odds, strict=True))
+
+
+def main_text(page: str | None, model: Model | None = None) -> str:
+    """Content blocks, one a line."""
+    return extracted(page, model)[0]
+
+
+def extracted(page: str | None, model: Model | None = None) -> tuple[str, int, int]:
+    """The text, the number of blocks and of those that the cut changed."""
+    blocks = blocks_of(page) if page else []
+    content, changed = labels_of(blocks, model)
+    return "\n".join(b.text for b, is_content in zip(blocks, content, strict=True) if is_content), len(blocks), changed
 
 
-def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """page_id, url, text, n_chars of every row, in one pass without a shuffle.
+def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", model: Model | None = None) -> DataFrame:
+    """page_id, url, text, n_chars, n_blocks, n_changed (by the cut) of every row, in one pass without a shuffle; with the model before the fit
+    unless one is given.
 
-    A null or empty page has the empty text. One row out for each row in, null and repeated ids included; other
-    columns are not read."""
+    A null or empty page has the empty text. One row out for each row in, null and repeated ids included; pages are read whole, in time
+    that grows with their length; on a tie of costs a block is boilerplate. Other columns are not read."""
     source = pages.select(pages[id_col].alias("page_id"), pages[url_col].alias("url"), pages[html_col].cast("string").alias("html"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = pa.array([main_text(h) for h in batch.column(2).to_pylist()], pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), texts], ["page_id", "url", "text"])
+            found = [extracted(h, model) for h in batch.column(2).to_pylist()]
+            cols = [pa.array([f[i] for f in found], t) for i, t in enumerate((pa.string(), pa.int64(), pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *cols], ["page_id", "url", "text", "n_blocks", "n_changed"])
 
     kinds = {f.name: f.dataType.simpleString() for f in source.schema}
-    found = map_batches(source, run, f"page_id {kinds['page_id']}, url {kinds['url']}, text string")
-    return found.withColumn("n_chars", F.length("text").cast("long"))
+    found = map_batches(source, run, f"page_id {kinds['page_id']}, url {kinds['url']}, text string, n_blocks long, n_changed long")
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "n_blocks", "n_changed")

@@ -69,7 +69,8 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return html_extract.extract(table(spark, sf_dir, "pages"))
+    pages = table(spark, sf_dir, "pages")
+    return html_extract.extract(pages, model=html_extract.fit(pages))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

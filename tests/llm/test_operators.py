@@ -5,6 +5,7 @@ import itertools
 import math
 import random
 import re
+import time
 import zlib
 
 import duckdb
@@ -561,6 +562,39 @@ def test_main_text():
     assert html_extract.main_text("<article><p>a<div class=advert>buy</div><p>b</article><div>x</div>") == "a\nb"
 
 
+def plain_page(r):
+    """A page of nothing but div: content of long and short lines, boilerplate of links and short lines; and the labels."""
+    words = lambda n: " ".join(r.choices(["some", "words", "of", "a", "page", "and", "more"], k=n))
+    link = lambda: f"<div><a href=x>{words(r.randint(1, 4))}</a></div>"
+    lines = [words(r.choice([2, 3, 25, 40])) for _ in range(r.randint(6, 14))]
+    side = [link() if r.random() < 0.8 else f"<div>{words(2)}</div>" for _ in range(r.randint(4, 10))]
+    return f"<div>{''.join(side)}</div><div>{''.join(f'<div>{x}</div>' for x in lines)}</div>", [False] * len(side) + [True] * len(lines)
+
+
+def test_the_cut_helps_where_no_tag_tells(small):
+    pages = [h for (h,) in rows_of(small("pages"), "html")]
+    found = [html_extract.examples(h) for h in pages]
+    model = html_extract.fit_model([x for rows, _ in found for x in rows], (sum(a for _, (a, _) in found), sum(o for _, (_, o) in found)))
+    assert model.weights != html_extract.PRIOR and model.tokens
+    r = random.Random(4)
+    wrong, alone, changed = 0, 0, 0
+    for _ in range(100):
+        page, want = plain_page(r)
+        blocks = html_extract.blocks_of(page)
+        got, n = html_extract.labels_of(blocks, model)
+        changed += n
+        wrong += sum(a != b for a, b in zip(got, want, strict=True))
+        alone += sum((html_extract.log_odds(b, False, model) > 0) != w for b, w in zip(blocks, want, strict=True))
+    assert changed > 20 and wrong < 0.6 * alone
+
+
+@pytest.mark.parametrize("page", ["<div>x" * 170_000, '<p title="' * 100_000, '<p title="a>x' * 80_000, "<div>" * 100_000 + "</b>" * 100_000, "<h1><section>" + "<i>" * 150_000 + "</h1>" * 100_000, "<ul><li>ab" * 80_000, "<div>" * 90_000 + "x</div>" * 90_000, "&am" * 300_000, "<" * 1_000_000, "<!--" * 250_000, "<div>some words here of a line</div><span><a href=x>link</a></span>" * 14_000], ids=lambda p: p[:14])
+def test_pages_of_a_million_characters(page):
+    began = time.process_time()
+    html_extract.main_text(page)
+    assert time.process_time() - began < 8
+
+
 def test_extraction_query(spark, small):
     import html
 
