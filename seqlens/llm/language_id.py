@@ -19,13 +19,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from seqlens.llm.common import id_text, map_batches
+from seqlens.llm.common import checkpointed, id_text, map_batches
 
 SAMPLE_PER_LANG = 2000
 PROFILE_SIZE = 400
 MAX_N = 3
-#: Letters told apart; rarer ones share one code.
-ALPHABET = 1022
+#: Languages that get a profile: the most frequent ones.
+MAX_LANGS = 1000
 #: What a filter asks of a text at least; texts of the languages learnt have several times as much.
 LEAST_NEARNESS = 0.05
 UNKNOWN = "und"
@@ -39,27 +39,20 @@ class Profiles:
     langs: list[str]
     grams: list[list[str]]
     size: int = PROFILE_SIZE
-    codes: np.ndarray = field(init=False)
     keys: np.ndarray = field(init=False)
     ranks: np.ndarray = field(init=False)
 
     def __post_init__(self) -> None:
-        letters = Counter(c for own in self.grams for g in own for c in g if c != " ")
-        known = sorted(c for c, _ in sorted(letters.items(), key=lambda x: (-x[1], x[0]))[:ALPHABET])
-        self.codes = np.zeros(CODE_POINTS, np.uint16)
-        self.codes[letter_table()] = ALPHABET + 1
-        for i, c in enumerate(known):
-            self.codes[ord(c)] = i + 1
-        coded = [[pack([int(self.codes[ord(c)]) if c != " " else 0 for c in g]) for g in own] for own in self.grams]
-        self.keys = np.array(sorted({k for own in coded for k in own}), np.uint32)
+        coded = [[key_of(g) for g in own] for own in self.grams]
+        self.keys = np.array(sorted({k for own in coded for k in own}), np.uint64)
         self.ranks = np.full((len(self.langs), len(self.keys)), -1, np.int64)
         for i, own in enumerate(coded):
             for rank, k in reversed(list(enumerate(own))):
-                self.ranks[i, np.searchsorted(self.keys, k)] = rank
+                self.ranks[i, np.searchsorted(self.keys, np.uint64(k))] = rank
 
     def distances(self, text: str) -> tuple[np.ndarray, int] | None:
         """The distance from each profile, and the greatest that the text could have; None for a text without letters."""
-        codes = self.codes[np.frombuffer(text.lower().encode("utf-32-le", "replace"), np.uint32)]
+        codes = letters_of(text)
         if not codes.any():
             return None
         ranked = rank_grams(codes, self.size)
@@ -92,22 +85,34 @@ def letter_table() -> np.ndarray:
     return _letters[0]
 
 
-def pack(codes: list[int]) -> int:
-    """A key of one to three ten-bit codes; the top bits tell the length."""
+def letters_of(text: str) -> np.ndarray:
+    """The code points of a text's letters, 0 in place of all else."""
+    points = np.frombuffer(text.lower().encode("utf-32-le", "replace"), np.uint32)
+    return np.where(letter_table()[points], points, 0)
+
+
+#: Bits of a code point, and what tells n-grams of two and of one apart from those of three.
+POINT = 21
+TWO, ONE = 1 << 63, 3 << 62
+
+
+def key_of(gram: str) -> int:
+    """An n-gram (blank: a space) as a number."""
     key = 0
-    for c in codes:
-        key = key << 10 | c
-    return len(codes) % 3 << 30 | key
+    for c in gram:
+        key = key << POINT | (0 if c == " " else ord(c))
+    return key | (0, ONE, TWO, 0)[len(gram)]
 
 
 def rank_grams(codes: np.ndarray, size: int) -> np.ndarray:
-    """Keys of the most frequent n-grams, most frequent first, ties by key. codes: 0 is no letter."""
-    codes = np.concatenate([[0], codes, [0]]).astype(np.uint32)
+    """Keys of the most frequent n-grams, most frequent first, ties by key: longer ones first, then by code point. codes: 0 is no letter."""
+    codes = np.concatenate([[0], codes, [0]]).astype(np.uint64)
     codes = codes[(codes != 0) | np.concatenate([[True], codes[:-1] != 0])]
-    two = codes[:-1] << 10 | codes[1:]
-    three = two[:-1] << 10 | codes[2:]
+    bits = np.uint64(POINT)
+    two = codes[:-1] << bits | codes[1:]
+    three = two[:-1] << bits | codes[2:]
     one = codes[codes != 0]
-    keys, counts = np.unique(np.concatenate([one | np.uint32(1 << 30), two | np.uint32(2 << 30), three[codes[1:-1] != 0]]), return_counts=True)
+    keys, counts = np.unique(np.concatenate([one | np.uint64(ONE), two | np.uint64(TWO), three[codes[1:-1] != 0]]), return_counts=True)
     if len(keys) > size:
         least = np.partition(counts, len(counts) - size)[len(counts) - size]
         enough = counts >= least
@@ -125,17 +130,16 @@ def grams_of(text: str) -> Counter:
 
 
 def fit_profiles(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_per_lang: int = SAMPLE_PER_LANG, size: int = PROFILE_SIZE) -> Profiles:
-    """Profiles of the labelled rows of docs. Rows with a null text or language teach nothing.
+    """Profiles of the labelled rows of docs, for the MAX_LANGS most frequent languages. Rows with a null text or language teach nothing.
 
-    Only len(langs) * size n-grams come to the driver. The sample is drawn by a hash of the id at a rate that follows
-    from each language's count; counts of the sample are summed on the executors."""
+    Only len(langs) * size n-grams come to the driver. The sample is drawn by a hash of id and text at a rate that follows
+    from each language's count; counts of the sample are summed on the executors. Of n-grams as frequent as each other the first in code
+    point order ranks first."""
     rows = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"), docs[lang_col].alias("lang")).where("lang IS NOT NULL")
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if not counts:
-        return Profiles([], [], size)
-    unit = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    rate = F.coalesce(*[F.when(F.col("lang") == F.lit(k), F.lit(min(1.0, sample_per_lang / n))) for k, n in sorted(counts.items())])
-    sample = rows.where(unit < rate).where("text IS NOT NULL").select("lang", "text")
+    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGS)
+    rates = checkpointed(counts.select("lang", F.least(F.lit(1.0), F.lit(sample_per_lang) / F.col("n")).alias("rate")))
+    unit = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) / F.lit(float(1 << 20))
+    sample = rows.join(F.broadcast(rates), "lang").where(unit < F.col("rate")).where("text IS NOT NULL").select("lang", "text")  # MAX_LANGS rows
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, Counter] = {}
