@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seqlens.llm import trees
-from seqlens.llm.common import id_text, map_batches
+from seqlens.llm.common import checkpointed, id_text, map_batches
 
 SYMBOLS = "#*$%&|<>"
 SPACE = " \t\n\v\f\r"
@@ -106,12 +106,14 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", for
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", train_rows: int = TRAIN_ROWS) -> trees.Forest | None:
     """Trees fitted on at most train_rows labelled documents, picked by a hash of their ids; None without both labels.
 
-    Labels that are null or without a document teach nothing."""
-    known = labels.select(labels[id_col].alias("doc_id"), labels[label_col].cast("int").alias("label")).dropna()
-    sample = known.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(train_rows)
-    chosen = id_text(docs, id_col, text_col).join(F.broadcast(sample), "doc_id")  # at most train_rows rows
-    rows = measure(chosen.select("doc_id", "text")).select("doc_id", "features").join(F.broadcast(sample), "doc_id").select("features", "label", "doc_id").limit(4 * train_rows).collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["features"]))
+    Labels that are null or without a document teach nothing, repeated ones once. Of several texts with one id the one of least features
+    teaches."""
+    known = labels.select(labels[id_col].alias("doc_id"), labels[label_col].cast("int").alias("label")).dropna().distinct()
+    sample = checkpointed(known.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(train_rows))
+    chosen = id_text(docs, id_col, text_col).join(F.broadcast(sample.select("doc_id").distinct()), "doc_id")  # at most train_rows rows
+    measured = measure(chosen.select("doc_id", "text")).groupBy("doc_id").agg(F.min("features").alias("features"))
+    rows = measured.join(F.broadcast(sample), "doc_id").select("features", "label", "doc_id").collect()  # at most train_rows rows
+    rows.sort(key=lambda r: (r["doc_id"], r["label"]))
     y = np.array([r["label"] > 0 for r in rows], float)
     if not 0 < y.sum() < len(y):
         return None

@@ -7,6 +7,7 @@ import random
 import re
 import time
 import zlib
+from collections import Counter
 
 import duckdb
 import numpy as np
@@ -39,17 +40,54 @@ def test_held_out_rule(spark):
     assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) for r in df.collect())
 
 
+def ranked(counts, size=400):
+    order = sorted(counts, key=lambda g: (-counts[g], -len(g), [ord(c) if c != " " else 0 for c in g]))
+    return {g: i for i, g in enumerate(order[:size])}
+
+
+def string_grams(text):
+    """n-grams as strings, one letter at a time."""
+    words = "".join(c if c.isalpha() else " " for c in text.lower()).split()
+    every = [f" {w} " for w in words]
+    out = [c for w in words for c in w] + [w[i : i + 3] for w in every for i in range(len(w) - 2)]
+    out += [x[i : i + 2] for x in [" " + " ".join(words) + " "] for i in range(len(x) - 1)] if words else []
+    return Counter(out)
+
+
+def test_language_query_by_strings(spark, small):
+    """Predictions and scores of the query, from profiles and out-of-place distances as they are defined."""
+    docs = rows_of(small("documents"), "doc_id", "text", "lang")
+    total = {}
+    for d, text, lang in docs:
+        if lang is not None and text is not None and zlib.crc32(str(d).encode()) % 5:
+            total.setdefault(lang, Counter()).update(string_grams(text))
+    profiles = {lang: {g: i for i, g in enumerate(sorted(c, key=lambda g: (-c[g], g.encode()))[:400])} for lang, c in total.items()}
+    found = {r["doc_id"]: r for r in queries.op1_language_id(spark, SF).collect()}
+    for d, text, _ in docs:
+        own = ranked(string_grams(text or ""))
+        if not own:
+            assert (found[d]["lang_pred"], found[d]["score"]) == ("und", 0.0)
+            continue
+        apart = sorted((sum(abs(p[g] - i) if g in p else 400 for g, i in own.items()), lang) for lang, p in profiles.items())
+        assert found[d]["lang_pred"] == apart[0][1] and math.isclose(found[d]["score"], (apart[1][0] - apart[0][0]) / apart[1][0])
+
+
+def test_letters_of_all_scripts_stay_apart():
+    letters = [chr(c) for c in range(0x4E00, 0x4E00 + 5000)]
+    known = language_id.Profiles(["a", "b"], [letters[:2500], letters[2500:]], 3000)
+    assert len(known.keys) == 5000
+    assert known.predict("".join(letters[2500:2600]))[0] == "b" and known.predict("".join(letters[:100]))[0] == "a"
+
+
 def test_ranked_grams_match_strings():
-    text = "Das ist, ja: das Haus! Ein déjà-vu das"
-    counts = language_id.grams_of(text)
-    order = sorted(counts, key=lambda g: (-counts[g], g))
-    known = language_id.Profiles(["x"], [order], 10_000)
-    apart, most = known.distances(text)
-    assert most == len(order) * 10_000
-    assert apart[0] <= sum(abs(i - j) for i, j in zip(range(len(order)), reversed(range(len(order))), strict=True))
-    ranked = language_id.rank_grams(known.codes[np.frombuffer(text.lower().encode("utf-32-le"), np.uint32)], 10_000)
-    names = {language_id.pack([int(known.codes[ord(c)]) if c != " " else 0 for c in g]): g for g in counts}
-    assert [counts[names[int(k)]] for k in ranked] == sorted(counts.values(), reverse=True)
+    for text in ("Das ist, ja: das Haus! Ein déjà-vu das", "σοφία ΣΟΦΊΑ 漢字 и", "a"):
+        counts = string_grams(text)
+        assert counts == language_id.grams_of(text)
+        keys = language_id.rank_grams(language_id.letters_of(text), 10_000)
+        names = {language_id.key_of(g): g for g in counts}
+        assert [names[int(k)] for k in keys] == list(ranked(counts, 10_000))
+        apart, most = language_id.Profiles(["x"], [list(ranked(counts, 10_000))], 10_000).distances(text)
+        assert apart[0] == 0 and most == len(counts) * 10_000
 
 
 # 2
@@ -173,6 +211,17 @@ def test_trees_are_monotone_and_learn():
         assert (sign * np.diff(p, axis=1) >= -1e-12).all()
 
 
+def test_every_sampled_label_teaches(spark):
+    """Repeated ids and labels push no other out."""
+    words = lambda i, n: " ".join(f"w{(i * 7 + j) % 50}" for j in range(n))
+    docs = spark.createDataFrame([(1, words(i, 30)) for i in range(300)] + [(i, words(i, 30) if i % 2 else "# | # | " * 20) for i in range(2, 60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1)] * 50 + [(i, i % 2) for i in range(2, 60)], "doc_id long, quality int")
+    forest = quality.train(docs, labels, train_rows=59)
+    assert forest is not None
+    good = {r["doc_id"]: r["good"] for r in quality.judge(docs, forest).collect()}
+    assert all((good[i] > 0.5) == bool(i % 2) for i in range(2, 60))
+
+
 def test_quality_held_out(spark):
     sf = "/root/testdata/sf0.01"
     docs, labels = (spark.read.parquet(f"{sf}/{n}.parquet") for n in ("documents", "labels"))
