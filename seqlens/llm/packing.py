@@ -20,7 +20,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
 from seqlens.llm.common import id_text, map_batches
 from seqlens.llm.tokenizer_fst import WordPieces, words_of
@@ -30,10 +31,11 @@ END_ID = 2
 #: Tokens a tier gathers before it is packed; bounds the buffer of a task together with the longest text.
 BUFFER_TOKENS = 1 << 18
 STEP_TOKENS = 1 << 16
-MAX_WORDS = 1_000_000
+#: Words and pieces of words that are kept encoded.
+MAX_WORDS = 300_000
 #: UTF-8 bytes of texts that are encoded together, and characters beyond which a text is cut at white space.
-GROUP_BYTES = 1 << 22
-SLICE_CHARS = 1 << 20
+GROUP_BYTES = 1 << 20
+SLICE_CHARS = 1 << 19
 
 #: What the vocabulary splits off words, in text of Latin letters: contractions, marks, single digits.
 PIECE = r"('(?:[stmd]|re|ve|ll)|[^\s\x0b\x{85}\x{A0}\p{L}\p{N}]+|\p{N})"
@@ -47,6 +49,7 @@ class WordIds(dict):
     def __init__(self, path: str, max_words: int = MAX_WORDS):
         super().__init__()
         self.words = WordPieces(path)
+        self.words.spec = {}  # read, and larger than all else here
         self.tokenize = self.words.library.model.tokenize
         self.of_piece: dict[str, bytes] = {}
         self.not_simple = "|".join([r"[^\x{00}-\x{24F}]|[\x1c-\x1f\x{130}]", *map(re.escape, self.words.special)])
@@ -203,7 +206,10 @@ class Packer:
 
 def pack_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", tiers: tuple[int, ...] = TIERS, step_tokens: int = STEP_TOKENS) -> DataFrame:
     """One row for each piece of a document: doc_id, start, length, doc_tokens, sequence_id, offset, tier (the
-    window's length), step_group, token_ids (little-endian uint32).
+    window's length), place (of the window among those of its tier in the partition), step_group, token_ids (little-endian uint32).
+
+    Windows of a tier and partition are dealt to step groups of step_tokens each; the last of each may have fewer. balanced_steps() deals
+    them over all partitions.
 
     A null or empty text is its end id alone. Each input row is a document, also where ids are null or repeated, and texts
     of equal length are packed in the order of their rows.
@@ -214,7 +220,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text
 
     source = id_text(docs, id_col, text_col)
     id_type = source.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {id_type}, start long, length long, doc_tokens long, sequence_id long, offset long, tier long, step_group long, token_ids binary"
+    schema = f"doc_id {id_type}, start long, length long, doc_tokens long, sequence_id long, offset long, tier long, place long, step_group long, token_ids binary"
     end = END_ID.to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -236,7 +242,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text
                 offset = 0
                 for length, which, start in window:
                     doc = held[which]
-                    out.append((doc[0], start, length, len(doc[1]) // 4, base + windows, offset, capacity, group, doc[1][4 * start : 4 * (start + length)]))
+                    out.append((doc[0], start, length, len(doc[1]) // 4, base + windows, offset, capacity, place, group, doc[1][4 * start : 4 * (start + length)]))
                     offset += length
                     doc[2] -= length
                     if not doc[2]:
@@ -251,8 +257,8 @@ def pack_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text
 
         def batch_of(out: list[tuple]) -> pa.RecordBatch:
             cols = list(zip(*out, strict=True))
-            kinds = [id_arrow, *[pa.int64()] * 7, pa.binary()]
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "tier", "step_group", "token_ids"])
+            kinds = [id_arrow, *[pa.int64()] * 8, pa.binary()]
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "tier", "place", "step_group", "token_ids"])
 
         def tokenized(batch: pa.RecordBatch) -> Iterator[tuple]:
             """doc_id and ids of each row; short texts are taken together, long ones in slices."""
@@ -278,3 +284,17 @@ def pack_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text
             yield from rows(packer.close())
 
     return map_batches(source, run, schema)
+
+
+def balanced_steps(pieces: DataFrame, step_tokens: int = STEP_TOKENS) -> DataFrame:
+    """pieces (of pack_documents(), written and read again) with step groups over all partitions: every group has step_tokens but the last of
+    each tier.
+
+    Only the numbers of windows by tier and partition are summed up and joined; no piece is sorted."""
+    part = F.shiftright("sequence_id", 40)
+    counts = pieces.where("offset = 0").groupBy("tier", part.alias("part")).agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("tier").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    firsts = counts.select("tier", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
+    per = F.greatest(F.floor(F.lit(step_tokens) / F.col("tier")), F.lit(1))
+    group = F.shiftleft(F.col("tier"), 40) + F.floor((F.col("first") + F.col("place")) / per)
+    return pieces.withColumn("part", part).join(firsts, ["tier", "part"]).withColumn("step_group", group.cast("long")).select(*pieces.columns)

@@ -55,3 +55,29 @@ def test_repeated_and_null_rows(spark):
     assert sorted((r["doc_id"] or 0) for r in docs.collect()) == [0, 1]
     for _, stage in corpus_pipeline.STAGES:
         stage(spark, docs.limit(0), SF).collect()
+
+
+def test_rows_decide_not_ids(spark):
+    """Documents under shared ids, or without one, by brute force over rows."""
+    import random
+
+    r = random.Random(8)
+    words = lambda n: " ".join(r.choice("the and of to in a is that it was for on are with".split()) for _ in range(n))
+    item = " ".join(f"bench{i} mark" for i in range(10))
+    texts = [words(40) for _ in range(12)] + [f"{item} and more of it", None]
+    rows = [(r.choice([None, *range(10)]), r.choice(texts), "en", f"s{i}", 1) for i in range(80)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    once = corpus_pipeline.near_duplicates(spark, docs, SF).collect()
+    fps = [fingerprint(t) for _, t, *_ in rows]
+    roots = classes(fps, lambda a, b: (a ^ b).bit_count() <= 3)
+    groups = {}
+    for root, row in zip(roots, rows, strict=True):
+        groups.setdefault(root, []).append(row)
+    assert len(once) == len(groups)
+    for own in groups.values():
+        ids = [x[0] for x in own if x[0] is not None]
+        here = [x for x in once if tuple(x) in own]
+        assert len(here) == 1 and here[0]["doc_id"] == (min(ids) if ids else None)
+    items = spark.createDataFrame([("a", item)], "item_id string, text string")
+    clean = sorted(tuple(x)[3] for x in decontaminate.clean(docs, items).collect())
+    assert clean == sorted(x[3] for x in rows if not (x[1] or "").startswith("bench"))
