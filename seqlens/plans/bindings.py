@@ -30,7 +30,7 @@ SPECIMENS = f"""SELECT c_custkey AS ord,
   concat(c_name, '-', c_mktsegment) AS seq,
   {pick("c_custkey", ["human", "Homo sapiens", " Cow ", "unknown", None, "PIG", "Crab-eating macaque", "N/A", "chicken", "", "dog", f"{GENUS} sp.", "goat"])} AS host_q,
   {pick("c_custkey", ["stool", "cattle feces", "wild boar", "bat", "Macaca mulatta", "soil", None, "human", "sewage water", "Bird cage", "unknown"])} AS isolation_q,
-  {pick("c_custkey", ["isolated from a goat kept in pens", "from human", "human stool", None, "isolate from Homo sapiens", "ST3; subtype 3", "no data"])} AS note,
+  {pick("c_custkey", ["isolated from a goat kept in pens", "from human", "human stool", None, "isolate from Homo sapiens", "ST3; subtype 3", "no data", "from a child with diarrhoea", "colorectal cancer patient, human"])} AS note,
   {pick("c_custkey", ["=concat(n_name, ': ', r_name)", "=n_name", None, ""])} AS geo_q,
   {pick("c_custkey", ["=concat(n_name, ', ', c_mktsegment)", None, "Unknown"])} AS country_q,
   {pick("c_custkey", ["2019", "24-Sep-2022", "2024-06", "1998/2021", "Unknown", None, "12/1987", "abc 1899"])} AS date_q,
@@ -80,7 +80,16 @@ def references(spark: SparkSession, sf_dir: str) -> DataFrame:
 FRAGMENT_LABELS = ["ST1", "ST2", "ST3", "novel_1", "ST_unassigned", "Unknown", "ST1", "novel_1"]
 
 
+FRAGMENT_COLUMNS = {
+    "host": ["Homo sapiens", "Sus scrofa", "Unknown", "Homo sapiens", "Bos taurus"],
+    "country": ["China: Hainan", "Spain", None, "China", "Spain", "Egypt", "China: Hainan"],
+    "technology": ["Sanger", "Illumina", "Unknown"],
+    "confidence": ["high", "high", "medium", "low"],
+}
+FRAGMENT_VALUES = ", ".join(f"{pick('id', v)} AS {k}" for k, v in FRAGMENT_COLUMNS.items())
+
+
 def fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """id, seq, label: benchmark items as short sequences."""
+    """id, seq, label, host, country, technology, confidence: benchmark items as short sequences."""
     rows = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), sequence().alias("seq"))
-    return rows.withColumn("label", F.expr(pick("id", FRAGMENT_LABELS)))
+    return rows.select("*", F.expr(pick("id", FRAGMENT_LABELS)).alias("label"), *[F.expr(pick("id", v)).alias(k) for k, v in FRAGMENT_COLUMNS.items()])

@@ -58,9 +58,10 @@ def j8(spark, sf):
     return relational.without_known(rows, rows.where("confidence = 'high'").select("accession"), "accession").select("ord")
 
 
-@query("j9_customers_without_orders", "SELECT c_custkey FROM customer ANTI JOIN orders ON c_custkey = o_custkey")
+@query("j9_customers_without_open_orders", "SELECT c_custkey FROM customer ANTI JOIN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P') ON c_custkey = o_custkey")
 def j9(spark, sf):
-    return table(spark, sf, "customer").join(table(spark, sf, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
+    pending = table(spark, sf, "orders").where("o_orderstatus = 'P'")
+    return table(spark, sf, "customer").join(pending, F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
 
 
 @query("j10_semi_join", "SELECT c_custkey FROM customer SEMI JOIN orders ON c_custkey = o_custkey")

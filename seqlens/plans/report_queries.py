@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from seqlens.functions import metadata
-from seqlens.operators import curation, relational
+from seqlens.operators import relational
 from seqlens.plans import metadata_queries as m
 from seqlens.plans.bindings import GENUS, SPECIMENS, records
 from seqlens.plans.catalog import query
@@ -20,7 +20,7 @@ def rows(spark, sf):
     tech = metadata.technology(metadata.technology_text({n: F.col(n) for n in ("structured_comment", "comment", "features", "description", "name")}))
     return records(spark, sf).select(
         "ord", "accession", "label", "confidence", "source", metadata.normalise_host(F.col("host_q"), GENUS).alias("host"), metadata.normalise_country(raw).alias("country"), metadata.year(F.col("date_q")).alias("year"), metadata.label_group(F.col("label")).alias("grp"), tech.alias("tech"),
-        metadata.joined_text(*map(F.col, ("description", "note", "isolation_q", "host_q"))).alias("record_text"), F.coalesce("titles", F.lit("")).alias("study_text"),
+        metadata.coalesce_host(F.col("features"), F.col("organism"), GENUS)["host_source"].alias("host_source"), metadata.joined_text(*map(F.col, ("description", "note", "isolation_q", "host_q"))).alias("record_text"), F.coalesce("titles", F.lit("")).alias("study_text"),
     )
 
 
@@ -120,32 +120,34 @@ def q19(spark, sf):
     return relational.pivot_counts(rows(spark, sf).select("source", "confidence"), "source", "confidence", CONFIDENCES)
 
 
+@query("q11_label_by_technology", S + f"SELECT l.label, t.tech, count(s.ord) AS n FROM (SELECT DISTINCT label FROM s WHERE {KNOWN}) l CROSS JOIN (SELECT DISTINCT tech FROM s WHERE {KNOWN}) t LEFT JOIN s ON s.label = l.label AND s.tech = t.tech GROUP BY ALL")
+def q11_transposed(spark, sf):
+    """The same the other way round, with a row for each pair, zeros too."""
+    wide = relational.crosstab(known(spark, sf), "label", "tech")
+    return wide.unpivot(["label"], [c for c in wide.columns if c != "label"], "tech", "n")
+
+
 @query("q20_technology_long", S + "SELECT label, tech, count(*) AS n FROM s GROUP BY label, tech")
 def q20(spark, sf):
     return relational.counts(rows(spark, sf), "label", "tech")
 
 
-def listed(column: str, n: int | None = None) -> str:
-    cut = f" WHERE r <= {n}" if n else ""
-    return f"(SELECT label, string_agg(concat({column}, ':', n), '; ' ORDER BY n DESC, {column}) AS v FROM (SELECT label, {column}, count(*) AS n, row_number() OVER (PARTITION BY label ORDER BY count(*) DESC, {column}) AS r FROM s WHERE label <> 'Unknown' GROUP BY label, {column}){cut} GROUP BY label)"
-
-
-@query("q21_label_summary", S + f"SELECT c.label, coalesce(r.status, 'unknown') AS status, coalesce(r.human, false) AS reported_in_humans, c.n AS n_sequences, a.v AS confidence_breakdown, b.v AS top_hosts, d.v AS sequencing_technologies FROM (SELECT label, count(*) AS n FROM s WHERE label <> 'Unknown' GROUP BY label HAVING count(*) > 1) c LEFT JOIN {m.REGISTRY_VALUES} ON c.label = r.label JOIN {listed('confidence')} a ON a.label = c.label JOIN {listed('host', 3)} b ON b.label = c.label JOIN {listed('tech')} d ON d.label = c.label")
-def q21(spark, sf):
-    own = rows(spark, sf).where("label <> 'Unknown'")
-    out = relational.counts(own, "label", name="n_sequences").where("n_sequences > 1")
-    reg = curation.registry(spark).select("label", "status", F.col("human").alias("reported_in_humans"))
-    out = out.join(F.broadcast(reg), "label", "left").withColumns({"status": F.coalesce("status", F.lit("unknown")), "reported_in_humans": F.coalesce("reported_in_humans", F.lit(False))})  # 52 rows
-    for column, n, name in (("confidence", 1000, "confidence_breakdown"), ("host", 3, "top_hosts"), ("tech", 1000, "sequencing_technologies")):
-        out = out.join(relational.top_values(own, "label", column, n, name), "label")
-    return out
+RUN_SQL = " UNION ALL ".join(f"SELECT '{c}' AS facet, {c} AS what, count(*) AS n, 100.0::DOUBLE * count(*) / (SELECT count(*) FROM s) AS pct, NULL AS top_hosts FROM s GROUP BY {c}" for c in ("confidence", "host_source", "tech"))
+NOVEL_SQL = "SELECT 'novel' AS facet, label AS what, count(*) AS n, 100.0::DOUBLE * count(*) / (SELECT count(*) FROM s) AS pct, first(v) AS top_hosts FROM s JOIN (SELECT label, string_agg(host, ', ' ORDER BY n DESC, host) AS v FROM (SELECT label, host, count(*) AS n, row_number() OVER (PARTITION BY label ORDER BY count(*) DESC, host) AS o FROM s GROUP BY label, host) WHERE o <= 2 GROUP BY label) USING (label) WHERE label LIKE 'novel%' GROUP BY label"
 
 
-@query("q22_run_summary", S + "SELECT confidence AS what, count(*) AS n, 100.0::DOUBLE * count(*) / (SELECT count(*) FROM s) AS pct FROM s GROUP BY 1 UNION ALL SELECT tech, count(*), 100.0::DOUBLE * count(*) / (SELECT count(*) FROM s) FROM s GROUP BY 1")
+@query("q22_run_summary", S.replace(f"{m.TECHNOLOGY} AS tech", f"{m.TECHNOLOGY} AS tech, {m.HOST_SOURCE} AS host_source") + f"{RUN_SQL} UNION ALL {NOVEL_SQL} UNION ALL SELECT 'total', k, v, 100.0::DOUBLE, NULL FROM (SELECT unnest(['sequences', 'labels']) AS k, unnest([count(*), count(DISTINCT label)]) AS v FROM s)")
 def q22(spark, sf):
+    """What a run says at its end: shares by confidence, origin of hosts and technology, novel groups with their two foremost hosts, totals."""
     own = rows(spark, sf)
-    parts = [relational.shares(own.select(F.col(c).alias("what")), "what") for c in ("confidence", "tech")]
-    return parts[0].unionByName(parts[1])
+    facets = [relational.shares(own.select(F.col(c).alias("what")), "what").withColumn("facet", F.lit(c)) for c in ("confidence", "host_source", "tech")]
+    facets.append(relational.shares(own.select(F.col("label").alias("what")), "what").where(F.col("what").startswith("novel_")).withColumn("facet", F.lit("novel")))
+    foremost = relational.top_values(own.where(F.col("label").startswith("novel_")), "label", "host", 2, "hosts").select(F.lit("novel").alias("facet"), F.col("label").alias("what"), F.regexp_replace(F.regexp_replace("hosts", r":\d+; ", ", "), r":\d+$", "").alias("top_hosts"))
+    total = own.agg(F.count(F.lit(1)).alias("sequences"), F.countDistinct("label").alias("labels")).unpivot([], ["sequences", "labels"], "what", "n").select("what", "n", F.lit(100.0).alias("pct"), F.lit("total").alias("facet"))
+    out = facets[0]
+    for part in (*facets[1:], total):
+        out = out.unionByName(part)
+    return out.join(foremost, ["facet", "what"], "left").select("facet", "what", "n", "pct", "top_hosts")
 
 
 HUMAN = "host = 'Homo sapiens' AND label <> 'Unknown'"

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from seqlens.functions import kmers
-from seqlens.operators import clustering, distance, ordination, relational, similarity
-from seqlens.plans.bindings import FRAGMENT_LABELS, SEQ, fragments, pick, references, table
+from seqlens.functions import fixed, kmers
+from seqlens.operators import clustering, curation, distance, ordination, relational, similarity
+from seqlens.plans.bindings import FRAGMENT_LABELS, FRAGMENT_VALUES, SEQ, fragments, pick, references, table
 from seqlens.plans.catalog import query
 
-FRAGMENTS = f"f AS (SELECT item_id AS id, {SEQ} AS seq FROM benchmark), lab AS (SELECT id, {pick('id', FRAGMENT_LABELS)} AS label FROM f)"
+FRAGMENTS = f"f AS (SELECT item_id AS id, {SEQ} AS seq FROM benchmark), lab AS (SELECT id, {pick('id', FRAGMENT_LABELS)} AS label FROM f), meta AS (SELECT id, {FRAGMENT_VALUES} FROM f)"
 REFS = f"r AS (SELECT doc_id AS id, {SEQ} AS seq, source AS label FROM documents)"
 CLEAN = "replace(replace(upper(seq), '-', ''), 'N', '')"
 
@@ -31,6 +31,40 @@ x AS (SELECT a.id AS id_a, b.id AS id_b, count(*) AS comparable, count(*) FILTER
 e AS (SELECT id_a, id_b, differing / comparable AS p, -0.75 * ln(1 - 4.0::DOUBLE / 3.0::DOUBLE * least(greatest(differing / comparable, 0), 0.7499)) + 0.0 AS d FROM x),
 y AS (SELECT e.*, la.label AS label_a, lb.label AS label_b FROM e JOIN lab la ON la.id = id_a JOIN lab lb ON lb.id = id_b)"""
 
+
+
+def linkage(name: str, cut: float) -> str:
+    """SQL (recursive): step by step the two clusters of the least average distance become one, up to a cut. dd has all pairs."""
+    closest = f"SELECT x, y FROM (SELECT least(p.c, q.c) AS x, greatest(p.c, q.c) AS y, avg(dd.d) AS m FROM dd JOIN l_{name} p ON p.id = dd.a JOIN l_{name} q ON q.id = dd.b WHERE p.c <> q.c GROUP BY 1, 2) WHERE m <= {cut} ORDER BY m, x, y LIMIT 1"
+    return f"l_{name} AS (SELECT 0 AS step, id, id AS c FROM f UNION ALL SELECT r.step + 1, r.id, CASE WHEN r.c = best.y THEN best.x ELSE r.c END FROM l_{name} r, ({closest}) best), {name} AS (SELECT id, arg_max(c, step) AS c FROM l_{name} GROUP BY id)"
+
+
+def every_pair(pairs: str, far: float) -> str:
+    return f"dd AS (SELECT a.id AS a, b.id AS b, coalesce(g.d, {far})::DOUBLE AS d FROM f a JOIN f b ON a.id < b.id LEFT JOIN {pairs} g ON g.id_a = a.id AND g.id_b = b.id)"
+
+
+#: Groups of fragments by the Jaccard distance of their 3-mers.
+GROUPS = f"""WITH RECURSIVE {FRAGMENTS}, k3 AS (SELECT id, {windows(CLEAN, 3)} AS kmer FROM f), kn AS (SELECT id, count(*) AS n FROM k3 GROUP BY id),
+ks AS (SELECT a.id AS id_a, b.id AS id_b, count(*) AS s FROM k3 a JOIN k3 b ON a.kmer = b.kmer AND a.id < b.id GROUP BY 1, 2),
+jd AS (SELECT id_a, id_b, 1.0::DOUBLE - s::DOUBLE / (x.n + y.n - s) AS d FROM ks JOIN kn x ON x.id = id_a JOIN kn y ON y.id = id_b),
+{every_pair('jd', 1.0)}, {linkage('groups', 0.5)},
+sized AS (SELECT c, count(*) AS size FROM groups GROUP BY c), ranked AS (SELECT c, row_number() OVER (ORDER BY size DESC, c) AS rank FROM sized WHERE size >= 2),
+grouped AS (SELECT id, CASE WHEN rank IS NULL THEN 'ST_unassigned' ELSE concat('novel_', rank) END AS label, size FROM groups JOIN sized USING (c) LEFT JOIN ranked USING (c))"""
+C6 = GROUPS + " SELECT id, label, size, CASE WHEN label LIKE 'novel%' THEN concat('clustered with ', size, ' other unplaced records at Jaccard d<0.2') ELSE 'no source ST tag, >max-placement-dist from all seeds, and no coherent novel cluster' END AS reason FROM grouped"
+#: Clusters of fragments at three cuts of their corrected distances; who stands apart; what a report says of each label.
+CUTS = {"cluster_top": 0.9, "cluster_subtype": 0.8, "cluster_variant": 0.7}
+CLUSTERED = f"""{ALIGNED.replace('WITH', 'WITH RECURSIVE', 1)}, {every_pair('e', 10.0)}, {', '.join(linkage(n, c) for n, c in CUTS.items())},
+clustered AS (SELECT id, t.c AS cluster_top, s.c AS cluster_subtype, v.c AS cluster_variant, label FROM cluster_top t JOIN cluster_subtype s USING (id) JOIN cluster_variant v USING (id) JOIN lab USING (id))"""
+APART = CLUSTERED + f""", own AS (SELECT id, label, cluster_subtype AS k FROM clustered WHERE label <> 'Unknown' AND label IN (SELECT label FROM clustered GROUP BY label HAVING count(*) >= 3)),
+inn AS (SELECT id_a, id_b, d, label_a AS label FROM y WHERE label_a = label_b AND label_a IN (SELECT label FROM own)),
+two AS (SELECT id_a AS id, id_b AS other, d, label FROM inn UNION ALL SELECT id_b, id_a, d, label FROM inn),
+med AS (SELECT label, id AS medoid FROM (SELECT label, id, row_number() OVER (PARTITION BY label ORDER BY floor(sum(d) * 1000000000 + 0.5), id) AS o FROM two GROUP BY label, id) WHERE o = 1),
+mid AS (SELECT label, quantile_cont(d, 0.5) AS median FROM inn GROUP BY label), sizes AS (SELECT label, k, count(*) AS m FROM own GROUP BY label, k),
+dom AS (SELECT label, arg_min(k, (-m, k)) AS dominant, max(m) / sum(m) AS share FROM sizes GROUP BY label),
+facts AS (SELECT own.*, dominant, share, CASE WHEN own.id = medoid THEN 0.0::DOUBLE ELSE two.d END AS dm, greatest({fixed.OUTLIER_MULTIPLIER} * greatest(median, {fixed.OUTLIER_FLOOR}), {2 * fixed.CLUSTER_CUTS['cluster_variant']})::DOUBLE AS cutoff FROM own JOIN med USING (label) JOIN mid USING (label) JOIN dom USING (label) LEFT JOIN two ON two.id = own.id AND two.other = medoid),
+apart AS (SELECT id, dm, concat_ws('; ', CASE WHEN dm > cutoff THEN concat('d_medoid=', printf('%.4f', dm), ' > ', printf('%.4f', cutoff)) END, CASE WHEN k <> dominant AND share > {fixed.DOMINANT_SHARE} THEN concat('minority cluster (', k, ')') END) AS reason FROM facts)"""
+
+
 @query("a1k_kmer_sets", f"WITH {FRAGMENTS} SELECT id, kmer FROM (SELECT id, {windows(CLEAN, 8)} AS kmer FROM f)")
 def a1k(spark, sf):
     return fragments(spark, sf).select("id", F.explode(kmers.kmer_set(F.col("seq"))).alias("kmer"))
@@ -64,7 +98,7 @@ def k4(spark, sf):
     return table_.select("id_a", "id_b", (F.floor(F.col("d") * 100000 + 0.5) / 100000).alias("d"))
 
 
-@query("c6_unplaced_rows")
+@query("c6_unplaced_rows", C6)
 def c6(spark, sf):
     rows = fragments(spark, sf)
     groups = clustering.novel_groups(rows, distance.kmer_pairs(rows, 3), cutoff=0.5)
@@ -108,9 +142,13 @@ def mapped(spark, sf):
     return similarity.map_fragments(fragments(spark, sf), references(spark, sf))
 
 
-@query("c9_map_fragments", MAPPED + f" SELECT id, assigned, {rounded('d')} AS d, confidence FROM m")
+#: The five nearest in order; three places, rounded half up.
+TOP5 = ", five AS (SELECT qid, string_agg(concat(label, ':', printf('%.3f', floor(d * 1000 + 0.5) / 1000)), '; ' ORDER BY rank) AS top5 FROM t GROUP BY qid)"
+
+
+@query("c9_map_fragments", MAPPED + TOP5 + f" SELECT id, assigned, {rounded('d')} AS d, confidence, top5 FROM m JOIN five ON id = qid")
 def c9(spark, sf):
-    return mapped(spark, sf).select("id", "assigned", six(F.col("containment_dist")).alias("d"), "confidence")
+    return mapped(spark, sf).select("id", "assigned", six(F.col("containment_dist")).alias("d"), "confidence", "top5")
 
 
 @query("a5k_containment", MAPPED + " SELECT qid AS id, rid AS ref_id, greatest(a, b) AS shared, n AS nq FROM c JOIN nq ON nq.id = qid WHERE greatest(a, b) >= 0.5 * n")
@@ -119,20 +157,29 @@ def a5k(spark, sf):
     return pairs.select(F.col("query_id").alias("id"), "ref_id", "shared", F.col("nq").cast("bigint").alias("nq"))
 
 
-def summary(rows):
-    """assigned, n, median_dist, high of what was mapped."""
-    kept = rows.where(~F.col("confidence").isin("unmapped", "ambiguous"))
-    return kept.groupBy("assigned").agg(F.count(F.lit(1)).alias("n"), six(F.percentile("containment_dist", 0.5)).alias("median_dist"), F.count_if(F.col("confidence") == "high").alias("high"))
+def summary(rows, facts):
+    """assigned, n, median_dist, high, top_hosts, top_countries of what was mapped. facts: id, host, country."""
+    kept = rows.where(~F.col("confidence").isin("unmapped", "ambiguous")).join(facts, "id")
+    out = kept.groupBy("assigned").agg(F.count(F.lit(1)).alias("n"), six(F.percentile("containment_dist", 0.5)).alias("median_dist"), F.count_if(F.col("confidence") == "high").alias("high"))
+    for column, name in (("host", "top_hosts"), ("country", "top_countries")):
+        out = out.join(relational.top_values(kept, "assigned", column, 3, name), "assigned")
+    return out
+
+
+def most(column: str, key: str, rows: str, n: int) -> str:
+    """SQL: key and the n most frequent values of a column with their counts."""
+    return f"(SELECT {key}, string_agg(concat({column}, ':', n), '; ' ORDER BY n DESC, {column} NULLS FIRST) AS v FROM (SELECT {key}, {column}, count(*) AS n, row_number() OVER (PARTITION BY {key} ORDER BY count(*) DESC, {column} NULLS FIRST) AS o FROM {rows} GROUP BY {key}, {column}) WHERE o <= {n} GROUP BY {key})"
 
 
-@query("q23_mapping_summary", MAPPED + f" SELECT assigned, count(*) AS n, {rounded('median(d)')} AS median_dist, count(*) FILTER (confidence = 'high') AS high FROM m WHERE confidence NOT IN ('unmapped', 'ambiguous') GROUP BY assigned")
+@query("q23_mapping_summary", MAPPED + f", own AS (SELECT m.*, meta.host, meta.country FROM m JOIN meta USING (id) WHERE m.confidence NOT IN ('unmapped', 'ambiguous')) SELECT assigned, count(*) AS n, {rounded('median(d)')} AS median_dist, count(*) FILTER (confidence = 'high') AS high, first(h.v) AS top_hosts, first(c.v) AS top_countries FROM own JOIN {most('host', 'assigned', 'own', 3)} h USING (assigned) JOIN {most('country', 'assigned', 'own', 3)} c USING (assigned) GROUP BY assigned")
 def q23(spark, sf):
-    return summary(mapped(spark, sf))
+    return summary(mapped(spark, sf), fragments(spark, sf).select("id", "host", "country"))
 
 
-@query("q24_hits_of_prefix", MAPPED + " SELECT id, assigned FROM m WHERE starts_with(assigned, 'src1') AND confidence NOT IN ('unmapped', 'ambiguous')")
+@query("q24_hits_of_prefix", MAPPED + TOP5 + f" SELECT id, assigned, {rounded('d')} AS d, m.confidence, top5, host, country, technology FROM m JOIN five ON id = qid JOIN meta USING (id) WHERE starts_with(assigned, 'src1') AND m.confidence NOT IN ('unmapped', 'ambiguous')")
 def q24(spark, sf):
-    return mapped(spark, sf).where(F.col("assigned").startswith("src1") & ~F.col("confidence").isin("unmapped", "ambiguous")).select("id", "assigned")
+    hits = mapped(spark, sf).where(F.col("assigned").startswith("src1") & ~F.col("confidence").isin("unmapped", "ambiguous"))
+    return hits.join(fragments(spark, sf).select("id", "host", "country", "technology"), "id").select("id", "assigned", six(F.col("containment_dist")).alias("d"), "confidence", "top5", "host", "country", "technology")
 
 
 @query("q25_mapping_confidence", MAPPED + " SELECT confidence, count(*) AS n, 100.0::DOUBLE * count(*) / (SELECT count(*) FROM m) AS pct FROM m GROUP BY confidence")
@@ -283,7 +330,21 @@ def q2(spark, sf):
     return relational.blocks(relational.counts(labels_of(spark, sf), "label"), "label", [F.col("label")])
 
 
-@query("c5_novel_groups")
+@query("q2_heatmap_cap", ALIGNED + f" SELECT {rounded('quantile_cont(d, 0.95)')} AS cap FROM e")
+def q2_cap(spark, sf):
+    """Where the scale of the heat map ends."""
+    return pairs(spark, sf).agg(six(F.percentile("d", 0.95)).alias("cap"))
+
+
+@query("q4_axis", ALIGNED + f", ax AS (SELECT quantile_cont(d, 0.99) AS p FROM y WHERE label_a = label_b AND {KNOWN}) SELECT {rounded("p")} AS p99, CASE WHEN p < 0.2 THEN -0.005::DOUBLE END AS low, CASE WHEN p < 0.2 THEN {rounded('greatest(0.15, 1.5 * p)')} END AS high FROM ax")
+def q4_axis(spark, sf):
+    """The axis of the boxes: cut where the 99th percentile is small, else left to the values."""
+    p = F.col("p")
+    own = known_pairs(spark, sf).where("same").agg(F.percentile("d", 0.99).alias("p"))
+    return own.select(six(p).alias("p99"), F.when(p < 0.2, F.lit(-0.005)).alias("low"), F.when(p < 0.2, six(F.greatest(F.lit(0.15), 1.5 * p))).alias("high"))
+
+
+@query("c5_novel_groups", GROUPS + " SELECT id, label, size FROM grouped")
 def c5(spark, sf):
     rows = fragments(spark, sf)
     return clustering.novel_groups(rows, distance.kmer_pairs(rows, 3), cutoff=0.5)
@@ -291,19 +352,44 @@ def c5(spark, sf):
 
 def clustered(spark, sf):
     own = pairs(spark, sf).select("id_a", "id_b", "d")
-    made = clustering.clusters(fragments(spark, sf), own, {"cluster_top": 0.9, "cluster_subtype": 0.8, "cluster_variant": 0.7}, far=10.0)
+    made = clustering.clusters(fragments(spark, sf), own, CUTS, far=10.0)
     return own, made.join(labels_of(spark, sf), "id")
 
 
-@query("c7_clusters")
+@query("c7_clusters", CLUSTERED + " SELECT * FROM clustered")
 def c7(spark, sf):
     return clustered(spark, sf)[1]
 
 
-@query("c8_outliers")
+def apart(own, made):
+    return clustering.outliers(made.select("id", "label", F.col("cluster_subtype").alias("cluster")), own)
+
+
+@query("c8_outliers", APART + f" SELECT id, {rounded('dm')} AS dist_from_medoid, coalesce(reason, '') <> '' AS potential_novel_variant, coalesce(reason, '') AS novel_variant_reason FROM clustered LEFT JOIN apart USING (id)")
 def c8(spark, sf):
+    return apart(*clustered(spark, sf)).withColumn("dist_from_medoid", six(F.col("dist_from_medoid")))
+
+
+REGISTRY = "(VALUES " + ", ".join("('{}', '{}', {}, '{}')".format(a, b, c == "yes", d.replace("'", "''")) for a, b, c, d in fixed.REGISTRY) + ") AS r(label, status, human, note)"
+FACTS = "(SELECT clustered.*, host, technology, confidence FROM clustered JOIN meta USING (id) WHERE label <> 'Unknown')"
+
+
+@query("q21_label_summary", APART + f""", w AS {FACTS}, n AS (SELECT label, count(*) AS n_sequences, count(DISTINCT cluster_variant) AS n_variant_clusters, count(*) FILTER (coalesce(reason, '') <> '') AS n_novel_candidates FROM w LEFT JOIN apart USING (id) GROUP BY label HAVING count(*) > 1),
+i AS (SELECT label_a AS label, {rounded('avg(d)')} AS mean_intra, {rounded('median(d)')} AS median_intra, {rounded('max(d)')} AS max_intra FROM y WHERE label_a = label_b GROUP BY 1)
+SELECT n.*, coalesce(r.status, 'unknown') AS status, coalesce(r.human, false) AS reported_in_humans, coalesce(r.note, '') AS registry_note, mean_intra, median_intra, max_intra, a.v AS confidence_breakdown, b.v AS top_hosts, c.v AS sequencing_technologies
+FROM n JOIN i USING (label) LEFT JOIN {REGISTRY} USING (label) JOIN {most('confidence', 'label', 'w', 1000)} a USING (label) JOIN {most('host', 'label', 'w', 3)} b USING (label) JOIN {most('technology', 'label', 'w', 1000)} c USING (label)""")
+def q21(spark, sf):
+    """A report's table of labels with two rows or more."""
     own, made = clustered(spark, sf)
-    return clustering.outliers(made.select("id", "label", F.col("cluster_subtype").alias("cluster")), own)
+    rows = made.where("label <> 'Unknown'").join(fragments(spark, sf).drop("label", "seq", "country"), "id").join(apart(own, made).select("id", "potential_novel_variant"), "id")
+    out = rows.groupBy("label").agg(F.count(F.lit(1)).alias("n_sequences"), F.countDistinct("cluster_variant").alias("n_variant_clusters"), F.count_if("potential_novel_variant").alias("n_novel_candidates")).where("n_sequences > 1")
+    inner = distance.labelled(own, labels_of(spark, sf)).where("same").groupBy(F.col("label_a").alias("label"))
+    out = out.join(inner.agg(six(F.avg("d")).alias("mean_intra"), six(F.percentile("d", 0.5)).alias("median_intra"), six(F.max("d")).alias("max_intra")), "label")
+    reg = curation.registry(spark).select("label", "status", F.col("human").alias("reported_in_humans"), F.col("note").alias("registry_note"))
+    out = out.join(F.broadcast(reg), "label", "left").withColumns({"status": F.coalesce("status", F.lit("unknown")), "reported_in_humans": F.coalesce("reported_in_humans", F.lit(False)), "registry_note": F.coalesce("registry_note", F.lit(""))})  # 52 rows
+    for column, n, name in (("confidence", 1000, "confidence_breakdown"), ("host", 3, "top_hosts"), ("technology", 1000, "sequencing_technologies")):
+        out = out.join(relational.top_values(rows, "label", column, n, name), "label")
+    return out
 
 
 @query("q1_ordination")

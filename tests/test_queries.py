@@ -11,7 +11,7 @@ import __spark_entry__ as spark_entry
 from seqlens.plans.catalog import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
-NO_SQL = {"c5_novel_groups", "c6_unplaced_rows", "c7_clusters", "c8_outliers", "q1_ordination", "a15k_tree"}
+NO_SQL = {"q1_ordination", "a15k_tree"}
 
 
 @pytest.fixture(scope="module")
