@@ -3,61 +3,60 @@
 from __future__ import annotations
 
 # The label registry, a row each: label | status | reported in humans | note.
-REGISTRY_ROWS = """
-ST1 | accepted | yes | Most prevalent globally; IBS association
-ST2 | accepted | yes | Common in humans; urticaria association
-ST3 | accepted | yes | Most prevalent globally; IBS-D association
-ST4 | accepted | yes | Europe-dominant; possible immunoprotective role
-ST5 | accepted | yes | Predominantly pigs; zoonotic in humans
-ST6 | accepted | yes | Primarily birds/poultry
-ST7 | accepted | yes | Primarily birds/poultry
-ST8 | accepted | yes | Non-human primates; rare in humans
-ST9 | accepted | yes | Human-specific; rare
-ST10 | accepted | yes | Artiodactyls; rare human reports; now split ST42-44
-ST11 | accepted | no | Non-human primates
-ST12 | accepted | yes | Non-human primates; occasional in humans
-ST13 | accepted | yes | Rare; occasional human reports
-ST14 | accepted | yes | Cattle/artiodactyls; rare in humans
-ST15 | accepted | no | Non-human primates
-ST16 | accepted | yes | Rare; occasional human reports
-ST17 | accepted | no | Rodents; cattle
-ST18 | contested | no | Proposed invalid — likely chimeric
-ST19 | contested | no | Proposed invalid — likely chimeric
-ST20 | contested | no | Proposed invalid — likely chimeric
-ST21 | accepted | no | Avian; accepted after full-length validation
-ST22 | contested | no | Proposed invalid — likely chimeric
-ST23 | accepted | yes | Reported in humans (Colombia, Thailand)
-ST24 | tentative | no | Cattle (USA)
-ST25 | tentative | no | Cattle
-ST26 | accepted | no | Cattle (USA); dominant in several US states
-ST27 | accepted | no | Full-length MinION validated
-ST28 | accepted | no | Full-length MinION validated
-ST29 | accepted | no | Full-length MinION validated
-ST30 | tentative | no | Limited data
-ST31 | tentative | no | Limited data
-ST32 | tentative | no | Limited data
-ST33 | tentative | no | Limited data
-ST34 | tentative | no | Limited data
-ST35 | accepted | yes | Human isolate 168; Nanopore full-length validated
-ST36 | accepted | no | Wild bat (S. lilium)
-ST37 | accepted | no | Wild rodent (Heteromyidae)
-ST38 | accepted | no | European water vole
-ST39 | tentative | no | Recently proposed
-ST40 | tentative | no | Recently proposed; Algeria study
-ST41 | tentative | yes | Reported in humans (China 2024)
-ST42 | accepted | no | ST10 split; Santin et al. 2024
-ST43 | accepted | no | ST10 split; Santin et al. 2024
-ST44 | accepted | no | ST10 split; Santin et al. 2024
-NMAST1 | avian_nmast | no | Non-mammalian avian ST
-NMAST2 | avian_nmast | no | Non-mammalian avian ST
-NMAST3 | avian_nmast | no | Non-mammalian avian ST
-NMAST4 | avian_nmast | no | Non-mammalian avian ST
-NMAST5 | avian_nmast | no | Non-mammalian avian ST
-NMAST6 | avian_nmast | no | Non-mammalian avian ST
-NMAST7 | avian_nmast | no | Non-mammalian avian ST
-NMAST8 | avian_nmast | no | Non-mammalian avian ST
-"""
-REGISTRY = [tuple(x.strip() for x in row.split(" | ")) for row in REGISTRY_ROWS.strip().splitlines()]
+REGISTRY = [
+    ("ST1", "accepted", "yes", "Most prevalent globally; IBS association"),
+    ("ST2", "accepted", "yes", "Common in humans; urticaria association"),
+    ("ST3", "accepted", "yes", "Most prevalent globally; IBS-D association"),
+    ("ST4", "accepted", "yes", "Europe-dominant; possible immunoprotective role"),
+    ("ST5", "accepted", "yes", "Predominantly pigs; zoonotic in humans"),
+    ("ST6", "accepted", "yes", "Primarily birds/poultry"),
+    ("ST7", "accepted", "yes", "Primarily birds/poultry"),
+    ("ST8", "accepted", "yes", "Non-human primates; rare in humans"),
+    ("ST9", "accepted", "yes", "Human-specific; rare"),
+    ("ST10", "accepted", "yes", "Artiodactyls; rare human reports; now split ST42-44"),
+    ("ST11", "accepted", "no", "Non-human primates"),
+    ("ST12", "accepted", "yes", "Non-human primates; occasional in humans"),
+    ("ST13", "accepted", "yes", "Rare; occasional human reports"),
+    ("ST14", "accepted", "yes", "Cattle/artiodactyls; rare in humans"),
+    ("ST15", "accepted", "no", "Non-human primates"),
+    ("ST16", "accepted", "yes", "Rare; occasional human reports"),
+    ("ST17", "accepted", "no", "Rodents; cattle"),
+    ("ST18", "contested", "no", "Proposed invalid — likely chimeric"),
+    ("ST19", "contested", "no", "Proposed invalid — likely chimeric"),
+    ("ST20", "contested", "no", "Proposed invalid — likely chimeric"),
+    ("ST21", "accepted", "no", "Avian; accepted after full-length validation"),
+    ("ST22", "contested", "no", "Proposed invalid — likely chimeric"),
+    ("ST23", "accepted", "yes", "Reported in humans (Colombia, Thailand)"),
+    ("ST24", "tentative", "no", "Cattle (USA)"),
+    ("ST25", "tentative", "no", "Cattle"),
+    ("ST26", "accepted", "no", "Cattle (USA); dominant in several US states"),
+    ("ST27", "accepted", "no", "Full-length MinION validated"),
+    ("ST28", "accepted", "no", "Full-length MinION validated"),
+    ("ST29", "accepted", "no", "Full-length MinION validated"),
+    ("ST30", "tentative", "no", "Limited data"),
+    ("ST31", "tentative", "no", "Limited data"),
+    ("ST32", "tentative", "no", "Limited data"),
+    ("ST33", "tentative", "no", "Limited data"),
+    ("ST34", "tentative", "no", "Limited data"),
+    ("ST35", "accepted", "yes", "Human isolate 168; Nanopore full-length validated"),
+    ("ST36", "accepted", "no", "Wild bat (S. lilium)"),
+    ("ST37", "accepted", "no", "Wild rodent (Heteromyidae)"),
+    ("ST38", "accepted", "no", "European water vole"),
+    ("ST39", "tentative", "no", "Recently proposed"),
+    ("ST40", "tentative", "no", "Recently proposed; Algeria study"),
+    ("ST41", "tentative", "yes", "Reported in humans (China 2024)"),
+    ("ST42", "accepted", "no", "ST10 split; Santin et al. 2024"),
+    ("ST43", "accepted", "no", "ST10 split; Santin et al. 2024"),
+    ("ST44", "accepted", "no", "ST10 split; Santin et al. 2024"),
+    ("NMAST1", "avian_nmast", "no", "Non-mammalian avian ST"),
+    ("NMAST2", "avian_nmast", "no", "Non-mammalian avian ST"),
+    ("NMAST3", "avian_nmast", "no", "Non-mammalian avian ST"),
+    ("NMAST4", "avian_nmast", "no", "Non-mammalian avian ST"),
+    ("NMAST5", "avian_nmast", "no", "Non-mammalian avian ST"),
+    ("NMAST6", "avian_nmast", "no", "Non-mammalian avian ST"),
+    ("NMAST7", "avian_nmast", "no", "Non-mammalian avian ST"),
+    ("NMAST8", "avian_nmast", "no", "Non-mammalian avian ST"),
+]
 
 # Labels that the literature gives to accessions.
 CURATED_LABELS = {"AB070987": "ST1", "U51151": "ST1"}

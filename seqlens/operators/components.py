@@ -6,24 +6,33 @@ import atexit
 import shutil
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df, written to and read from spark.checkpoint.dir, which all executors share.
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir, which the driver and all executors share.
 
     Where the session sets no such folder, one on this machine is made if all tasks run here too (a local master); on a cluster
     that is an error."""
+    sc = spark.sparkContext
+    shared = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not shared:
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        shared = tempfile.mkdtemp(prefix="seqlens-checkpoint-")
+        atexit.register(shutil.rmtree, shared, ignore_errors=True)
+        sc.setCheckpointDir(shared)
+    return shared
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df, written to and read from the shared folder."""
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-        if not shared:
-            if not (sc.master == "local" or sc.master.startswith("local[")):
-                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-            shared = tempfile.mkdtemp(prefix="seqlens-checkpoint-")
-            atexit.register(shutil.rmtree, shared, ignore_errors=True)
-        sc.setCheckpointDir(shared)
+        folder = shared_folder(df.sparkSession)
+        if not sc.getCheckpointDir():
+            sc.setCheckpointDir(folder)
     return df.checkpoint()
 
 

@@ -9,6 +9,10 @@ from seqlens.functions import metadata
 from seqlens.operators.components import checkpointed
 
 
+#: Columns of a crosstab, as of Spark's own pivot.
+MAX_COLUMNS = 10_000
+
+
 def first_per_key(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The first row of each key by order: an aggregate, so a hot key is cut down before the shuffle."""
     rest = [c for c in rows.columns if c not in order]
@@ -73,8 +77,11 @@ def pivot_counts(rows: DataFrame, row: str, column: str, values: list[str]) -> D
 
 
 def crosstab(rows: DataFrame, row: str, column: str) -> DataFrame:
-    """Counts by row and by each column value that occurs, in order."""
-    seen = sorted(r[0] for r in rows.select(column).distinct().collect() if r[0] is not None)
+    """Counts by row and by each column value that occurs, in order; more than MAX_COLUMNS values are refused."""
+    found = rows.select(column).where(F.col(column).isNotNull()).distinct().limit(MAX_COLUMNS + 1).collect()
+    if len(found) > MAX_COLUMNS:
+        raise ValueError(f"{column} has more than {MAX_COLUMNS} values")
+    seen = sorted(r[0] for r in found)
     return pivot_counts(rows, row, column, seen)
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import importlib
 import json
+import logging
 import re
 import time
 from collections.abc import Callable, Iterator
@@ -19,12 +20,13 @@ RECORD = f"accession string, name string, description string, organism string, s
 
 
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
-    """id, description (the whole header), seq, file of every record of the files at path."""
-    raw = spark.read.option("lineSep", "\n>").text(path).select("value", F.col("_metadata.file_name").alias("file"))
+    """id, description (the whole header), seq, file of every record of the files at path; and the columns that folders are named by."""
+    found = spark.read.option("lineSep", "\n>").text(path)
+    raw = found.select("value", F.col("_metadata.file_name").alias("file"), *found.columns[1:])
     text = F.regexp_replace("value", "^>", "")
     head = F.regexp_replace(F.regexp_extract(text, r"^([^\n]*)", 1), "\r$", "")
-    rows = raw.select(head.alias("description"), F.regexp_replace(F.regexp_replace(text, r"^[^\n]*", ""), r"\s", "").alias("seq"), "file").where(F.trim("description") != "")
-    return rows.select(F.regexp_extract("description", r"^(\S*)", 1).alias("id"), "description", "seq", "file")
+    rows = raw.select(head.alias("description"), F.regexp_replace(F.regexp_replace(text, r"^[^\n]*", ""), r"\s", "").alias("seq"), *raw.columns[1:]).where(F.trim("description") != "")
+    return rows.select(F.regexp_extract("description", r"^(\S*)", 1).alias("id"), "description", "seq", *raw.columns[1:])
 
 
 def read_labelled_folder(spark: SparkSession, path: str, suffix: str = "_filtered", exclude: tuple[str, ...] = ("ST_unassigned",)) -> DataFrame:
@@ -204,34 +206,49 @@ def request_interval(key: str | None) -> float:
     return 0.11 if key else 0.4
 
 
-class Page(InputPartition):
-    def __init__(self, start: int, size: int):
-        self.start, self.size = start, size
+class Pages(InputPartition):
+    """Pages that one task asks for, one after the other."""
+
+    def __init__(self, starts: list[int], size: int, total: int):
+        self.starts, self.size, self.total = starts, size, total
 
 
 class PagedReader(DataSourceReader):
     def __init__(self, options: dict, schema: StructType):
         self.options, self.names = dict(options), [f.name for f in schema]
+        self.retries, self.parallel = int(self.options.get("retries", "3")), max(1, int(self.options.get("parallel", "1")))
 
     def service(self):
         module, _, name = self.options["service"].partition(":")
         return getattr(importlib.import_module(module), name)(self.options)
 
-    def partitions(self) -> list[Page]:
+    def partitions(self) -> list[Pages]:
         size, most = int(self.options.get("batchsize", "100")), int(self.options.get("maxrecords", "10000"))
-        total = min(with_retries(lambda: [self.service().count()], int(self.options.get("retries", "3")))[0], most)
-        return [Page(i, min(size, total - i)) for i in range(0, total, size)]
-
-    def read(self, page: Page) -> Iterator[tuple]:
-        got = with_retries(lambda: self.service().fetch(page.start, page.size), int(self.options.get("retries", "3")))
-        time.sleep(float(self.options.get("interval", request_interval(self.options.get("apikey")))))
-        for row in got or []:  # a page that stays away is skipped
-            yield tuple(row.get(n) for n in self.names)
+        counted = with_retries(lambda: [self.service().count()], self.retries)
+        if counted is None:
+            raise OSError("the service doesn't tell its number of records")
+        total = min(counted[0], most)
+        starts = list(range(0, total, size))
+        return [Pages(own, size, total) for i in range(self.parallel) if (own := starts[i :: self.parallel])] or [Pages([], size, total)]
+
+    def read(self, pages: Pages) -> Iterator[tuple]:
+        interval = float(self.options.get("interval", request_interval(self.options.get("apikey"))))
+        for start in pages.starts:
+            got = with_retries(lambda: self.service().fetch(start, min(pages.size, pages.total - start)), self.retries)  # noqa: B023
+            time.sleep(interval * self.parallel)  # all tasks together keep to the interval
+            if got is None:
+                lost = f"records from {start} on are missing: all tries failed"
+                if self.options.get("onlost", "fail") == "fail":
+                    raise OSError(lost)
+                logging.getLogger(__name__).warning(lost)
+            for row in got or []:
+                yield tuple(row.get(n) for n in self.names)
 
 
 class PagedRecords(DataSource):
-    """format("paged"): a task for each page of a service. Options: service ("module:factory", made from the options, with count() and
-    fetch(start, size)), batchsize, maxrecords, retries, interval, apikey."""
+    """format("paged"): the pages of a service. Options: service ("module:factory", made from the options, with count() and
+    fetch(start, size)), batchsize, maxrecords, retries, interval (seconds between requests, of all tasks together), apikey, parallel (tasks
+    that ask at once, 1 unless given), onlost (a page of which all tries fail: "fail", or "skip" with a warning)."""
 
     @classmethod
     def name(cls) -> str:
@@ -258,6 +275,19 @@ class JsonLines:
         return self.rows[start : start + size]
 
 
+class Numbered:
+    """A service of made-up records, as many as the option records says."""
+
+    def __init__(self, options: dict):
+        self.n = int(options.get("records", "0"))
+
+    def count(self) -> int:
+        return self.n
+
+    def fetch(self, start: int, size: int) -> list[dict]:
+        return [{"accession": f"AC{i}", "description": f"record {i}", "seq": "ACGT"[i % 4] * (i % 7)} for i in range(start, min(start + size, self.n))]
+
+
 def by_accession(rows: DataFrame, accessions: list[str]) -> DataFrame:
     """The records of a list of accessions, the last of each."""
     own = rows.where(F.col("accession").isin(list(dict.fromkeys(accessions))))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
@@ -18,8 +19,8 @@ def merge_stream(stream: DataFrame, table: str, checkpoint: str, key: str = "acc
         first = relational.first_per_key(batch, [key], ["ord"])
         try:
             known = session.read.parquet(table).select(key)
-        except Exception as e:  # noqa: BLE001 - only a missing table is expected
-            if "PATH_NOT_FOUND" not in str(e):
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":  # the first batch makes the table
                 raise
             known = batch.limit(0).select(key)
         first.join(known, key, "left_anti").write.mode("append").parquet(table)

@@ -1,5 +1,6 @@
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from seqlens.functions import metadata
@@ -87,10 +88,24 @@ def test_paged_source(spark, tmp_path):
     spark.dataSource.register(readers.PagedRecords)
     options = {"service": "seqlens.sources.readers:JsonLines", "file": f"{tmp_path}/rows.jsonl", "batchsize": "10", "interval": "0"}
     df = spark.read.format("paged").options(**options).load()
-    assert df.count() == 25 and df.rdd.getNumPartitions() == 3
+    assert df.count() == 25 and df.rdd.getNumPartitions() == 1  # requests are made one after the other
+    assert spark.read.format("paged").options(**options, parallel="2").load().rdd.getNumPartitions() == 2
     assert spark.read.format("paged").options(**options, maxrecords="12").load().count() == 12
 
 
+def test_lost_pages(spark):
+    """A page of which all tries fail is an error, or skipped where that is asked for."""
+    options = {"service": "seqlens.sources.readers:Numbered", "records": "30", "batchsize": "10", "interval": "0", "retries": "0"}
+    reader = readers.PagedReader(options, spark.createDataFrame([], "accession string").schema)
+    (pages,) = reader.partitions()
+    broken = type("Broken", (), {"fetch": lambda self, start, size: 1 / 0 if start == 10 else readers.Numbered(options).fetch(start, size)})
+    reader.service = broken
+    with pytest.raises(OSError, match="from 10 on"):
+        list(reader.read(pages))
+    reader.options["onlost"] = "skip"
+    assert len(list(reader.read(pages))) == 20
+
+
 def test_retries():
     waits, tries = [], iter([OSError(), OSError(), [1]])
 
