@@ -1,4 +1,4 @@
-"""Pair distances: of aligned sequences by tiles, of k-mer sets by joins; and what is derived from a distance table.
+"""Pair distances: of aligned sequences and of k-mer sets, both by tiles; and what is derived from a distance table.
 
 A distance table has id_a, id_b, d with id_a < id_b."""
 
@@ -13,6 +13,8 @@ from seqlens.functions import fixed, kmers
 from seqlens.operators.layout import spread
 
 TILE = 512
+#: k-mers of a tile that are counted at once.
+COLUMNS = 4096
 CODE = np.zeros(256, np.uint8)
 for _i, _letters in enumerate((b"Aa", b"Cc", b"Gg", b"TtUu"), 1):
     for _b in _letters:
@@ -37,25 +39,33 @@ def tile(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return both.round().astype(np.int64), (both - same).round().astype(np.int64)
 
 
-def aligned_pairs(rows: DataFrame, id_type: str = "long", tile_rows: int = TILE) -> DataFrame:
-    """id_a, id_b, comparable, differing, p of all pairs of aligned sequences (id, seq); p is 1 where nothing is comparable.
-
-    Rows are dealt to blocks of about tile_rows by a hash of the id; each pair of blocks is one tile."""
+def in_tiles(rows: DataFrame, columns: list[str], tile_rows: int) -> DataFrame:
+    """rows (id and columns) with block, i, j: rows are dealt to blocks of about tile_rows by a hash of the id; each pair of blocks i <= j is a
+    tile, and a block's rows go to all tiles that it is part of."""
     blocks = max(1, -(-rows.count() // tile_rows))
-    own = rows.select("id", "seq", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"))
+    own = rows.select("id", *columns, F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"))
     part = F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda j: F.struct(F.least("block", j).alias("i"), F.greatest("block", j).alias("j")))
-    dealt = own.select("id", "seq", "block", F.explode(part).alias("t")).select("id", "seq", "block", "t.i", "t.j")
+    return own.select("id", *columns, "block", F.explode(part).alias("t")).select("id", *columns, "block", "t.i", "t.j")
+
+
+def pairs_of(left: pd.DataFrame, right: pd.DataFrame, same: bool) -> tuple[np.ndarray, ...]:
+    """Places in left and right, lower and higher id of the pairs of a tile."""
+    a, b = left["id"].to_numpy(), right["id"].to_numpy()
+    x, y = np.nonzero(a[:, None] < b[None, :] if same else a[:, None] != b[None, :])
+    return x, y, np.where(a[x] < b[y], a[x], b[y]), np.where(a[x] < b[y], b[y], a[x])
+
+
+def aligned_pairs(rows: DataFrame, id_type: str = "long", tile_rows: int = TILE) -> DataFrame:
+    """id_a, id_b, comparable, differing, p of all pairs of aligned sequences (id, seq); p is 1 where nothing is comparable."""
 
     def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         i, j = key
         left, right = frame[frame["block"] == i], frame[frame["block"] == j]
         both, differing = tile(encode(left["seq"].tolist()), encode(right["seq"].tolist()))
-        a, b = left["id"].to_numpy(), right["id"].to_numpy()
-        x, y = np.nonzero(a[:, None] < b[None, :] if i == j else a[:, None] != b[None, :])
-        low, high = np.where(a[x] < b[y], a[x], b[y]), np.where(a[x] < b[y], b[y], a[x])
+        x, y, low, high = pairs_of(left, right, i == j)
         return pd.DataFrame({"id_a": low, "id_b": high, "comparable": both[x, y], "differing": differing[x, y]})
 
-    pairs = dealt.groupBy("i", "j").applyInPandas(run, f"id_a {id_type}, id_b {id_type}, comparable long, differing long")
+    pairs = in_tiles(rows, ["seq"], tile_rows).groupBy("i", "j").applyInPandas(run, f"id_a {id_type}, id_b {id_type}, comparable long, differing long")
     return pairs.withColumn("p", F.when(F.col("comparable") == 0, 1.0).otherwise(F.col("differing") / F.col("comparable")))
 
 
@@ -64,14 +74,48 @@ def corrected(pairs: DataFrame, p: str = "p") -> DataFrame:
     return pairs.withColumn("d", kmers.jukes_cantor(F.col(p)))
 
 
-def kmer_pairs(rows: DataFrame, k: int = fixed.MATRIX_KMER) -> DataFrame:
-    """id_a, id_b, shared, d of the pairs of (id, seq) that share a k-mer; all others are at distance 1."""
-    sets = spread(rows.select("id", "seq")).select("id", kmers.kmer_set(F.col("seq"), k).alias("s"))
-    sets = sets.select("id", F.size("s").alias("n"), "s").select("id", "n", F.explode("s").alias("kmer"))
-    a = sets.select(F.col("id").alias("id_a"), F.col("n").alias("na"), "kmer")
-    b = sets.select(F.col("id").alias("id_b"), F.col("n").alias("nb"), "kmer")
-    counts = a.join(b, "kmer").where("id_a < id_b").groupBy("id_a", "id_b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"), F.count(F.lit(1)).alias("shared"))
-    return counts.select("id_a", "id_b", "shared", kmers.jaccard_from_counts(F.col("shared"), F.col("na"), F.col("nb")).alias("d"))
+def shared_kmers(left: list[set[str]], right: list[set[str]]) -> np.ndarray:
+    """How many k-mers each two sets share: products of indicator matrices, COLUMNS k-mers at a time."""
+    common = set().union(*left) & set().union(*right)
+    number = {m: n for n, m in enumerate(common)}
+    shared = np.zeros((len(left), len(right)), np.float32)
+    ends = np.arange(0, len(number) + COLUMNS, COLUMNS)
+    sides = []
+    for sets in (left, right):
+        at = [np.fromiter((n for m in own if (n := number.get(m)) is not None), np.int64) for own in sets]
+        row, column = np.repeat(np.arange(len(sets)), [len(x) for x in at]), np.concatenate([*at, np.zeros(0, np.int64)])
+        order = np.argsort(column, kind="stable")
+        sides.append((len(sets), row[order], column[order], np.searchsorted(column[order], ends)))
+    for c in range(len(ends) - 1):
+        chunk = []
+        for n, row, column, start in sides:
+            own = slice(start[c], start[c + 1])
+            chunk.append(np.zeros((n, COLUMNS), np.float32))
+            chunk[-1][row[own], column[own] - ends[c]] = 1.0
+        shared += chunk[0] @ chunk[1].T
+    return shared.round().astype(np.int64)
+
+
+def kmer_pairs(rows: DataFrame, k: int = fixed.MATRIX_KMER, tile_rows: int = TILE) -> DataFrame:
+    """id_a, id_b, shared, d of the pairs of (id, seq) that share a k-mer; all others are at distance 1.
+
+    Counted tile by tile, so that a k-mer which all sequences have costs no more than another."""
+    source = spread(rows.select("id", "seq")).select("id", F.coalesce(F.translate(F.upper("seq"), "-N", ""), F.lit("")).alias("seq"))
+    id_type = rows.schema["id"].dataType.simpleString()
+
+    def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        i, j = key
+        left, right = frame[frame["block"] == i], frame[frame["block"] == j]
+        sets = [[{t[n : n + k] for n in range(len(t) - k + 1)} for t in side["seq"]] for side in (left, right)]
+        shared = shared_kmers(*sets)
+        x, y, low, high = pairs_of(left, right, i == j)
+        some = shared[x, y] > 0
+        x, y, low, high = x[some], y[some], low[some], high[some]
+        na, nb = (np.fromiter(map(len, side), np.int64, len(side)) for side in sets)
+        union = na[x] + nb[y] - shared[x, y]
+        return pd.DataFrame({"id_a": low, "id_b": high, "shared": shared[x, y], "d": 1.0 - shared[x, y] / union})
+
+    return in_tiles(source, ["seq"], tile_rows).groupBy("i", "j").applyInPandas(run, f"id_a {id_type}, id_b {id_type}, shared long, d double")
 
 
 def distance_table(rows: DataFrame, aligned: bool, correct: bool = False, id_type: str = "long") -> DataFrame:

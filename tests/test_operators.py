@@ -97,6 +97,18 @@ def test_tiles(spark):
             assert (n, m) == (len(both), sum(x != y for x, y in both)) and p == (m / n if n else 1.0)
 
 
+@pytest.mark.parametrize("letters", ["ACGT", "ACGTacgt-Nß", "абв中😀"])
+def test_kmer_pairs(spark, monkeypatch, letters):
+    r = random.Random(6)
+    seqs = ["".join(r.choice(letters) for _ in range(r.randint(0, 40))) for _ in range(30)] + [None, "", letters[:2]]
+    sets = [{t[i : i + 3] for t in [(s or "").upper().replace("-", "").replace("N", "")] for i in range(len(t) - 2)} for s in seqs]
+    want = {(a, b): (len(sets[a] & sets[b]), 1 - len(sets[a] & sets[b]) / len(sets[a] | sets[b])) for a in range(len(seqs)) for b in range(a + 1, len(seqs)) if sets[a] & sets[b]}
+    rows = spark.createDataFrame(list(enumerate(seqs)), "id long, seq string")
+    for tile_rows, columns in ((512, 4096), (7, 5)):
+        monkeypatch.setattr(distance, "COLUMNS", columns)
+        assert {(x["id_a"], x["id_b"]): (x["shared"], x["d"]) for x in distance.kmer_pairs(rows, 3, tile_rows).collect()} == want
+
+
 @pytest.fixture(params=["one pass", "join"])
 def either_way(request, monkeypatch):
     if request.param == "join":
