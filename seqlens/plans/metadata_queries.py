@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from seqlens.functions import fixed, metadata
-from seqlens.operators import curation, relational
+from seqlens.operators import acquisition, curation, relational
+from seqlens.operators.components import shared_folder
 from seqlens.operators.layout import spread
 from seqlens.plans.bindings import GENUS, SPECIMENS, records, specimens, table
 from seqlens.plans.catalog import query
@@ -337,3 +340,34 @@ def c2(spark, sf):
 def c15(spark, sf):
     row = curation.manifest_row(GENUS, F.col("label"), F.col("confidence"), F.lit(""), F.lit(""))
     return records(spark, sf).select(*row).drop("st_validation", "retrieved_at_utc", "ncbi_query")
+
+
+GENE = S + ", t AS (SELECT * REPLACE (concat(description, ' 18S rRNA gene') AS description) FROM s)"
+NARROW = GENE + f""", h AS (SELECT *, {RAW_HOST} AS raw_host, {HOST_SOURCE} AS raw_source, {TECHNOLOGY} AS tech, {DECLARED} AS d FROM t WHERE contains(lower(description), 'subtype 7') OR contains(lower(description), 'st7') OR contains(lower(description), 'st 7'))
+SELECT accession, 'ST7' AS subtype, CASE WHEN len(d) = 0 THEN 'low' WHEN len(d) = 1 THEN 'high' ELSE 'medium' END AS st_confidence, 'pass1_narrow' AS acquisition_pass, {BLOCK} FROM h WHERE len(d) = 0 OR list_contains(d, 'ST7')"""
+
+
+def gene_records(spark, sf):
+    return records(spark, sf).withColumn("description", F.concat("description", F.lit(" 18S rRNA gene")))
+
+
+@query("c10_narrow_pass", NARROW)
+def c10(spark, sf):
+    return acquisition.narrow_pass(gene_records(spark, sf), "ST7", GENUS).drop("ord", "seq", "st_validation", "retrieved_at_utc", "ncbi_query")
+
+
+@query("c11_second_pass")
+def c11(spark, sf):
+    """What references and the broad search add to a first pass for ST7."""
+    own = gene_records(spark, sf)
+    first = acquisition.narrow_pass(own, "ST7", GENUS)
+    return acquisition.second_pass(first, own.where("source = 'curated_reference'"), own.where("source = 'broad_query'"), GENUS, min_length=1, max_dist=0.9).select("accession", "subtype", "st_confidence", "acquisition_pass", "md5")
+
+
+@query("s12_resumed_run", S + "SELECT ord, accession FROM s WHERE confidence = 'high'")
+def s12(spark, sf):
+    """A step that is entered twice: the second time its table is read."""
+    path = f"{shared_folder(spark)}/step-{uuid.uuid4().hex}"
+    step = lambda: specimens(spark, sf).where("confidence = 'high'").select("ord", "accession")
+    acquisition.resumed(spark, path, step)
+    return acquisition.resumed(spark, path, lambda: step().limit(0))

@@ -1,10 +1,11 @@
+import hashlib
 import itertools
 import math
 import random
 
 import numpy as np
 import pytest
-
+from pyspark.sql import functions as F
 
 from seqlens.operators import clustering, curation, distance, ordination, relational, similarity
 from seqlens.operators import nearest as kernel
@@ -201,3 +202,53 @@ def test_curate(spark):
     records = spark.createDataFrame([(i, a, "n", "d", "", s, "", {}, [("source", {"isolate": [x]} if x else {})], "broad_query", "q") for i, (a, x, s) in enumerate(rows)], f"ord long, accession string, name string, description string, organism string, seq string, comment string, structured_comment map<string,map<string,string>>, features {features}, source string, query string")
     got = {x["accession"]: (x["subtype"], x["st_confidence"]) for x in curation.curate(records, "Examplea").collect()}
     assert got == {"AB1.1": ("ST1", "high"), "AB3.1": ("ST1", "high"), "AB4.1": ("novel_1", "novel_cluster"), "AB5.1": ("novel_1", "novel_cluster"), "AB6.1": ("ST_unassigned", "unplaced")}
+
+
+def test_second_pass(spark):
+    """Against the rules, record by record."""
+    from seqlens.operators import acquisition
+    from seqlens.plans import metadata_queries as queries
+
+    own = queries.gene_records(spark, "/root/testdata/sf0.001").cache()
+    first = acquisition.narrow_pass(own, "ST7", queries.GENUS).cache()
+    rows = own.select("accession", "ord", "seq", "source").collect()
+    had = {r["accession"] for r in first.collect()}
+    bare = {a.split(".")[0] for a in had}
+    contents, added = {r["md5"] for r in first.collect()}, {}
+    sets = lambda t: {t[i : i + 8] for t in [t.upper().replace("-", "").replace("N", "")] for i in range(len(t) - 7)}
+    seeds = sorted((r["accession"], sets(r["seq"])) for r in first.collect())
+    for r in sorted((r for r in rows if r["source"] == "broad_query" and r["accession"] not in had and r["accession"].split(".")[0] not in bare), key=lambda r: r["ord"]):
+        mine = sets(r["seq"])
+        nearest = min((1 - len(mine & s) / len(mine | s) if mine and s else 1.0 for _, s in seeds), default=1.0)
+        md5 = hashlib.md5(r["seq"].upper().encode()).hexdigest()
+        if mine and nearest <= 0.9 and md5 not in contents:
+            contents.add(md5)
+            added[r["accession"]] = md5
+    found = {r["accession"]: r for r in acquisition.second_pass(first, own.where("source = 'curated_reference'"), own.where("source = 'broad_query'"), queries.GENUS, min_length=1, max_dist=0.9).collect()}
+    assert added and {a: r["md5"] for a, r in found.items()} == added
+    assert {r["subtype"] for r in found.values()} == {"ST7"} and {r["acquisition_pass"] for r in found.values()} == {"pass2_placement"}
+    unchecked = acquisition.narrow_pass(own, "ST7", queries.GENUS, validate=False)
+    assert unchecked.count() >= first.count() and {r[0] for r in unchecked.select("st_confidence").distinct().collect()} == {"unchecked"}
+
+
+def test_references_come_before_placed_records(spark):
+    from seqlens.functions import fixed
+    from seqlens.operators import acquisition
+    from seqlens.plans import metadata_queries as queries
+
+    own = queries.gene_records(spark, "/root/testdata/sf0.001")
+    first = acquisition.narrow_pass(own, "ST7", queries.GENUS)
+    one = own.where("source = 'broad_query'").orderBy("ord").limit(1)
+    reference = one.withColumn("accession", F.lit(next(iter(fixed.CURATED_LABELS)) + ".1"))
+    out = acquisition.second_pass(first, reference, one, queries.GENUS, min_length=1, max_dist=1.0).collect()
+    assert [(r["st_confidence"], r["acquisition_pass"]) for r in out] == [("curated_reference", "pass2_reference")]
+
+
+def test_resumed_steps(spark, tmp_path):
+    from seqlens.operators import acquisition
+
+    path, made = f"{tmp_path}/step", []
+    make = lambda: made.append(1) or spark.range(5)
+    assert acquisition.resumed(spark, path, make).count() == acquisition.resumed(spark, path, make).count() == 5 and len(made) == 1
+    (tmp_path / "broken" / "_temporary").mkdir(parents=True)
+    assert acquisition.resumed(spark, f"{tmp_path}/broken", make).count() == 5
