@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from seqlens.functions import fixed
-from seqlens.operators import distance
+from seqlens.operators import distance, relational
 from seqlens.operators.components import connected_components
 
 
@@ -87,7 +87,7 @@ def outliers(labels: DataFrame, pairs: DataFrame, multiplier: float = fixed.OUTL
     own = labels.join(sized, "label")
     inner = distance.labelled(pairs, own.select("id", "label")).where("same")
     medoid = distance.medoids(inner.select("id_a", "id_b", "d"), own.select("id", "label")).select("label", "medoid")
-    median = inner.groupBy(F.col("label_a").alias("label")).agg(F.percentile("d", 0.5).alias("median"))
+    median = relational.quantiles(inner.select(F.col("label_a").alias("label"), "d"), ["label"], "d", {"median": 0.5}).drop("n")
     by_cluster = own.groupBy("label", "cluster").agg(F.count(F.lit(1)).alias("m"))
     dominant = by_cluster.groupBy("label").agg(F.min_by("cluster", F.struct(-F.col("m"), F.col("cluster"))).alias("dominant"), (F.max("m") / F.sum("m")).alias("share"))
     to_medoid = distance.both_ways(inner.select("id_a", "id_b", "d")).select("id", F.col("other").alias("medoid"), "d")

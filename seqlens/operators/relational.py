@@ -146,10 +146,42 @@ def runs(rows: DataFrame, part: list[str], order: list[str], label: str) -> Data
     return rows.withColumn("_c", changed).withColumn("run", F.sum("_c").over(w)).groupBy(*part, "run", label).agg(F.count(F.lit(1)).alias("n"))
 
 
+def quantiles(rows: DataFrame, keys: list[str], value: str, points: dict[str, float]) -> DataFrame:
+    """keys, n and for each name of points the value at that share of a key's rows, interpolated between neighbours. Nulls don't count.
+
+    Exact: rows are counted by key and value, dealt out by ranges of both and summed within a range; what a key has in ranges before is
+    added. So no task holds all values of a key, as an aggregate's buffer would."""
+    part, v = "_part", "_v"
+    own = rows.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias(v)).agg(F.count(F.lit(1)).alias("_c"))
+    dealt = checkpointed(own.repartitionByRange(*keys, v).withColumn(part, F.spark_partition_id()))
+    sums = dealt.groupBy(*keys, part).agg(F.sum("_c").alias("_t"))  # about a row for each partition and key
+    earlier = Window.partitionBy(*keys).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    totals = sums.select(*keys, part, F.coalesce(F.sum("_t").over(earlier), F.lit(0)).alias("_before"), F.sum("_t").over(Window.partitionBy(*keys)).alias("n"))
+    here = Window.partitionBy(part, *keys).orderBy(v).rowsBetween(Window.unboundedPreceding, -1)
+    ranked = dealt.withColumn("_lower", F.coalesce(F.sum("_c").over(here), F.lit(0)))
+    same = F.lit(True)
+    for k in (*keys, part):
+        same = same & ranked[k].eqNullSafe(totals[k])
+    low = F.col("_lower") + F.col("_before")
+    placed = ranked.join(totals, same).select(*[ranked[k] for k in keys], v, "n", low.alias("_low"), (low + F.col("_c")).alias("_high"))
+    at = lambda i: F.max(F.when((F.col("_low") <= i) & (F.col("_high") > i), F.col(v)))
+    picked = []
+    for name, p in points.items():
+        h = F.lit(p) * (F.col("n") - 1)
+        picked += [at(F.floor(h)).alias(f"_{name}_a"), at(F.ceil(h)).alias(f"_{name}_b")]
+    found = placed.groupBy(*keys, "n").agg(*picked)
+
+    def between(name: str, p: float) -> Column:
+        h = F.lit(p) * (F.col("n") - 1)
+        a, b = F.col(f"_{name}_a"), F.col(f"_{name}_b")
+        return F.when(F.floor(h) == F.ceil(h), a).otherwise((F.ceil(h) - h) * a + (h - F.floor(h)) * b)
+
+    return found.select(*keys, "n", *[between(name, p).cast("double").alias(name) for name, p in points.items()])
+
+
 def five_numbers(rows: DataFrame, key: str, value: str) -> DataFrame:
     """Minimum, quartiles and maximum, interpolated between neighbours."""
-    p = F.percentile(value, F.array(*map(F.lit, (0.0, 0.25, 0.5, 0.75, 1.0))))
-    return rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"), p.alias("_p")).select(key, "n", *[F.col("_p")[i].alias(c) for i, c in enumerate(("low", "q1", "median", "q3", "high"))])
+    return quantiles(rows, [key], value, {"low": 0.0, "q1": 0.25, "median": 0.5, "q3": 0.75, "high": 1.0})
 
 
 def cliffs_delta(rows: DataFrame, group: str, a: str, b: str, value: str) -> DataFrame:

@@ -267,14 +267,20 @@ def j15(spark, sf):
 
 @query("g4_within_label", ALIGNED + f" SELECT label_a AS label, count(*) AS n, {rounded('avg(d)')} AS mean, {rounded('median(d)')} AS median, {rounded('max(d)')} AS most FROM y WHERE label_a = label_b GROUP BY 1")
 def g4(spark, sf):
-    own = distance.labelled(pairs(spark, sf), labels_of(spark, sf)).where("same")
-    return own.groupBy(F.col("label_a").alias("label")).agg(F.count(F.lit(1)).alias("n"), six(F.avg("d")).alias("mean"), six(F.percentile("d", 0.5)).alias("median"), six(F.max("d")).alias("most"))
+    own = distance.labelled(pairs(spark, sf), labels_of(spark, sf)).where("same").select(F.col("label_a").alias("label"), "d")
+    return within(own, "mean", "median", "most")
+
+
+def within(rows, mean: str, median: str, most: str):
+    """label, n, and the mean, median and greatest d of each label."""
+    middle = relational.quantiles(rows, ["label"], "d", {median: 0.5, most: 1.0}).select("label", "n", six(F.col(median)).alias(median), six(F.col(most)).alias(most))
+    return middle.join(rows.groupBy("label").agg(six(F.avg("d")).alias(mean)), "label").select("label", "n", mean, median, most)
 
 
 @query("g5_novel_medians", ALIGNED + f" SELECT label_a AS label, count(*) AS n, {rounded('median(p)')} AS median FROM y WHERE label_a = label_b AND label_a LIKE 'novel%' GROUP BY 1")
 def g5(spark, sf):
     own = distance.labelled(distance.distance_table(fragments(spark, sf), aligned=True), labels_of(spark, sf)).where("same AND label_a LIKE 'novel%'")
-    return own.groupBy(F.col("label_a").alias("label")).agg(F.count(F.lit(1)).alias("n"), six(F.percentile("d", 0.5)).alias("median"))
+    return relational.quantiles(own.select(F.col("label_a").alias("label"), "d"), ["label"], "d", {"median": 0.5}).withColumn("median", six(F.col("median")))
 
 
 @query("g13_neighbour_vote", MAPPED + " SELECT t.qid AS id, t.label AS best, v.label AS vote FROM t JOIN v ON t.qid = v.qid AND rank = 1 AND o = 1")
@@ -285,7 +291,7 @@ def g13(spark, sf):
 
 @query("q3_intra_inter", ALIGNED + f" SELECT same, count(*) AS n, {rounded('median(d)')} AS median FROM (SELECT label_a = label_b AS same, d FROM y WHERE {KNOWN}) GROUP BY same")
 def q3(spark, sf):
-    return known_pairs(spark, sf).groupBy("same").agg(F.count(F.lit(1)).alias("n"), six(F.percentile("d", 0.5)).alias("median"))
+    return relational.quantiles(known_pairs(spark, sf).select("same", "d"), ["same"], "d", {"median": 0.5}).withColumn("median", six(F.col("median")))
 
 
 @query("a14k_cliffs_delta", ALIGNED + f", z AS (SELECT label_a = label_b AS same, d FROM y WHERE {KNOWN}) SELECT {rounded('sum(CASE WHEN a.d > b.d THEN 1 WHEN a.d < b.d THEN -1 ELSE 0 END)::DOUBLE / count(*)')} AS delta FROM z a JOIN z b ON a.same AND NOT b.same")
@@ -333,14 +339,14 @@ def q2(spark, sf):
 @query("q2_heatmap_cap", ALIGNED + f" SELECT {rounded('quantile_cont(d, 0.95)')} AS cap FROM e")
 def q2_cap(spark, sf):
     """Where the scale of the heat map ends."""
-    return pairs(spark, sf).agg(six(F.percentile("d", 0.95)).alias("cap"))
+    return relational.quantiles(pairs(spark, sf).select("d"), [], "d", {"cap": 0.95}).select(six(F.col("cap")).alias("cap"))
 
 
 @query("q4_axis", ALIGNED + f", ax AS (SELECT quantile_cont(d, 0.99) AS p FROM y WHERE label_a = label_b AND {KNOWN}) SELECT {rounded("p")} AS p99, CASE WHEN p < 0.2 THEN -0.005::DOUBLE END AS low, CASE WHEN p < 0.2 THEN {rounded('greatest(0.15, 1.5 * p)')} END AS high FROM ax")
 def q4_axis(spark, sf):
     """The axis of the boxes: cut where the 99th percentile is small, else left to the values."""
     p = F.col("p")
-    own = known_pairs(spark, sf).where("same").agg(F.percentile("d", 0.99).alias("p"))
+    own = relational.quantiles(known_pairs(spark, sf).where("same").select("d"), [], "d", {"p": 0.99})
     return own.select(six(p).alias("p99"), F.when(p < 0.2, F.lit(-0.005)).alias("low"), F.when(p < 0.2, six(F.greatest(F.lit(0.15), 1.5 * p))).alias("high"))
 
 
@@ -383,8 +389,8 @@ def q21(spark, sf):
     own, made = clustered(spark, sf)
     rows = made.where("label <> 'Unknown'").join(fragments(spark, sf).drop("label", "seq", "country"), "id").join(apart(own, made).select("id", "potential_novel_variant"), "id")
     out = rows.groupBy("label").agg(F.count(F.lit(1)).alias("n_sequences"), F.countDistinct("cluster_variant").alias("n_variant_clusters"), F.count_if("potential_novel_variant").alias("n_novel_candidates")).where("n_sequences > 1")
-    inner = distance.labelled(own, labels_of(spark, sf)).where("same").groupBy(F.col("label_a").alias("label"))
-    out = out.join(inner.agg(six(F.avg("d")).alias("mean_intra"), six(F.percentile("d", 0.5)).alias("median_intra"), six(F.max("d")).alias("max_intra")), "label")
+    inner = distance.labelled(own, labels_of(spark, sf)).where("same").select(F.col("label_a").alias("label"), "d")
+    out = out.join(within(inner, "mean_intra", "median_intra", "max_intra").drop("n"), "label")
     reg = curation.registry(spark).select("label", "status", F.col("human").alias("reported_in_humans"), F.col("note").alias("registry_note"))
     out = out.join(F.broadcast(reg), "label", "left").withColumns({"status": F.coalesce("status", F.lit("unknown")), "reported_in_humans": F.coalesce("reported_in_humans", F.lit(False)), "registry_note": F.coalesce("registry_note", F.lit(""))})  # 52 rows
     for column, n, name in (("confidence", 1000, "confidence_breakdown"), ("host", 3, "top_hosts"), ("technology", 1000, "sequencing_technologies")):

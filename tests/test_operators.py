@@ -204,6 +204,22 @@ def test_curate(spark):
     assert got == {"AB1.1": ("ST1", "high"), "AB3.1": ("ST1", "high"), "AB4.1": ("novel_1", "novel_cluster"), "AB5.1": ("novel_1", "novel_cluster"), "AB6.1": ("ST_unassigned", "unplaced")}
 
 
+def test_quantiles(spark):
+    r = random.Random(2)
+    rows = [(r.choice(["a", "a", "a", "b", None]), r.choice([None, *(x / 7 for x in range(50))])) for _ in range(3000)] + [("one", 3.5), ("none", None)]
+    points = {"low": 0.0, "q1": 0.25, "m": 0.5, "p": 0.987, "high": 1.0}
+    df = spark.createDataFrame(rows, "k string, v double").repartition(6)
+    found = {x["k"]: x for x in relational.quantiles(df, ["k"], "v", points).collect()}
+    assert found.keys() == {"a", "b", None, "one"}
+    for k, x in found.items():
+        values = [v for key, v in rows if key == k and v is not None]
+        assert x["n"] == len(values)
+        assert all(math.isclose(x[name], np.quantile(values, p), abs_tol=1e-12) for name, p in points.items())
+    (x,) = relational.quantiles(df, [], "v", {"m": 0.5}).collect()
+    assert math.isclose(x["m"], np.quantile([v for _, v in rows if v is not None], 0.5))
+    assert relational.quantiles(df.limit(0), ["k"], "v", points).collect() == []
+
+
 def test_second_pass(spark):
     """Against the rules, record by record."""
     from seqlens.operators import acquisition
