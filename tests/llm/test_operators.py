@@ -367,10 +367,12 @@ def test_addresses_and_national_numbers(spark):
     assert out[1].endswith("Not 01-02-2024, 12.02.2024 or 1.020 3456789")
 
 
-@pytest.mark.parametrize("text", ["a@b" + ".c" * 500_000, "a" * 1_000_000 + "@b.co", "a@" + "b-" * 500_000, "password=" + "a1" * 500_000, "password=" * 110_000, "1" * 1_000_000, "+1" * 500_000, "0123 4567 " * 100_000, "1:" * 500_000, "ab1::" * 200_000, "1." * 500_000, "DE12 " + "ABCD " * 200_000, "Mr A" + "'Aa" * 330_000, "Mr Aa" + "-aa" * 330_000, "MR " + "AB" * 500_000, "Mr Ab " + "Cde " * 250_000, "Mr " * 5_000], ids=lambda t: t[:12])
-def test_texts_of_a_million_characters(spark, text):
-    (out,) = replaced_texts(spark, [text])
-    assert out == text if text[0] in "1+:" else out
+LONG_TEXTS = ["a@b" + ".c" * 500_000, "a" * 1_000_000 + "@b.co", "a@" + "b-" * 500_000, "password=" + "a1" * 500_000, "password=" * 110_000, "1" * 1_000_000, "+1" * 500_000, "0123 4567 " * 100_000, "1:" * 500_000, "ab1::" * 200_000, "1." * 500_000, "DE12 " + "ABCD " * 200_000, "Mr A" + "'Aa" * 330_000, "Mr Aa" + "-aa" * 330_000, "MR " + "AB" * 500_000, "Mr Ab " + "Cde " * 250_000, "Mr " * 5_000]
+
+
+def test_texts_of_a_million_characters(spark):
+    for text, out in zip(LONG_TEXTS, replaced_texts(spark, LONG_TEXTS), strict=True):
+        assert out == text if text[0] in "1+:" else out
 
 
 KIND = [("SECRET", r"(?i:password|passwd|pwd|secret|token|api_key|api-key|apikey|access_key|auth_key|private_key|client_secret)[\"']?\s{0,3}[=:]\s{0,3}[\"']?([\w+/.~-]+)"), ("EMAIL", r"[\w.%+-]+@[\w-]+(?:\.[\w-]+)+"), ("KEY", r"\b(?:AKIA|ASIA)[A-Z0-9]{16}\b"), ("PHONE", r"\+1 \(\d{3}\) \d{3}-\d{4}"), ("IP", r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\d|\.\d)"), ("CARD", r"(?<![\d-])\d{16}(?![\d-])")]
