@@ -9,7 +9,8 @@ the least of 25 consecutive hashes of 26 bytes. Equal windows hold equal keys at
 2. Parts send what stands around their shared keys (74 bytes: all windows that hold the key), each distinct one once, with its
    least doc_id. Buckets sort: first whole surroundings, which settles most, then the windows of what differs, by most-significant-digit passes
    that drop what stands alone after each digit. An equal group is a repeated window; its least doc_id keeps it.
-3. Parts learn, for each of their surroundings, which windows a smaller doc_id has, and cut the texts.
+3. Parts learn, for each of their surroundings, which windows a smaller doc_id has, and cut the texts. Surroundings are told
+   by two independent hashes of 64 bits.
 
 A key of very many surroundings (a line that a third of all documents hold) is sorted by window instead: its windows go to the buckets of their own
 hashes, each distinct one of a part once. So no bucket gets more than one entry of a key or window from each part.
@@ -44,7 +45,7 @@ LAST = np.iinfo(np.int64).max  # stands for a null doc_id: larger than all
 _random = np.random.Generator(np.random.PCG64(20240229))
 BYTE_CODE = _random.integers(1, 2**63, 256, dtype=np.uint64)
 BASE = np.uint64(0x9E3779B97F4A7C15)
-DIGIT_CODE = _random.integers(1, 2**63, 16, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+DIGIT_CODE, CHECK_CODE = _random.integers(1, 2**63, (2, 16), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -122,14 +123,19 @@ def digits(rows: np.ndarray) -> np.ndarray:
     return wide.view(">u8").astype(np.uint64)
 
 
-def row_hash(rows: np.ndarray) -> np.ndarray:
+def row_hash(rows: np.ndarray, code: np.ndarray = DIGIT_CODE) -> np.ndarray:
     d = digits(rows)
     h = np.zeros(len(d), np.uint64)
     for i in range(d.shape[1]):
-        h = mixed((h ^ d[:, i]) * DIGIT_CODE[i])
+        h = mixed((h ^ d[:, i]) * code[i])
     return h
 
 
+def row_check(rows: np.ndarray) -> np.ndarray:
+    """A second hash: rows whose first one is equal are told apart by it."""
+    return row_hash(rows, CHECK_CODE)
+
+
 def equal_groups(rows: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Rows that others of their group equal, and the number of each one's equal group: a radix sort from the most significant
     digit on, which goes on with those only that are not alone yet."""
@@ -182,15 +188,15 @@ def by_bucket(key: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]]
         yield int(bucket[own[0]]), own
 
 
-def least_ids(group_key: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of each distinct key: one place, its least id, whether it has several ids; and each key's number."""
-    order = np.lexsort((ids, group_key))
-    k, i = group_key[order], ids[order]
-    new = np.concatenate([[True], k[1:] != k[:-1]]) if len(k) else np.zeros(0, bool)
-    number = np.empty(len(k), np.int64)
+def least_ids(ids: np.ndarray, *keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each distinct key (all of keys): one place, its least id, whether it has several ids; and each row's number."""
+    order = np.lexsort((ids, *keys))
+    k, i = [key[order] for key in keys], ids[order]
+    new = np.concatenate([[True], np.logical_or.reduce([x[1:] != x[:-1] for x in k])]) if len(i) else np.zeros(0, bool)
+    number = np.empty(len(i), np.int64)
     number[order] = np.cumsum(new) - 1
     start = np.flatnonzero(new)
-    end = np.append(start[1:], len(k))[: len(start)] - 1
+    end = np.append(start[1:], len(i))[: len(start)] - 1
     return order[start], i[start], i[end] != i[start], number
 
 
@@ -210,7 +216,7 @@ def send_keys(buckets: int):
             keys.append(c.key)
             owners.append(ids[c.first + c.doc])
         key, owner = np.concatenate(keys), np.concatenate(owners)
-        at, _, several, number = least_ids(key, owner)
+        at, _, several, number = least_ids(owner, key)
         times = np.bincount(number, minlength=len(at))
         part = int(frame["part"].iloc[0])
         rows = [(b, part, pack_keys(key[at][own]), *pack(np.minimum(times[own], 2**16 - 1).astype(np.uint16), several[own])) for b, own in by_bucket(key[at], buckets)]
@@ -250,6 +256,20 @@ def lookup(known: np.ndarray, asked: np.ndarray) -> np.ndarray:
     return np.where(known[at] == asked, at, -1)
 
 
+def lookup_rows(known: tuple[np.ndarray, ...], rows: np.ndarray) -> np.ndarray:
+    """The place of each row among known hashes and checks, sorted by both, or -1."""
+    hashes, checks = known[:2]
+    asked = row_hash(rows)
+    at = lookup(hashes, asked)
+    hit = np.flatnonzero(at >= 0)
+    own, check, place = asked[hit], row_check(rows[hit]), at[hit]
+    while len(wrong := np.flatnonzero((place >= 0) & (checks[place] != check))):  # another row of the same hash
+        following = np.minimum(place[wrong] + 1, len(hashes) - 1)
+        place[wrong] = np.where((following > place[wrong]) & (hashes[following] == own[wrong]), following, -1)
+    at[hit] = place
+    return at
+
+
 def windows(around: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """All windows of one text in these surroundings: row, offset, bytes."""
     view = np.lib.stride_tricks.sliding_window_view(around, DEPTH, axis=1)
@@ -280,23 +300,23 @@ def send_around(buckets: int):
             which = np.flatnonzero(at >= 0)
             cold = which[~hot[at[which]]]
             around = c.around(cold)
-            found[False].append((around, c.key[cold], row_hash(around), ids[c.first + c.doc[cold]], c.key[cold]))
+            found[False].append((around, c.key[cold], row_hash(around), row_check(around), ids[c.first + c.doc[cold]], c.key[cold]))
             warm = which[hot[at[which]]]
             for i in range(0, len(warm), WINDOWS_AT_ONCE // (REACH + 1)):
                 own = warm[i : i + WINDOWS_AT_ONCE // (REACH + 1)]
                 row, _, data = windows(c.around(own))
-                h = row_hash(data)
-                at_, least, several, _ = least_ids(h, ids[c.first + c.doc[own]][row])
+                h, check, owner = row_hash(data), row_check(data), ids[c.first + c.doc[own]][row]
+                at_, least, several, _ = least_ids(owner, check, h)
                 # a chunk's distinct windows; several ids of one window are told by its least and its greatest
-                most = -least_ids(h, -ids[c.first + c.doc[own]][row])[1]
+                most = -least_ids(-owner, check, h)[1]
                 twice = np.concatenate([at_, at_[several]])
-                found[True].append((data[twice], h[twice], h[twice], np.concatenate([least, most[several]]), c.key[own][row[twice]]))
+                found[True].append((data[twice], h[twice], h[twice], check[twice], np.concatenate([least, most[several]]), c.key[own][row[twice]]))
         rows = []
         for windowed, parts in found.items():
             if not parts:
                 continue
-            data, k, h, owner, key_ = (np.concatenate(x) for x in zip(*parts, strict=True))
-            at, least, several, _ = least_ids(h, owner)
+            data, k, h, check, owner, key_ = (np.concatenate(x) for x in zip(*parts, strict=True))
+            at, least, several, _ = least_ids(owner, check, h)
             data, k, key_ = data[at], k[at], key_[at]
             rows += [(b, part, windowed, squeezed(data[own]), *pack(least[own], several[own], key_[own] if windowed else key_[:0])) for b, own in by_bucket(k, buckets)]
         return pd.DataFrame(rows, columns=columns)
@@ -314,7 +334,7 @@ def sort_bucket(frame: pd.DataFrame) -> pd.DataFrame:
         ids = np.frombuffer(b"".join(own["ids"]), np.int64)
         several = np.frombuffer(b"".join(own["several"]), bool)
         low, high = sort_windows(data, ids) if windowed else sort_around(data, ids)
-        h = row_hash(data)
+        h, check = row_hash(data), row_check(data)
         keys = np.frombuffer(b"".join(own["keys"]), np.uint64)
         start = 0
         for part, n in zip(own["part"], sizes, strict=True):
@@ -322,8 +342,8 @@ def sort_bucket(frame: pd.DataFrame) -> pd.DataFrame:
             start += n
             told = (high[mine] >= 0) | several[mine]
             if told.any():
-                rows.append((int(part), bool(windowed), *pack(h[mine][told], low[mine][told], high[mine][told], np.unique(keys[mine][told]) if windowed else keys[:0])))
-    return pd.DataFrame(rows, columns=["part", "windowed", "hashes", "low", "high", "keys"])
+                rows.append((int(part), bool(windowed), *pack(h[mine][told], check[mine][told], low[mine][told], high[mine][told], np.unique(keys[mine][told]) if windowed else keys[:0])))
+    return pd.DataFrame(rows, columns=["part", "windowed", "hashes", "checks", "low", "high", "keys"])
 
 
 def sort_windows(data: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -380,11 +400,11 @@ def cut(_, docs: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
     texts, ids, names = part_rows(docs)
     known = {}
     for windowed, own in told.groupby("windowed", sort=False) if len(told) else ():
-        h, low, high = (np.concatenate([np.frombuffer(x, t) for x in own[c]]) for c, t in (("hashes", np.uint64), ("low", np.int8), ("high", np.int8)))
-        order = np.argsort(h)
-        known[bool(windowed)] = (h[order], low[order], high[order])
+        h, check, low, high = (np.concatenate([np.frombuffer(x, t) for x in own[c]]) for c, t in (("hashes", np.uint64), ("checks", np.uint64), ("low", np.int8), ("high", np.int8)))
+        order = np.lexsort((check, h))
+        known[bool(windowed)] = (h[order], check[order], low[order], high[order])
     hot = np.unique(np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(x, np.uint64) for x in told["keys"])])) if len(told) else np.zeros(0, np.uint64)
-    none = (np.zeros(0, np.uint64), np.zeros(0, np.int8), np.zeros(0, np.int8))
+    none = (np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int8), np.zeros(0, np.int8))
     made = list(chunks(texts))
     # The least id of each surrounding and window of this part that was told of.
     least = {w: np.full(len(known.get(w, none)[0]), LAST) for w in (False, True)}
@@ -395,7 +415,7 @@ def cut(_, docs: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
             which = np.arange(i, min(i + 50_000, len(c.at)))
             around = c.around(which)
             owner = ids[c.first + c.doc[which]]
-            at = lookup(known.get(False, none)[0], row_hash(around))
+            at = lookup_rows(known.get(False, none), around)
             hit = np.flatnonzero(at >= 0)
             np.minimum.at(least[False], at[hit], owner[hit])
             own.append((False, c.at[which[hit]] - REACH, at[hit], owner[hit], around[hit]))
@@ -403,7 +423,7 @@ def cut(_, docs: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
             for j in range(0, len(warm), WINDOWS_AT_ONCE // (REACH + 1)):
                 sub = warm[j : j + WINDOWS_AT_ONCE // (REACH + 1)]
                 row, offset, data = windows(around[sub])
-                at = lookup(known[True][0], row_hash(data))
+                at = lookup_rows(known[True], data)
                 hit = np.flatnonzero(at >= 0)
                 np.minimum.at(least[True], at[hit], owner[sub][row[hit]])
                 own.append((True, c.at[which[sub]][row[hit]] - REACH + offset[hit], at[hit], owner[sub][row[hit]], None))
@@ -412,7 +432,7 @@ def cut(_, docs: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
     for c, own in zip(made, hits, strict=True):
         edge = np.zeros(len(c.data) + 1, np.int32)
         for windowed, place, at, owner, around in own:
-            _, low, high = known.get(windowed, none)
+            _, _, low, high = known.get(windowed, none)
             later = owner > least[windowed][at]
             lo, hi = low[at].astype(np.int64), high[at].astype(np.int64)
             if not windowed and len(at):
@@ -454,7 +474,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     keys = dealt.groupBy("part").applyInPandas(send_keys(parts), "bucket int, part int, keys binary, times binary, several binary")
     shared = keys.groupBy("bucket").applyInPandas(shared_keys(hot), "part int, keys binary, hot binary")
     around = dealt.groupBy("part").cogroup(shared.groupBy("part")).applyInPandas(send_around(parts), "bucket int, part int, windowed boolean, data binary, ids binary, several binary, keys binary")
-    told = around.groupBy("bucket").applyInPandas(sort_bucket, "part int, windowed boolean, hashes binary, low binary, high binary, keys binary")
+    told = around.groupBy("bucket").applyInPandas(sort_bucket, "part int, windowed boolean, hashes binary, checks binary, low binary, high binary, keys binary")
     made = dealt.groupBy("part").cogroup(told.groupBy("part"))
     if digest:
         return made.applyInPandas(cut_digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")

@@ -530,6 +530,33 @@ def test_substrings_cases(spark, alphabet, options):
     assert sorted(rows_of(found, *DIGEST), key=str) == cut(rows)
 
 
+def test_rows_of_one_hash_stay_apart(monkeypatch):
+    """With a first hash of two bits the second one decides."""
+    strong = substrings.row_hash
+    monkeypatch.setattr(substrings, "row_hash", lambda rows, code=substrings.DIGIT_CODE: strong(rows, code) & np.uint64(3) if code is substrings.DIGIT_CODE else strong(rows, code))
+    r = random.Random(5)
+    rows = [(i, "".join(r.choice("ab") for _ in range(r.randint(0, 120)))) for i in range(30)]
+    rows += [(100 + i, rows[r.randrange(30)][1][r.randint(0, 30) :] + rows[r.randrange(30)][1]) for i in range(30)]
+    for hot in (10**6, 2):
+        assert sorted(in_memory(rows, 5, hot), key=str) == cut(rows)
+
+
+def in_memory(rows, parts, hot):
+    """The operator's steps without Spark."""
+    import pandas as pd
+
+    frame = pd.DataFrame({"doc_id": pd.array([d for d, _ in rows], "Int64"), "text": [(t or "").encode() for _, t in rows], "part": [(d or 0) % parts for d, _ in rows]})
+    docs = dict(list(frame.groupby("part")))
+    grouped = lambda found, key: dict(list(pd.concat(found).groupby(key)))
+    keys = grouped([substrings.send_keys(parts)(own) for own in docs.values()], "bucket")
+    shared = grouped([substrings.shared_keys(hot)(own) for own in keys.values()], "part")
+    around = grouped([substrings.send_around(parts)(None, docs[p], shared[p]) for p in docs if p in shared], "bucket")
+    told = [substrings.sort_bucket(own) for own in around.values()]
+    by_part = grouped(told, "part")
+    made = pd.concat([substrings.cut_digest(None, own, by_part.get(p, told[0].iloc[:0])) for p, own in docs.items()])
+    return [tuple(r) for r in made[list(DIGEST)].itertuples(index=False)]
+
+
 def test_radix_groups():
     r = np.random.default_rng(0)
     rows = r.integers(97, 99, (400, 9), dtype=np.uint8)
