@@ -10,7 +10,7 @@ the least of 25 consecutive hashes of 26 bytes. Equal windows hold equal keys at
    least doc_id. Buckets sort: first whole surroundings, which settles most, then the windows of what differs, by most-significant-digit passes
    that drop what stands alone after each digit. An equal group is a repeated window; its least doc_id keeps it.
 3. Parts learn, for each of their surroundings, which windows a smaller doc_id has, and cut the texts. Surroundings are told
-   by two independent hashes of 64 bits.
+   by two independent hashes of 96 bits together.
 
 A key of very many surroundings (a line that a third of all documents hold) is sorted by window instead: its windows go to the buckets of their own
 hashes, each distinct one of a part once. So no bucket gets more than one entry of a key or window from each part.
@@ -132,8 +132,8 @@ def row_hash(rows: np.ndarray, code: np.ndarray = DIGIT_CODE) -> np.ndarray:
 
 
 def row_check(rows: np.ndarray) -> np.ndarray:
-    """A second hash: rows whose first one is equal are told apart by it."""
-    return row_hash(rows, CHECK_CODE)
+    """A second hash, of 32 bits: rows whose first one is equal are told apart by it."""
+    return (row_hash(rows, CHECK_CODE) >> np.uint64(32)).astype(np.uint32)
 
 
 def equal_groups(rows: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -400,11 +400,11 @@ def cut(_, docs: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
     texts, ids, names = part_rows(docs)
     known = {}
     for windowed, own in told.groupby("windowed", sort=False) if len(told) else ():
-        h, check, low, high = (np.concatenate([np.frombuffer(x, t) for x in own[c]]) for c, t in (("hashes", np.uint64), ("checks", np.uint64), ("low", np.int8), ("high", np.int8)))
+        h, check, low, high = (np.concatenate([np.frombuffer(x, t) for x in own[c]]) for c, t in (("hashes", np.uint64), ("checks", np.uint32), ("low", np.int8), ("high", np.int8)))
         order = np.lexsort((check, h))
         known[bool(windowed)] = (h[order], check[order], low[order], high[order])
     hot = np.unique(np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(x, np.uint64) for x in told["keys"])])) if len(told) else np.zeros(0, np.uint64)
-    none = (np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int8), np.zeros(0, np.int8))
+    none = (np.zeros(0, np.uint64), np.zeros(0, np.uint32), np.zeros(0, np.int8), np.zeros(0, np.int8))
     made = list(chunks(texts))
     # The least id of each surrounding and window of this part that was told of.
     least = {w: np.full(len(known.get(w, none)[0]), LAST) for w in (False, True)}
