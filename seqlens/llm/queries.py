@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqlens.llm import decontaminate, html_extract, language_id, packing, pii, quality, sharding, simhash, substrings, tokenizer_fst
+from seqlens.llm import decontaminate, html_extract, language_id, packing, pii, quality, sharding, simhash, spelling, substrings, tokenizer_fst, topk
 from seqlens.llm.common import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -73,6 +73,14 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(pages, model=html_extract.fit(pages))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+def op12_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_language_id": op1_language_id,
@@ -85,8 +93,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_sharding": op8_sharding,
         "op9_token_counts": op9_token_counts,
         "op10_html_extraction": op10_html_extraction,
+        "op11_spelling_variants": op11_spelling_variants,
+        "op12_exact_topk": op12_exact_topk,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_decontamination": decontaminate.ORACLE_SQL}
+    return {"op4_decontamination": decontaminate.ORACLE_SQL, "op11_spelling_variants": spelling.ORACLE_SQL, "op12_exact_topk": topk.ORACLE_SQL}
