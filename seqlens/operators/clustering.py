@@ -5,67 +5,30 @@ the components of the graph of pairs within that height; each component is linke
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from seqlens.functions import fixed
-from seqlens.operators import distance, relational
-from seqlens.operators.components import connected_components
+from seqlens.operators import distance, linkage, relational
+from seqlens.operators.components import checkpointed, connected_components
 
 
-def average_linkage(d: np.ndarray, cuts: list[float]) -> list[np.ndarray]:
-    """For each cut the cluster of every row, as the place of its first member. Merges at a cut's height are made."""
-    n = len(d)
-    d = d.astype(float).copy()
-    np.fill_diagonal(d, np.inf)
-    size = np.ones(n)
-    owner = np.arange(n)
-    out: dict[float, np.ndarray] = {}
-    waiting = sorted(cuts)
-    while waiting:
-        flat = int(d.argmin()) if n else 0
-        i, j = divmod(flat, n) if n else (0, 0)
-        height = d[i, j] if n else np.inf
-        while waiting and height > waiting[0]:
-            out[waiting.pop(0)] = owner.copy()
-        if not waiting:
-            break
-        i, j = min(i, j), max(i, j)
-        merged = (size[i] * d[i] + size[j] * d[j]) / (size[i] + size[j])
-        merged[[i, j]] = np.inf
-        d[i], d[:, i] = merged, merged
-        d[j], d[:, j] = np.inf, np.inf
-        size[i] += size[j]
-        owner[owner == j] = i
-    return [out[c] for c in cuts]
+def clusters(ids: DataFrame, pairs: DataFrame, cuts: dict[str, float], far: float = 1.0) -> DataFrame:
+    """id and for each cut the least id of the id's cluster. pairs: all distances (id_a < id_b) that are less than far.
 
-
-def clusters(ids: DataFrame, pairs: DataFrame, cuts: dict[str, float], id_type: str = "long", far: float = 1.0) -> DataFrame:
-    """id and for each cut the least id of the id's cluster. pairs: all distances (id_a < id_b) that are less than far."""
+    Each component of the pairs within the greatest cut is linked on its own; what is in none is alone."""
     most = max(cuts.values())
-    component = connected_components(pairs.where(F.col("d") <= most).select(F.col("id_a").alias("u"), F.col("id_b").alias("v")))
+    component = checkpointed(connected_components(pairs.where(F.col("d") <= most).select(F.col("id_a").alias("u"), F.col("id_b").alias("v"))))
     a = component.select(F.col("node").alias("id_a"), "component")
     b = component.select(F.col("node").alias("id_b"), F.col("component").alias("cb"))
-    inner = pairs.join(a, "id_a").join(b, "id_b").where("component = cb").select("component", "id_a", "id_b", "d")
-    names = list(cuts)
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        own = np.unique(np.concatenate([frame["id_a"], frame["id_b"]]))
-        d = np.full((len(own), len(own)), far)
-        x, y = np.searchsorted(own, frame["id_a"]), np.searchsorted(own, frame["id_b"])
-        d[x, y] = d[y, x] = frame["d"]
-        cut = average_linkage(d, [cuts[c] for c in names])
-        return pd.DataFrame({"id": own} | {c: own[f] for c, f in zip(names, cut, strict=True)})
-
-    linked = inner.groupBy("component").applyInPandas(run, f"id {id_type}, " + ", ".join(f"{c} {id_type}" for c in names))
-    return ids.select("id").join(linked, "id", "left").select("id", *[F.coalesce(c, "id").alias(c) for c in names])
+    inner = checkpointed(pairs.join(a, "id_a").join(b, "id_b").where("component = cb").select("component", "id_a", "id_b", "d"))
+    found = linkage.linked(component.select(F.col("node").alias("id"), "component", F.lit(1).cast("long").alias("weight")), inner, cuts, far)
+    return ids.select("id").join(found, "id", "left").select("id", *[F.coalesce(c, "id").alias(c) for c in cuts])
 
 
-def novel_groups(ids: DataFrame, pairs: DataFrame, cutoff: float = fixed.NOVEL_CUTOFF, min_size: int = fixed.NOVEL_MIN_SIZE, id_type: str = "long") -> DataFrame:
+def novel_groups(ids: DataFrame, pairs: DataFrame, cutoff: float = fixed.NOVEL_CUTOFF, min_size: int = fixed.NOVEL_MIN_SIZE) -> DataFrame:
     """id, label, size: novel_1, novel_2 ... by falling size (ties: the one with the least id) for groups of min_size at least, else ST_unassigned."""
-    own = clusters(ids, pairs, {"cluster": cutoff}, id_type)
+    own = clusters(ids, pairs, {"cluster": cutoff})
     sized = own.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"))
     ranked = sized.where(F.col("size") >= min_size).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("size"), "cluster")))
     label = F.when(F.col("rank").isNotNull(), F.concat(F.lit("novel_"), F.col("rank").cast("string"))).otherwise(F.lit("ST_unassigned"))

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from seqlens.operators import clustering, curation, distance, ordination, relational, similarity
+from seqlens.operators import linkage as trees
 from seqlens.operators import nearest as kernel
 from seqlens.operators.components import connected_components
 
@@ -29,7 +30,7 @@ def test_average_linkage():
         x = r.random((r.integers(2, 20), 2))
         d = np.linalg.norm(x[:, None] - x[None], axis=-1)
         cuts = [0.1, 0.3]
-        for t, own in zip(cuts, clustering.average_linkage(d, cuts), strict=True):
+        for t, own in zip(cuts, trees.average_linkage(d, cuts), strict=True):
             assert sorted(np.flatnonzero(own == o).tolist() for o in set(own.tolist())) == linkage(d, t)
 
 
@@ -49,6 +50,82 @@ def test_clusters_by_component_are_global(spark):
         assert all(k == min(g) for k, g in own.items())
 
 
+def both_plans(spark, d, cuts, far=2.0, weight=None):
+    """The clusters of one component by a matrix and by rounds: id to its cluster at each cut."""
+    n = len(d)
+    nodes = spark.createDataFrame([(i, 0, 1 if weight is None else weight[i]) for i in range(n)], "id long, component long, weight long")
+    edges = spark.createDataFrame([(0, i, j, float(d[i, j])) for i, j in itertools.combinations(range(n), 2) if d[i, j] < far], "component long, id_a long, id_b long, d double")
+    as_map = lambda df: {r["id"]: tuple(r[c] for c in cuts) for r in df.collect()}
+    out = as_map(trees.linked(nodes, edges, cuts, far, n)), as_map(trees.linked(nodes, edges, cuts, far, 0))
+    assert len(out[0]) == n and out[0] == as_map(trees.linked(nodes, edges, cuts, far, n // 2))  # the last begins by rounds and ends by a matrix
+    return out
+
+
+@pytest.mark.parametrize("kind", ["points", "sparse", "ties", "copies", "weights"])
+def test_rounds_equal_the_matrix(spark, kind):
+    r = np.random.default_rng(len(kind))
+    x = r.random((30, 2))
+    if kind == "copies":
+        x = x[r.integers(0, 8, 30)]
+    if kind == "ties":
+        x = np.round(x[:15] * 4) / 4
+    d = np.abs(x[:, None] - x[None]).sum(axis=-1)
+    if kind == "sparse":
+        d[d > 0.4] = 2.0
+    by_matrix, by_rounds = both_plans(spark, d, {"b": 0.35, "a": 0.15}, weight=r.integers(1, 9, 30).tolist() if kind == "weights" else None)
+    assert by_matrix == by_rounds and len(set(by_rounds.values())) > 1
+
+
+def test_weight_stands_for_copies(spark):
+    r = np.random.default_rng(4)
+    x, weight = r.random((15, 2)), r.integers(1, 5, 15)
+    every = np.repeat(np.arange(15), weight)
+    of = lambda p: np.linalg.norm(p[:, None] - p[None], axis=-1)
+    cuts = {"a": 0.2, "b": 0.4}
+    one = both_plans(spark, of(x), cuts, weight=weight.tolist())[1]
+    many = both_plans(spark, of(x[every]), cuts)[0]
+    assert all(many[i] == tuple(np.flatnonzero(every == c)[0] for c in one[w]) for i, w in enumerate(every.tolist()))
+
+
+def by_heap(n, edges, cut, far):
+    """Average linkage of a sparse graph, the closest pair first."""
+    import heapq
+
+    near = [{} for _ in range(n)]
+    for i, j, d in edges:
+        near[i][j] = near[j][i] = (d, 1)
+    size, owner = [1] * n, list(range(n))
+    height = lambda i, j: (near[i][j][0] + far * (size[i] * size[j] - near[i][j][1])) / (size[i] * size[j])
+    heap = [(d, i, j) for i, j, d in edges]
+    heapq.heapify(heap)
+    while heap and heap[0][0] <= cut:
+        d, i, j = heapq.heappop(heap)
+        if size[i] and size[j] and j in near[i] and height(i, j) == d:
+            for k, (s, c) in near[j].items():
+                del near[k][j]
+                if k != i:
+                    t, e = near[i].get(k, (0.0, 0))
+                    near[i][k] = near[k][i] = (s + t, c + e)
+            near[j] = {}
+            size[i], size[j], owner[j] = size[i] + size[j], 0, i
+            for k in near[i]:
+                heapq.heappush(heap, (height(i, k), *sorted((i, k))))
+    root = lambda i: i if owner[i] == i else root(owner[i])
+    return [root(i) for i in range(n)]
+
+
+def test_large_component_without_a_matrix(spark):
+    """20,000 rows of one component, 200,000 of its pairs nearer than far."""
+    r = np.random.default_rng(8)
+    n = 20_000
+    ends = {(i, i + 1) for i in range(n - 1)} | {tuple(sorted(p)) for p in zip(r.integers(0, n, 180_000).tolist(), r.integers(0, n, 180_000).tolist(), strict=True) if p[0] != p[1]}
+    edges = [(i, j, float(d)) for (i, j), d in zip(sorted(ends), r.random(len(ends)), strict=True)]
+    nodes = spark.range(n).selectExpr("id", "0L AS component", "1L AS weight")
+    table = spark.createDataFrame([(0, *e) for e in edges], "component long, id_a long, id_b long, d double")
+    found = {row["id"]: row["c"] for row in trees.linked(nodes, table, {"c": 0.5}).collect()}
+    assert [found[i] for i in range(n)] == by_heap(n, edges, 0.5, 1.0)
+
+
 def test_novel_groups(spark):
     pairs = spark.createDataFrame([(1, 2, 0.1), (3, 4, 0.1), (4, 5, 0.1), (3, 5, 0.1), (1, 6, 0.5)], "id_a long, id_b long, d double")
     got = {r["id"]: r["label"] for r in clustering.novel_groups(spark.range(1, 8), pairs).collect()}
