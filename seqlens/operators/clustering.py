@@ -5,11 +5,11 @@ the components of the graph of pairs within that height; each component is linke
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seqlens.functions import fixed
-from seqlens.operators import distance, linkage, relational
+from seqlens.operators import distance, linkage, relational, setjoin
 from seqlens.operators.components import checkpointed, connected_components
 
 
@@ -26,13 +26,15 @@ def clusters(ids: DataFrame, pairs: DataFrame, cuts: dict[str, float], far: floa
     return ids.select("id").join(found, "id", "left").select("id", *[F.coalesce(c, "id").alias(c) for c in cuts])
 
 
-def novel_groups(ids: DataFrame, pairs: DataFrame, cutoff: float = fixed.NOVEL_CUTOFF, min_size: int = fixed.NOVEL_MIN_SIZE) -> DataFrame:
-    """id, label, size: novel_1, novel_2 ... by falling size (ties: the one with the least id) for groups of min_size at least, else ST_unassigned."""
-    own = clusters(ids, pairs, {"cluster": cutoff})
+def novel_groups(rows: DataFrame, k: int = fixed.KMER, cutoff: float = fixed.NOVEL_CUTOFF, min_size: int = fixed.NOVEL_MIN_SIZE) -> DataFrame:
+    """id, label, size of rows (id, seq): novel_1, novel_2 ... by falling size (ties: the one with the least id) for groups of min_size at least, else ST_unassigned.
+
+    Groups are average-linkage clusters of the k-mer sets, cut at the cutoff."""
+    own = setjoin.clusters(rows, k, {"cluster": cutoff})
     sized = own.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"))
-    ranked = sized.where(F.col("size") >= min_size).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("size"), "cluster")))
+    ranked = relational.ranked(sized.where(F.col("size") >= min_size), [F.desc("size"), F.asc("cluster")], "rank")
     label = F.when(F.col("rank").isNotNull(), F.concat(F.lit("novel_"), F.col("rank").cast("string"))).otherwise(F.lit("ST_unassigned"))
-    return own.join(ranked, "cluster", "left").select("id", label.alias("label"), F.col("size"))
+    return own.join(sized, "cluster").join(ranked.select("cluster", "rank"), "cluster", "left").select("id", label.alias("label"), F.when(F.col("rank").isNotNull(), F.col("size")).alias("size"))
 
 
 def novel_reason(label: str, size: str, cutoff: float = fixed.NOVEL_CUTOFF) -> F.Column:
@@ -48,12 +50,13 @@ def outliers(labels: DataFrame, pairs: DataFrame, multiplier: float = fixed.OUTL
     no distance and nobody apart."""
     sized = labels.where("label <> 'Unknown'").groupBy("label").agg(F.count(F.lit(1)).alias("n")).where("n >= 3")
     own = labels.join(sized, "label")
-    inner = distance.labelled(pairs, own.select("id", "label")).where("same")
-    medoid = distance.medoids(inner.select("id_a", "id_b", "d"), own.select("id", "label")).select("label", "medoid")
+    inner = checkpointed(distance.labelled(pairs, own.select("id", "label")).where("same").select("label_a", "id_a", "id_b", "d"))
+    medoid = checkpointed(distance.medoids_within(inner).select("label", "medoid"))
     median = relational.quantiles(inner.select(F.col("label_a").alias("label"), "d"), ["label"], "d", {"median": 0.5}).drop("n")
     by_cluster = own.groupBy("label", "cluster").agg(F.count(F.lit(1)).alias("m"))
     dominant = by_cluster.groupBy("label").agg(F.min_by("cluster", F.struct(-F.col("m"), F.col("cluster"))).alias("dominant"), (F.max("m") / F.sum("m")).alias("share"))
-    to_medoid = distance.both_ways(inner.select("id_a", "id_b", "d")).select("id", F.col("other").alias("medoid"), "d")
+    ends = inner.join(medoid, inner["label_a"] == medoid["label"]).where("medoid IN (id_a, id_b)")
+    to_medoid = ends.select(F.when(F.col("id_a") == F.col("medoid"), F.col("id_b")).otherwise(F.col("id_a")).alias("id"), "medoid", "d")
     facts = own.join(medoid, "label").join(median, "label").join(dominant, "label").join(to_medoid, ["id", "medoid"], "left")
     d = F.when(F.col("id") == F.col("medoid"), 0.0).otherwise(F.col("d"))
     cutoff = F.greatest(F.lit(multiplier) * F.greatest(F.col("median"), F.lit(fixed.OUTLIER_FLOOR)), F.lit(2 * variant_cut))

@@ -118,7 +118,7 @@ def curate(records: DataFrame, genus: str, min_length: int = fixed.MIN_LENGTH, m
     joined = unknown.join(placed.withColumnRenamed("id", "accession"), "accession")
     hit = joined.where("confidence <> 'rejected'").withColumn("label", F.col("assigned")).withColumn("reason", F.concat(F.lit("placement_"), F.col("confidence"), F.format_string(" (d=%.3f)", "d")))
     left = joined.where("confidence = 'rejected'").drop("confidence")
-    groups = clustering.novel_groups(left.select(F.col("accession").alias("id")), distance.kmer_pairs(left.select(F.col("accession").alias("id"), "seq"), fixed.KMER))
+    groups = clustering.novel_groups(left.select(F.col("accession").alias("id"), "seq"))
     novel = left.join(groups.withColumnRenamed("id", "accession"), "accession").withColumn("confidence", F.when(F.col("label").startswith("novel_"), "novel_cluster").otherwise("unplaced")).withColumn("reason", clustering.novel_reason("label", "size"))
     names = [*records.columns, "label", "confidence", "reason"]
     everything = known.select(*names, F.lit(0).alias("_p")).unionByName(hit.select(*names, F.lit(1).alias("_p"))).unionByName(novel.select(*names, F.lit(2).alias("_p")))

@@ -39,12 +39,16 @@ def tile(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return both.round().astype(np.int64), (both - same).round().astype(np.int64)
 
 
-def in_tiles(rows: DataFrame, columns: list[str], tile_rows: int) -> DataFrame:
+def in_tiles(rows: DataFrame, columns: list[str], tile_rows: int, within: str | None = None) -> DataFrame:
     """rows (id and columns) with block, i, j: rows are dealt to blocks of about tile_rows by a hash of the id; each pair of blocks i <= j is a
-    tile, and a block's rows go to all tiles that it is part of."""
-    blocks = max(1, -(-rows.count() // tile_rows))
-    own = rows.select("id", *columns, F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"))
-    part = F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda j: F.struct(F.least("block", j).alias("i"), F.greatest("block", j).alias("j")))
+    tile, and a block's rows go to all tiles that it is part of. within: a column whose values each have blocks of their own."""
+    if within:
+        sizes = rows.groupBy(within).agg(F.ceil(F.count(F.lit(1)) / tile_rows).cast("int").alias("_blocks"))
+        rows, blocks = rows.join(sizes, within), F.col("_blocks")
+    else:
+        blocks = F.lit(max(1, -(-rows.count() // tile_rows)))
+    own = rows.select("id", *columns, F.pmod(F.xxhash64("id"), blocks).cast("int").alias("block"), blocks.alias("_blocks"))
+    part = F.transform(F.sequence(F.lit(0), F.col("_blocks") - 1), lambda j: F.struct(F.least("block", j).alias("i"), F.greatest("block", j).alias("j")))
     return own.select("id", *columns, "block", F.explode(part).alias("t")).select("id", *columns, "block", "t.i", "t.j")
 
 
@@ -96,15 +100,17 @@ def shared_kmers(left: list[set[str]], right: list[set[str]]) -> np.ndarray:
     return shared.round().astype(np.int64)
 
 
-def kmer_pairs(rows: DataFrame, k: int = fixed.MATRIX_KMER, tile_rows: int = TILE) -> DataFrame:
-    """id_a, id_b, shared, d of the pairs of (id, seq) that share a k-mer; all others are at distance 1.
+def kmer_pairs(rows: DataFrame, k: int = fixed.MATRIX_KMER, tile_rows: int = TILE, within: str | None = None) -> DataFrame:
+    """id_a, id_b, shared, d of the pairs of (id, seq) that share a k-mer; all others are at distance 1. within: only pairs of rows that
+    have the same value of this column, and the column before theirs.
 
     Counted tile by tile, so that a k-mer which all sequences have costs no more than another."""
-    source = spread(rows.select("id", "seq")).select("id", F.coalesce(F.translate(F.upper("seq"), "-N", ""), F.lit("")).alias("seq"))
-    id_type = rows.schema["id"].dataType.simpleString()
+    group = [within] if within else []
+    source = spread(rows.select("id", "seq", *group)).select("id", *group, F.coalesce(F.translate(F.upper("seq"), "-N", ""), F.lit("")).alias("seq"))
+    kind = lambda c: rows.schema[c].dataType.simpleString()
 
     def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        i, j = key
+        i, j = key[-2:]
         left, right = frame[frame["block"] == i], frame[frame["block"] == j]
         sets = [[{t[n : n + k] for n in range(len(t) - k + 1)} for t in side["seq"]] for side in (left, right)]
         shared = shared_kmers(*sets)
@@ -113,9 +119,10 @@ def kmer_pairs(rows: DataFrame, k: int = fixed.MATRIX_KMER, tile_rows: int = TIL
         x, y, low, high = x[some], y[some], low[some], high[some]
         na, nb = (np.fromiter(map(len, side), np.int64, len(side)) for side in sets)
         union = na[x] + nb[y] - shared[x, y]
-        return pd.DataFrame({"id_a": low, "id_b": high, "shared": shared[x, y], "d": 1.0 - shared[x, y] / union})
+        return pd.DataFrame({g: [v] * len(low) for g, v in zip(group, key, strict=False)} | {"id_a": low, "id_b": high, "shared": shared[x, y], "d": 1.0 - shared[x, y] / union})
 
-    return in_tiles(source, ["seq"], tile_rows).groupBy("i", "j").applyInPandas(run, f"id_a {id_type}, id_b {id_type}, shared long, d double")
+    schema = ", ".join([*[f"{g} {kind(g)}" for g in group], f"id_a {kind('id')}, id_b {kind('id')}, shared long, d double"])
+    return in_tiles(source, [*group, "seq"], tile_rows, within).groupBy(*group, "i", "j").applyInPandas(run, schema)
 
 
 def distance_table(rows: DataFrame, aligned: bool, correct: bool = False, id_type: str = "long") -> DataFrame:
@@ -140,8 +147,13 @@ def labelled(pairs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def medoids(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     """label, medoid, sum_d: of each label the member nearest to all its others; ties go to the lower id."""
-    own = labelled(pairs, labels).where("same")
-    sums = both_ways(own.select("id_a", "id_b", "d")).groupBy("id").agg(F.sum("d").alias("sum_d")).join(labels, "id")
+    return medoids_within(labelled(pairs, labels).where("same"))
+
+
+def medoids_within(inner: DataFrame) -> DataFrame:
+    """medoids() of pairs (label_a, id_a, id_b, d) of members of one label each."""
+    ends = F.explode(F.array("id_a", "id_b")).alias("id")
+    sums = inner.select(F.col("label_a").alias("label"), ends, "d").groupBy("label", "id").agg(F.sum("d").alias("sum_d"))
     return sums.groupBy("label").agg(F.min_by("id", F.struct(F.col("sum_d"), F.col("id"))).alias("medoid"), F.min("sum_d").alias("sum_d"))
 
 

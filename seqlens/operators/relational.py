@@ -43,6 +43,21 @@ def lookup(rows: DataFrame, dimension: DataFrame, key: str, value: str, default:
     return rows.join(dimension.select(key, value), key, "left").withColumn(value, F.coalesce(value, F.lit(default)))
 
 
+def ranked(rows: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """rows with each one's place (from 1) in the order of all, which names no row twice.
+
+    Rows are dealt out by ranges and sorted there; a row's place is its place in its range after the sizes of the ranges before. Only these sizes, one a partition,
+    come to the driver, and no task holds more than a range."""
+    at, start = "_at", "_start"
+    own = checkpointed(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(at, F.monotonically_increasing_id()))
+    part = F.shiftright(at, 33)
+    sizes = sorted(own.groupBy(part.alias("p")).count().collect())
+    starts = [(p, sum(n for _, n in sizes[:i])) for i, (p, _) in enumerate(sizes)]
+    offsets = rows.sparkSession.createDataFrame(starts, f"_part long, {start} long")
+    placed = own.withColumn("_part", part).join(F.broadcast(offsets), "_part")  # a row for each partition
+    return placed.withColumn(name, F.col(at).bitwiseAND((1 << 33) - 1) + F.col(start) + 1).select(*rows.columns, name)
+
+
 def counts(rows: DataFrame, *keys: str, name: str = "n") -> DataFrame:
     return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias(name))
 

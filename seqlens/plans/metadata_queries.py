@@ -220,8 +220,8 @@ GROUP = "CASE WHEN starts_with(label, 'NMAST') THEN 1 WHEN starts_with(label, 'n
 @query("x9_natural_order", S + f"SELECT label, {GROUP} AS grp, CASE WHEN {GROUP} < 8 THEN {NUMBER} ELSE 0 END AS num, row_number() OVER (ORDER BY {GROUP}, CASE WHEN {GROUP} < 8 THEN {NUMBER} ELSE 0 END, label) AS place FROM (SELECT DISTINCT label FROM s)")
 def x9(spark, sf):
     g, n, t = metadata.natural_order(F.col("label"))
-    rows = specimens(spark, sf).select("label").distinct()  # a row for each label
-    return rows.select("label", g.alias("grp"), n.alias("num"), F.row_number().over(relational.Window.orderBy(g, n, t)).cast("bigint").alias("place"))
+    rows = specimens(spark, sf).select("label").distinct()
+    return relational.ranked(rows, [g, n, t], "place").select("label", g.alias("grp"), n.alias("num"), "place")
 
 
 HEAD = f"{strip('split_part(' + strip('split_part(' + COUNTRY + ', chr(58), 1)') + ', chr(44), 1)')}"

@@ -258,8 +258,7 @@ def c13(spark, sf):
 
 @query("w3_rank_by_size", "SELECT source, n, row_number() OVER (ORDER BY n DESC, source) AS place FROM (SELECT source, count(*) AS n FROM documents GROUP BY source)")
 def w3(spark, sf):
-    own = relational.counts(table(spark, sf, "documents"), "source")  # a row for each source
-    return own.withColumn("place", F.row_number().over(Window.orderBy(F.desc("n"), "source")).cast(BIG))
+    return relational.ranked(relational.counts(table(spark, sf, "documents"), "source"), [F.desc("n"), F.asc("source")], "place")
 
 
 @query("w4_runs", "WITH e AS (SELECT user_id, ts, event_id, event_type, CASE WHEN lag(event_type) OVER w = event_type THEN 0 ELSE 1 END AS c FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) SELECT user_id, run, event_type, count(*) AS n FROM (SELECT user_id, event_type, sum(c) OVER (PARTITION BY user_id ORDER BY ts, event_id)::BIGINT AS run FROM e) GROUP BY ALL")

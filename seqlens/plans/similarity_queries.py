@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from seqlens.functions import fixed, kmers
-from seqlens.operators import clustering, curation, distance, ordination, relational, similarity
+from seqlens.operators import clustering, curation, distance, ordination, relational, setjoin, similarity
+from seqlens.operators.components import checkpointed
 from seqlens.plans.bindings import FRAGMENT_LABELS, FRAGMENT_VALUES, SEQ, fragments, pick, references, table
 from seqlens.plans.catalog import query
 
@@ -100,8 +101,7 @@ def k4(spark, sf):
 
 @query("c6_unplaced_rows", C6)
 def c6(spark, sf):
-    rows = fragments(spark, sf)
-    groups = clustering.novel_groups(rows, distance.kmer_pairs(rows, 3), cutoff=0.5)
+    groups = clustering.novel_groups(fragments(spark, sf), 3, cutoff=0.5)
     return groups.withColumn("reason", clustering.novel_reason("label", "size"))
 
 
@@ -119,6 +119,22 @@ def a10k(spark, sf):
     return distance.kmer_pairs(fragments(spark, sf)).withColumn("d", six(F.col("d")))
 
 
+#: Documents whose 8-mers are near enough: copies are one class, told by its least id.
+NEAR = f"""WITH {REFS}, k AS (SELECT id, {windows(CLEAN, 8)} AS kmer FROM r), s AS MATERIALIZED (SELECT id, count(*) AS n, md5(string_agg(kmer, ' ' ORDER BY kmer)) AS mark FROM k GROUP BY id),
+m AS (SELECT id, n, min(id) OVER (PARTITION BY mark) AS rep FROM s), c AS MATERIALIZED (SELECT id, n FROM m WHERE id = rep), t AS MATERIALIZED (SELECT k.id, kmer FROM k JOIN c USING (id)),
+p AS (SELECT a.id AS id_a, b.id AS id_b, count(*) AS shared FROM t a JOIN t b ON a.kmer = b.kmer AND a.id < b.id GROUP BY 1, 2),
+d AS (SELECT id_a, id_b, 1.0::DOUBLE - shared::DOUBLE / (x.n + y.n - shared) AS d FROM p JOIN c x ON x.id = id_a JOIN c y ON y.id = id_b),
+e AS (SELECT id_a AS id, d FROM d WHERE d <= 0.2 UNION ALL SELECT id_b, d FROM d WHERE d <= 0.2), f AS (SELECT id, count(*) AS links, min(d) AS nearest FROM e GROUP BY id)"""
+
+
+@query("a10k_near_sets", NEAR + f" SELECT r.id, rep, coalesce(links, 0) AS links, {rounded('nearest')} AS nearest FROM r LEFT JOIN m USING (id) LEFT JOIN f ON f.id = rep")
+def a10k_near(spark, sf):
+    """Each document with its class of equal 8-mer sets, how many other classes are within the cutoff, and how far the nearest of these is."""
+    near, members = setjoin.near_kmer_sets(references(spark, sf), 8)
+    links = distance.both_ways(near).groupBy(F.col("id").alias("rep")).agg(F.count(F.lit(1)).alias("links"), six(F.min("d")).alias("nearest"))
+    return members.join(links, "rep", "left").select("id", "rep", F.coalesce("links", F.lit(0)).alias("links"), "nearest")
+
+
 @query("j13_pairs_of_segments", "SELECT a.c_mktsegment AS a, b.c_mktsegment AS b FROM (SELECT DISTINCT c_mktsegment FROM customer) a JOIN (SELECT DISTINCT c_mktsegment FROM customer) b ON a.c_mktsegment < b.c_mktsegment")
 def j13(spark, sf):
     own = table(spark, sf, "customer").agg(F.array_sort(F.collect_set("c_mktsegment")).alias("s"))  # the few segments
@@ -327,7 +343,7 @@ def a16k(spark, sf):
 
 @query("r11_permuted_matrix", ALIGNED + ", o AS (SELECT id, row_number() OVER (ORDER BY label, id) AS place FROM lab) SELECT least(a.place, b.place) AS i, greatest(a.place, b.place) AS j, floor(p * 1000000 + 0.5) / 1000000 AS d FROM e JOIN o a ON a.id = id_a JOIN o b ON b.id = id_b")
 def r11(spark, sf):
-    axis = labels_of(spark, sf).withColumn("place", F.row_number().over(relational.Window.orderBy("label", "id")).cast("bigint"))  # one axis of a matrix that is shown
+    axis = relational.ranked(labels_of(spark, sf), [F.col("label"), F.col("id")], "place")
     return distance.permuted(pairs(spark, sf).select("id_a", "id_b", six(F.col("p")).alias("d")), axis)
 
 
@@ -352,14 +368,14 @@ def q4_axis(spark, sf):
 
 @query("c5_novel_groups", GROUPS + " SELECT id, label, size FROM grouped")
 def c5(spark, sf):
-    rows = fragments(spark, sf)
-    return clustering.novel_groups(rows, distance.kmer_pairs(rows, 3), cutoff=0.5)
+    return clustering.novel_groups(fragments(spark, sf), 3, cutoff=0.5)
 
 
 def clustered(spark, sf):
-    own = pairs(spark, sf).select("id_a", "id_b", "d")
+    """All pair distances, and the clusters at three cuts with the labels, both written once."""
+    own = checkpointed(pairs(spark, sf).select("id_a", "id_b", "d"))
     made = clustering.clusters(fragments(spark, sf), own, CUTS, far=10.0)
-    return own, made.join(labels_of(spark, sf), "id")
+    return own, checkpointed(made.join(labels_of(spark, sf), "id"))
 
 
 @query("c7_clusters", CLUSTERED + " SELECT * FROM clustered")
@@ -388,8 +404,9 @@ def q21(spark, sf):
     """A report's table of labels with two rows or more."""
     own, made = clustered(spark, sf)
     rows = made.where("label <> 'Unknown'").join(fragments(spark, sf).drop("label", "seq", "country"), "id").join(apart(own, made).select("id", "potential_novel_variant"), "id")
+    rows = checkpointed(rows)
     out = rows.groupBy("label").agg(F.count(F.lit(1)).alias("n_sequences"), F.countDistinct("cluster_variant").alias("n_variant_clusters"), F.count_if("potential_novel_variant").alias("n_novel_candidates")).where("n_sequences > 1")
-    inner = distance.labelled(own, labels_of(spark, sf)).where("same").select(F.col("label_a").alias("label"), "d")
+    inner = checkpointed(distance.labelled(own, labels_of(spark, sf)).where("same").select(F.col("label_a").alias("label"), "d"))
     out = out.join(within(inner, "mean_intra", "median_intra", "max_intra").drop("n"), "label")
     reg = curation.registry(spark).select("label", "status", F.col("human").alias("reported_in_humans"), F.col("note").alias("registry_note"))
     out = out.join(F.broadcast(reg), "label", "left").withColumns({"status": F.coalesce("status", F.lit("unknown")), "reported_in_humans": F.coalesce("reported_in_humans", F.lit(False)), "registry_note": F.coalesce("registry_note", F.lit(""))})  # 52 rows
