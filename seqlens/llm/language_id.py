@@ -10,7 +10,6 @@ the id, so that the driver and the fit see the same amount at any size of the co
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -24,12 +23,12 @@ from seqlens.llm.common import checkpointed, id_text, map_batches
 SAMPLE_PER_LANG = 2000
 PROFILE_SIZE = 400
 MAX_N = 3
-#: Languages that get a profile: the most frequent ones.
-MAX_LANGS = 1000
 #: What a filter asks of a text at least; texts of the languages learnt have several times as much.
 LEAST_NEARNESS = 0.05
 UNKNOWN = "und"
 CODE_POINTS = 0x110000
+#: n-grams that a task of the fit holds before it hands their counts on.
+HELD_GRAMS = 1 << 21
 
 
 @dataclass
@@ -104,15 +103,20 @@ def key_of(gram: str) -> int:
     return key | (0, ONE, TWO, 0)[len(gram)]
 
 
-def rank_grams(codes: np.ndarray, size: int) -> np.ndarray:
-    """Keys of the most frequent n-grams, most frequent first, ties by key: longer ones first, then by code point. codes: 0 is no letter."""
+def count_grams(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys of a text's n-grams, ascending (longer n-grams first, then by code point), and how often each is there. codes: 0 is no letter."""
     codes = np.concatenate([[0], codes, [0]]).astype(np.uint64)
     codes = codes[(codes != 0) | np.concatenate([[True], codes[:-1] != 0])]
     bits = np.uint64(POINT)
     two = codes[:-1] << bits | codes[1:]
     three = two[:-1] << bits | codes[2:]
     one = codes[codes != 0]
-    keys, counts = np.unique(np.concatenate([one | np.uint64(ONE), two | np.uint64(TWO), three[codes[1:-1] != 0]]), return_counts=True)
+    return np.unique(np.concatenate([one | np.uint64(ONE), two | np.uint64(TWO), three[codes[1:-1] != 0]]), return_counts=True)
+
+
+def rank_grams(codes: np.ndarray, size: int) -> np.ndarray:
+    """Keys of the most frequent n-grams, most frequent first, ties by key."""
+    keys, counts = count_grams(codes)
     if len(keys) > size:
         least = np.partition(counts, len(counts) - size)[len(counts) - size]
         enough = counts >= least
@@ -120,48 +124,59 @@ def rank_grams(codes: np.ndarray, size: int) -> np.ndarray:
     return keys[np.argsort(-counts, kind="stable")[:size]]
 
 
-def grams_of(text: str) -> Counter:
-    """n-grams of a text as strings, as rank_grams() has them."""
-    padded = " ".join(["", *"".join(c if c.isalpha() else " " for c in text.lower()).split(), ""])
-    out = Counter(c for c in padded if c != " ")
-    out.update(a + b for a, b in zip(padded, padded[1:], strict=False))
-    out.update(a + b + c for a, b, c in zip(padded, padded[1:], padded[2:], strict=False) if b != " ")
-    return out
+def aligned(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """n-grams with their first letter in the same place, and their lengths: in order of both they are in code-point order as strings."""
+    length = np.where(keys >= np.uint64(ONE), 1, np.where(keys >= np.uint64(TWO), 2, 3))
+    bare = np.where(length == 3, keys, keys & np.uint64((1 << 62) - 1))
+    return (bare << ((3 - length) * POINT).astype(np.uint64)).astype(np.int64), length.astype(np.int8)
+
+
+def spelt(at: int, length: int) -> str:
+    """The n-gram that aligned() gives so; blank: a space."""
+    points = [at >> POINT * (2 - i) & ((1 << POINT) - 1) for i in range(length)]
+    return "".join(chr(p) if p else " " for p in points)
 
 
 def fit_profiles(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_per_lang: int = SAMPLE_PER_LANG, size: int = PROFILE_SIZE) -> Profiles:
-    """Profiles of the labelled rows of docs, for the MAX_LANGS most frequent languages. Rows with a null text or language teach nothing.
+    """Profiles of all languages among the labelled rows of docs. Rows with a null text or language teach nothing.
 
     Only len(langs) * size n-grams come to the driver. The sample is drawn by a hash of id and text at a rate that follows
-    from each language's count; counts of the sample are summed on the executors. Of n-grams as frequent as each other the first in code
+    from each language's number of texts; counts of the sample are summed on the executors. Of n-grams as frequent as each other the first in code
     point order ranks first."""
-    rows = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"), docs[lang_col].alias("lang")).where("lang IS NOT NULL")
-    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGS)
-    rates = checkpointed(counts.select("lang", F.least(F.lit(1.0), F.lit(sample_per_lang) / F.col("n")).alias("rate")))
+    rows = docs.select(docs[id_col].alias("doc_id"), docs[text_col].cast("string").alias("text"), docs[lang_col].alias("lang")).where("lang IS NOT NULL AND text IS NOT NULL")
+    rates = checkpointed(rows.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(sample_per_lang) / F.count(F.lit(1))).alias("rate")))
     unit = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    sample = rows.join(F.broadcast(rates), "lang").where(unit < F.col("rate")).where("text IS NOT NULL").select("lang", "text")  # MAX_LANGS rows
+    sample = rows.join(rates, "lang").where(unit < F.col("rate")).select("lang", "text")
+    names = ["lang", "at", "length", "n"]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[str, Counter] = {}
+        held: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
+        room = 0
 
-        def flush() -> pa.RecordBatch:
-            out = [(lang, g, n) for lang, own in total.items() for g, n in own.items()]
-            total.clear()
-            cols = list(zip(*out, strict=True)) if out else [(), (), ()]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.string(), pa.int64()), strict=True)], ["lang", "gram", "n"])
+        def flush() -> Iterator[pa.RecordBatch]:
+            for lang, parts in held.items():
+                keys, place = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+                n = np.bincount(place, np.concatenate([c for _, c in parts])).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(lang, pa.string()), len(keys)), *map(pa.array, (*aligned(keys), n))], names)
+            held.clear()
 
         for batch in batches:
             for lang, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                total.setdefault(lang, Counter()).update(grams_of(text))
-            if sum(map(len, total.values())) > 1_000_000:
-                yield flush()
-        yield flush()
-
-    summed = map_batches(sample, count, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    ranked = summed.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))).where(F.col("rank") <= size)
+                codes = letters_of(text)
+                if codes.any():
+                    found = count_grams(codes)
+                    held.setdefault(lang, []).append(found)
+                    room += len(found[0])
+                if room > HELD_GRAMS:
+                    yield from flush()
+                    room = 0
+        yield from flush()
+
+    summed = map_batches(sample, count, "lang string, at long, length tinyint, n long").groupBy("lang", "at", "length").agg(F.sum("n").alias("n"))
+    ranked = summed.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "at", "length"))).where(F.col("rank") <= size)
     grams: dict[str, list] = {}
     for r in ranked.collect():
-        grams.setdefault(r["lang"], []).append((r["rank"], r["gram"]))
+        grams.setdefault(r["lang"], []).append((r["rank"], spelt(r["at"], r["length"])))
     langs = sorted(grams)
     return Profiles(langs, [[g for _, g in sorted(grams[k])] for k in langs], size)
 
@@ -169,7 +184,7 @@ def fit_profiles(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def identify(docs: DataFrame, profiles: Profiles, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, lang_pred, score, nearness of every row, from the whole text alone, without a shuffle.
 
-    Null texts and texts without letters: `und`, score 0. Ties go to the first language by name. One row out for
+    Null texts and texts without letters: `und`, score 0; a long text is read whole, in time and memory in proportion to it. Ties go to the first language by name. One row out for
     each row in, null and repeated ids included; without any profile all are `und`."""
     source = id_text(docs, id_col, text_col)
     grams, langs, size = profiles.grams, profiles.langs, profiles.size
