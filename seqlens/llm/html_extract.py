@@ -54,6 +54,14 @@ WORD_WEIGHT = {
 }
 WORDS = {w: x for group, x in WORD_WEIGHT.items() for w in group.split()}
 ROLES = {"navigation": -6.0, "banner": -5.0, "contentinfo": -6.0, "complementary": -6.0, "search": -6.0, "form": -6.0, "dialog": -6.0, "alert": -6.0, "menu": -6.0, "article": 1.0, "main": 1.0}
+#: Words that only say which part of a page or list an element is, as do single letters.
+PARTS = frozenset("area bar block blog body bottom box btn button center col column container content group header holder id inner item items left link links list main middle module outer page panel part primary right row secondary section site slot top unit wrap wrapper zone".split())
+#: Elements that are lines of text; of the rest, inside an article, classes are those of containers.
+LINES = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd blockquote pre td th caption figcaption b i em strong span mark small code".split())
+#: Words of parts of a page that texts are about, too.
+TOPICS = frozenset("social popular legal trending follow reaction reactions discussion menu navigation sharing story text".split())
+#: What is left of a sign that a name's other words, or its place on a line of an article, make doubtful.
+TOPIC_SHARE = 0.25
 #: Features of a block, and the classifier's weights before the fit: a constant; the worst and the best sign among its containers; being
 #: outside any article or main element of a page that has one; the share of its text in links; its length in logs.
 FEATURES = ("one", "worst", "best", "outside", "links", "length")
@@ -64,7 +72,9 @@ FIRMNESS = (1e6, 4.0, 4.0, 4.0, 4.0, 4.0)
 TOKEN_FIRMNESS = 4.0
 MAX_TOKENS = 200
 #: Pages that the classifier is fitted on, and blocks of one of them, at most.
-FIT_PAGES, FIT_BLOCKS = 400, 2000
+FIT_PAGES, FIT_BLOCKS = 400, 250
+#: Rows of the fit that are spread out to a matrix at a time.
+FIT_ROWS = 4096
 MOST = 12.0
 #: Edges between blocks in a row, and between those two apart, each less with the steps between them in the DOM. The first is fitted
 #: within its bounds.
@@ -74,8 +84,9 @@ NEXT_LEAST, NEXT_MOST = 0.5, 1.5
 _token = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)(?:>|\Z|(?=[\"']))|([^<]++|<)", re.S)
 #: The same where quotes are no longer heeded, as one of them is never closed.
 _plain_token = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(?:>|\Z)|([^<]++|<)", re.S)
-_attribute = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
-_hidden = re.compile(r"(?:^|\s)(?:hidden(?=[\s=]|$)|aria-hidden\s*=\s*[\"']?true)|display\s*:\s*none", re.I)
+#: An attribute's name, and its value in double quotes, single quotes or none.
+_attribute = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"?|'([^']*)'?|([^\s>\"']+)))?")
+_no_display = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)\b", re.I)
 _word = re.compile(r"[a-z]+")
 _case = re.compile(r"([a-z])([A-Z])")
 
@@ -111,20 +122,41 @@ class Model:
     next: float = NEXT
 
 
-def signs(attributes: str) -> tuple[float, tuple[str, ...]]:
-    """The strongest sign in class, id and role; and the words there."""
-    found = 0.0
+def attributes_of(text: str) -> dict[str, str]:
+    """Attributes by lower-case name, the first of each; character references in values are decoded."""
+    found: dict[str, str] = {}
+    for name, *values in _attribute.findall(text):
+        found.setdefault(name.lower(), html.unescape("".join(values)))
+    return found
+
+
+def is_hidden(attributes: dict[str, str]) -> bool:
+    return "hidden" in attributes or attributes.get("aria-hidden", "").strip().lower() == "true" or bool(_no_display.search(attributes.get("style", "")))
+
+
+def name_sign(name: str, line: bool) -> tuple[float, list[str]]:
+    """What one class or id says, and its words. line: of an element that is a line of text and no container.
+
+    A line whose name has a word that belongs to no part of a page ("menu-recipe", "banner-history") or one that is a topic too ("social") may be named after what it tells."""
+    words = _word.findall(_case.sub(r"\1 \2", name).lower())
+    weights = [WORDS.get(w, 0.0) for w in words]
+    least = min(weights, default=0.0)
+    if least >= 0:
+        return max(weights, default=0.0), words
+    topic = line and any(w in TOPICS or w not in WORDS and w not in PARTS and len(w) > 3 for w in words)
+    return least * (TOPIC_SHARE if topic else 1.0), words
+
+
+def signs(attributes: dict[str, str], line: bool) -> tuple[float, tuple[str, ...]]:
+    """The strongest sign in class, id and role; and the words there. Names that speak for content weaken one that speaks against it on a line."""
     words: list[str] = []
-    for name, *values in _attribute.findall(attributes):
-        value = _case.sub(r"\1 \2", "".join(values))
-        if name.lower() == "role":
-            weights = [ROLES.get(value.strip().lower(), 0.0)]
-        else:
-            own = _word.findall(value.lower())
-            words += own
-            weights = [WORDS.get(w, 0.0) for w in own]
-        found = min([found, *weights]) if min(weights, default=0.0) < 0 else max([found, *weights]) if found >= 0 else found
-    return found, tuple(words[:8])
+    weights = [ROLES.get(attributes["role"].strip().lower(), 0.0)] if "role" in attributes else []
+    for name in f"{attributes.get('class', '')} {attributes.get('id', '')}".split():
+        weight, own = name_sign(name, line)
+        weights.append(weight)
+        words += own
+    least, most = min(weights, default=0.0), max(weights, default=0.0)
+    return (least + (most if line and most > 0 else 0.0) if least < 0 else max(most, 0.0)), tuple(dict.fromkeys(words))
 
 
 class Parser:
@@ -198,13 +230,14 @@ class Parser:
         if tag in VOID or attributes.endswith("/") and tag not in BLOCK and tag not in RAW:
             return
         up = self.node
-        own, words = signs(attributes) if "=" in attributes else (0.0, ())
+        named = attributes_of(attributes) if attributes else {}
+        own, words = signs(named, up.article and tag in LINES) if named else (0.0, ())
         of_tag = TAG_WEIGHT.get(tag, 0.0)
         if tag == "header" and up.article:
             own = of_tag = 0.0  # an article's own header
         sign = min(own, of_tag) if min(own, of_tag) < 0 else max(own, of_tag)
         article = tag in ("article", "main")
-        hidden = up.hidden or tag in HIDDEN or bool(attributes and _hidden.search(attributes))
+        hidden = up.hidden or tag in HIDDEN or is_hidden(named)
         node = Node(tag, up, up.depth + 1, min(up.worst, sign), max(up.best, sign), max(up.plain_best, own if article else sign), hidden, up.link or tag == "a", up.article or article, words)
         self.node = node
         self.open.setdefault(tag, []).append(node)
@@ -281,16 +314,27 @@ def fit_model(rows: list[tuple[list[float], list[str], bool]], pairs: tuple[int,
             count[t] = count.get(t, 0) + 1
     known = sorted(count, key=lambda t: (-count[t], t))[:MAX_TOKENS]
     place = {t: len(FEATURES) + i for i, t in enumerate(known)}
-    x = np.zeros((len(rows), len(FEATURES) + len(known)))
-    for i, (values, tokens, _) in enumerate(rows):
-        x[i, : len(FEATURES)] = values
-        x[i, [place[t] for t in tokens if t in place]] = 1.0
+    values = np.array([v for v, _, _ in rows], float)
+    places = [[place[t] for t in tokens if t in place] for _, tokens, _ in rows]
+
+    def matrices() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for at in range(0, len(rows), FIT_ROWS):
+            own = places[at : at + FIT_ROWS]
+            x = np.zeros((len(own), len(FEATURES) + len(known)))
+            x[:, : len(FEATURES)] = values[at : at + FIT_ROWS]
+            x[np.repeat(np.arange(len(own)), [len(p) for p in own]), np.array([t for p in own for t in p], int)] = 1.0
+            yield x, y[at : at + FIT_ROWS]
+
     prior = np.concatenate([PRIOR, np.zeros(len(known))])
     firm = np.concatenate([FIRMNESS, np.full(len(known), TOKEN_FIRMNESS)])
     w = prior.copy()
     for _ in range(30):  # Newton's method; the prior keeps the Hessian definite
-        p = 1.0 / (1.0 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(firm), x.T @ (p - y) + firm * (w - prior))
+        bend, slope = np.diag(firm), firm * (w - prior)
+        for x, label in matrices():
+            p = 1.0 / (1.0 + np.exp(-np.clip(x @ w, -30, 30)))
+            bend = bend + (x * (p * (1 - p))[:, None]).T @ x
+            slope = slope + x.T @ (p - label)
+        step = np.linalg.solve(bend, slope)
         w -= step
         if np.abs(step).max() < 1e-9:
             break
