@@ -287,7 +287,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text
 
 
 def balanced_steps(pieces: DataFrame, step_tokens: int = STEP_TOKENS) -> DataFrame:
-    """pieces (of pack_documents(), written and read again) with step groups over all partitions: every group has step_tokens but the last of
+    """pieces (of pack_documents(), written and read again; token_ids may be left out) with step groups over all partitions: every group has step_tokens but the last of
     each tier.
 
     Only the numbers of windows by tier and partition are summed up and joined; no piece is sorted."""

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqlens.llm import decontaminate, html_extract, language_id, packing, pii, quality, sharding, simhash, spelling, substrings, tokenizer_fst, topk
-from seqlens.llm.common import table
+from seqlens.llm.common import checkpointed, table
 
 TOKENIZER = "word_bpe_49k.json"
 TOKEN_LIMIT = 2048
@@ -51,8 +51,8 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pieces = packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
-    return pieces.select("doc_id", "start", "length", F.crc32("token_ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "tier", "step_group")
+    pieces = packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path()).withColumn("ids_crc32", F.crc32("token_ids")).drop("token_ids")
+    return packing.balanced_steps(checkpointed(pieces)).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "tier", "step_group")
 
 
 def op7_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
