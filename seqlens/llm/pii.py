@@ -4,10 +4,11 @@ Entities are e-mail addresses, telephone numbers, payment cards, social security
 a telling word, access keys, and names after a title. Each is replaced by a keyed value (HMAC-SHA256) of its own type and
 format: digits stay digits, letters keep their script and case, card and IBAN check digits hold, an address is as long as before and
 has its zeros in the same places, a name keeps its title's gender. A surrogate depends on the key and the entity's normal form alone,
-so one entity has one surrogate in all documents, however it is punctuated.
+so one entity has one surrogate in all documents, however it is punctuated. A given name is told by its title's gender too: "Mr John Smith" and "Dr John Smith"
+of two documents share the family name's surrogate and not the given name's, as a name without gender could be anyone's.
 
 Once a document names someone after a title, it is searched for the words of that name alone too ("Smith", "JOHN", "Anna Lee"), and these get the
-same surrogates. A given name after a title without gender, or without a title, has the gender that another title in the document gives it.
+same surrogates, also where such a word begins a sentence in another sense ("Mr Will Smith. Will you come?"). A given name after a title without gender, or without a title, has the gender that another title in the document gives it.
 
 Distinctness is checked over the corpus: where two entities would share a surrogate, or a surrogate would be an entity of the
 corpus, all but one try again with the next attempt number, until no two do. The few with a later attempt are kept in a table.
@@ -70,8 +71,8 @@ PATTERNS = {
 ISSUERS = "^(?:2[2-7]|3[04-9]|4|5[0-8]|6)"
 #: Only PHONE and CARD have groups: the separators they repeat.
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
-#: In documents that name someone, any capitalised word may be a part of that name.
-ANY_OR_WORD = ANY + rf"|(?<![\p{{L}}\p{{N}}@._%+'’-]){_NAME}(?![\p{{L}}\p{{N}}@])"
+#: In documents that name someone, any capitalised word between the entities may be a part of that name.
+WORD = rf"(?<![\p{{L}}\p{{N}}@._%+'’-]){_NAME}(?![\p{{L}}\p{{N}}@])"
 MAYBE = r"[@\d]|AKIA|ASIA|[0-9A-Fa-f]::|" + rf"(?<!\p{{L}})(?:{_TITLE}|{'|'.join(t.upper() for t in _ALL_TITLES)})\.? \p{{Lu}}"
 
 
@@ -368,18 +369,20 @@ def entities_of(text: Column) -> Column:
 
 
 def later_attempts(entities: DataFrame, key: str) -> DataFrame | None:
-    """kind, value, attempt of the distinct entities whose first surrogate another has or is; None if there is none."""
+    """kind, value, attempt of the distinct entities whose first surrogate another has or is; None if there is none.
+
+    Surrogates are computed once and kept; in each round only those that try again are computed anew."""
+    made = lambda rows: checkpointed(rows.select("kind", "value", "attempt", surrogate(key, F.col("kind"), F.col("value"), F.col("attempt")).alias("made")))
     known = checkpointed(entities.select("kind", "value").distinct())
-    now = known.withColumn("attempt", F.lit(0))
+    now = made(known.withColumn("attempt", F.lit(0)))
     for _ in range(MAX_ROUNDS):
-        made = now.withColumn("made", surrogate(key, F.col("kind"), F.col("value"), F.col("attempt")))
-        shared = made.groupBy("kind", "made").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("attempt", "value"))["value"].alias("first")).where("n > 1").select("kind", "made", "first")
-        taken = known.select(F.col("kind"), F.col("value").alias("made"), F.lit(None).cast("string").alias("first")).join(made.select("kind", "made"), ["kind", "made"], "left_semi")
-        again = checkpointed(made.join(shared.unionByName(taken), ["kind", "made"]).where("first IS NULL OR value <> first").select("kind", "value").distinct())
+        shared = now.groupBy("kind", "made").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("attempt", "value"))["value"].alias("first")).where("n > 1").select("kind", "made", "first")
+        taken = known.select(F.col("kind"), F.col("value").alias("made"), F.lit(None).cast("string").alias("first")).join(now.select("kind", "made"), ["kind", "made"], "left_semi")
+        again = checkpointed(now.join(shared.unionByName(taken), ["kind", "made"]).where("first IS NULL OR value <> first").select("kind", "value", "attempt").distinct())
         if again.isEmpty():
-            late = now.where("attempt > 0")
+            late = now.where("attempt > 0").select("kind", "value", "attempt")
             return None if late.isEmpty() else late
-        now = checkpointed(now.join(again.withColumn("more", F.lit(1)), ["kind", "value"], "left").select("kind", "value", (F.col("attempt") + F.coalesce("more", F.lit(0))).alias("attempt")))
+        now = checkpointed(now.join(again, ["kind", "value"], "left_anti").unionByName(made(again.withColumn("attempt", F.col("attempt") + 1))))
     raise RuntimeError(f"surrogates still collide after {MAX_ROUNDS} attempts")
 
 
@@ -411,15 +414,27 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", inline_attem
 def replaced(docs: DataFrame, text_col: str, key: str, attempts: Column | None) -> DataFrame:
     text = docs[text_col]
 
-    def spliced(pattern: str, found: Column, names: Column | None) -> Column:
-        pieces = F.split(text, pattern, -1)
+    def put_in(pieces: Column, found: Column, made: Column) -> Column:
+        """Pieces of text with the matches between them, each as it is made or, where that is null, as it was found."""
+        shown = F.zip_with(made, found, lambda new, old: F.coalesce(new, old))
+        return F.array_join(F.zip_with(pieces, shown, lambda p, e: F.concat(p, F.coalesce(e, F.lit("")))), "")
+
+    number = lambda made: F.size(F.filter(made, lambda x: x.isNotNull())).cast("long")
+
+    def spliced(part: Column, pattern: str, found: Column, names: Column | None) -> Column:
+        made = F.transform(found, lambda e: replacement(e, key, attempts, names))
+        return let(made, lambda m: F.struct(put_in(F.split(part, pattern, -1), found, m).alias("text"), number(m).alias("n")))
+
+    def with_names(found: Column, names: Column) -> Column:
+        """Entities as they were found, and names in what is between them alone: no word takes the beginning of an entity along."""
+        between = F.transform(F.split(text, ANY, -1), lambda p: F.when(p.rlike(WORD), spliced(p, WORD, F.regexp_extract_all(p, F.lit(WORD), F.lit(0)), names)).otherwise(F.struct(p.alias("text"), F.lit(0).cast("long").alias("n"))))
         made = F.transform(found, lambda e: replacement(e, key, attempts, names))
-        shown = lambda m: F.zip_with(m, found, lambda new, old: F.coalesce(new, old))
-        return let(made, lambda m: F.struct(F.array_join(F.zip_with(pieces, shown(m), lambda p, e: F.concat(p, F.coalesce(e, F.lit("")))), "").alias("text"), F.size(F.filter(m, lambda x: x.isNotNull())).cast("long").alias("n")))
+        both = F.struct(between.alias("between"), made.alias("made"))
+        total = lambda b: F.aggregate(b["between"], number(b["made"]), lambda n, p: n + p["n"])
+        return let(both, lambda b: F.struct(put_in(F.transform(b["between"], lambda p: p["text"]), found, b["made"]).alias("text"), total(b).alias("n")))
 
     def by_names(found: Column) -> Column:
-        words = lambda names: let(F.regexp_extract_all(text, F.lit(ANY_OR_WORD), F.lit(0)), lambda every: spliced(ANY_OR_WORD, every, names))
-        return let(names_of(found), lambda names: F.when(names.isNull(), spliced(ANY, found, None)).otherwise(words(names)))
+        return let(names_of(found), lambda names: F.when(names.isNull(), spliced(text, ANY, found, None)).otherwise(with_names(found, names)))
 
     untouched = F.struct(text.alias("text"), F.lit(0).cast("long").alias("n"))
     maybe = let(F.regexp_extract_all(text, F.lit(ANY), F.lit(0)), lambda found: F.when(F.size(found) > 0, by_names(found)).otherwise(untouched))
