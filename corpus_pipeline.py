@@ -14,12 +14,12 @@ from seqlens.llm.queries import PII_KEY, tokenizer_path
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that the labelled ones have."""
+    """Documents in a language that the labelled ones have. Null texts and texts without letters are in none and go; without any labelled text nothing else does."""
     return language_id.in_known_language(docs, language_id.fit_profiles(docs))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates."""
+    """One document of each group of near-duplicates: rows decide, also where ids are null or repeated."""
     return simhash.one_of_each(docs)
 
 
@@ -35,8 +35,9 @@ def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of training sequences, with their token ids."""
-    return packing.pack_documents(docs, tokenizer_path())
+    """The pieces of training sequences, with their token ids, in step groups over all partitions. A null or empty text is its end id alone; a row is
+    a document, whatever its id; long texts are cut into pieces."""
+    return packing.balanced_steps(checkpointed(packing.pack_documents(docs, tokenizer_path())))
 
 
 STAGES = [
