@@ -27,6 +27,8 @@ MAX_N = 3
 LEAST_NEARNESS = 0.05
 UNKNOWN = "und"
 CODE_POINTS = 0x110000
+#: Languages whose rates are broadcast; those of more are joined.
+BROADCAST_LANGS = 20_000
 #: n-grams that a task of the fit holds before it hands their counts on.
 HELD_GRAMS = 1 << 21
 
@@ -146,7 +148,8 @@ def fit_profiles(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = docs.select(docs[id_col].alias("doc_id"), docs[text_col].cast("string").alias("text"), docs[lang_col].alias("lang")).where("lang IS NOT NULL AND text IS NOT NULL")
     rates = checkpointed(rows.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(sample_per_lang) / F.count(F.lit(1))).alias("rate")))
     unit = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    sample = rows.join(rates, "lang").where(unit < F.col("rate")).select("lang", "text")
+    few = rates.count() <= BROADCAST_LANGS
+    sample = rows.join(F.broadcast(rates) if few else rates, "lang").where(unit < F.col("rate")).select("lang", "text")
     names = ["lang", "at", "length", "n"]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
