@@ -2,7 +2,7 @@
 
 A task holds the index (k-mer to the queries that have it) and the counts of a few references at a time, and emits for each query its nearest of those;
 so what is shuffled is five rows a query and batch, where the join of both k-mer tables shuffles every pair that shares one.
-Used only for query sets within MAX_QUERIES and MAX_BYTES; larger ones are joined."""
+Query sets within MAX_QUERIES and MAX_BYTES are sent to where the references lie; larger ones go in blocks of that size, each of which meets the references in lanes."""
 
 from __future__ import annotations
 
@@ -19,6 +19,9 @@ from seqlens.session import importable
 
 MAX_QUERIES = 4096
 MAX_BYTES = 8 << 20
+#: References of a lane, where query sets are larger.
+LANE_ROWS = 2048
+LANE_BYTES = 16 << 20
 #: Cells of a table of counts (references by queries).
 CELLS = 1 << 20
 
@@ -111,6 +114,22 @@ def bounded(queries: DataFrame, contained: bool) -> list | None:
     return prepared(queries, contained, keep=True).collect() if size["n"] <= MAX_QUERIES and (size["b"] or 0) <= MAX_BYTES else None
 
 
+def best_of(index: Index, ids: list, texts: pa.Array | pa.ChunkedArray, top: int) -> tuple[np.ndarray, np.ndarray] | None:
+    """Distances and places of the `top` nearest of these references for every query (a row for each rank), by distance, then id; None without references."""
+    step = max(top, CELLS // max(1, index.n))
+    order = sorted((i for i, x in enumerate(ids) if x is not None), key=ids.__getitem__)
+    best: tuple | None = None
+    for s in range(0, len(order), step):
+        own = order[s : s + step]
+        d = np.stack([index.distances(texts[i].as_py()) for i in own])
+        ref = np.broadcast_to(np.array(own)[:, None], d.shape)
+        if best is not None:  # earlier ids come first, so a stable sort keeps them on ties
+            d, ref = np.vstack([best[0], d]), np.vstack([best[1], ref])
+        chosen = np.argsort(d, axis=0, kind="stable")[:top]
+        best = np.take_along_axis(d, chosen, 0), np.take_along_axis(ref, chosen, 0)
+    return best if index.n else None
+
+
 def nearest(rows: list, refs: DataFrame, k: int, contained: bool, top: int) -> DataFrame:
     """query, ref_id, d: of each query (its place in rows) the `top` nearest refs of every batch, by distance, then id."""
     if k > 8:
@@ -122,22 +141,46 @@ def nearest(rows: list, refs: DataFrame, k: int, contained: bool, top: int) -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = Index(shared.value, k, contained)
-        step = max(top, CELLS // max(1, index.n))
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1)
-            order = sorted((i for i, x in enumerate(ids) if x is not None), key=ids.__getitem__)
-            best: tuple | None = None
-            for s in range(0, len(order), step):
-                own = order[s : s + step]
-                d = np.stack([index.distances(texts[i].as_py()) for i in own])
-                ref = np.broadcast_to(np.array(own)[:, None], d.shape)
-                if best is not None:  # earlier ids come first, so a stable sort keeps them on ties
-                    d, ref = np.vstack([best[0], d]), np.vstack([best[1], ref])
-                chosen = np.argsort(d, axis=0, kind="stable")[:top]
-                best = np.take_along_axis(d, chosen, 0), np.take_along_axis(ref, chosen, 0)
-            if best is not None and index.n:
-                d, ref = best
+            found = best_of(index, batch.column(0).to_pylist(), batch.column(1), top)
+            if found is not None:
+                d, ref = found
                 query = np.tile(np.arange(index.n), len(d))
                 yield pa.RecordBatch.from_arrays([pa.array(query, pa.int64()), batch.column(0).take(pa.array(ref.ravel())), pa.array(d.ravel())], ["query", "ref_id", "d"])
 
     return source.mapInArrow(run, f"query long, ref_id {kind}, d double")
+
+
+def parts_of(rows: DataFrame, most_rows: int, most_bytes: int) -> int:
+    """Into how many parts rows (seq) go, so that one has so many rows and bytes on average."""
+    size = rows.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length("seq").cast("long")), F.lit(0)).alias("b")).first()
+    return max(1, -(-size["n"] // most_rows), -(-size["b"] // most_bytes))
+
+
+def nearest_in_blocks(queries: DataFrame, refs: DataFrame, k: int, contained: bool, top: int, block_rows: int = MAX_QUERIES, lane_rows: int = LANE_ROWS) -> DataFrame:
+    """query_id, ref_id, d of the `top` nearest refs of each query in every lane, for query sets of any size.
+
+    Queries are dealt to blocks and refs to lanes by a hash of their ids; every block meets every lane, by an equi-join of both numbers, and builds its index there. So no
+    k-mer is a key: one that all have costs a task no more than its refs' other k-mers, and what is shuffled is a copy of the refs a block and of the queries a lane."""
+    if k > 8:
+        raise ValueError("k-mers of eight letters at most")
+    importable(refs.sparkSession)
+    blocks, lanes = parts_of(queries, block_rows, MAX_BYTES), parts_of(refs, lane_rows, LANE_BYTES)
+    number = lambda n, name: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias(name)
+    every = lambda n, name: F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(name)
+    asked = prepared(queries, contained, keep=True).select("id", "seq", "rev", number(blocks, "block"), every(lanes, "lane"))
+    held = prepared(refs, contained).where("id IS NOT NULL").select("id", "seq", number(lanes, "lane"), every(blocks, "block"))
+    kinds = [rows.schema["id"].dataType for rows in (queries, refs)]
+    names = ["query_id", "ref_id", "d"]
+
+    def run(asked: pa.Table, held: pa.Table) -> pa.Table:
+        index = Index(list(zip(asked["seq"].to_pylist(), asked["rev"].to_pylist(), strict=True)), k, contained)
+        found = best_of(index, held["id"].to_pylist(), held["seq"].combine_chunks(), top) if len(held) else None
+        if found is None:
+            return pa.table([asked["id"].slice(0, 0), held["id"].slice(0, 0), pa.array([], pa.float64())], names)
+        d, ref = found
+        query = pa.array(np.tile(np.arange(index.n), len(d)))
+        return pa.table([asked["id"].take(query), held["id"].take(pa.array(ref.ravel())), pa.array(d.ravel())], names)
+
+    both = asked.groupBy("block", "lane").cogroup(held.groupBy("block", "lane"))
+    return both.applyInArrow(run, f"query_id {kinds[0].simpleString()}, ref_id {kinds[1].simpleString()}, d double")

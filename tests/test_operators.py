@@ -1,3 +1,4 @@
+import functools
 import hashlib
 import itertools
 import math
@@ -187,27 +188,51 @@ def test_kmer_pairs(spark, monkeypatch, letters):
         assert {(x["id_a"], x["id_b"]): (x["shared"], x["d"]) for x in distance.kmer_pairs(rows, 3, tile_rows).collect()} == want
 
 
-@pytest.fixture(params=["one pass", "join"])
+def take_plan(monkeypatch, plan):
+    """How neighbours() searches: all queries sent to the references, in small blocks and lanes, or joined on k-mers."""
+    monkeypatch.setattr(kernel, "MAX_QUERIES", 4096 if plan == "one pass" else -1)
+    in_blocks = functools.partial(BLOCKS, block_rows=9, lane_rows=20)
+    by_join = lambda q, r, k, contained, top: similarity.top_neighbours(similarity.joined_pairs(q, r, k, contained), q, r, top).select("query_id", "ref_id", "d")
+    monkeypatch.setattr(kernel, "nearest_in_blocks", by_join if plan == "join" else in_blocks)
+
+
+BLOCKS = kernel.nearest_in_blocks
+PLANS = ["one pass", "blocks", "join"]
+
+
+@pytest.fixture(params=PLANS)
 def either_way(request, monkeypatch):
-    if request.param == "join":
-        monkeypatch.setattr(kernel, "MAX_QUERIES", -1)
+    take_plan(monkeypatch, request.param)
 
 
 @pytest.mark.parametrize("letters", ["ACGT" * 6 + "N-RYk", "ACGTacgtéß", "абвАБ σΣ", "中文字符AC😀𠀀", "".join(map(chr, range(0x100, 0x400)))])
-def test_both_ways_agree(spark, monkeypatch, letters):
+def test_all_plans_agree(spark, monkeypatch, letters):
     r = random.Random(9)
     make = lambda n: "".join(r.choice(letters) for _ in range(n))
     texts = [make(r.randint(0, 300)) for _ in range(100)]
     refs = spark.createDataFrame([(i, t, f"L{i % 4}") for i, t in enumerate([*texts, *texts[:20], None, ""])], "id long, seq string, label string")
     queries = spark.createDataFrame([(i, t) for i, t in enumerate([*(t[i % 7 : 200] for i, t in enumerate(texts[:20])), *(make(r.randint(0, 120)) for _ in range(20)), None, "", "AC"])], "id long, seq string")
     found = []
-    for most in (4096, -1):
-        monkeypatch.setattr(kernel, "MAX_QUERIES", most)
+    for plan in PLANS:
+        take_plan(monkeypatch, plan)
         found.append([sorted(map(tuple, f(queries, refs, 4).collect())) for f in (similarity.map_fragments, similarity.place)])
-    assert found[0] == found[1]
+    assert found[0] == found[1] == found[2]
     assert len(found[0][0]) == len(found[0][1]) == 43
 
 
+def test_a_letter_run_that_all_have_is_no_key(spark, monkeypatch):
+    """Copies of one query and one reference by the hundred: no k-mer is dealt out by, and ties go to the least ids."""
+    take_plan(monkeypatch, "blocks")
+    text = "ACGTTGCAACGGTTAACC"
+    queries = spark.range(150).select("id", F.lit(text).alias("seq"))
+    refs = spark.range(300).select("id", F.lit(text * 2).alias("seq"), F.lit("x").alias("label"))
+    plan = kernel.nearest_in_blocks(queries, refs, 8, True, 5)
+    assert "kmer" not in plan._jdf.queryExecution().toString()
+    near = similarity.neighbours(queries, refs, 8, contained=True)
+    assert near.count() == 750 and near.where("d = 0.0").count() == 750
+    assert {tuple(r) for r in plan.where("query_id = 7").orderBy("d", "ref_id").limit(5).collect()} == {(7, i, 0.0) for i in range(5)}
+
+
 def test_placement_beyond_ascii(spark, either_way):
     seeds = spark.createDataFrame([(i, t, f"L{i}") for i, t in enumerate(["ACGTACGTAC", "что такое хорошо", "привет мир как дела сегодня", "?????????", "GGGGGGG", "TTTTTTTT"])], "id long, seq string, label string")
     queries = spark.createDataFrame([(1, "привет мир как дела сегод"), (2, "中文字符")], "id long, seq string")
