@@ -4,6 +4,8 @@ A distance table has id_a, id_b, d with id_a < id_b."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -73,6 +75,58 @@ def aligned_pairs(rows: DataFrame, id_type: str = "long", tile_rows: int = TILE)
     return pairs.withColumn("p", F.when(F.col("comparable") == 0, 1.0).otherwise(F.col("differing") / F.col("comparable")))
 
 
+def aligned_tiles(rows: DataFrame, tile_rows: int, schema: str, fold: Callable[..., pd.DataFrame]) -> DataFrame:
+    """fold(left, right, x, y, comparable, differing) of every tile of aligned sequences (id, seq, label): x and y are the places in left and right of its
+    pairs, the lower id first, comparable and differing their numbers. Rows without a label take no part."""
+
+    def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        i, j = key
+        left, right = frame[frame["block"] == i], frame[frame["block"] == j]
+        both, differing = tile(encode(left["seq"].tolist()), encode(right["seq"].tolist()))
+        x, y, _, _ = pairs_of(left, right, i == j)
+        return fold(left, right, x, y, both[x, y], differing[x, y])
+
+    return in_tiles(rows.where("label IS NOT NULL"), ["seq", "label"], tile_rows).groupBy("i", "j").applyInPandas(run, schema)
+
+
+def pair_classes(rows: DataFrame, tile_rows: int = TILE) -> DataFrame:
+    """label_a, label_b, comparable, differing, p, n: how many pairs of aligned sequences (id, seq, label) have these labels (in the order of the ids) and numbers of places.
+
+    Pairs are counted inside their tile. A p-distance is a fraction of small numbers, so what leaves a tile is a row for each fraction and pair of labels, and not
+    one for each pair."""
+
+    def fold(left: pd.DataFrame, right: pd.DataFrame, x: np.ndarray, y: np.ndarray, comparable: np.ndarray, differing: np.ndarray) -> pd.DataFrame:
+        names, codes = np.unique(np.concatenate([left["label"], right["label"]]).astype(str), return_inverse=True)
+        a, b = codes[: len(left)][x], codes[len(left) :][y]
+        turned = left["id"].to_numpy()[x] > right["id"].to_numpy()[y]
+        a, b = np.where(turned, b, a), np.where(turned, a, b)
+        (a, b, comparable, differing), n = np.unique(np.stack([a, b, comparable, differing]), axis=1, return_counts=True)
+        return pd.DataFrame({"label_a": names[a], "label_b": names[b], "comparable": comparable, "differing": differing, "n": n})
+
+    counted = aligned_tiles(rows, tile_rows, "label_a string, label_b string, comparable long, differing long, n long", fold)
+    summed = counted.groupBy("label_a", "label_b", "comparable", "differing").agg(F.sum("n").alias("n"))
+    return summed.withColumn("p", F.when(F.col("comparable") == 0, 1.0).otherwise(F.col("differing") / F.col("comparable")))
+
+
+def medoids_of(rows: DataFrame, correct: bool = False, tile_rows: int = TILE) -> DataFrame:
+    """medoids() of aligned sequences (id, seq, label): a tile sums up each row's distances to rows of its own label, so no row for a pair leaves it.
+
+    Sums are compared to nine places, as they depend on the order of summing beyond."""
+    kind = rows.schema["id"].dataType.simpleString()
+
+    def fold(left: pd.DataFrame, right: pd.DataFrame, x: np.ndarray, y: np.ndarray, comparable: np.ndarray, differing: np.ndarray) -> pd.DataFrame:
+        own = left["label"].to_numpy()[x] == right["label"].to_numpy()[y]
+        x, y, comparable, differing = x[own], y[own], comparable[own], differing[own]
+        d = np.where(comparable == 0, 1.0, differing / np.maximum(comparable, 1))
+        d = -0.75 * np.log(1.0 - 4.0 / 3.0 * np.clip(d, 0.0, 0.7499)) if correct else d
+        sides = [(side, np.bincount(at, d, minlength=len(side)), np.bincount(at, minlength=len(side))) for side, at in ((left, x), (right, y))]
+        return pd.concat([pd.DataFrame({"id": side["id"], "label": side["label"], "sum_d": total})[n > 0] for side, total, n in sides])
+
+    sums = aligned_tiles(rows, tile_rows, f"id {kind}, label string, sum_d double", fold).groupBy("label", "id").agg(F.sum("sum_d").alias("sum_d"))
+    nearest = F.struct(F.floor(F.col("sum_d") * 1_000_000_000 + 0.5), F.col("id"))
+    return sums.groupBy("label").agg(F.min_by("id", nearest).alias("medoid"), F.min("sum_d").alias("sum_d"))
+
+
 def corrected(pairs: DataFrame, p: str = "p") -> DataFrame:
     """With d, the distance corrected for repeated changes."""
     return pairs.withColumn("d", kmers.jukes_cantor(F.col(p)))

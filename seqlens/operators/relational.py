@@ -161,13 +161,19 @@ def runs(rows: DataFrame, part: list[str], order: list[str], label: str) -> Data
     return rows.withColumn("_c", changed).withColumn("run", F.sum("_c").over(w)).groupBy(*part, "run", label).agg(F.count(F.lit(1)).alias("n"))
 
 
-def quantiles(rows: DataFrame, keys: list[str], value: str, points: dict[str, float]) -> DataFrame:
-    """keys, n and for each name of points the value at that share of a key's rows, interpolated between neighbours. Nulls don't count.
+def _times(weight: str | None) -> Column:
+    """How many rows a group of rows stands for."""
+    return F.count(F.lit(1)) if weight is None else F.sum(weight).cast("long")
+
+
+def quantiles(rows: DataFrame, keys: list[str], value: str, points: dict[str, float], weight: str | None = None) -> DataFrame:
+    """keys, n and for each name of points the value at that share of a key's rows, interpolated between neighbours. Nulls don't count. weight: a column of
+    how many rows one stands for.
 
     Exact: rows are counted by key and value, dealt out by ranges of both and summed within a range; what a key has in ranges before is
     added. So no task holds all values of a key, as an aggregate's buffer would."""
     part, v = "_part", "_v"
-    own = rows.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias(v)).agg(F.count(F.lit(1)).alias("_c"))
+    own = rows.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias(v)).agg(_times(weight).alias("_c"))
     dealt = checkpointed(own.repartitionByRange(*keys, v).withColumn(part, F.spark_partition_id()))
     sums = dealt.groupBy(*keys, part).agg(F.sum("_c").alias("_t"))  # about a row for each partition and key
     earlier = Window.partitionBy(*keys).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
@@ -194,22 +200,24 @@ def quantiles(rows: DataFrame, keys: list[str], value: str, points: dict[str, fl
     return found.select(*keys, "n", *[between(name, p).cast("double").alias(name) for name, p in points.items()])
 
 
-def five_numbers(rows: DataFrame, key: str, value: str) -> DataFrame:
+def five_numbers(rows: DataFrame, key: str, value: str, weight: str | None = None) -> DataFrame:
     """Minimum, quartiles and maximum, interpolated between neighbours."""
-    return quantiles(rows, [key], value, {"low": 0.0, "q1": 0.25, "median": 0.5, "q3": 0.75, "high": 1.0})
+    return quantiles(rows, [key], value, {"low": 0.0, "q1": 0.25, "median": 0.5, "q3": 0.75, "high": 1.0}, weight)
 
 
-def cliffs_delta(rows: DataFrame, group: str, a: str, b: str, value: str) -> DataFrame:
-    """delta = (#a > b - #a < b) / (n_a n_b) over all pairs of a row of group a and one of group b; null if either has none.
+def cliffs_delta(rows: DataFrame, group: str, a: str, b: str, value: str, weight: str | None = None) -> DataFrame:
+    """delta = (#a > b - #a < b) / (n_a n_b) over all pairs of a row of group a and one of group b; null if either has none. weight: a column of how many rows one stands for.
 
     Exact, from ranks: rows are counted by value, dealt out by ranges of value and summed within a range; the totals of ranges
     before it are added. So no pair is formed and no task gets more than a range."""
-    own = rows.where(F.col(group).isin(a, b)).groupBy(F.col(value).alias("v")).agg(F.count_if(F.col(group) == a).alias("na"), F.count_if(F.col(group) == b).alias("nb"))
+    own = rows.where(F.col(group).isin(a, b)).groupBy(F.col(value).alias("v")).agg(*[F.coalesce(F.sum(F.when(F.col(group) == g, F.lit(1) if weight is None else F.col(weight))), F.lit(0)).cast("long").alias(n) for g, n in ((a, "na"), (b, "nb"))])
     dealt = checkpointed(own.repartitionByRange("v").withColumn("part", F.spark_partition_id()))
     totals = dealt.groupBy("part").agg(F.sum("nb").alias("t")).select("part", F.coalesce(F.sum("t").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     w = Window.partitionBy("part").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
     ranked = dealt.withColumn("lower", F.coalesce(F.sum("nb").over(w), F.lit(0))).join(F.broadcast(totals), "part")  # a row for each partition
-    greater = F.sum(F.col("na") * (F.col("lower") + F.col("before")))
-    sums = ranked.agg(greater.alias("gt"), F.sum(F.col("na") * F.col("nb")).alias("eq"), F.sum("na").alias("na"), F.sum("nb").alias("nb"))
-    pairs = F.col("na") * F.col("nb")
-    return sums.select(F.when(pairs > 0, (2 * F.col("gt") + F.col("eq") - pairs) / pairs).alias("delta"), "na", "nb")
+    exact = lambda c: c.cast("decimal(19,0)")  # noqa: E731 - products of numbers of pairs are beyond long
+    greater = F.sum(exact(F.col("na")) * exact(F.col("lower") + F.col("before")))
+    sums = ranked.agg(greater.alias("gt"), F.sum(exact(F.col("na")) * exact(F.col("nb"))).alias("eq"), F.sum("na").alias("na"), F.sum("nb").alias("nb"))
+    pairs = exact(F.col("na")) * exact(F.col("nb"))
+    delta = (F.col("gt") + F.col("gt") + F.col("eq") - pairs).cast("double") / pairs.cast("double")
+    return sums.select(F.when(pairs > 0, delta).alias("delta"), "na", "nb")

@@ -248,9 +248,13 @@ def labels_of(spark, sf):
     return fragments(spark, sf).select("id", "label")
 
 
-def known_pairs(spark, sf):
-    known = labels_of(spark, sf).where(F.col("label").startswith("ST") & (F.col("label") != "ST_unassigned"))
-    return distance.labelled(pairs(spark, sf), known)
+def classes(rows):
+    """Pairs of rows by labels and distance, n of each: label_a, label_b, same, p, d, n."""
+    return distance.corrected(distance.pair_classes(rows)).withColumn("same", F.col("label_a") == F.col("label_b"))
+
+
+def known_classes(spark, sf):
+    return classes(fragments(spark, sf).where(F.col("label").startswith("ST") & (F.col("label") != "ST_unassigned")))
 
 
 @query("a8k_p_distance", ALIGNED + " SELECT * FROM x")
@@ -278,25 +282,25 @@ KNOWN = "label_a LIKE 'ST%' AND label_b LIKE 'ST%' AND label_a <> 'ST_unassigned
 
 @query("j15_same_or_different", ALIGNED + f" SELECT label_a = label_b AS same, count(*) AS n FROM y WHERE {KNOWN} GROUP BY 1")
 def j15(spark, sf):
-    return relational.counts(known_pairs(spark, sf), "same")
+    return known_classes(spark, sf).groupBy("same").agg(F.sum("n").alias("n"))
 
 
 @query("g4_within_label", ALIGNED + f" SELECT label_a AS label, count(*) AS n, {rounded('avg(d)')} AS mean, {rounded('median(d)')} AS median, {rounded('max(d)')} AS most FROM y WHERE label_a = label_b GROUP BY 1")
 def g4(spark, sf):
-    own = distance.labelled(pairs(spark, sf), labels_of(spark, sf)).where("same").select(F.col("label_a").alias("label"), "d")
-    return within(own, "mean", "median", "most")
+    own = classes(fragments(spark, sf)).where("same").select(F.col("label_a").alias("label"), "d", "n")
+    return within(checkpointed(own), "mean", "median", "most")
 
 
 def within(rows, mean: str, median: str, most: str):
-    """label, n, and the mean, median and greatest d of each label."""
-    middle = relational.quantiles(rows, ["label"], "d", {median: 0.5, most: 1.0}).select("label", "n", six(F.col(median)).alias(median), six(F.col(most)).alias(most))
-    return middle.join(rows.groupBy("label").agg(six(F.avg("d")).alias(mean)), "label").select("label", "n", mean, median, most)
+    """label, n, and the mean, median and greatest d of each label. rows: label, d, n (pairs)."""
+    middle = relational.quantiles(rows, ["label"], "d", {median: 0.5, most: 1.0}, "n").select("label", "n", six(F.col(median)).alias(median), six(F.col(most)).alias(most))
+    return middle.join(rows.groupBy("label").agg(six(F.sum(F.col("d") * F.col("n")) / F.sum("n")).alias(mean)), "label").select("label", "n", mean, median, most)
 
 
 @query("g5_novel_medians", ALIGNED + f" SELECT label_a AS label, count(*) AS n, {rounded('median(p)')} AS median FROM y WHERE label_a = label_b AND label_a LIKE 'novel%' GROUP BY 1")
 def g5(spark, sf):
-    own = distance.labelled(distance.distance_table(fragments(spark, sf), aligned=True), labels_of(spark, sf)).where("same AND label_a LIKE 'novel%'")
-    return relational.quantiles(own.select(F.col("label_a").alias("label"), "d"), ["label"], "d", {"median": 0.5}).withColumn("median", six(F.col("median")))
+    own = classes(fragments(spark, sf).where("label LIKE 'novel%'")).where("same").select(F.col("label_a").alias("label"), "p", "n")
+    return relational.quantiles(own, ["label"], "p", {"median": 0.5}, "n").withColumn("median", six(F.col("median")))
 
 
 @query("g13_neighbour_vote", MAPPED + " SELECT t.qid AS id, t.label AS best, v.label AS vote FROM t JOIN v ON t.qid = v.qid AND rank = 1 AND o = 1")
@@ -307,13 +311,13 @@ def g13(spark, sf):
 
 @query("q3_intra_inter", ALIGNED + f" SELECT same, count(*) AS n, {rounded('median(d)')} AS median FROM (SELECT label_a = label_b AS same, d FROM y WHERE {KNOWN}) GROUP BY same")
 def q3(spark, sf):
-    return relational.quantiles(known_pairs(spark, sf).select("same", "d"), ["same"], "d", {"median": 0.5}).withColumn("median", six(F.col("median")))
+    return relational.quantiles(known_classes(spark, sf), ["same"], "d", {"median": 0.5}, "n").withColumn("median", six(F.col("median")))
 
 
 @query("a14k_cliffs_delta", ALIGNED + f", z AS (SELECT label_a = label_b AS same, d FROM y WHERE {KNOWN}) SELECT {rounded('sum(CASE WHEN a.d > b.d THEN 1 WHEN a.d < b.d THEN -1 ELSE 0 END)::DOUBLE / count(*)')} AS delta FROM z a JOIN z b ON a.same AND NOT b.same")
 def a14k(spark, sf):
-    rows = known_pairs(spark, sf).select(F.when(F.col("same"), "intra").otherwise("inter").alias("g"), "d")
-    return relational.cliffs_delta(rows, "g", "intra", "inter", "d").select(six(F.col("delta")).alias("delta"))
+    rows = known_classes(spark, sf).select(F.when(F.col("same"), "intra").otherwise("inter").alias("g"), "d", "n")
+    return relational.cliffs_delta(rows, "g", "intra", "inter", "d", "n").select(six(F.col("delta")).alias("delta"))
 
 
 def numbers(x: str) -> str:
@@ -321,24 +325,24 @@ def numbers(x: str) -> str:
 
 
 def boxes(rows):
-    five = relational.five_numbers(rows, "label", "d")
+    five = relational.five_numbers(rows, "label", "d", "n")
     return five.select("label", "n", *[six(F.col(c)).alias(c) for c in ("low", "q1", "median", "q3", "high")])
 
 
 @query("q4_known_boxes", ALIGNED + f" SELECT label_a AS label, count(*) AS n, {numbers('d')} FROM y WHERE label_a = label_b AND {KNOWN} GROUP BY 1")
 def q4(spark, sf):
-    return boxes(known_pairs(spark, sf).where("same").select(F.col("label_a").alias("label"), "d"))
+    return boxes(known_classes(spark, sf).where("same").select(F.col("label_a").alias("label"), "d", "n"))
 
 
 @query("q5_novel_boxes", ALIGNED + f" SELECT label_a AS label, count(*) AS n, {numbers('d')} FROM y WHERE label_a = label_b AND (label_a LIKE 'novel%' OR label_a = 'ST_unassigned') GROUP BY 1")
 def q5(spark, sf):
-    own = distance.labelled(pairs(spark, sf), labels_of(spark, sf)).where("same AND (label_a LIKE 'novel%' OR label_a = 'ST_unassigned')")
-    return boxes(own.select(F.col("label_a").alias("label"), "d"))
+    own = classes(fragments(spark, sf).where("label LIKE 'novel%' OR label = 'ST_unassigned'")).where("same")
+    return boxes(own.select(F.col("label_a").alias("label"), "d", "n"))
 
 
 @query("a16k_medoids", ALIGNED + ", w AS (SELECT id_a AS id, label_a AS label, p FROM y WHERE label_a = label_b UNION ALL SELECT id_b, label_b, p FROM y WHERE label_a = label_b), t AS (SELECT id, label, floor(sum(p) * 1000000000 + 0.5) AS s FROM w GROUP BY ALL) SELECT label, id AS medoid FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY s, id) AS o FROM t) WHERE o = 1")
 def a16k(spark, sf):
-    return distance.medoids(pairs(spark, sf).select("id_a", "id_b", F.col("p").alias("d")), labels_of(spark, sf)).select("label", "medoid")
+    return distance.medoids_of(fragments(spark, sf)).select("label", "medoid")
 
 
 @query("r11_permuted_matrix", ALIGNED + ", o AS (SELECT id, row_number() OVER (ORDER BY label, id) AS place FROM lab) SELECT least(a.place, b.place) AS i, greatest(a.place, b.place) AS j, floor(p * 1000000 + 0.5) / 1000000 AS d FROM e JOIN o a ON a.id = id_a JOIN o b ON b.id = id_b")
@@ -355,14 +359,14 @@ def q2(spark, sf):
 @query("q2_heatmap_cap", ALIGNED + f" SELECT {rounded('quantile_cont(d, 0.95)')} AS cap FROM e")
 def q2_cap(spark, sf):
     """Where the scale of the heat map ends."""
-    return relational.quantiles(pairs(spark, sf).select("d"), [], "d", {"cap": 0.95}).select(six(F.col("cap")).alias("cap"))
+    return relational.quantiles(classes(fragments(spark, sf)), [], "d", {"cap": 0.95}, "n").select(six(F.col("cap")).alias("cap"))
 
 
 @query("q4_axis", ALIGNED + f", ax AS (SELECT quantile_cont(d, 0.99) AS p FROM y WHERE label_a = label_b AND {KNOWN}) SELECT {rounded("p")} AS p99, CASE WHEN p < 0.2 THEN -0.005::DOUBLE END AS low, CASE WHEN p < 0.2 THEN {rounded('greatest(0.15, 1.5 * p)')} END AS high FROM ax")
 def q4_axis(spark, sf):
     """The axis of the boxes: cut where the 99th percentile is small, else left to the values."""
     p = F.col("p")
-    own = relational.quantiles(known_pairs(spark, sf).where("same").select("d"), [], "d", {"p": 0.99})
+    own = relational.quantiles(known_classes(spark, sf).where("same"), [], "d", {"p": 0.99}, "n")
     return own.select(six(p).alias("p99"), F.when(p < 0.2, F.lit(-0.005)).alias("low"), F.when(p < 0.2, six(F.greatest(F.lit(0.15), 1.5 * p))).alias("high"))
 
 
@@ -406,7 +410,7 @@ def q21(spark, sf):
     rows = made.where("label <> 'Unknown'").join(fragments(spark, sf).drop("label", "seq", "country"), "id").join(apart(own, made).select("id", "potential_novel_variant"), "id")
     rows = checkpointed(rows)
     out = rows.groupBy("label").agg(F.count(F.lit(1)).alias("n_sequences"), F.countDistinct("cluster_variant").alias("n_variant_clusters"), F.count_if("potential_novel_variant").alias("n_novel_candidates")).where("n_sequences > 1")
-    inner = checkpointed(distance.labelled(own, labels_of(spark, sf)).where("same").select(F.col("label_a").alias("label"), "d"))
+    inner = checkpointed(distance.labelled(own, labels_of(spark, sf)).where("same").select(F.col("label_a").alias("label"), "d", F.lit(1).alias("n")))
     out = out.join(within(inner, "mean_intra", "median_intra", "max_intra").drop("n"), "label")
     reg = curation.registry(spark).select("label", "status", F.col("human").alias("reported_in_humans"), F.col("note").alias("registry_note"))
     out = out.join(F.broadcast(reg), "label", "left").withColumns({"status": F.coalesce("status", F.lit("unknown")), "reported_in_humans": F.coalesce("reported_in_humans", F.lit(False)), "registry_note": F.coalesce("registry_note", F.lit(""))})  # 52 rows
