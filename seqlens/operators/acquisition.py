@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from seqlens.functions import fixed, metadata
 from seqlens.operators import curation, relational, similarity
+from seqlens.operators.components import checkpointed
 from seqlens.sources import readers
 
 
@@ -36,13 +37,14 @@ def second_pass(first: DataFrame, references: DataFrame, broad: DataFrame, genus
     References get their curated labels; what the broad search finds beyond both is placed among the first pass and the references. Records that
     the first pass has, by accession with or without its version or by content, go; of equal contents a reference stays before a placed record,
     and the first by ord."""
+    first = checkpointed(first)
     bare = metadata.bare_accession(F.col("accession"))
     known = metadata.literal_map(fixed.CURATED_LABELS)
     label = F.coalesce(F.try_element_at(known, F.col("accession")), F.try_element_at(known, bare))
     new = lambda rows: relational.without_known(curation.length_filter(rows, min_length, max_length), first.select("accession"), "accession")
-    refs = new(references).withColumn("label", label).where("label IS NOT NULL")
+    refs = checkpointed(new(references).withColumn("label", label).where("label IS NOT NULL"))
     seeds = first.select(F.col("accession").alias("id"), "seq", F.col("subtype").alias("label")).unionByName(refs.select(F.col("accession").alias("id"), "seq", "label"))
-    rest = new(broad).where(label.isNull()).join(refs.select("accession"), "accession", "left_anti")
+    rest = checkpointed(new(broad).where(label.isNull()).join(refs.select("accession"), "accession", "left_anti"))
     placed = similarity.place(rest.select(F.col("accession").alias("id"), "seq"), seeds, max_dist=max_dist).where("assigned <> 'Unplaced'")
     found = rest.drop("label", "confidence").join(placed.withColumnRenamed("id", "accession"), "accession")
     row = lambda rows, p, source, query, shown, confidence, reason: rows.withColumns({"source": F.lit(source), "query": F.lit(query)}).select(F.lit(p).alias("_p"), "ord", "seq", *curation.manifest_row(genus, shown, confidence, reason, F.lit(retrieved)))

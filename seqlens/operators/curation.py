@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from seqlens.functions import fixed, metadata
-from seqlens.operators import clustering, distance, relational, similarity
+from seqlens.operators import clustering, relational, similarity
+from seqlens.operators.components import checkpointed
 
 
 def registry(spark: SparkSession) -> DataFrame:
@@ -107,20 +108,60 @@ def deduplicated_within(rows: DataFrame, label: str = "label", seq: str = "seq",
     return relational.first_per_key(keyed, [label, "_s"], [order]).select(*rows.columns)
 
 
-def curate(records: DataFrame, genus: str, min_length: int = fixed.MIN_LENGTH, max_length: int = fixed.MAX_LENGTH, retrieved: str = "") -> DataFrame:
-    """The provenance table of records: filtered, labelled by declaration, placement or cluster, and deduplicated over all labels."""
-    kept = length_filter(quality_filter(records), min_length, max_length)
-    rows = labelled(kept, genus)
+class StepCounts:
+    """How many records each step of a run has seen, counted while the run's result is written: nothing is computed a second time.
+
+    A step is an Observation on a plan's rows; its numbers are there once an action over all of them has ended, such as a write. Actions that stop early (limit, first) and
+    branches that run more than once give numbers of what they saw."""
+
+    def __init__(self) -> None:
+        self.steps: dict[str, Observation] = {}
+
+    def of(self, name: str, rows: DataFrame, **more: Column) -> DataFrame:
+        """rows, of which the number and more counts of conditions are observed as a step."""
+        self.steps[name] = Observation(name)
+        return rows.observe(self.steps[name], F.count(F.lit(1)).alias("n"), *[F.count_if(c).alias(k) for k, c in more.items()])
+
+    def found(self) -> list[tuple[str, str, int]]:
+        """(step, what, number) in order of the steps; waits for the action that runs them."""
+        return [(name, what, n) for name, seen in self.steps.items() for what, n in seen.get.items()]
+
+    def table(self, spark: SparkSession) -> DataFrame:
+        return spark.createDataFrame(self.found(), "step string, what string, n long")
+
+
+def prepared(records: DataFrame, genus: str, min_length: int = fixed.MIN_LENGTH, max_length: int = fixed.MAX_LENGTH, counts: StepCounts | None = None) -> DataFrame:
+    """labelled() of the records that the quality and the length filter keep. counts: gets what each step drops, by reason."""
+    if counts is None:
+        return labelled(length_filter(quality_filter(records), min_length, max_length), genus)
+    reason = metadata.drop_reason(F.col("accession"), F.col("features"))
+    told = counts.of("read", records.withColumn("_reason", reason), predicted=F.col("_reason") == "predicted", molecule_type=F.col("_reason") == "molecule_type")
+    good = told.where("_reason IS NULL").drop("_reason")
+    sized = counts.of("quality", good, too_short=F.length("seq") < min_length, too_long=F.length("seq") > max_length)
+    by_source = {"curated": F.col("source") == "curated_reference"}
+    rows = labelled(counts.of("length", length_filter(sized, min_length, max_length), **by_source), genus)
+    return counts.of("labelled", rows, declared=F.col("label").isNotNull(), undeclared=F.col("label").isNull(), seeds=F.col("confidence").isin("high", "curated_reference"))
+
+
+def curate(records: DataFrame, genus: str, min_length: int = fixed.MIN_LENGTH, max_length: int = fixed.MAX_LENGTH, retrieved: str = "", counts: StepCounts | None = None) -> DataFrame:
+    """The provenance table of records: filtered, labelled by declaration, placement or cluster, and deduplicated over all labels.
+
+    What the labelling starts from is written once, as five steps read it. counts: gets the numbers of each step up to there, and of what placement and
+    clustering decide."""
+    rows = checkpointed(prepared(records, genus, min_length, max_length, counts))
     known = rows.where("label IS NOT NULL").withColumn("reason", F.concat(F.lit("declared; "), F.col("confidence")))
     unknown = rows.where("label IS NULL").drop("label", "confidence")
     as_seed = seeds(known).select(F.col("accession").alias("id"), "seq", "label")
     placed = similarity.place(unknown.select(F.col("accession").alias("id"), "seq"), as_seed)
     joined = unknown.join(placed.withColumnRenamed("id", "accession"), "accession")
+    if counts is not None:
+        joined = counts.of("placed", joined, **{k: F.col("confidence") == k for k in ("high", "medium", "low", "rejected")})
+    joined = checkpointed(joined)
     hit = joined.where("confidence <> 'rejected'").withColumn("label", F.col("assigned")).withColumn("reason", F.concat(F.lit("placement_"), F.col("confidence"), F.format_string(" (d=%.3f)", "d")))
     left = joined.where("confidence = 'rejected'").drop("confidence")
     groups = clustering.novel_groups(left.select(F.col("accession").alias("id"), "seq"))
     novel = left.join(groups.withColumnRenamed("id", "accession"), "accession").withColumn("confidence", F.when(F.col("label").startswith("novel_"), "novel_cluster").otherwise("unplaced")).withColumn("reason", clustering.novel_reason("label", "size"))
     names = [*records.columns, "label", "confidence", "reason"]
     everything = known.select(*names, F.lit(0).alias("_p")).unionByName(hit.select(*names, F.lit(1).alias("_p"))).unionByName(novel.select(*names, F.lit(2).alias("_p")))
-    rows = everything.select("_p", "ord", *manifest_row(genus, F.col("label"), F.col("confidence"), F.col("reason"), F.lit(retrieved)))
-    return relational.first_per_key(rows, ["md5"], ["_p", "ord"]).drop("_p", "ord")
+    made = everything.select("_p", "ord", *manifest_row(genus, F.col("label"), F.col("confidence"), F.col("reason"), F.lit(retrieved)))
+    return relational.first_per_key(made, ["md5"], ["_p", "ord"]).drop("_p", "ord")

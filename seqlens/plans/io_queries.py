@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqlens.operators.components import shared_folder
-from seqlens.plans.bindings import FRAGMENT_LABELS, SEQ, SPECIMENS, fragments, pick, specimens
+from seqlens.plans.bindings import FRAGMENT_LABELS, SEQ, SPECIMENS, fragments, pick, specimens, table
 from seqlens.plans.catalog import query
 from seqlens.sources import readers, sinks
 
@@ -66,11 +66,27 @@ def s7(spark, sf):
     return readers.read_flat_files(spark, path).select("accession", "name", "description", "organism", "seq")
 
 
-@query("s1_paged", "SELECT concat('AC', i) AS accession, concat('record ', i) AS description, repeat(substr('ACGT', CAST(i % 4 + 1 AS INTEGER), 1), CAST(i % 7 AS INTEGER)) AS seq FROM range(250) t(i)")
+@query("s1_paged", "WITH f AS (SELECT doc_id, source, row_number() OVER (ORDER BY doc_id) AS place FROM documents WHERE contains(lower(text), 'the') OR contains(lower(text), 'und')) SELECT doc_id, source, place, (place - 1) // 40 + 1 AS page FROM f WHERE place <= 600")
 def s1(spark, sf):
-    """A paged service, three tasks asking at once (S1, S5, S6)."""
-    spark.dataSource.register(readers.PagedRecords)
-    return spark.read.format("paged").options(service="seqlens.sources.readers:Numbered", records=250, batchsize=40, interval=0.01, parallel=3).load()
+    """A search by terms over documents, its hits page by page up to a cap (S1, S6); the filter is part of the scan."""
+    found = table(spark, sf, "documents").where(readers.contains_any(F.col("text"), ["the", "und"])).select("doc_id", "source")
+    return readers.pages(found, [F.col("doc_id")], 40, 600)
+
+
+@query("s6_page_sizes", "WITH f AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS place FROM documents WHERE lang = 'de' AND contains(text, 'e')) SELECT (place - 1) // 100 + 1 AS page, count(*) AS n, min(doc_id) AS first, max(doc_id) AS last FROM f GROUP BY 1")
+def s6(spark, sf):
+    """Pages of all that a search finds, with what each holds."""
+    found = table(spark, sf, "documents").where("lang = 'de' AND contains(text, 'e')").select("doc_id")
+    return readers.pages(found, [F.col("doc_id")], 100).groupBy("page").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
+
+
+@query("s10_labelled_folder", f"WITH {FRAGMENTS} SELECT CAST(id AS VARCHAR) AS id, seq, label FROM lab WHERE label <> 'ST_unassigned' AND seq <> ''")
+def s10(spark, sf):
+    """Labelled files of sequences, a file for each label, read back without the unassigned ones."""
+    path = scratch(spark, "labelled")
+    rows = fragments(spark, sf).where("label <> 'ST_unassigned'").select("id", "seq", F.concat_ws(" ", F.col("id").cast("string"), "label").alias("header"), "label")
+    sinks.write_fasta_by_label(rows, path)
+    return readers.read_fasta(spark, path).select("id", "seq", "label")
 
 
 @query("s5_by_accession", f"SELECT accession, ord FROM ({SPECIMENS}) WHERE accession IN (SELECT accession FROM ({SPECIMENS}) WHERE ord IN (3, 8, 21))")

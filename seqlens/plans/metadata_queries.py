@@ -336,15 +336,46 @@ def c2(spark, sf):
     return curation.seeds(curation.labelled(records(spark, sf).drop("label", "confidence"), GENUS)).select("ord", "label")
 
 
-@query("c15_manifest", H + f"SELECT accession, label AS subtype, confidence AS st_confidence, source AS acquisition_pass, {BLOCK} FROM h")
+@query("c15_manifest", H + f"SELECT accession, label AS subtype, confidence AS st_confidence, source AS acquisition_pass, '' AS st_validation, 'all' AS ncbi_query, {BLOCK} FROM h")
 def c15(spark, sf):
     row = curation.manifest_row(GENUS, F.col("label"), F.col("confidence"), F.lit(""), F.lit(""))
-    return records(spark, sf).select(*row).drop("st_validation", "retrieved_at_utc", "ncbi_query")
+    return records(spark, sf).select(*row).drop("retrieved_at_utc")
 
 
 GENE = S + ", t AS (SELECT * REPLACE (concat(description, ' 18S rRNA gene') AS description) FROM s)"
-NARROW = GENE + f""", h AS (SELECT *, {RAW_HOST} AS raw_host, {HOST_SOURCE} AS raw_source, {TECHNOLOGY} AS tech, {DECLARED} AS d FROM t WHERE contains(lower(description), 'subtype 7') OR contains(lower(description), 'st7') OR contains(lower(description), 'st 7'))
-SELECT accession, 'ST7' AS subtype, CASE WHEN len(d) = 0 THEN 'low' WHEN len(d) = 1 THEN 'high' ELSE 'medium' END AS st_confidence, 'pass1_narrow' AS acquisition_pass, {BLOCK} FROM h WHERE len(d) = 0 OR list_contains(d, 'ST7')"""
+#: The steps of a run over records of 28 to 31 letters, each with what it drops or finds.
+STEPS = S + f""", r AS (SELECT *, {REASON} AS reason, {DECLARED} AS d FROM s), g AS (SELECT * FROM r WHERE reason IS NULL), k AS (SELECT * FROM g WHERE length(seq) BETWEEN 28 AND 31),
+l AS (SELECT d, source, CASE WHEN source = 'curated_reference' THEN split_part(accession, '.', 1) IN ('AB070987', 'U51151') ELSE len(d) > 0 END AS known FROM k), m AS (SELECT * FROM l WHERE known OR source <> 'curated_reference')
+SELECT * FROM (SELECT 'read' AS step, unnest([('n', count(*)), ('predicted', count(*) FILTER (reason = 'predicted')), ('molecule_type', count(*) FILTER (reason = 'molecule_type'))]) AS x FROM r
+UNION ALL SELECT 'quality', unnest([('n', count(*)), ('too_short', count(*) FILTER (length(seq) < 28)), ('too_long', count(*) FILTER (length(seq) > 31))]) FROM g
+UNION ALL SELECT 'length', unnest([('n', count(*)), ('curated', count(*) FILTER (source = 'curated_reference'))]) FROM k
+UNION ALL SELECT 'labelled', unnest([('n', count(*)), ('declared', count(*) FILTER (known)), ('undeclared', count(*) FILTER (NOT known)), ('seeds', count(*) FILTER (source = 'curated_reference' OR len(d) = 1))]) FROM m)"""
+K10 = f"SELECT step, x[1] AS what, CAST(x[2] AS BIGINT) AS n FROM ({STEPS})"
+
+
+@query("k10_step_counts", K10)
+def k10(spark, sf):
+    """What each step of a run saw and dropped, observed while its rows were written."""
+    counts = curation.StepCounts()
+    rows = curation.prepared(records(spark, sf).drop("label", "confidence"), GENUS, 28, 31, counts)
+    rows.select("accession", "label", "confidence").write.parquet(f"{shared_folder(spark)}/labelled-{uuid.uuid4().hex}")
+    return counts.table(spark)
+
+
+NAMED = GENE + f""", h AS (SELECT *, {RAW_HOST} AS raw_host, {HOST_SOURCE} AS raw_source, {TECHNOLOGY} AS tech, {DECLARED} AS d FROM t WHERE contains(lower(description), 'subtype 7') OR contains(lower(description), 'st7') OR contains(lower(description), 'st 7'))"""
+NARROW = NAMED + f"""
+SELECT accession, 'ST7' AS subtype, CASE WHEN len(d) = 0 THEN 'low' WHEN len(d) = 1 THEN 'high' ELSE 'medium' END AS st_confidence, 'pass1_narrow' AS acquisition_pass, {q(readers.narrow_query(GENUS, "ST7"))} AS ncbi_query, {BLOCK} FROM h WHERE len(d) = 0 OR list_contains(d, 'ST7')"""
+PLAIN = "replace(replace(upper(seq), '-', ''), 'N', '')"
+#: What a broad search adds to NARROW: new records placed among it by their nearest, the first of each content.
+SECOND = NAMED + f""", first AS MATERIALIZED (SELECT accession, seq, md5(upper(seq)) AS md5 FROM h WHERE len(d) = 0 OR list_contains(d, 'ST7')),
+rest AS MATERIALIZED (SELECT ord, accession, seq, md5(upper(seq)) AS md5 FROM t WHERE source = 'broad_query' AND length(seq) BETWEEN 1 AND {fixed.MAX_LENGTH} AND accession NOT IN (SELECT accession FROM first) AND split_part(accession, '.', 1) NOT IN (SELECT split_part(accession, '.', 1) FROM first)
+  AND NOT {among("split_part(accession, '.', 1)", sorted({a.split(".")[0] for a in fixed.CURATED_LABELS}))}),
+k AS (SELECT accession, unnest(list_distinct([substr({PLAIN}, i, 8) FOR i IN range(1, length({PLAIN}) - 6)])) AS kmer FROM (SELECT accession, seq FROM first UNION ALL SELECT accession, seq FROM rest)),
+n AS (SELECT accession, count(*) AS n FROM k GROUP BY 1),
+c AS (SELECT a.accession AS x, b.accession AS y, count(*) AS s FROM k a JOIN k b USING (kmer) WHERE a.accession IN (SELECT accession FROM rest) AND b.accession IN (SELECT accession FROM first) GROUP BY 1, 2),
+p AS (SELECT x AS accession, min(1.0::DOUBLE - s::DOUBLE / (u.n + v.n - s)) AS d FROM c JOIN n u ON u.accession = x JOIN n v ON v.accession = y GROUP BY 1),
+g AS (SELECT rest.*, d, CASE WHEN d > 0.15 THEN 'low' WHEN d > 0.08 THEN 'medium' ELSE 'high' END AS st_confidence FROM rest JOIN p USING (accession) WHERE d <= 0.9 AND md5 NOT IN (SELECT md5 FROM first))
+SELECT accession, 'ST7' AS subtype, st_confidence, 'pass2_placement' AS acquisition_pass, concat('placement_', st_confidence, ' (d=', printf('%.3f', floor(d * 1000 + 0.5) / 1000), ')') AS st_validation, {q(readers.broad_query(GENUS))} AS ncbi_query, md5 FROM g QUALIFY row_number() OVER (PARTITION BY md5 ORDER BY ord) = 1"""
 
 
 def gene_records(spark, sf):
@@ -353,15 +384,15 @@ def gene_records(spark, sf):
 
 @query("c10_narrow_pass", NARROW)
 def c10(spark, sf):
-    return acquisition.narrow_pass(gene_records(spark, sf), "ST7", GENUS).drop("ord", "seq", "st_validation", "retrieved_at_utc", "ncbi_query")
+    return acquisition.narrow_pass(gene_records(spark, sf), "ST7", GENUS).drop("ord", "seq", "st_validation", "retrieved_at_utc")
 
 
-@query("c11_second_pass")
+@query("c11_second_pass", SECOND)
 def c11(spark, sf):
     """What references and the broad search add to a first pass for ST7."""
     own = gene_records(spark, sf)
     first = acquisition.narrow_pass(own, "ST7", GENUS)
-    return acquisition.second_pass(first, own.where("source = 'curated_reference'"), own.where("source = 'broad_query'"), GENUS, min_length=1, max_dist=0.9).select("accession", "subtype", "st_confidence", "acquisition_pass", "md5")
+    return acquisition.second_pass(first, own.where("source = 'curated_reference'"), own.where("source = 'broad_query'"), GENUS, min_length=1, max_dist=0.9).select("accession", "subtype", "st_confidence", "acquisition_pass", "st_validation", "ncbi_query", "md5")
 
 
 @query("s12_resumed_run", S + "SELECT ord, accession FROM s WHERE confidence = 'high'")

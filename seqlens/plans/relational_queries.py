@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from seqlens.functions import metadata
-from seqlens.operators import relational
-from seqlens.plans.bindings import LABELS, SPECIMENS, specimens, table
+from seqlens.functions import fixed, metadata
+from seqlens.operators import curation, relational
+from seqlens.plans.bindings import SPECIMENS, specimens, table
 from seqlens.plans.catalog import query
 
 S = f"WITH s AS ({SPECIMENS}) "
@@ -399,6 +399,10 @@ def k6(spark, sf):
     return config.select(F.get_json_object("config", "$.n_sequences").cast(BIG).alias("n_sequences"), F.get_json_object("config", "$.n_subtypes").cast(BIG).alias("n_subtypes"))
 
 
-@query("s11_dimension_scan", "SELECT DISTINCT label FROM (VALUES " + ", ".join(f"('{x}')" for x in sorted(set(LABELS))) + ") AS v(label)")
+REGISTRY = "(VALUES " + ", ".join("('{}', '{}', {}, '{}')".format(a, b, c == "yes", d.replace("'", "''")) for a, b, c, d in fixed.REGISTRY) + ") AS r(label, status, human, note)"
+
+
+@query("s11_dimension_scan", f"SELECT label, status, human, note, n FROM {REGISTRY} JOIN (SELECT label, count(*) AS n FROM ({SPECIMENS}) GROUP BY label) USING (label)")
 def s11(spark, sf):
-    return spark.createDataFrame([(x,) for x in sorted(set(LABELS))], "label string")
+    """The registry's rows of the labels that records have, with their number."""
+    return curation.registry(spark).join(relational.counts(specimens(spark, sf), "label"), "label")

@@ -3,18 +3,19 @@
 from __future__ import annotations
 
 import importlib
-import json
 import logging
 import re
 import time
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual, Not, StringContains, StringEndsWith, StringStartsWith
 from pyspark.sql.types import StructType
 
+from seqlens.operators import relational
+
 FEATURES = "array<struct<type:string,qualifiers:map<string,array<string>>>>"
 RECORD = f"accession string, name string, description string, organism string, seq string, comment string, structured_comment map<string,map<string,string>>, features {FEATURES}, reference_titles array<string>"
 
@@ -207,35 +208,55 @@ def request_interval(key: str | None) -> float:
 
 
 class Pages(InputPartition):
-    """Pages that one task asks for, one after the other."""
+    """Pages that one task asks for, one after the other, from its own first place in the common schedule on."""
+
+    def __init__(self, starts: list[int], size: int, total: int, first: int = 0, step: int = 1, began: float = 0.0):
+        self.starts, self.size, self.total, self.first, self.step, self.began = starts, size, total, first, step, began
 
-    def __init__(self, starts: list[int], size: int, total: int):
-        self.starts, self.size, self.total = starts, size, total
+
+def told(f: Filter) -> tuple[str, str, object] | None:
+    """A filter of one column as (column, operation, value), if a service can be asked so."""
+    negated, f = (True, f.child) if isinstance(f, Not) else (False, f)
+    names = {EqualTo: "=", In: "in", GreaterThan: ">", GreaterThanOrEqual: ">=", LessThan: "<", LessThanOrEqual: "<=", StringContains: "contains", StringStartsWith: "startswith", StringEndsWith: "endswith"}
+    if len(getattr(f, "attribute", ())) != 1 or type(f) not in names:
+        return None
+    return f.attribute[0], ("not " if negated else "") + names[type(f)], f.value
 
 
 class PagedReader(DataSourceReader):
     def __init__(self, options: dict, schema: StructType):
         self.options, self.names = dict(options), [f.name for f in schema]
         self.retries, self.parallel = int(self.options.get("retries", "3")), max(1, int(self.options.get("parallel", "1")))
+        self.interval = float(self.options.get("interval", request_interval(self.options.get("apikey"))))
+        self.asked: list[tuple[str, str, object]] = []
 
     def service(self):
         module, _, name = self.options["service"].partition(":")
-        return getattr(importlib.import_module(module), name)(self.options)
+        made = getattr(importlib.import_module(module), name)(self.options)
+        if self.asked:
+            made.where(self.asked)
+        return made
 
     def partitions(self) -> list[Pages]:
         size, most = int(self.options.get("batchsize", "100")), int(self.options.get("maxrecords", "10000"))
         counted = with_retries(lambda: [self.service().count()], self.retries)
         if counted is None:
             raise OSError("the service doesn't tell its number of records")
+        if counted[0] > most:
+            logging.getLogger(__name__).warning("%d records match, %d are asked for (maxrecords)", counted[0], most)
         total = min(counted[0], most)
-        starts = list(range(0, total, size))
-        return [Pages(own, size, total) for i in range(self.parallel) if (own := starts[i :: self.parallel])] or [Pages([], size, total)]
+        starts, now = list(range(0, total, size)), time.time()
+        return [Pages(own, size, total, i, self.parallel, now) for i in range(self.parallel) if (own := starts[i :: self.parallel])] or [Pages([], size, total)]
 
     def read(self, pages: Pages) -> Iterator[tuple]:
-        interval = float(self.options.get("interval", request_interval(self.options.get("apikey"))))
+        """All tasks share one schedule of times, an interval apart, of which each has its own; one that is late takes its next. So tasks never ask in the same interval,
+        whenever they start (clocks of the machines being alike)."""
+        turn = pages.first
         for start in pages.starts:
+            turn = next_turn(turn, pages.step, time.time() - pages.began, self.interval)
+            time.sleep(max(0.0, pages.began + turn * self.interval - time.time()))
+            turn += pages.step
             got = with_retries(lambda: self.service().fetch(start, min(pages.size, pages.total - start)), self.retries)  # noqa: B023
-            time.sleep(interval * self.parallel)  # all tasks together keep to the interval
             if got is None:
                 lost = f"records from {start} on are missing: all tries failed"
                 if self.options.get("onlost", "fail") == "fail":
@@ -245,9 +266,30 @@ class PagedReader(DataSourceReader):
                 yield tuple(row.get(n) for n in self.names)
 
 
+class AskingReader(PagedReader):
+    """One that tells the service the filters that it answers."""
+
+    def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:  # noqa: N802 - named by the interface
+        """The filters that the service answers go with every request; the others stay with Spark."""
+        answers = set(getattr(self.service(), "operations", ()))
+        for f in filters:
+            own = told(f)
+            if own and own[1] in answers:
+                self.asked.append(own)
+            else:
+                yield f
+
+
+def next_turn(turn: int, step: int, passed: float, interval: float) -> int:
+    """The first of turn, turn + step, turn + 2 step ... that is not over when so many seconds of the schedule have passed."""
+    late = passed / interval - turn if interval else 0.0
+    return turn + step * max(0, -int(-late // step))
+
+
 class PagedRecords(DataSource):
     """format("paged"): the pages of a service. Options: service ("module:factory", made from the options, with count() and
-    fetch(start, size)), batchsize, maxrecords, retries, interval (seconds between requests, of all tasks together), apikey, parallel (tasks
+    fetch(start, size); with where(filters) too if it names operations, those of "=", "in", ">", ">=", "<", "<=", "contains", "startswith", "endswith" and each after "not " that it answers: filters
+    are (column, operation, value)), pushfilters ("true" where spark.sql.python.filterPushdown.enabled is set, without which Spark refuses), batchsize, maxrecords, retries, interval (seconds between requests, of all tasks together), apikey, parallel (tasks
     that ask at once, 1 unless given), onlost (a page of which all tries fail: "fail", or "skip" with a warning)."""
 
     @classmethod
@@ -258,34 +300,16 @@ class PagedRecords(DataSource):
         return self.options.get("schema", "accession string, description string, seq string")
 
     def reader(self, schema: StructType) -> PagedReader:
-        return PagedReader(self.options, schema)
-
-
-class JsonLines:
-    """A service over a local file of JSON lines: stands in for a remote one."""
-
-    def __init__(self, options: dict):
-        with open(options["file"], encoding="utf-8") as f:
-            self.rows = [json.loads(line) for line in f]
-
-    def count(self) -> int:
-        return len(self.rows)
-
-    def fetch(self, start: int, size: int) -> list[dict]:
-        return self.rows[start : start + size]
-
-
-class Numbered:
-    """A service of made-up records, as many as the option records says."""
+        return (AskingReader if self.options.get("pushfilters") == "true" else PagedReader)(self.options, schema)
 
-    def __init__(self, options: dict):
-        self.n = int(options.get("records", "0"))
 
-    def count(self) -> int:
-        return self.n
+def pages(rows: DataFrame, order: list[Column], size: int = 100, most: int | None = None) -> DataFrame:
+    """rows with place (from 1, in an order that names no row twice) and page (from 1), the first `most` of them if given: what a search with a cursor gives, page by page.
 
-    def fetch(self, start: int, size: int) -> list[dict]:
-        return [{"accession": f"AC{i}", "description": f"record {i}", "seq": "ACGT"[i % 4] * (i % 7)} for i in range(start, min(start + size, self.n))]
+    Places are given range by range, so no task holds them all; a page is then a filter on a number."""
+    placed = relational.ranked(rows, order, "place")
+    kept = placed if most is None else placed.where(F.col("place") <= most)
+    return kept.withColumn("page", F.floor((F.col("place") - 1) / size) + 1)
 
 
 def by_accession(rows: DataFrame, accessions: list[str]) -> DataFrame:

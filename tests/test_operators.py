@@ -322,6 +322,25 @@ def test_quantiles(spark):
     assert relational.quantiles(df.limit(0), ["k"], "v", points).collect() == []
 
 
+def test_counts_of_a_run(spark):
+    """What a run says of its steps is what its steps give one by one; with or without counting it gives the same rows."""
+    from seqlens.plans import metadata_queries as queries
+
+    own = queries.records(spark, "/root/testdata/sf0.001").drop("label", "confidence").cache()
+    counts = curation.StepCounts()
+    rows = lambda df: sorted(map(repr, df.collect()))
+    assert rows(curation.curate(own, queries.GENUS, 28, 31, counts=counts)) == rows(curation.curate(own, queries.GENUS, 28, 31))
+    found = {(step, what): n for step, what, n in counts.found()}
+    good = curation.quality_filter(own)
+    sized = curation.length_filter(good, 28, 31)
+    labelled = curation.labelled(sized, queries.GENUS)
+    want = {"read": own.count(), "quality": good.count(), "length": sized.count(), "labelled": labelled.count(), "placed": labelled.where("label IS NULL").count()}
+    assert {step: found[step, "n"] for step in want} == want
+    assert found["read", "predicted"] + found["read", "molecule_type"] == want["read"] - want["quality"] > 0
+    assert found["quality", "too_short"] + found["quality", "too_long"] == want["quality"] - want["length"]
+    assert sum(found["placed", k] for k in ("high", "medium", "low", "rejected")) == want["placed"] > 0
+
+
 def test_second_pass(spark):
     """Against the rules, record by record."""
     from seqlens.operators import acquisition

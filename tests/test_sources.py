@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from seqlens.functions import metadata
 from seqlens.sources import readers, sinks
+from tests import services
 from seqlens.streaming.ingest import merge_stream
 
 FLAT = """LOCUS       AB000001                 20 bp    DNA     linear   INV 01-JAN-2020
@@ -82,23 +83,51 @@ def test_tables_and_config(spark, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/d").first()["d"] == 0.12346
 
 
-def test_paged_source(spark, tmp_path):
+@pytest.fixture
+def paged(spark, tmp_path):
+    """A reader of the pages of a service over a file of JSON lines, which Python's workers import from this folder, and the requests that it was sent."""
+    log = tmp_path / "asked"
     with open(f"{tmp_path}/rows.jsonl", "w") as f:
-        f.writelines(json.dumps({"accession": f"A{i}", "description": "d", "seq": "AC"}) + "\n" for i in range(25))
+        f.writelines(json.dumps({"accession": f"A{i}", "description": "d" if i % 2 else "even", "seq": "AC"}) + "\n" for i in range(25))
     spark.dataSource.register(readers.PagedRecords)
-    options = {"service": "seqlens.sources.readers:JsonLines", "file": f"{tmp_path}/rows.jsonl", "batchsize": "10", "interval": "0"}
-    df = spark.read.format("paged").options(**options).load()
+    options = {"service": "tests.services:JsonLines", "file": f"{tmp_path}/rows.jsonl", "log": str(log), "batchsize": "10", "interval": "0"}
+    read = lambda **more: spark.read.format("paged").options(**options, **more).load()
+    read.asked = lambda: log.read_text().split("\n")[:-1] if log.exists() else []
+    return read
+
+
+def test_paged_source(paged):
+    df = paged()
     assert df.count() == 25 and df.rdd.getNumPartitions() == 1  # requests are made one after the other
-    assert spark.read.format("paged").options(**options, parallel="2").load().rdd.getNumPartitions() == 2
-    assert spark.read.format("paged").options(**options, maxrecords="12").load().count() == 12
+    assert paged(parallel="2").rdd.getNumPartitions() == 2
+    assert paged(maxrecords="12").count() == 12
+
+
+def test_filters_go_to_the_service(spark, paged):
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    try:
+        found = paged(pushfilters="true").where("description = 'even' AND accession LIKE '%1%' AND length(seq) = 2")
+        assert sorted(r["accession"] for r in found.collect()) == ["A10", "A12", "A14", "A16", "A18"]
+        assert paged.asked() == ["count 13", "fetch 0", "fetch 10"]  # 13 match what the service answers: two pages of three
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "Contains(accession" in plan and "= even" not in plan
+    finally:
+        spark.conf.unset("spark.sql.python.filterPushdown.enabled")
+
+
+def test_turns_of_requests():
+    assert [readers.next_turn(1, 3, passed, 0.5) for passed in (0.0, 0.5, 0.6, 2.0, 2.1, 9.0)] == [1, 1, 4, 4, 7, 19]
+    assert readers.next_turn(2, 4, 100.0, 0.0) == 2
+    for passed in (0.0, 0.7, 3.3, 11.0):  # tasks have turns of their own, whenever they start
+        assert len({readers.next_turn(i, 5, passed + i / 7, 0.4) % 5 for i in range(5)}) == 5
 
 
 def test_lost_pages(spark):
     """A page of which all tries fail is an error, or skipped where that is asked for."""
-    options = {"service": "seqlens.sources.readers:Numbered", "records": "30", "batchsize": "10", "interval": "0", "retries": "0"}
+    options = {"service": "tests.services:Numbered", "records": "30", "batchsize": "10", "interval": "0", "retries": "0"}
     reader = readers.PagedReader(options, spark.createDataFrame([], "accession string").schema)
     (pages,) = reader.partitions()
-    broken = type("Broken", (), {"fetch": lambda self, start, size: 1 / 0 if start == 10 else readers.Numbered(options).fetch(start, size)})
+    broken = type("Broken", (), {"fetch": lambda self, start, size: 1 / 0 if start == 10 else services.Numbered(options).fetch(start, size)})
     reader.service = broken
     with pytest.raises(OSError, match="from 10 on"):
         list(reader.read(pages))
@@ -106,6 +135,14 @@ def test_lost_pages(spark):
     assert len(list(reader.read(pages))) == 20
 
 
+def test_pages_of_a_search(spark):
+    rows = spark.range(95).repartition(7).where("id % 3 <> 1")
+    found = sorted((r["id"], r["place"], r["page"]) for r in readers.pages(rows, [F.desc("id")], 10).collect())
+    want = sorted((i, n, (n - 1) // 10 + 1) for n, i in enumerate([i for i in range(94, -1, -1) if i % 3 != 1], 1))
+    assert found == want and readers.pages(rows, [F.desc("id")], 10, 25).count() == 25
+    assert "SinglePartition" not in readers.pages(rows, [F.desc("id")], 10)._jdf.queryExecution().executedPlan().toString()
+
+
 def test_retries():
     waits, tries = [], iter([OSError(), OSError(), [1]])
 
