@@ -4,6 +4,7 @@ A distance table has id_a, id_b, d with id_a < id_b."""
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 import numpy as np
@@ -12,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seqlens.functions import fixed, kmers
+from seqlens.operators.components import checkpointed
 from seqlens.operators.layout import spread
 
 TILE = 512
@@ -217,6 +219,23 @@ def permuted(pairs: DataFrame, axis: DataFrame) -> DataFrame:
     return pairs.join(a, "id_a").join(b, "id_b").select(F.least("pa", "pb").alias("i"), F.greatest("pa", "pb").alias("j"), "d")
 
 
+def pyramid(cells: DataFrame, levels: int) -> DataFrame:
+    """level, i, j, n, mean, most of a matrix's cells (i, j, d; i <= j, from 1) at several resolutions: at level 0 a block is a cell, at each further level two by two blocks
+    of the one before, down to one block if there are levels enough.
+
+    A level is made from the one before, whose blocks are a quarter as many, so a matrix of any size is summed up for the cost of its cells, and what is shown of it
+    is bounded by its level. Absent cells count for nothing."""
+    at = cells.groupBy("i", "j").agg(F.sum("d").alias("total"), F.count("d").alias("n"), F.max("d").alias("most"))
+    made = []
+    for level in range(levels):
+        if level:
+            half = lambda c: (F.floor((F.col(c) - 1) / 2) + 1).alias(c)
+            at = at.groupBy(half("i"), half("j")).agg(F.sum("total").alias("total"), F.sum("n").alias("n"), F.max("most").alias("most"))
+        at = checkpointed(at)
+        made.append(at.select(F.lit(level).alias("level"), "i", "j", "n", (F.col("total") / F.col("n")).alias("mean"), "most"))
+    return functools.reduce(DataFrame.unionByName, made)
+
+
 def matrix_rows(pairs: DataFrame, ids: list) -> DataFrame:
     """The matrix as wide rows, for export of a known, small list of ids."""
     full = both_ways(pairs)

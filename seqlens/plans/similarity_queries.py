@@ -345,6 +345,15 @@ def a16k(spark, sf):
     return distance.medoids_of(fragments(spark, sf)).select("label", "medoid")
 
 
+@query("q2_heatmap_pyramid", ALIGNED + f""", o AS (SELECT id, row_number() OVER (ORDER BY label, id) AS place FROM lab), c AS (SELECT least(a.place, b.place) - 1 AS i, greatest(a.place, b.place) - 1 AS j, p FROM e JOIN o a ON a.id = id_a JOIN o b ON b.id = id_b)
+SELECT level::INTEGER AS level, i // pow(2, level)::BIGINT + 1 AS i, j // pow(2, level)::BIGINT + 1 AS j, count(*) AS n, {rounded('avg(p)')} AS mean, {rounded('max(p)')} AS most FROM c, range(4) t(level) GROUP BY ALL""")
+def q2_pyramid(spark, sf):
+    """The heat map at four resolutions."""
+    axis = relational.ranked(labels_of(spark, sf), [F.col("label"), F.col("id")], "place")
+    cells = distance.permuted(pairs(spark, sf).select("id_a", "id_b", F.col("p").alias("d")), axis)
+    return distance.pyramid(cells, 4).withColumns({"mean": six(F.col("mean")), "most": six(F.col("most"))})
+
+
 @query("r11_permuted_matrix", ALIGNED + ", o AS (SELECT id, row_number() OVER (ORDER BY label, id) AS place FROM lab) SELECT least(a.place, b.place) AS i, greatest(a.place, b.place) AS j, floor(p * 1000000 + 0.5) / 1000000 AS d FROM e JOIN o a ON a.id = id_a JOIN o b ON b.id = id_b")
 def r11(spark, sf):
     axis = relational.ranked(labels_of(spark, sf), [F.col("label"), F.col("id")], "place")

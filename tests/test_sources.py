@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from seqlens.functions import metadata
 from seqlens.sources import readers, sinks
 from tests import services
+from seqlens.streaming import ingest
 from seqlens.streaming.ingest import merge_stream
 
 FLAT = """LOCUS       AB000001                 20 bp    DNA     linear   INV 01-JAN-2020
@@ -173,3 +174,20 @@ def test_merge_stream(spark, tmp_path):
         merge_stream(stream, table, checkpoint).awaitTermination(60)
         assert spark.read.parquet(table).count() == 2 + i
     assert {(r["accession"], r["seq"]) for r in spark.read.parquet(table).collect()} == {("a", "A"), ("b", "C"), ("c", "T")}
+
+
+def test_a_batch_reads_its_own_buckets(spark, tmp_path):
+    """Of a table of 64 buckets a batch of one key reads the keys of one, and a second run of the same batch changes nothing."""
+    source, table = f"{tmp_path}/in", f"{tmp_path}/table"
+    schema = spark.createDataFrame([], "accession string, ord long, seq string").schema
+    spark.range(500).selectExpr("concat('k', id) AS accession", "id AS ord", "'ACGT' AS seq").write.parquet(source)
+    run = lambda mark: merge_stream(spark.readStream.schema(schema).parquet(source), table, f"{tmp_path}/{mark}").awaitTermination(60)
+    run("one")
+    target = ingest.merged(spark, table, schema)
+    assert target.count() == 500 and target.select(ingest.BUCKET).distinct().count() == 64
+    known = ingest.known_keys(target, "accession", [3], 1)
+    plan = known._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(_bucket" in plan and "seq" not in plan.split("ReadSchema")[1]
+    assert known.count() < 30 and ingest.known_keys(target, "accession", [3], 0).count() == 0
+    run("two")  # a lost checkpoint: the same batch again
+    assert ingest.merged(spark, table, schema).count() == 500

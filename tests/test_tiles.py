@@ -57,3 +57,17 @@ def test_tiles_within_groups(spark):
         inside = {tuple(r) for r in distance.kmer_pairs(rows, 3, tile_rows, within="part").collect()}
         every = {(r["id_a"] % 3, *r) for r in distance.kmer_pairs(rows, 3).where("id_a % 3 = id_b % 3").collect()}
         assert inside == every
+
+
+def test_pyramid_of_a_matrix(spark):
+    n = 13
+    draw = random.Random(5)
+    cells = {(i, j): draw.random() for i in range(1, n + 1) for j in range(i, n + 1) if draw.random() < 0.9}
+    found = distance.pyramid(spark.createDataFrame([(*at, d) for at, d in cells.items()], "i long, j long, d double"), 5).collect()
+    for level in range(5):
+        want = {}
+        for (i, j), d in cells.items():
+            want.setdefault(((i - 1 >> level) + 1, (j - 1 >> level) + 1), []).append(d)
+        got = {(r["i"], r["j"]): (r["n"], round(r["mean"], 9), r["most"]) for r in found if r["level"] == level}
+        assert got == {at: (len(own), round(sum(own) / len(own), 9), max(own)) for at, own in want.items()}
+    assert len([r for r in found if r["level"] == 4]) == 1
