@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from seqlens.llm.common import id_text, map_batches
+from seqlens.llm.common import checkpointed, id_text, map_batches
 from seqlens.llm.tokenizer_fst import WordPieces, words_of
 
 TIERS = (512, 1024, 2048, 4096)
@@ -31,6 +31,8 @@ END_ID = 2
 #: Tokens a tier gathers before it is packed; bounds the buffer of a task together with the longest text.
 BUFFER_TOKENS = 1 << 18
 STEP_TOKENS = 1 << 16
+#: Rows of numbers of windows, one a tier and partition, that are broadcast; more of them are joined.
+BROADCAST_ROWS = 100_000
 #: Words and pieces of words that are kept encoded.
 MAX_WORDS = 300_000
 #: UTF-8 bytes of texts that are encoded together, and characters beyond which a text is cut at white space.
@@ -294,7 +296,8 @@ def balanced_steps(pieces: DataFrame, step_tokens: int = STEP_TOKENS) -> DataFra
     part = F.shiftright("sequence_id", 40)
     counts = pieces.where("offset = 0").groupBy("tier", part.alias("part")).agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("tier").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    firsts = counts.select("tier", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
+    firsts = checkpointed(counts.select("tier", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first")))
+    firsts = F.broadcast(firsts) if firsts.count() <= BROADCAST_ROWS else firsts
     per = F.greatest(F.floor(F.lit(step_tokens) / F.col("tier")), F.lit(1))
     group = F.shiftleft(F.col("tier"), 40) + F.floor((F.col("first") + F.col("place")) / per)
     return pieces.withColumn("part", part).join(firsts, ["tier", "part"]).withColumn("step_group", group.cast("long")).select(*pieces.columns)
