@@ -123,8 +123,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 def judge(docs: DataFrame, forest: trees.Forest | None, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, the base statistics, base_failed, good, kept of every row, in one pass without a shuffle.
 
-    A null or empty text has no words and fails the base rules. Without a forest the base rules alone decide.
-    One row out for each row in, null and repeated ids included."""
+    A null or empty text has no words and fails the base rules. Without a forest the base rules alone decide. A probability that equals the threshold keeps.
+    One row out for each row in, null and repeated ids included; a long text is read whole, in time and memory in proportion to it."""
     rows = measure(docs, id_col, text_col, forest).drop("features")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     rows = rows.withColumn("base_failed", failed)

@@ -256,7 +256,8 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """doc_id, fp, component_id of every row: the least doc_id that links of at most `bits` differing bits reach.
 
     Texts that are null or without words have fingerprint zero and link like any other. Rows with equal fingerprints, copies and
-    repeated rows among them, are one node. A null doc_id never names a component unless no member has an id."""
+    repeated rows among them, are one node. A null doc_id never names a component unless no member has an id. A long text is read whole, in time and
+    memory in proportion to it; an empty table gives no row; other columns are not read."""
     return grouped(docs, id_col, text_col, bits).select("doc_id", "fp", "component_id")
 
 

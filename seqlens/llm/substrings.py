@@ -465,8 +465,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """doc_id, n_bytes, n_removed, n_spans, kept (or kept_sha256, with digest) of every row of docs.
 
     Removed is each byte that a 50-byte string covers which starts in a text with a smaller doc_id too; strings are those of the
-    input. A null text is empty. Rows of one id do not cut each other; a null id is larger than all and cut by any other. One row out for
-    each row in."""
+    input. A null text is empty. Rows of one id do not cut each other; a null id is larger than all and cut by any other, so of copies the one with the least
+    id stays. Ids are whole numbers, or strings of such: others are refused by the cast. A long text is one part's, whole. One row out for each row in; an empty table gives
+    none; other columns are not read."""
     source = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").cast("binary").alias("text"))
     parts = max(1, -(-text_bytes(docs, text_col) // part_bytes))
     part = F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(parts)).cast("int")

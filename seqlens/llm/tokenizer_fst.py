@@ -231,7 +231,7 @@ def transducer(path: str) -> CountTransducer:
 def count_tokens(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_tokens of every row, in one pass without a shuffle.
 
-    A null text counts as empty: 0 bytes, 0 tokens. Null, repeated and tied ids stay as they are, one row out
+    A null text counts as empty: 0 bytes, 0 tokens. A long text is counted whole, in chunks. Null, repeated and tied ids stay as they are, one row out
     for each row in; other columns are not read."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

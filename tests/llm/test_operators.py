@@ -204,6 +204,41 @@ def test_quality_query(spark, small):
         assert not (r["base_failed"] and r["kept"])
 
 
+def plain_features(text):
+    """The features of a text, one character and word at a time."""
+    text = text or ""
+    base = base_statistics(text)
+    n, chars = max(base[0], 1), max(base[1], 1)
+    words = SPACES.findall(text)
+    share = lambda test: sum(map(test, text)) / chars
+    lines = [x for x in text.split("\n") if SPACES.search(x)]
+    common = Counter(words)
+    return [math.log1p(base[0]), base[1] / n, base[2] / chars, base[3] / max(len(lines), 1), base[4] / n, share(str.isupper), share(lambda c: c in "!?"), share(lambda c: c in "|\t"), share(lambda c: c in "0123456789"), len(common) / n, max(common.values(), default=0) / n]
+
+
+def walked(forest, x):
+    """A forest's score, node by node."""
+    total = forest.base
+    for node in forest.roots.tolist():
+        while forest.left[node] != node:
+            node = int(forest.left[node] if x[forest.feature[node]] <= forest.threshold[node] else forest.right[node])
+        total += float(forest.value[node])
+    return 1 / (1 + math.exp(-total))
+
+
+def test_quality_verdicts_by_walking_the_trees(spark, small):
+    """good and kept of the whole query: from features counted anew and trees walked node by node."""
+    docs = dict(rows_of(small("documents"), "doc_id", "text"))
+    forest = quality.train(small("documents"), small("labels"))
+    out = queries.op3_quality(spark, SF).collect()
+    for r in out:
+        x = plain_features(docs[r["doc_id"]])
+        assert np.allclose(x, quality.statistics(docs[r["doc_id"]])[1], rtol=1e-12, atol=0)
+        good = walked(forest, quality.statistics(docs[r["doc_id"]])[1])
+        assert math.isclose(good, r["good"], rel_tol=1e-9) and r["kept"] == (not r["base_failed"] and good >= quality.THRESHOLD)
+    assert len({r["kept"] for r in out}) == 2
+
+
 @pytest.mark.parametrize("text", [None, "", "a", "a a a a a a a a a", "x\n\nx \nx\n \n", "é ü z\x1cq " * 30, "a b c d e f g h a b c d e f g h", "| | |\n" * 9])
 def test_base_statistics(text):
     assert quality.statistics(text)[0] == base_statistics(text)
