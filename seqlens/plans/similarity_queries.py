@@ -428,9 +428,35 @@ def q21(spark, sf):
     return out
 
 
-@query("q1_ordination")
+#: The double-centred matrix of all pairs.
+GOWER = f"""{ALIGNED.replace('WITH', 'WITH RECURSIVE', 1)}, fu AS MATERIALIZED (SELECT id_a AS i, id_b AS j, d * d AS q FROM e UNION ALL SELECT id_b, id_a, d * d FROM e UNION ALL SELECT id, id, 0 FROM f),
+rm AS (SELECT i, avg(q) AS m FROM fu GROUP BY i), b0 AS MATERIALIZED (SELECT fu.i, fu.j, -0.5 * (q - x.m - y.m + (SELECT avg(q) FROM fu)) AS b FROM fu JOIN rm x ON x.i = fu.i JOIN rm y ON y.i = fu.j)"""
+
+
+def leading(n: int) -> str:
+    """SQL: the axis of the greatest eigenvalue of b{n}, from squares of squares of it, as a{n} (i, u, k), and b{n + 1}, b{n} without it."""
+    return f"""p{n} AS (SELECT 0 AS t, i, j, b AS v FROM b{n} UNION ALL SELECT t, i, j, v / max(abs(v)) OVER () FROM (SELECT x.t + 1 AS t, x.i, y.j, sum(x.v * y.v) AS v FROM p{n} x JOIN p{n} y ON x.j = y.i WHERE x.t < 14 GROUP BY ALL)),
+w{n} AS MATERIALIZED (SELECT i, j, v FROM p{n} WHERE t = 14), c{n} AS (SELECT i, v / sqrt(sum(v * v) OVER ()) AS u FROM w{n} WHERE j = (SELECT arg_max(i, v) FROM w{n} WHERE i = j)),
+k{n} AS (SELECT sum(x.u * b * y.u) AS k FROM b{n} JOIN c{n} x ON x.i = b{n}.i JOIN c{n} y ON y.i = b{n}.j),
+a{n} AS MATERIALIZED (SELECT i, u * sqrt(k) * CASE WHEN first_value(u) OVER (ORDER BY -floor(abs(u * sqrt(k)) * 1000000000 + 0.5), i) < 0 THEN -1 ELSE 1 END AS u, k FROM c{n}, k{n}),
+b{n + 1} AS MATERIALIZED (SELECT b{n}.i, b{n}.j, b - x.u * y.u AS b FROM b{n} JOIN a{n} x ON x.i = b{n}.i JOIN a{n} y ON y.i = b{n}.j)"""
+
+
+@query("a12k_centred", GOWER + f" SELECT i AS id_a, j AS id_b, {rounded('b')} AS b FROM b0 WHERE i <= j")
+def a12k(spark, sf):
+    return ordination.centred(pairs(spark, sf)).withColumn("b", six(F.col("b")))
+
+
+@query("q1_ordination", GOWER + f", {leading(0)}, {leading(1)} SELECT id, {rounded('x.u')} AS x, {rounded('y.u')} AS y, label, starts_with(label, 'novel_') AS novel FROM lab JOIN a0 x ON x.i = id JOIN a1 y ON y.i = id")
 def q1(spark, sf):
-    return ordination.ordination(pairs(spark, sf)).join(labels_of(spark, sf), "id").withColumn("novel", F.col("label").startswith("novel_"))
+    found = ordination.ordination(pairs(spark, sf)).join(labels_of(spark, sf), "id")
+    return found.select("id", six(F.col("x")).alias("x"), six(F.col("y")).alias("y"), "label", F.col("label").startswith("novel_").alias("novel"))
+
+
+@query("a13k_shares")
+def a13k(spark, sf):
+    """What the two axes show of the whole."""
+    return ordination.ordination(pairs(spark, sf)).select("share_x", "share_y").distinct()
 
 
 @query("a15k_tree")

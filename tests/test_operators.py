@@ -286,6 +286,45 @@ def test_ordination_and_tree(spark):
         ordination.tree(pairs, most=2)
 
 
+def distance_rows(spark, d, far):
+    n = len(d)
+    return spark.createDataFrame([(i, j, float(d[i, j])) for i, j in itertools.combinations(range(n), 2) if d[i, j] != far], "id_a long, id_b long, d double")
+
+
+@pytest.mark.parametrize("kind", ["points", "sets"])
+def test_axes_without_a_matrix(spark, kind):
+    """The same coordinates as from the matrix: of points, and of sets of which many pairs are absent and some eigenvalues negative."""
+    r = np.random.default_rng(6)
+    x = r.random((40, 4)) * [4, 2, 0.5, 0.2]
+    d = np.linalg.norm(x[:, None] - x[None], axis=-1)
+    far = 9.0
+    if kind == "sets":
+        s = (r.random((40, 12)) < 0.25) | (np.arange(40)[:, None] % 12 == np.arange(12))
+        shared = (s[:, None] & s[None]).sum(axis=-1)
+        d, far = 1 - shared / np.maximum((s[:, None] | s[None]).sum(axis=-1), 1), 1.0
+        np.fill_diagonal(d, 0)
+    pairs = distance_rows(spark, d, far)
+    as_map = lambda df: {q["id"]: np.array([q["x"], q["y"]]) for q in df.collect()}
+    by_matrix, by_joins = as_map(ordination.ordination(pairs, far)), as_map(ordination.ordination(pairs, far, most=10))
+    assert set(by_matrix) == set(by_joins) == set(range(40))
+    assert max(np.abs(by_matrix[i] - by_joins[i]).max() for i in range(40)) < 1e-4
+    if kind == "points":
+        shares = [tuple(ordination.ordination(pairs, far, most=m).select("share_x", "share_y").first()) for m in (100, 10)]
+        assert np.allclose(*shares)
+
+
+def test_centred_matrix(spark):
+    r = np.random.default_rng(2)
+    d = np.round(r.random((12, 12)), 2)
+    d = np.minimum(d, d.T)
+    d[d > 0.7] = 1.0
+    np.fill_diagonal(d, 0)
+    centre = np.eye(12) - 1 / 12
+    want = -0.5 * centre @ d**2 @ centre
+    found = ordination.centred(distance_rows(spark, d, 1.0), 1.0).collect()
+    assert len(found) == 12 + (np.triu(d != 1.0, 1)).sum() and all(math.isclose(q["b"], want[q["id_a"], q["id_b"]], abs_tol=1e-12) for q in found)
+
+
 def test_merge_and_first(spark):
     prior = spark.createDataFrame([("a", 1), ("b", 1)], "k string, v int")
     new = spark.createDataFrame([("b", 2), ("c", 2)], "k string, v int")

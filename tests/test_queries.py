@@ -11,7 +11,7 @@ import __spark_entry__ as spark_entry
 from seqlens.plans.catalog import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
-NO_SQL = {"q1_ordination", "a15k_tree", "c11_second_pass"}
+NO_SQL = {"a13k_shares", "a15k_tree"}
 
 
 @pytest.fixture(scope="module")
