@@ -128,11 +128,14 @@ def test_large_component_without_a_matrix(spark):
 
 
 def test_novel_groups(spark):
-    pairs = spark.createDataFrame([(1, 2, 0.1), (3, 4, 0.1), (4, 5, 0.1), (3, 5, 0.1), (1, 6, 0.5)], "id_a long, id_b long, d double")
-    got = {r["id"]: r["label"] for r in clustering.novel_groups(spark.range(1, 8), pairs).collect()}
-    assert got == {1: "novel_2", 2: "novel_2", 3: "novel_1", 4: "novel_1", 5: "novel_1", 6: "ST_unassigned", 7: "ST_unassigned"}
-    none = clustering.novel_groups(spark.range(1, 3), pairs.limit(0)).collect()
-    assert {r["label"] for r in none} == {"ST_unassigned"}
+    r = random.Random(1)
+    first, second, third, fourth = ("".join(r.choices("ACGT", k=80)) for _ in range(4))
+    rows = [(1, first), (2, first[1:]), (3, second), (4, second[:-1]), (5, second), (6, third), (7, fourth), (8, "ACG"), (9, None)]
+    found = clustering.novel_groups(spark.createDataFrame(rows, "id long, seq string"))
+    got = {q["id"]: (q["label"], q["size"]) for q in found.collect()}
+    assert got == {1: ("novel_2", 2), 2: ("novel_2", 2), 3: ("novel_1", 3), 4: ("novel_1", 3), 5: ("novel_1", 3)} | dict.fromkeys((6, 7, 8, 9), ("ST_unassigned", None))
+    none = clustering.novel_groups(spark.createDataFrame(rows[7:], "id long, seq string")).collect()
+    assert {q["label"] for q in none} == {"ST_unassigned"} and len(none) == 2
 
 
 def test_outliers(spark):
