@@ -34,9 +34,9 @@ STEP_TOKENS = 1 << 16
 #: Rows of numbers of windows, one a tier and partition, that are broadcast; more of them are joined.
 BROADCAST_ROWS = 100_000
 #: Words and pieces of words that are kept encoded.
-MAX_WORDS = 300_000
+MAX_WORDS = 600_000
 #: UTF-8 bytes of texts that are encoded together, and characters beyond which a text is cut at white space.
-GROUP_BYTES = 1 << 20
+GROUP_BYTES = 2 << 20
 SLICE_CHARS = 1 << 19
 
 #: What the vocabulary splits off words, in text of Latin letters: contractions, marks, single digits.
