@@ -255,7 +255,8 @@ SPECIES_HOSTS = {
     "anseri": "Anser anser",
 }
 
-# Words of an isolation source that name an animal, and words that name a kind of sample.
+# Words of an isolation source that name an animal, and words that name a kind of sample; each list is one alternation, in its order, of the patterns
+# that metadata and its SQL make of it.
 ANIMAL_WORDS = ["human", "cattle", "cow", "pig", "swine", "sheep", "goat", "chicken", "camel", "horse", "dog", "cat", "bird", "monkey", "gibbon", "rat", "mouse", "muskox", "gundi", "reindeer", "bovine", "porcine", "caprine", "ovine", "poultry", "fowl", "deer", "buffalo", "yak", "alpaca", "llama", "chimpanzee", "gorilla", "orangutan", "macaque", "bat", "hominid"]
 SAMPLE_WORDS = ["feces", "faeces", "stool", "soil", "water", "sewage", "sludge", "manure", "gut", "intestine", "colon", "cecum", "environment", "culture", "laboratory", r"fecal\s+sample", r"fecal\s+matter"]
 

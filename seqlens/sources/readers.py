@@ -36,9 +36,10 @@ def read_labelled_folder(spark: SparkSession, path: str, suffix: str = "_filtere
     return rows.withColumn("label", F.regexp_extract("file", rf"^(.*){suffix}\.fasta$", 1)).where(~F.col("label").isin(*exclude)).drop("file")
 
 
-def read_table(spark: SparkSession, path: str, schema: str | StructType) -> DataFrame:
-    """CSV with a header and quoted, perhaps multi-line values; columns are taken by the schema, never guessed."""
-    return spark.read.schema(schema).option("header", True).option("escape", '"').option("multiLine", True).csv(path)
+def read_table(spark: SparkSession, path: str, schema: str | StructType, multi_line: bool = True) -> DataFrame:
+    """CSV with a header and quoted values; columns are taken by the schema, never guessed. Values may have several lines, for which each file is
+    one task's; without multi_line large files are split."""
+    return spark.read.schema(schema).option("header", True).option("escape", '"').option("multiLine", multi_line).csv(path)
 
 
 _qualifier = re.compile(r'^/(\w+)(?:=(.*))?$', re.S)
