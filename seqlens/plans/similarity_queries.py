@@ -119,8 +119,8 @@ def a10k(spark, sf):
     return distance.kmer_pairs(fragments(spark, sf)).withColumn("d", six(F.col("d")))
 
 
-#: Documents whose 8-mers are near enough: copies are one class, told by its least id.
-NEAR = f"""WITH {REFS}, k AS (SELECT id, {windows(CLEAN, 8)} AS kmer FROM r), s AS MATERIALIZED (SELECT id, count(*) AS n, md5(string_agg(kmer, ' ' ORDER BY kmer)) AS mark FROM k GROUP BY id),
+#: Documents whose 12-mers are near enough: copies are one class, told by its least id. (There are 65,536 8-mers of four letters, of which long documents share many by chance.)
+NEAR = f"""WITH {REFS}, k AS (SELECT id, {windows(CLEAN, 12)} AS kmer FROM r), s AS MATERIALIZED (SELECT id, count(*) AS n, md5(string_agg(kmer, ' ' ORDER BY kmer)) AS mark FROM k GROUP BY id),
 m AS (SELECT id, n, min(id) OVER (PARTITION BY mark) AS rep FROM s), c AS MATERIALIZED (SELECT id, n FROM m WHERE id = rep), t AS MATERIALIZED (SELECT k.id, kmer FROM k JOIN c USING (id)),
 p AS (SELECT a.id AS id_a, b.id AS id_b, count(*) AS shared FROM t a JOIN t b ON a.kmer = b.kmer AND a.id < b.id GROUP BY 1, 2),
 d AS (SELECT id_a, id_b, 1.0::DOUBLE - shared::DOUBLE / (x.n + y.n - shared) AS d FROM p JOIN c x ON x.id = id_a JOIN c y ON y.id = id_b),
@@ -129,8 +129,8 @@ e AS (SELECT id_a AS id, d FROM d WHERE d <= 0.2 UNION ALL SELECT id_b, d FROM d
 
 @query("a10k_near_sets", NEAR + f" SELECT r.id, rep, coalesce(links, 0) AS links, {rounded('nearest')} AS nearest FROM r LEFT JOIN m USING (id) LEFT JOIN f ON f.id = rep")
 def a10k_near(spark, sf):
-    """Each document with its class of equal 8-mer sets, how many other classes are within the cutoff, and how far the nearest of these is."""
-    near, members = setjoin.near_kmer_sets(references(spark, sf), 8)
+    """Each document with its class of equal 12-mer sets, how many other classes are within the cutoff, and how far the nearest of these is."""
+    near, members = setjoin.near_kmer_sets(references(spark, sf), 12)
     links = distance.both_ways(near).groupBy(F.col("id").alias("rep")).agg(F.count(F.lit(1)).alias("links"), six(F.min("d")).alias("nearest"))
     return members.join(links, "rep", "left").select("id", "rep", F.coalesce("links", F.lit(0)).alias("links"), "nearest")
 
