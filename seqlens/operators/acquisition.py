@@ -44,7 +44,11 @@ def second_pass(first: DataFrame, references: DataFrame, broad: DataFrame, genus
     new = lambda rows: relational.without_known(curation.length_filter(rows, min_length, max_length), first.select("accession"), "accession")
     refs = checkpointed(new(references).withColumn("label", label).where("label IS NOT NULL"))
     seeds = first.select(F.col("accession").alias("id"), "seq", F.col("subtype").alias("label")).unionByName(refs.select(F.col("accession").alias("id"), "seq", "label"))
-    rest = checkpointed(new(broad).where(label.isNull()).join(refs.select("accession"), "accession", "left_anti"))
+    unseen = new(broad).where(label.isNull()).join(refs.select("accession"), "accession", "left_anti").withColumn("_md5", metadata.content_hash(F.col("seq")))
+    unseen = unseen.join(first.select(F.col("md5").alias("_md5")).distinct(), "_md5", "left_anti")
+    # equal contents are placed alike, so the first stands for all
+    head = relational.first_per_key(unseen.where("accession IS NOT NULL").select("ord", "accession", "_md5"), ["_md5"], ["ord"]).toDF("_ord", "_accession", "_md5")
+    rest = checkpointed(unseen.join(head.drop("_md5"), unseen["ord"].eqNullSafe(head["_ord"]) & (unseen["accession"] == head["_accession"]), "left_semi").drop("_md5"))
     placed = similarity.place(rest.select(F.col("accession").alias("id"), "seq"), seeds, max_dist=max_dist).where("assigned <> 'Unplaced'")
     found = rest.drop("label", "confidence").join(placed.withColumnRenamed("id", "accession"), "accession")
     row = lambda rows, p, source, query, shown, confidence, reason: rows.withColumns({"source": F.lit(source), "query": F.lit(query)}).select(F.lit(p).alias("_p"), "ord", "seq", *curation.manifest_row(genus, shown, confidence, reason, F.lit(retrieved)))

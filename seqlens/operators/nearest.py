@@ -48,6 +48,24 @@ def strict_kmers(text: str, k: int) -> np.ndarray:
     return np.unique(windows_of(letters, k)[np.convolve(_base[letters], np.ones(k, np.int64), "valid") == k])
 
 
+_digit = np.full(256, 4, np.uint16)
+_digit[list(b"ACGT")] = range(4)
+
+
+def strict_codes(text: str, k: int) -> np.ndarray:
+    """The same k-mers as numbers of two bits a letter, k of 8 at most, in order. They are marked in a table of all, which is faster than to sort them."""
+    letters = _digit[np.frombuffer(text.encode("ascii", "replace"), np.uint8)]
+    n = len(letters) - k + 1
+    code = np.zeros(max(n, 0), np.uint16)
+    for i in range(k if n > 0 else 0):
+        code = code << np.uint16(2) | letters[i : i + n] & np.uint16(3)
+    if n > 0 and (letters == 4).any():
+        code = code[np.convolve(letters < 4, np.ones(k, np.int64), "valid") == k]
+    held = np.zeros(4**k, bool)
+    held[code] = True
+    return np.flatnonzero(held)
+
+
 def all_kmers(text: str, k: int) -> tuple[np.ndarray, set[str]]:
     """Distinct k-mers: those of ASCII letters as numbers, others as they are."""
     if text.isascii():
@@ -75,18 +93,20 @@ class Index:
         own = [self.keys_of(seq, True)[0] for seq, _ in rows]
         self.sizes = np.array([len(x) for x in own], np.int64)
         if contained:
-            own += [strict_kmers(rev, k) for _, rev in rows]
+            own += [strict_codes(rev, k) for _, rev in rows]
         key = np.concatenate(own) if own else np.zeros(0, np.uint64)
         column = np.repeat(np.arange(len(own)), [len(x) for x in own])
         order = np.argsort(key, kind="stable")
         self.keys, self.start = np.unique(key[order], return_index=True)
         self.stop = np.append(self.start[1:], len(key))
         self.columns, self.width = column[order], len(own)
+        if contained:  # where the columns of each number begin
+            self.begin = np.searchsorted(key[order], np.arange(4**k + 1))
 
     def keys_of(self, seq: str, new: bool = False) -> tuple[np.ndarray, int]:
         """The distinct k-mers of a text that a query may have, and the number of all. new: those beyond ASCII get numbers."""
         if self.contained:
-            keys = strict_kmers(seq, self.k)
+            keys = strict_codes(seq, self.k)
             return keys, len(keys)
         keys, others = all_kmers(seq, self.k)
         if not others:
@@ -94,16 +114,29 @@ class Index:
         numbers = [self.beyond.setdefault(x, len(self.beyond)) for x in others] if new else [n for x in others if (n := self.beyond.get(x)) is not None]
         return np.concatenate([keys, np.array(numbers, np.uint64) | np.uint64(BEYOND)]), len(keys) + len(others)
 
+    def shared(self, own: np.ndarray) -> np.ndarray:
+        """How many of the distinct k-mers of a reference each column has."""
+        if self.contained:
+            start = self.begin[own]
+            size = self.begin[own + 1] - start
+        else:
+            at = np.minimum(np.searchsorted(self.keys, own), max(len(self.keys) - 1, 0))
+            at = at[self.keys[at] == own] if len(self.keys) else at[:0]
+            start, size = self.start[at], self.stop[at] - self.start[at]
+        flat = np.repeat(start - np.concatenate([[0], np.cumsum(size)[:-1]]) if len(size) else start, size) + np.arange(size.sum())
+        return np.bincount(self.columns[flat], minlength=self.width)
+
+    def contained_in(self, seq: str) -> np.ndarray:
+        """How many of each query's k-mers a reference has, by the strand of which it has more."""
+        shared = self.shared(self.keys_of(seq)[0])
+        return np.maximum(shared[: self.n], shared[self.n :])
+
     def distances(self, seq: str) -> np.ndarray:
         """Of a reference from each query."""
-        own, size_of_ref = self.keys_of(seq)
-        at = np.minimum(np.searchsorted(self.keys, own), max(len(self.keys) - 1, 0))
-        at = at[self.keys[at] == own] if len(self.keys) else at[:0]
-        start, size = self.start[at], self.stop[at] - self.start[at]
-        flat = np.repeat(start - np.concatenate([[0], np.cumsum(size)[:-1]]) if len(size) else start, size) + np.arange(size.sum())
-        shared = np.bincount(self.columns[flat], minlength=self.width)
         if self.contained:
-            return 1.0 - np.maximum(shared[: self.n], shared[self.n :]) / np.maximum(self.sizes, 1)
+            return 1.0 - self.contained_in(seq) / np.maximum(self.sizes, 1)
+        own, size_of_ref = self.keys_of(seq)
+        shared = self.shared(own)
         union = self.sizes + size_of_ref - shared
         return np.where((self.sizes == 0) | (size_of_ref == 0), 1.0, 1.0 - shared / np.maximum(union, 1))
 
@@ -116,7 +149,7 @@ def bounded(queries: DataFrame, contained: bool) -> list | None:
 
 def best_of(index: Index, ids: list, texts: pa.Array | pa.ChunkedArray, top: int) -> tuple[np.ndarray, np.ndarray] | None:
     """Distances and places of the `top` nearest of these references for every query (a row for each rank), by distance, then id; None without references."""
-    step = max(top, CELLS // max(1, index.n))
+    step = max(top, min(256, CELLS // max(1, index.n)))
     order = sorted((i for i, x in enumerate(ids) if x is not None), key=ids.__getitem__)
     best: tuple | None = None
     for s in range(0, len(order), step):
@@ -124,7 +157,8 @@ def best_of(index: Index, ids: list, texts: pa.Array | pa.ChunkedArray, top: int
         d = np.stack([index.distances(texts[i].as_py()) for i in own])
         ref = np.broadcast_to(np.array(own)[:, None], d.shape)
         if best is not None:  # earlier ids come first, so a stable sort keeps them on ties
-            d, ref = np.vstack([best[0], d]), np.vstack([best[1], ref])
+            nearer = (d < best[0][-1]).any(axis=1) if len(best[0]) == top else np.ones(len(d), bool)
+            d, ref = np.vstack([best[0], d[nearer]]), np.vstack([best[1], ref[nearer]])
         chosen = np.argsort(d, axis=0, kind="stable")[:top]
         best = np.take_along_axis(d, chosen, 0), np.take_along_axis(ref, chosen, 0)
     return best if index.n else None
@@ -151,6 +185,33 @@ def nearest(rows: list, refs: DataFrame, k: int, contained: bool, top: int) -> D
     return source.mapInArrow(run, f"query long, ref_id {kind}, d double")
 
 
+def within(rows: list, refs: DataFrame, k: int, share: float) -> DataFrame:
+    """query (its place in rows), ref_id, nq, shared of the pairs where a reference has such a share of a query's k-mers, by either strand. nq is 1 at least. What shares
+    less leaves no task."""
+    if k > 8:
+        raise ValueError("k-mers of eight letters at most")
+    shared = refs.sparkSession.sparkContext.broadcast([(r["seq"], r["rev"]) for r in rows])  # within twice MAX_BYTES
+    importable(refs.sparkSession)
+    source = prepared(spread(refs.select("id", "seq")), True).where("id IS NOT NULL").select("id", "seq")
+    kind = source.schema["id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = Index(shared.value, k, True)
+        nq = np.maximum(index.sizes, 1)
+        for batch in batches:
+            query, ref, count = [], [], []
+            for i, text in enumerate(batch.column(1)):
+                own = index.contained_in(text.as_py())
+                at = np.flatnonzero((own >= share * nq) & (own > 0))
+                query.append(at)
+                ref.append(np.full(len(at), i))
+                count.append(own[at])
+            query, ref, count = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (query, ref, count))
+            yield pa.RecordBatch.from_arrays([pa.array(query), batch.column(0).take(pa.array(ref)), pa.array(nq[query]), pa.array(count)], ["query", "ref_id", "nq", "shared"])
+
+    return source.mapInArrow(run, f"query long, ref_id {kind}, nq long, shared long")
+
+
 def parts_of(rows: DataFrame, most_rows: int, most_bytes: int) -> int:
     """Into how many parts rows (seq) go, so that one has so many rows and bytes on average."""
     size = rows.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length("seq").cast("long")), F.lit(0)).alias("b")).first()
