@@ -169,7 +169,7 @@ def c9(spark, sf):
 
 @query("a5k_containment", MAPPED + " SELECT qid AS id, rid AS ref_id, greatest(a, b) AS shared, n AS nq FROM c JOIN nq ON nq.id = qid WHERE greatest(a, b) >= 0.5 * n")
 def a5k(spark, sf):
-    pairs = similarity.containment(fragments(spark, sf), references(spark, sf)).where("shared >= 0.5 * nq")
+    pairs = similarity.contained(fragments(spark, sf), references(spark, sf), 0.5)
     return pairs.select(F.col("query_id").alias("id"), "ref_id", "shared", F.col("nq").cast("bigint").alias("nq"))
 
 
