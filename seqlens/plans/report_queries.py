@@ -123,8 +123,7 @@ def q19(spark, sf):
 @query("q11_label_by_technology", S + f"SELECT l.label, t.tech, count(s.ord) AS n FROM (SELECT DISTINCT label FROM s WHERE {KNOWN}) l CROSS JOIN (SELECT DISTINCT tech FROM s WHERE {KNOWN}) t LEFT JOIN s ON s.label = l.label AND s.tech = t.tech GROUP BY ALL")
 def q11_transposed(spark, sf):
     """The same the other way round, with a row for each pair, zeros too."""
-    wide = relational.crosstab(known(spark, sf), "label", "tech")
-    return wide.unpivot(["label"], [c for c in wide.columns if c != "label"], "tech", "n")
+    return relational.counted_grid(known(spark, sf), "label", "tech")
 
 
 @query("q20_technology_long", S + "SELECT label, tech, count(*) AS n FROM s GROUP BY label, tech")
