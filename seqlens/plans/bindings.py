@@ -7,7 +7,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from seqlens.operators.layout import spread
+
 GENUS = "Examplea"
+#: Records are short and the work on each is long, so files up to this size, which have few splits, are dealt out over the cores.
+RECORD_BYTES = 1 << 28
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,7 +57,9 @@ def specimens(spark: SparkSession, sf_dir: str) -> DataFrame:
     sql = SPECIMENS
     for n in names:
         sql = sql.replace(f" {n} ", f" {{{n}}} ") if f" {n} " in sql else sql.replace(f" {n}\n", f" {{{n}}}\n")
-    return spark.sql(sql.replace("FROM customer", "FROM {customer}"), **{n: table(spark, sf_dir, n) for n in names})
+    found = {n: table(spark, sf_dir, n) for n in names}
+    found["customer"] = spread(found["customer"], RECORD_BYTES)
+    return spark.sql(sql.replace("FROM customer", "FROM {customer}"), **found)
 
 
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:

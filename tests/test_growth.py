@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from seqlens.operators import nearest as kernel
 from seqlens.operators import relational, similarity
-from seqlens.plans import relational_queries
+from seqlens.plans import bindings, relational_queries
 
 
 def drawn(seed, n, length=40):
@@ -75,3 +75,12 @@ def test_grid_of_counts_reads_its_rows_once(spark):
     got = {tuple(r) for r in relational.counted_grid(rows.mapInArrow(run, rows.schema), "label", "tech").collect()}
     assert got == {("a", "x", 2), ("a", "y", 0), ("b", "x", 0), ("b", "y", 0), ("c", "x", 0), ("c", "y", 1), (None, "x", 0), (None, "y", 1)}
     assert seen.value == 5
+
+
+def test_records_are_dealt_over_the_cores(spark, tmp_path):
+    """A file of one row group, which is one split, is worked on by all cores."""
+    spark.range(2000).selectExpr("id AS c_custkey", "'n' AS c_name", "'BUILDING' AS c_mktsegment", "0L AS c_nationkey", "1.0D AS c_acctbal").coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+    spark.sql("SELECT 0L AS n_nationkey, 'N' AS n_name, 0L AS n_regionkey").write.parquet(f"{tmp_path}/nation.parquet")
+    spark.sql("SELECT 0L AS r_regionkey, 'R' AS r_name").write.parquet(f"{tmp_path}/region.parquet")
+    parts = bindings.records(spark, str(tmp_path)).select(F.spark_partition_id().alias("p")).groupBy("p").count().collect()
+    assert len(parts) == spark.sparkContext.defaultParallelism and sum(r["count"] for r in parts) == 2000
