@@ -154,7 +154,7 @@ HUMAN = "host = 'Homo sapiens' AND label <> 'Unknown'"
 
 def human(spark, sf, level: str):
     own = rows(spark, sf).where((F.col("host") == "Homo sapiens") & (F.col("label") != "Unknown"))
-    return own.select("ord", "label", metadata.categories(metadata.classify(F.col(f"{level}_text"))).alias("cats"))
+    return own.select("ord", "label", metadata.categories(metadata.classify(F.col(f"{level}_text"), evidence=False)).alias("cats"))
 
 
 def crosstab_sql(level: str) -> str:

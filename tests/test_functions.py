@@ -1,3 +1,6 @@
+import re
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -76,6 +79,37 @@ def test_classify(one, text, want):
     assert one(metadata.categories(metadata.classify(F.col("t"))), t=text) == want
 
 
+def test_classify_is_the_patterns_own_result(spark):
+    # an example of each alternative in odd case, with letters that only fold to ASCII, and near misses, against all patterns on all texts
+    shown = lambda a: re.sub(r"\[(.)[^\]]*\]\??", r"\1", re.sub(r"\(([^()|]*)[^()]*\)\??", r"\1", a)).replace(r"\b", " ").replace(r"\s+", "\x0b\n ").replace("?", "")
+    examples = [shown(a) for p in fixed.DISEASES.values() for a in metadata.alternatives(p)]
+    odd = [f(x) for x in examples for f in (str, str.title, lambda x: f"{x.upper()}x", lambda x: x.lower().replace("i", "\u0131").replace("s", "\u017f"), lambda x: x.upper().replace("I", "\u0130").replace("K", "\u212a"), lambda x: f"\u00e9{x.strip()}", lambda x: x[1:])]
+    rows = spark.createDataFrame([(x,) for x in [None, "", "environment crash", "\U0001f600 non crohn semis", *odd, *(" ".join(odd[i : i + 3]) for i in range(len(odd)))]], "t string").repartition(4)
+    plain = F.array(*[F.when(F.col("t").rlike(metadata.any_of([p])), F.struct(F.lit(c).alias("category"), F.regexp_extract("t", metadata.any_of([p]), 0).alias("evidence"))) for c, p in fixed.DISEASES.items()])
+    want = metadata.let(F.filter(plain, lambda h: h.isNotNull()), metadata._by_rule)
+    told = rows.select("t", metadata.classify(F.col("t")).alias("got"), metadata.classify(F.col("t"), evidence=False).alias("bare"), want.alias("want")).collect()
+    assert all(r["got"] == r["want"] and [h["category"] for h in r["bare"]] == [h["category"] for h in r["want"]] for r in told)
+    assert {h["category"] for r in told for h in r["want"]} == set(fixed.DISEASES)
+    assert all(re.search(a, x, re.IGNORECASE) for a, x in zip(metadata.DISEASE_WORDS, examples, strict=True))
+
+
+def test_classify_searches_patterns_only_where_their_words_are(spark):
+    # by the time on texts that show nothing; the better of two runs each
+    rows = spark.range(200).select(F.concat(F.repeat(F.lit("Ontion reand shble hewh. "), 4000), F.col("id").cast("string")).alias("t")).persist()
+    rows.count()
+    plain = F.array(*[F.col("t").rlike(metadata.any_of([p])) for p in fixed.DISEASES.values()])
+
+    def seconds(column):
+        taken = []
+        for _ in range(2):
+            start = time.monotonic()
+            rows.select(F.sum(F.size(column))).collect()
+            taken.append(time.monotonic() - start)
+        return min(taken)
+
+    assert 1.5 * seconds(metadata.classify(F.col("t"), evidence=False)) < seconds(plain)
+
+
 def test_tags_and_headers(one):
     assert one(metadata.tag(F.col("d"), "host"), d="x [host= Bos taurus ] [host=b]") == "Bos taurus"
     assert one(metadata.tag(F.col("d"), "date"), d="x") == "Unknown"
