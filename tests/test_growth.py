@@ -41,6 +41,19 @@ def test_codes_are_the_strict_kmers():
         assert kernel.strict_codes(s, 8).tolist() == code and len(kernel.strict_kmers(s, 8)) == len(code)
 
 
+@pytest.mark.parametrize("kind", ["long", "int", "string"])
+def test_names_of_queries_start_no_python(spark, kind):
+    # rows of a list went through Python workers of their own, which stayed beside the kernel's
+    ids = [None, *(str(i) if kind == "string" else i for i in range(3))]
+    queries = spark.createDataFrame([(i, "ACGTACGT") for i in ids], f"id {kind}, seq string")
+    for q in (queries, queries.limit(0)):
+        rows = kernel.bounded(q, True)
+        names = similarity.names_of(rows, q)
+        assert names.dtypes == [("query", "bigint"), ("query_id", dict(q.dtypes)["id"])]
+        assert [tuple(r) for r in names.orderBy("query").collect()] == [(i, r["id"]) for i, r in enumerate(rows)]
+        assert "ExistingRDD" not in names._jdf.queryExecution().executedPlan().toString()
+
+
 def test_contained_pairs_without_a_join(spark):
     queries = spark.createDataFrame([*drawn(3, 12, 30), (50, None), (51, ""), (52, "ACGT")], "id long, seq string")
     refs = spark.createDataFrame([*drawn(4, 30, 200), *[(100 + i, s[:20] + "T" * i) for i, s in drawn(3, 12, 30)], (200, None)], "id long, seq string")
