@@ -48,19 +48,33 @@ def strict_kmers(text: str, k: int) -> np.ndarray:
     return np.unique(windows_of(letters, k)[np.convolve(_base[letters], np.ones(k, np.int64), "valid") == k])
 
 
-_digit = np.full(256, 4, np.uint16)
-_digit[list(b"ACGT")] = range(4)
-
-
-def strict_codes(text: str, k: int) -> np.ndarray:
-    """The same k-mers as numbers of two bits a letter, k of 8 at most, in order. They are marked in a table of all, which is faster than to sort them."""
-    letters = _digit[np.frombuffer(text.encode("ascii", "replace"), np.uint8)]
+#: Up to so many k-mers a sort is faster than a look through a table of all.
+SORTED = 8192
+#: Of a byte: 0 to 3 for A, C, G and T, 4 for all else; and the same for either case.
+_digit = bytes(max(b"ACGT".find(i), 0) if i in b"ACGT" else 4 for i in range(256))
+_digit_any_case = bytes(_digit[ord(chr(i).upper())] if i < 128 else 4 for i in range(256))
+
+
+def strict_codes(text: str, k: int, any_case: bool = False) -> np.ndarray:
+    """The same k-mers as numbers of two bits a letter, k of 8 at most, in order; with any_case those of the text in upper case. Numbers of 1, 2, 4 and 8 letters are made each
+    of two of the ones before; those of long texts are marked in a table of all, which is faster than to sort them."""
+    raw = (text.upper() if any_case and not text.isascii() else text).encode("ascii", "replace")
+    letters = np.frombuffer(raw.translate(_digit_any_case if any_case else _digit), np.uint8).astype(np.uint16)
     n = len(letters) - k + 1
-    code = np.zeros(max(n, 0), np.uint16)
-    for i in range(k if n > 0 else 0):
-        code = code << np.uint16(2) | letters[i : i + n] & np.uint16(3)
-    if n > 0 and (letters == 4).any():
-        code = code[np.convolve(letters < 4, np.ones(k, np.int64), "valid") == k]
+    if n <= 0:
+        return np.zeros(0, np.int64)
+    valid = np.convolve(letters < 4, np.ones(k, np.int64), "valid") == k if letters.max() == 4 else None
+    code, have, part, size = np.zeros(len(letters), np.uint16), 0, letters & np.uint16(3), 1
+    while have < k:
+        if k & size:
+            code = part if not have else code[: len(part) - have] << np.uint16(2 * size) | part[have:]
+            have += size
+        if have < k:
+            part, size = part[:-size] << np.uint16(2 * size) | part[size:], 2 * size
+    code = code[:n] if valid is None else code[:n][valid]
+    if len(code) < SORTED:
+        code = np.sort(code, kind="stable")  # of 16 bits: by digits
+        return code[np.append(True, code[1:] != code[:-1])[: len(code)]].astype(np.int64)
     held = np.zeros(4**k, bool)
     held[code] = True
     return np.flatnonzero(held)
@@ -78,8 +92,8 @@ def all_kmers(text: str, k: int) -> tuple[np.ndarray, set[str]]:
 
 
 def prepared(rows: DataFrame, contained: bool, keep: bool = False) -> DataFrame:
-    """id, seq and (queries that may be contained) rev: letters as the k-mer functions see them."""
-    forward = F.upper("seq") if contained else F.translate(F.upper("seq"), "-N", "")
+    """id, seq and (queries that may be contained) rev: letters as the k-mer functions see them (those that are contained or contain are put in upper case by the index)."""
+    forward = F.col("seq") if contained else F.translate(F.upper("seq"), "-N", "")
     rev = F.upper(kmers.reverse_complement(F.col("seq"))) if contained and keep else F.lit(None).cast("string")
     return rows.select("id", F.coalesce(forward, F.lit("")).alias("seq"), F.coalesce(rev, F.lit("")).alias("rev"))
 
@@ -106,7 +120,7 @@ class Index:
     def keys_of(self, seq: str, new: bool = False) -> tuple[np.ndarray, int]:
         """The distinct k-mers of a text that a query may have, and the number of all. new: those beyond ASCII get numbers."""
         if self.contained:
-            keys = strict_codes(seq, self.k)
+            keys = strict_codes(seq, self.k, True)
             return keys, len(keys)
         keys, others = all_kmers(seq, self.k)
         if not others:

@@ -41,6 +41,24 @@ def test_codes_are_the_strict_kmers():
         assert kernel.strict_codes(s, 8).tolist() == code and len(kernel.strict_kmers(s, 8)) == len(code)
 
 
+@pytest.mark.parametrize("k", range(1, 9))
+def test_codes_of_any_case_and_length(k):
+    draw = random.Random(k)
+    for n in [*range(12), 40, kernel.SORTED - 1, kernel.SORTED + k]:
+        for letters in ("ACGT", "ACGTacgtACGTacgtN-", "ACGTacgt\u00e9\u1e97\ufb06\u00dfACGTacgtACGT"):
+            s = "".join(draw.choices(letters, k=n))
+            for any_case, text in ((False, s), (True, s.upper())):
+                want = sorted({text[i : i + k] for i in range(len(text) - k + 1) if set(text[i : i + k]) <= set("ACGT")})
+                assert kernel.strict_codes(s, k, any_case).tolist() == [int(w.translate(str.maketrans("ACGT", "0123")), 4) for w in want]
+
+
+def test_refs_of_any_case_are_mapped_as_by_the_join(spark):
+    queries = spark.createDataFrame([(i, s.lower() if i % 2 else s) for i, s in drawn(7, 12, 30)], "id long, seq string")
+    refs = spark.createDataFrame([(i, s.lower() if i % 3 else s + "\u1e97") for i, s in drawn(8, 30, 200)], "id long, seq string")
+    want = {tuple(r) for r in similarity.containment(queries, refs, 5).collect()}
+    assert {tuple(r) for r in similarity.contained(queries, refs, 0.0, 5).collect()} == want
+
+
 @pytest.mark.parametrize("kind", ["long", "int", "string"])
 def test_names_of_queries_start_no_python(spark, kind):
     # rows of a list went through Python workers of their own, which stayed beside the kernel's
