@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seqlens.functions import kmers
+from seqlens.operators import postings
 from seqlens.operators.layout import spread
 from seqlens.session import importable
 
@@ -22,6 +23,8 @@ MAX_BYTES = 8 << 20
 #: References of a lane, where query sets are larger.
 LANE_ROWS = 2048
 LANE_BYTES = 16 << 20
+#: Queries of a block and bytes of a lane, where lists of refs are searched; and how many tiles a core has, if blocks need not be small for it.
+SEARCHED_ROWS, SEARCHED_BYTES, TILES = 1 << 17, 8 << 20, 3
 #: Cells of a table of counts (references by queries).
 CELLS = 1 << 20
 
@@ -232,30 +235,41 @@ def parts_of(rows: DataFrame, most_rows: int, most_bytes: int) -> int:
     return max(1, -(-size["n"] // most_rows), -(-size["b"] // most_bytes))
 
 
-def nearest_in_blocks(queries: DataFrame, refs: DataFrame, k: int, contained: bool, top: int, block_rows: int = MAX_QUERIES, lane_rows: int = LANE_ROWS) -> DataFrame:
+def nearest_in_blocks(queries: DataFrame, refs: DataFrame, k: int, contained: bool, top: int, block_rows: int | None = None, lane_rows: int | None = None) -> DataFrame:
     """query_id, ref_id, d of the `top` nearest refs of each query in every lane, for query sets of any size.
 
     Queries are dealt to blocks and refs to lanes by a hash of their ids; every block meets every lane, by an equi-join of both numbers, and builds its index there. So no
-    k-mer is a key: one that all have costs a task no more than its refs' other k-mers, and what is shuffled is a copy of the refs a block and of the queries a lane."""
+    k-mer is a key: one that all have costs a task no more than its refs' other k-mers, and what is shuffled is a copy of the refs a block and of the queries a lane.
+    Contained queries are counted against each ref; by Jaccard distance only refs that may come among the nearest are (postings.py), so blocks and lanes are larger."""
     if k > 8:
         raise ValueError("k-mers of eight letters at most")
     importable(refs.sparkSession)
-    blocks, lanes = parts_of(queries, block_rows, MAX_BYTES), parts_of(refs, lane_rows, LANE_BYTES)
+    most = (MAX_QUERIES, LANE_ROWS, LANE_BYTES) if contained else (SEARCHED_ROWS, SEARCHED_ROWS * 4, SEARCHED_BYTES)
+    lanes = parts_of(refs, lane_rows or most[1], most[2])
+    blocks = parts_of(queries, block_rows or most[0], MAX_BYTES)
+    if not contained and not block_rows:  # smaller ones where all cores would not have some
+        cores = refs.sparkSession.sparkContext.defaultParallelism
+        blocks = max(blocks, min(-(-TILES * cores // lanes), parts_of(queries, MAX_QUERIES, MAX_BYTES)))
     number = lambda n, name: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias(name)
     every = lambda n, name: F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(name)
+    tasks = min(2 * blocks * lanes, 32 * refs.sparkSession.sparkContext.defaultParallelism)
+    dealt = lambda rows: rows if contained else rows.repartition(tasks, "block", "lane")  # noqa: E731 - adaptive execution would put many short texts, and so much work, in one task
     asked = prepared(queries, contained, keep=True).select("id", "seq", "rev", number(blocks, "block"), every(lanes, "lane"))
     held = prepared(refs, contained).where("id IS NOT NULL").select("id", "seq", number(lanes, "lane"), every(blocks, "block"))
     kinds = [rows.schema["id"].dataType for rows in (queries, refs)]
     names = ["query_id", "ref_id", "d"]
 
     def run(asked: pa.Table, held: pa.Table) -> pa.Table:
-        index = Index(list(zip(asked["seq"].to_pylist(), asked["rev"].to_pylist(), strict=True)), k, contained)
-        found = best_of(index, held["id"].to_pylist(), held["seq"].combine_chunks(), top) if len(held) else None
-        if found is None:
-            return pa.table([asked["id"].slice(0, 0), held["id"].slice(0, 0), pa.array([], pa.float64())], names)
-        d, ref = found
-        query = pa.array(np.tile(np.arange(index.n), len(d)))
-        return pa.table([asked["id"].take(query), held["id"].take(pa.array(ref.ravel())), pa.array(d.ravel())], names)
-
-    both = asked.groupBy("block", "lane").cogroup(held.groupBy("block", "lane"))
+        if contained:
+            index = Index(list(zip(asked["seq"].to_pylist(), asked["rev"].to_pylist(), strict=True)), k, contained)
+            found = best_of(index, held["id"].to_pylist(), held["seq"].combine_chunks(), top) if len(held) else None
+            if found is None:
+                return pa.table([asked["id"].slice(0, 0), held["id"].slice(0, 0), pa.array([], pa.float64())], names)
+            d, ref = found
+            query, ref, d = np.tile(np.arange(index.n), len(d)), ref.ravel(), d.ravel()
+        else:
+            query, ref, d = postings.nearest(asked["seq"].to_pylist(), held["id"].to_pylist(), held["seq"].to_pylist(), k, top)
+        return pa.table([asked["id"].take(pa.array(query)), held["id"].take(pa.array(ref)), pa.array(d)], names)
+
+    both = dealt(asked).groupBy("block", "lane").cogroup(dealt(held).groupBy("block", "lane"))
     return both.applyInArrow(run, f"query_id {kinds[0].simpleString()}, ref_id {kinds[1].simpleString()}, d double")
