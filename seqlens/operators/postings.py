@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from seqlens.operators.setparts import mixed, points_of, windows_of
+from seqlens.operators.setparts import cuts, distinct, flat_of, letters_in, mixed, points_of, windows_of
 
 #: Queries whose k-mers are in hand at once, and pairs looked at together.
 BATCH, PAIRS = 4096, 1 << 20
@@ -18,14 +18,8 @@ FIRST, MORE = 16, 4
 WORDS = 8
 
 
-def flat_of(start: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """start, start + 1 ... of each range, one range after the other."""
-    ends = np.cumsum(size)
-    return np.repeat(start - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)
-
-
 def letters_of(*texts: list[str]) -> np.ndarray:
-    return np.unique(np.concatenate([np.unique(points_of("".join(x))) for x in texts]))
+    return np.unique(np.concatenate([letters_in(points_of("".join(x))) for x in texts]))
 
 
 def kmers_of(texts: list[str], letters: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -33,15 +27,10 @@ def kmers_of(texts: list[str], letters: np.ndarray, k: int) -> tuple[np.ndarray,
     size = np.array([len(t) for t in texts], np.int64)
     number = np.maximum(size - k + 1, 0)
     every = windows_of(points_of("".join(texts)), letters, k)
-    every = every if every.dtype == np.int64 else every.view(f"S{4 * k}")  # these can be searched
+    every = every if every.dtype.kind != "V" else every.view(f"S{4 * k}")  # these can be searched
     return np.repeat(np.arange(len(texts)), number), every[flat_of(np.cumsum(size) - size, number)]
 
 
-def distinct(x: np.ndarray) -> np.ndarray:
-    """Of x, which is sorted."""
-    return x[np.append(True, x[1:] != x[:-1])[: len(x)]]
-
-
 def signatures(first: np.ndarray, size: np.ndarray, number: np.ndarray) -> list[np.ndarray]:
     """WORDS words for each set of so many numbers from first on."""
     filled = np.flatnonzero(size)
@@ -61,11 +50,10 @@ class Lane:
     def __init__(self, ids: list, texts: list[str], letters: np.ndarray, k: int):
         self.k, self.letters, self.n = k, letters, len(texts)
         row, kmer = kmers_of(texts, letters, k)
-        self.kmers = distinct(np.sort(kmer))
+        self.kmers = distinct(kmer)
         many = max(len(self.kmers), 1)
         key = np.searchsorted(self.kmers, kmer) * self.n + row
         del row, kmer
-        key.sort()
         key = distinct(key)
         size = np.bincount(key % self.n, minlength=self.n)
         rank = np.empty(self.n, np.int64)
@@ -239,17 +227,6 @@ class Search:
             self.best[q, len(have) : len(have) + len(more)] = more
 
 
-def cuts(size: np.ndarray, most: int) -> list[tuple[int, int]]:
-    """Ranges of rows of about `most` together, one row at least."""
-    ends = np.cumsum(size)
-    out, s = [], 0
-    while s < len(size):
-        e = max(int(np.searchsorted(ends, (ends[s - 1] if s else 0) + most, "right")), s + 1)
-        out.append((s, e))
-        s = e
-    return out
-
-
 def nearest(asked: list[str], ids: list, texts: list[str], k: int, top: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """query, ref, d: for each of asked the places of its `top` nearest texts by Jaccard distance of k-mers, ties by id."""
     out: list[tuple] = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
